@@ -10,8 +10,7 @@ from larder.functions.text import strip
 # Spreadsheet day zero, and the largest serial day accepted.
 SERIAL_DAY_ZERO = "1899-12-30"
 SERIAL_DAY_MAX = 60000
-DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy"]
-TIME_FORMATS = ["yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "yyyy/M/d H:m"]
+WRITTEN = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?$"
 
 # Characters that count as digits inside a label. Decimal digits of any script, super- and subscripts
 # and circled digits do; vulgar fractions and numerals such as U+5341 do not.
@@ -20,24 +19,32 @@ DEFAULT_LABEL = "single"
 SET_WORDS = ["桌菜", "套餐"]
 
 
+def _dashed(s: Column) -> Column:
+    """Written dates (2023/1/5, 2023.1.5, 1/5/2023, with or without a time) with the date part as y-m-d."""
+    s = F.regexp_replace(s, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", "$1-$2-$3")
+    s = F.regexp_replace(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
+    return F.when(s.rlike(WRITTEN), s)
+
+
 def landed_date(c: Column) -> Column:
-    """yyyymmdd, a spreadsheet serial day, or a written date (a time part is dropped)."""
+    """yyyymmdd, a spreadsheet serial day, or a written date (a time part is dropped).
+
+    Shapes are tested by pattern before any cast: a failing format parse costs an exception per row.
+    """
     s = strip(c.cast("string"))
-    number = s.try_cast("double")
+    number = F.when(s.rlike(r"^[+-]?[0-9.]+([eE][+-]?\d+)?$"), s.try_cast("double"))
     serial = (number == F.floor(number)) & number.between(1, SERIAL_DAY_MAX)
-    written = F.coalesce(*[F.try_to_date(s, f) for f in DATE_FORMATS], landed_timestamp(c).cast("date"))
     return (
-        F.when(s.rlike(r"^\d{8}$"), F.try_to_date(s, "yyyyMMdd"))
+        F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), s.try_cast("date"))
+        .when(s.rlike(r"^\d{8}$"), F.regexp_replace(s, r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3").try_cast("date"))
         .when(serial, F.date_add(F.lit(SERIAL_DAY_ZERO).cast("date"), number.cast("int")))
-        .otherwise(written)
+        .otherwise(_dashed(s).try_cast("date"))
     )
 
 
 def landed_timestamp(c: Column) -> Column:
-    s = strip(c.cast("string"))
-    parsed = [F.try_to_timestamp(s, F.lit(f)) for f in TIME_FORMATS]
-    dates = [F.try_to_date(s, f).cast("timestamp") for f in DATE_FORMATS]
-    return F.when(s != "", F.coalesce(*parsed, *dates))
+    """A written date or date and time."""
+    return _dashed(strip(c.cast("string"))).try_cast("timestamp")
 
 
 def messy_price(c: Column) -> Column:

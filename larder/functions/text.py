@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Unicode white space.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Trim every kind of white space at both ends (``trim`` alone only removes U+0020)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim every kind of white space at both ends (plain ``trim`` only removes U+0020)."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:

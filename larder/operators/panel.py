@@ -1,8 +1,9 @@
 """Clean daily demand: one row per date and dish, without gaps.
 
-Shuffles of ``clean_daily_demand``: sales rows are summed to (date, food) inside the map tasks before they move, so a
-best-selling food ships one row per date and task. Everything after works on that reduced table. The dense grid is
-made by exploding a date sequence per dish, not by joining dates with dishes.
+The raw sales are read once. Rows are summed to (date, food) inside the map tasks before they move, so a best-selling
+food ships one row per date and task; after mapping, a second sum leaves one row per date and dish. That small table is
+written once, and the calendar bounds, the list of dishes, the unmapped counts and the panel all come from it. The dense
+grid is made by exploding a date sequence per dish, not by joining dates with dishes.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.context import materialize
 from larder.functions.dates import is_closed_day
 from larder.operators.grouping import first_per_key
 from larder.operators.mutate import upsert
@@ -46,38 +48,41 @@ def map_foods(daily: DataFrame, bridge: DataFrame) -> DataFrame:
     return daily.join(active, "food_id", "left").withColumn("is_unmapped_food", F.col("canonical_dish_id").isNull())
 
 
-def clean_daily_demand(
-    sales: DataFrame,
-    bridge: DataFrame,
-    dishes: DataFrame,
-    excluded: tuple[dt.date, dt.date] | None = None,
+def demand_by_day(
+    sales: DataFrame, bridge: DataFrame, excluded: tuple[dt.date, dt.date] | None = None
 ) -> DataFrame:
-    """Dense (date, dish) demand between the first and last kept sales date, for dishes that ever sold.
+    """Kept sales per (date, dish), with one row per date for all unmapped foods together (dish NULL)."""
+    mapped = map_foods(daily_food_sales(sales, excluded), bridge)
+    return mapped.groupBy("close_work_date", "canonical_dish_id").agg(
+        *[F.sum(q).alias(q) for q in QUANTITIES],
+        F.sum("src_row_cnt").alias("src_row_cnt"),
+        F.max("is_unmapped_food").alias("has_unmapped_food"),
+        F.count(F.lit(1)).alias("food_cnt"),
+    )
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread few rows over all tasks before each grows into a whole calendar (a given count is not coalesced again)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def dense_panel(by_day: DataFrame, dishes: DataFrame, excluded: tuple[dt.date, dt.date] | None = None) -> DataFrame:
+    """Every day between the first and last kept sales date (also of unmapped foods) for every active dish that sold.
 
     ``has_unmapped_food`` is a flag of mapped rows only, hence always false; ``unmapped_food_cnt`` counts the unmapped
     foods sold on the day. ``is_excluded`` marks days that are zero because their sales were left out.
     """
-    mapped = map_foods(daily_food_sales(sales, excluded), bridge)
-    demand = (
-        mapped.filter(F.col("canonical_dish_id").isNotNull())
-        .groupBy("close_work_date", "canonical_dish_id")
-        .agg(
-            *[F.sum(q).alias(q) for q in QUANTITIES],
-            F.sum("src_row_cnt").alias("src_row_cnt"),
-            F.max("is_unmapped_food").alias("has_unmapped_food"),
-        )
+    demand = by_day.filter(F.col("canonical_dish_id").isNotNull()).drop("food_cnt")
+    unmapped = by_day.filter(F.col("canonical_dish_id").isNull()).select(
+        "close_work_date", F.col("food_cnt").alias("unmapped_food_cnt")
     )
-    unmapped = mapped.groupBy("close_work_date").agg(F.count_if("is_unmapped_food").alias("unmapped_food_cnt"))
-
-    kept = sales.filter(outside(F.col("close_work_date"), excluded))
-    bounds = kept.agg(F.min("close_work_date").alias("a"), F.max("close_work_date").alias("b"))
+    bounds = by_day.agg(F.min("close_work_date").alias("a"), F.max("close_work_date").alias("b"))
     span = F.sequence(bounds.select("a").scalar(), bounds.select("b").scalar())
     sold = demand.select("canonical_dish_id").distinct()
-    spine = dishes.filter("is_active").join(sold, "canonical_dish_id", "left_semi")
+    spine = spread(dishes.filter("is_active").join(sold, "canonical_dish_id", "left_semi"), "canonical_dish_id")
     grid = spine.select(
         F.explode(span).alias("close_work_date"), "canonical_dish_id", "basename", "price_label", "canonical_name"
     )
-
     filled = grid.join(demand, ["close_work_date", "canonical_dish_id"], "left").join(
         unmapped, "close_work_date", "left"
     )
@@ -97,6 +102,14 @@ def clean_daily_demand(
     )
 
 
+def clean_daily_demand(
+    sales: DataFrame, bridge: DataFrame, dishes: DataFrame, excluded: tuple[dt.date, dt.date] | None = None
+) -> DataFrame:
+    """The dense panel from raw sales, in one pass over them."""
+    by_day = materialize(demand_by_day(sales, bridge, excluded), "demand-by-day")
+    return dense_panel(by_day, dishes, excluded)
+
+
 FACT_KEYS = ["close_work_date", "canonical_dish_id"]
 FACT_VALUES = [
     "qty", "dinein_qty", "reserve_qty", "is_zero_filled", "is_shop_closed", "has_unmapped_food", "src_row_cnt",

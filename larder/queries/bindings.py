@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.context import table
+from larder.context import materialize, table
 
 EXCLUDED = (dt.date(1999, 10, 1), dt.date(2000, 1, 1))
 ORIGIN = dt.date(2001, 6, 4)
@@ -141,6 +141,11 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
     return clean_daily_demand(sales(spark, folder), bridge(spark, folder), dishes(spark, folder), EXCLUDED)
 
 
+def stored_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel written once, for jobs that read it many times."""
+    return materialize(panel(spark, folder), "panel")
+
+
 CTE["kept"] = (
     ["sales"],
     f"SELECT * FROM sales WHERE NOT (close_work_date >= DATE '{EXCLUDED[0]}' AND close_work_date < DATE '{EXCLUDED[1]}')",
@@ -205,7 +210,7 @@ def forecasts(spark: SparkSession, folder: str) -> DataFrame:
     """The forecast fact after two weekly runs of two model versions."""
     from larder.operators.baseline import baseline_forecast
 
-    history, out = panel(spark, folder), None
+    history, out = stored_panel(spark, folder), None
     for origin in ORIGINS:
         for version, spec in VERSIONS.items():
             made = baseline_forecast(history, origin, spec["method"], spec.get("k", 4)).select(
@@ -267,7 +272,7 @@ CTE["forecast"] = (
 def backtest(spark: SparkSession, folder: str) -> DataFrame:
     from larder.operators.baseline import rolling_backtest
 
-    return rolling_backtest(panel(spark, folder), FOLDS, VERSIONS)
+    return rolling_backtest(stored_panel(spark, folder), FOLDS, VERSIONS)
 
 
 CTE["backtest"] = (
