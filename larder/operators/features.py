@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from larder.functions.dates import horizon_dates, horizon_index
+from larder.operators.grouping import top_per_key
 
 # Rolling statistics that a configuration may name.
 ROLLING = {
@@ -102,8 +103,11 @@ def forecast_features(
     known = history.filter(F.col(d) <= F.lit(origin))
     ids = known.select(i).distinct() if ids is None else ids.select(i).distinct()
     skeleton = horizon_skeleton(ids, origin).withColumnRenamed("target_date", d)
+    # A lag or window of n rows on the last horizon day reaches at most n rows back: older history is not needed.
+    reach = max([1, *config.lags, *config.windows])
+    recent = top_per_key(known.select(i, d, F.col(y).cast("double").alias("_y")), [i], [F.col(d).desc()], reach)
     combined = (
-        known.select(i, d, F.col(y).cast("double").alias("_y"))
+        recent
         .unionByName(extend_to_origin(known, origin, i, d), allowMissingColumns=True)
         .unionByName(skeleton, allowMissingColumns=True)
     )

@@ -287,7 +287,7 @@ def cart_diff(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     b.with_(
         ["oitem"],
-        """SELECT l.order_id, id, size, NULL AS note, CAST(1 AS DOUBLE) AS price, uuid,
+        """SELECT l.order_id, id, size, CAST(NULL AS VARCHAR) AS note, CAST(1 AS DOUBLE) AS price, uuid,
   CAST(list_reduce(list_prepend([CAST(first_qty AS BIGINT), -1], coalesce(steps, [])), lambda a, s: [greatest(a[1] + s[1], s[2]), -1])[1] AS BIGINT) AS qty
 FROM slots l LEFT JOIN (
   SELECT order_id, slot, list([add_qty, floor_qty] ORDER BY pos) AS steps FROM placed GROUP BY ALL) p USING (order_id, slot)""",
@@ -333,7 +333,7 @@ b.CTE["op"] = (
 @query(
     b.with_(
         ["op"],
-        """SELECT session_id, id, size, NULL AS note, price, qty, coalesce(n.cart_note, '') AS cart_note FROM (
+        """SELECT session_id, id, size, CAST(NULL AS VARCHAR) AS note, price, qty, coalesce(n.cart_note, '') AS cart_note FROM (
   SELECT session_id, id, size, price, CAST(list_reduce(list([qty, lowest] ORDER BY request_id),
     lambda a, s: [greatest(a[1] + s[1], s[2]), -1000000])[1] AS BIGINT) AS qty
   FROM (SELECT *, CASE op WHEN 'delta' THEN 1 ELSE -1000000 END AS lowest,
