@@ -206,11 +206,12 @@ LEFT JOIN menu_latest m ON r.food_key = CAST(m.food_id AS VARCHAR)""",
 # --- forecasts, backtest, policy, serving ----------------------------------------------------------------------------
 
 
-def forecasts(spark: SparkSession, folder: str) -> DataFrame:
+def forecasts(spark: SparkSession, folder: str, history: DataFrame | None = None) -> DataFrame:
     """The forecast fact after two weekly runs of two model versions."""
     from larder.operators.baseline import baseline_forecast
 
-    history, out = stored_panel(spark, folder), None
+    history = stored_panel(spark, folder) if history is None else history
+    out = None
     for origin in ORIGINS:
         for version, spec in VERSIONS.items():
             made = baseline_forecast(history, origin, spec["method"], spec.get("k", 4)).select(
@@ -269,10 +270,10 @@ CTE["forecast"] = (
 )
 
 
-def backtest(spark: SparkSession, folder: str) -> DataFrame:
+def backtest(spark: SparkSession, folder: str, history: DataFrame | None = None) -> DataFrame:
     from larder.operators.baseline import rolling_backtest
 
-    return rolling_backtest(stored_panel(spark, folder), FOLDS, VERSIONS)
+    return rolling_backtest(stored_panel(spark, folder) if history is None else history, FOLDS, VERSIONS)
 
 
 CTE["backtest"] = (
@@ -297,10 +298,10 @@ def old_policy(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def policy(spark: SparkSession, folder: str) -> DataFrame:
+def policy(spark: SparkSession, folder: str, history: DataFrame | None = None) -> DataFrame:
     from larder.operators.policy import write_policy
 
-    return write_policy(old_policy(spark, folder), backtest(spark, folder), ORIGIN)
+    return write_policy(old_policy(spark, folder), backtest(spark, folder, history), ORIGIN)
 
 
 CTE["mae"] = (
@@ -340,7 +341,8 @@ CTE["price_bridge"] = (
 def serving(spark: SparkSession, folder: str) -> DataFrame:
     from larder.operators.policy import serving_view
 
-    return serving_view(forecasts(spark, folder), policy(spark, folder), price_bridge(spark, folder))
+    history = stored_panel(spark, folder)
+    return serving_view(forecasts(spark, folder, history), policy(spark, folder, history), price_bridge(spark, folder))
 
 
 CTE["latest"] = (

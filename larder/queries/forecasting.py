@@ -256,7 +256,8 @@ def policy_distribution(spark: SparkSession, folder: str) -> DataFrame:
     )
 )
 def serving_latest(spark: SparkSession, folder: str) -> DataFrame:
-    allowed = policies.allowed_forecasts(b.forecasts(spark, folder), b.policy(spark, folder))
+    history = b.stored_panel(spark, folder)
+    allowed = policies.allowed_forecasts(b.forecasts(spark, folder, history), b.policy(spark, folder, history))
     return policies.latest_forecasts(allowed).drop("created_at")
 
 
@@ -315,8 +316,9 @@ HEALTH = {
 )
 def health_report(spark: SparkSession, folder: str) -> DataFrame:
     """All gates of one origin. Each stage is written once, as the weekly run does."""
-    forecasts = materialize(b.forecasts(spark, folder), "forecasts")
-    backtest = materialize(b.backtest(spark, folder), "backtest")
+    history = b.stored_panel(spark, folder)
+    forecasts = materialize(b.forecasts(spark, folder, history), "forecasts")
+    backtest = materialize(b.backtest(spark, folder, history), "backtest")
     policy = materialize(policies.write_policy(b.old_policy(spark, folder), backtest, b.ORIGIN), "policy")
     price_bridge = b.price_bridge(spark, folder)
     serving = materialize(policies.serving_view(forecasts, policy, price_bridge), "serving")
