@@ -76,8 +76,7 @@ def dense_panel(by_day: DataFrame, dishes: DataFrame, excluded: tuple[dt.date, d
     unmapped = by_day.filter(F.col("canonical_dish_id").isNull()).select(
         "close_work_date", F.col("food_cnt").alias("unmapped_food_cnt")
     )
-    bounds = by_day.agg(F.min("close_work_date").alias("a"), F.max("close_work_date").alias("b"))
-    span = F.sequence(bounds.select("a").scalar(), bounds.select("b").scalar())
+    span = by_day.agg(F.sequence(F.min("close_work_date"), F.max("close_work_date")).alias("days")).scalar()
     sold = demand.select("canonical_dish_id").distinct()
     spine = spread(dishes.filter("is_active").join(sold, "canonical_dish_id", "left_semi"), "canonical_dish_id")
     grid = spine.select(
