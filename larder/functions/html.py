@@ -1,9 +1,11 @@
-"""HTML to text with pattern replacement, so that it stays in generated JVM code."""
+"""HTML to text with pattern replacement, which stays in generated JVM code, and keyword context."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,36 +70,24 @@ def keyword_segments(
 ) -> Column:
     """Context around every keyword hit (any case), joined by ``\\n...\\n``.
 
-    Offsets follow from the pieces between the hits: the i-th hit starts after the first i pieces and the hits between
-    them. A text without a hit gives its first ``fallback`` characters (None: all of it).
+    A text without a hit gives its first ``fallback`` characters (None: all of it); ``max_chars`` caps the result for
+    size-limited services. Match offsets have no built-in function, so this is an Arrow-batched helper; it touches each
+    text once.
     """
     words = [k for k in keywords if k]
-    if not words:
-        return text if max_chars is None else F.substring(text, 1, max_chars)
-    pattern = "(?iu)" + "|".join(_quoted(w) for w in words)
-    pieces = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
-    zero = F.lit(0)
-    lengths = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h).alias("hit")))
-    start = F.struct(zero.alias("end"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
-
-    def step(state: Column, x: Column) -> Column:
-        s = state["end"] + x["gap"]
-        e = s + x["hit"]
-        span = F.array(F.struct(s.alias("s"), e.alias("e")))
-        return F.struct(e.alias("end"), F.concat(state["spans"], span).alias("spans"))
-
-    spans = F.aggregate(lengths, start, step)["spans"]
-    cut = F.transform(
-        spans,
-        lambda w: F.substring(
-            text, F.greatest(w["s"] - before, zero) + 1, w["e"] + after - F.greatest(w["s"] - before, zero)
-        ),
-    )
-    none = text if fallback is None else F.substring(text, 1, fallback)
-    merged = F.when(F.size(hits) == 0, none).otherwise(F.array_join(cut, "\n...\n"))
-    return merged if max_chars is None else F.substring(merged, 1, max_chars)
-
-
-def _quoted(word: str) -> str:
-    return "".join(c if c.isalnum() else "\\" + c for c in word)
+    pattern = re.compile("|".join(re.escape(w) for w in words), re.IGNORECASE) if words else None
+
+    def segments(value: str | None) -> str | None:
+        if value is None:
+            return None
+        if pattern is None:
+            return value[:max_chars]
+        spans = [m.span() for m in pattern.finditer(value)]
+        parts = [value[max(0, s - before) : e + after] for s, e in spans] or [value[:fallback]]
+        return "\n...\n".join(parts)[:max_chars]
+
+    @F.pandas_udf("string")
+    def cut(values: pd.Series) -> pd.Series:
+        return values.map(segments)
+
+    return cut(text)
