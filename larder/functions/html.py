@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larder.functions.text import WHITE, let
+
 # Elements whose content is not text of the page.
 DROPPED = ["script", "style", "noscript", "header", "footer", "nav", "aside"]
 # Common named entities (the ampersand comes last, or "&amp;lt;" would turn into "<").
@@ -19,18 +21,25 @@ ENTITIES = {
 }
 
 
-def _drop(html: Column, tag: str) -> Column:
-    """Remove an element, innermost first and three levels deep; an element that is never closed runs to the end."""
-    inner = rf"(?is)<{tag}\b[^>]*>(?:(?!<{tag}\b).)*?</{tag}\s*>"
-    levels = 1 if tag in ("script", "style") else 3
-    pattern = rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>" if levels == 1 else inner
-    closed = reduce(lambda c, _: F.regexp_replace(c, pattern, " "), range(levels), html)
-    return F.regexp_replace(closed, rf"(?is)<{tag}\b[^>]*>.*$", " ")
+def _drop_nested(html: Column) -> Column:
+    """Remove the dropped elements when they nest or are not closed: innermost first, four levels deep; an element
+    that is never closed runs to the end of the page."""
+    for tag in DROPPED:
+        inner = rf"(?is)<{tag}\b[^>]*>(?:(?!<{tag}\b).)*?</{tag}\s*>"
+        html = reduce(lambda c, _: F.regexp_replace(c, inner, " "), range(1 if tag in ("script", "style") else 4), html)
+        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*$", " ")
+    return html
+
+
+def _drop(html: Column) -> Column:
+    """Remove the dropped elements; the costly way is only taken by pages on which the plain one leaves a tag behind."""
+    names = "|".join(DROPPED)
+    plain = F.regexp_replace(html, rf"(?is)<({names})\b[^>]*>.*?</\1\s*>", " ")
+    return let(plain, lambda p: F.when(p.rlike(rf"(?i)</?({names})\b"), _drop_nested(html)).otherwise(p))
 
 
 def _numeric_entities(text: Column) -> Column:
     """Decode ``&#8217;`` and ``&#x2019;``; texts without any are passed through untouched."""
-    parts = F.split(text, "&#")
 
     def decode(part: Column) -> Column:
         decimal = F.regexp_extract(part, r"^(\d{1,7});", 1)
@@ -40,8 +49,15 @@ def _numeric_entities(text: Column) -> Column:
         rest = F.regexp_replace(part, r"^(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});", "")
         return F.when(digits.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
 
-    decoded = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decode), ""))
-    return F.when(text.contains("&#"), decoded).otherwise(text)
+    def decoded(parts: Column) -> Column:
+        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decode), ""))
+
+    return F.when(text.contains("&#"), let(F.split(text, "&#"), decoded)).otherwise(text)
+
+
+def _named_entities(text: Column) -> Column:
+    named = reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), text)
+    return F.when(text.contains("&"), named).otherwise(text)
 
 
 def html_to_text(html: Column, max_len: int | None = None) -> Column:
@@ -50,13 +66,9 @@ def html_to_text(html: Column, max_len: int | None = None) -> Column:
     Comments, declarations and the dropped elements vanish, every other tag becomes a blank. ``max_len`` caps the result
     for callers that feed a size-limited service; by default the text is whole.
     """
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    text = reduce(_drop, DROPPED, text)
-    text = F.regexp_replace(text, r"<[!?/a-zA-Z][^>]*>", " ")
-    text = _numeric_entities(text)
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    bare = let(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), _drop)
+    text = let(F.regexp_replace(bare, r"<[!?/a-zA-Z][^>]*>", " "), lambda t: let(_numeric_entities(t), _named_entities))
+    text = F.trim(F.regexp_replace(text, f"[{WHITE}]+", " "))
     return text if max_len is None else F.substring(text, 1, max_len)
 
 

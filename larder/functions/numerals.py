@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larder.functions.text import let
+
 # Chinese digits and units.
 DIGITS = {"零": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000, "萬": 10000}
@@ -21,9 +23,7 @@ def first_number(text: Column) -> Column:
     A run of Arabic digits wins. Otherwise the Chinese numerals are read with their place values (digits times units,
     sections of ten thousand); digits without any unit count only once: the first one is the number.
     """
-    arabic = F.regexp_extract(text, r"(\d+)", 1)
-    chars = F.regexp_extract_all(text, F.lit(f"([{''.join(DIGITS)}{''.join(UNITS)}])"), F.lit(1))
-    has_unit = text.rlike(f"[{''.join(UNITS)}]")
+    numerals = f"([{''.join(DIGITS)}{''.join(UNITS)}])"
     zero = F.lit(0).cast("long")
     start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("digit"))
 
@@ -38,10 +38,15 @@ def first_number(text: Column) -> Column:
             F.coalesce(value, zero).alias("digit"),
         )
 
-    spoken = F.aggregate(chars, start, step, lambda s: s["total"] + s["section"] + s["digit"])
-    return (
-        F.when(arabic != "", arabic.try_cast("long"))
-        .when(F.size(chars) == 0, F.lit(None).cast("long"))
-        .when(has_unit, spoken)
-        .otherwise(_lookup(DIGITS, F.try_element_at(chars, F.lit(1))))
+    def spoken(chars: Column) -> Column:
+        placed = F.aggregate(chars, start, step, lambda s: s["total"] + s["section"] + s["digit"])
+        return (
+            F.when(F.size(chars) == 0, F.lit(None).cast("long"))
+            .when(text.rlike(f"[{''.join(UNITS)}]"), placed)
+            .otherwise(_lookup(DIGITS, F.try_element_at(chars, F.lit(1))))
+        )
+
+    chinese = let(F.regexp_extract_all(text, F.lit(numerals), F.lit(1)), spoken)
+    return let(
+        F.regexp_extract(text, r"(\d+)", 1), lambda a: F.when(a != "", a.try_cast("long")).otherwise(chinese)
     )

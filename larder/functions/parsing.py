@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import strip
+from larder.functions.text import let, strip
 
 # Spreadsheet day zero, and the largest serial day accepted.
 SERIAL_DAY_ZERO = "1899-12-30"
@@ -23,7 +23,7 @@ def _dashed(s: Column) -> Column:
     """Written dates (2023/1/5, 2023.1.5, 1/5/2023, with or without a time) with the date part as y-m-d."""
     s = F.regexp_replace(s, r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", "$1-$2-$3")
     s = F.regexp_replace(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
-    return F.when(s.rlike(WRITTEN), s)
+    return let(s, lambda d: F.when(d.rlike(WRITTEN), d))
 
 
 def landed_date(c: Column) -> Column:
@@ -31,15 +31,18 @@ def landed_date(c: Column) -> Column:
 
     Shapes are tested by pattern before any cast: a failing format parse costs an exception per row.
     """
-    s = strip(c.cast("string"))
-    number = F.when(s.rlike(r"^[+-]?[0-9.]+([eE][+-]?\d+)?$"), s.try_cast("double"))
-    serial = (number == F.floor(number)) & number.between(1, SERIAL_DAY_MAX)
-    return (
-        F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), s.try_cast("date"))
-        .when(s.rlike(r"^\d{8}$"), F.regexp_replace(s, r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3").try_cast("date"))
-        .when(serial, F.date_add(F.lit(SERIAL_DAY_ZERO).cast("date"), number.cast("int")))
-        .otherwise(_dashed(s).try_cast("date"))
-    )
+
+    def read(s: Column) -> Column:
+        number = F.when(s.rlike(r"^[+-]?[0-9.]+([eE][+-]?\d+)?$"), s.try_cast("double"))
+        serial = (number == F.floor(number)) & number.between(1, SERIAL_DAY_MAX)
+        return (
+            F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), s.try_cast("date"))
+            .when(s.rlike(r"^\d{8}$"), F.regexp_replace(s, r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3").try_cast("date"))
+            .when(serial, F.date_add(F.lit(SERIAL_DAY_ZERO).cast("date"), number.cast("int")))
+            .otherwise(_dashed(s).try_cast("date"))
+        )
+
+    return let(strip(c.cast("string")), read)
 
 
 def landed_timestamp(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import allowed_only, blank_to_null, clean_tags, differs, join_tags, strip
-from larder.operators.grouping import first_per_key, top_per_key
+from larder.operators.grouping import first_per_key, left_join_many, top_per_key
 
 
 def tag_counts(items: DataFrame, tags: str = "tags") -> DataFrame:
@@ -110,7 +110,7 @@ def import_details(
     )
     ids = name_map.select(strip(F.col("name")).alias("name"), "dish_id").filter("name <> '' and dish_id is not null").distinct()
     known = dishes.select("dish_id").withColumn("_known", F.lit(True))
-    matched = wanted.join(ids, "name", "left").join(known, "dish_id", "left")
+    matched = left_join_many(wanted, ids, ["name"]).join(known, "dish_id", "left")
     updates = matched.filter("_known").select("dish_id", "_description", "_tags")
 
     here = details.withColumn("_stored", F.lit(True))

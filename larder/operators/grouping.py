@@ -2,6 +2,7 @@
 
 * ``first_per_key`` / ``top_per_key`` use ``row_number`` under a constant limit. Spark applies that limit inside every
   map task before the shuffle, so a hot key ships at most k rows per task.
+* ``left_join_many`` keeps a hot key of the right side splittable.
 * ``running_sum`` and ``previous_row`` need a key's whole history. They cut it into id ranges of at most ``width``
   rows, scan every range in parallel and carry one summary row per range forward. The id must be unique in its key.
 * ``dense_ids`` numbers rows 1..n without sorting them in one task.
@@ -28,6 +29,16 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return top_per_key(df, keys, order, 1)
 
 
+def left_join_many(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join whose right side may hold very many rows of one key.
+
+    Spark can only split a hot key of the left side in a left join, but either side in an inner join. So the matches
+    come from an inner join and the rows without a match are added from an anti join on the distinct keys.
+    """
+    alone = left.join(right.select(*on).distinct(), on, "left_anti")
+    return left.join(right, on).unionByName(alone, allowMissingColumns=True)
+
+
 def running_sum(
     df: DataFrame, keys: list[str], id_col: str, values: dict[str, Column], width: int = RANGE_WIDTH
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import blank_to_null
-from larder.operators.grouping import collect_chunks, first_per_key
+from larder.operators.grouping import collect_chunks, first_per_key, left_join_many
 from larder.operators.mutate import insert_new
 
 
@@ -43,19 +43,23 @@ def menu_tree(
             "prices",
         )
     )
-    tree = categories.select(
+    sections = categories.select(
         "category_id", "category_name", F.coalesce("sort_order", F.lit(0)).alias("category_sort")
-    ).join(shown, "category_id", "left")
+    )
+    tree = left_join_many(sections, shown, ["category_id"])
     return tree.orderBy("category_sort", "category_id", "dish_sort", "dish_id", "chunk")
 
 
 def set_members(set_items: DataFrame, dishes: DataFrame) -> DataFrame:
-    """(set_id, item_id, item_name, quantity, sort_order) in menu order; items without a dish are left out."""
+    """(set_id, item_id, item_name, quantity, sort_order); items without a dish are left out."""
     named = dishes.select(F.col("dish_id").alias("item_id"), F.col("name").alias("item_name"))
     members = set_items.join(named, "item_id")
-    return members.select("set_id", "item_id", "item_name", "quantity", "sort_order").orderBy(
-        "set_id", "sort_order", "item_id"
-    )
+    return members.select("set_id", "item_id", "item_name", "quantity", "sort_order")
+
+
+def set_item_list(set_items: DataFrame, dishes: DataFrame, set_id: int) -> DataFrame:
+    """The members of one set in menu order."""
+    return set_members(set_items.filter(F.col("set_id") == set_id), dishes).orderBy("sort_order", "item_id")
 
 
 def menu_with_sets(menu: DataFrame, set_items: DataFrame, dishes: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.money import cents, line_total
-from larder.operators.grouping import top_per_key
+from larder.operators.grouping import left_join_many, top_per_key
 
 # The order states.
 STATUSES = ["pending", "confirmed", "preparing", "ready", "completed", "cancelled"]
@@ -49,7 +49,7 @@ def session_history(orders: DataFrame, items: DataFrame, limit: int = 50) -> Dat
         "order_id", "order_item_id", "name", "quantity", cents(F.col("unit_price")).alias("unit_price"),
         line_total(F.col("unit_price"), F.col("quantity")).alias("line_total"),
     )
-    return listed.join(lines, "order_id", "left")
+    return left_join_many(listed, lines, ["order_id"])
 
 
 def lookup(requests: DataFrame, details: DataFrame, key: str, error: str) -> DataFrame:
@@ -59,10 +59,6 @@ def lookup(requests: DataFrame, details: DataFrame, key: str, error: str) -> Dat
     return joined.withColumn("error", F.when(F.col("_found").isNull(), error)).drop("_found")
 
 
-def _first_set(*columns: Column) -> Column:
-    return F.coalesce(*columns)
-
-
 def edit_errors(orders: DataFrame, items: DataFrame, edits: DataFrame, patches: DataFrame) -> DataFrame:
     """(order_id, error): orders whose edit must not be applied at all, with the first error in rule order."""
     unknown_order = edits.join(orders, "order_id", "left_anti").select(
@@ -95,7 +91,7 @@ def edit_items(items: DataFrame, patches: DataFrame) -> DataFrame:
     )
     joined = items.join(changed, ["order_id", "order_item_id"], "left")
     edited = joined.filter(F.coalesce("_quantity", F.lit(1)) > 0).select(
-        "order_id", "order_item_id", *[_first_set(F.col(f"_{c}"), F.col(c)).alias(c) for c in fields]
+        "order_id", "order_item_id", *[F.coalesce(f"_{c}", c).alias(c) for c in fields]
     )
     added = patches.filter("order_item_id is null and coalesce(quantity, 0) > 0")
     return edited.unionByName(added.select("order_id", "order_item_id", *fields)).withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.context import table
+from larder.context import materialize, table
 from larder.operators import carts, mutate
 from larder.operators import orders as ops
 from larder.operators.grouping import dense_ids
@@ -165,7 +165,7 @@ UNION ALL SELECT order_id, round(unit_price, 2), quantity FROM good WHERE order_
 )
 def order_edit(spark: SparkSession, folder: str) -> DataFrame:
     """Edits and item patches over all orders; some name unknown orders, items or states."""
-    head, items = orders(spark, folder), order_items(spark, folder)
+    head, items = orders(spark, folder), materialize(order_items(spark, folder), "order-items")
     changed = items.filter("line_no <= 3 and order_id % 4 <> 1").selectExpr(
         "order_id",
         "order_item_id + IF(order_id % 23 = 0, 1000000007, 0) AS order_item_id",
@@ -309,7 +309,7 @@ UNION ALL SELECT order_id, 100 + opener, pos, qty, -1000000 FROM fresh WHERE pos
 )
 def cart_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Merge a pending cart into the server cart of every order."""
-    items = order_items(spark, folder)
+    items = materialize(order_items(spark, folder), "order-items")
     shape = "IF(line_no % 2 = 0, 'L', NULL) AS size", "CAST(NULL AS STRING) AS note", "1.0D AS price"
     server = items.filter("line_no <= 4").selectExpr(
         "order_id", "CAST(line_no AS BIGINT) AS pos", "concat('u', line_no) AS uuid", "dish_id % 2 AS id", *shape, "quantity AS qty"
