@@ -13,7 +13,7 @@ from larder.functions.text import WHITE, let
 
 # Elements whose content is not text of the page.
 DROPPED = ["script", "style", "noscript", "header", "footer", "nav", "aside"]
-# Common named entities (the ampersand comes last, or "&amp;lt;" would turn into "<").
+# Common named entities.
 ENTITIES = {
     "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·",
     "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
@@ -38,26 +38,29 @@ def _drop(html: Column) -> Column:
     return let(plain, lambda p: F.when(p.rlike(rf"(?i)</?({names})\b"), _drop_nested(html)).otherwise(p))
 
 
-def _numeric_entities(text: Column) -> Column:
-    """Decode ``&#8217;`` and ``&#x2019;``; texts without any are passed through untouched."""
+def _entities(text: Column) -> Column:
+    """Decode named (``&copy;``) and numeric (``&#8217;``, ``&#x2019;``) entities in one pass; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
 
     def decode(part: Column) -> Column:
-        decimal = F.regexp_extract(part, r"^(\d{1,7});", 1)
-        hexadecimal = F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        digits = F.when(decimal != "", F.hex(decimal.cast("long"))).when(hexadecimal != "", hexadecimal)
-        char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
-        rest = F.regexp_replace(part, r"^(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});", "")
-        return F.when(digits.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
+        def char(code: Column) -> Column:
+            digits = F.when(code.rlike(r"^#\d"), F.hex(F.substring(code, 2, 7).cast("long"))).when(
+                code.startswith("#"), F.substring(code, 3, 6)
+            )
+            return F.when(digits.isNotNull(), F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise(
+                F.try_element_at(names, code)
+            )
 
-    def decoded(parts: Column) -> Column:
-        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decode), ""))
+        def joined(code: Column) -> Column:
+            rest = F.substr(part, F.length(code) + 2)
+            return F.coalesce(F.concat(F.when(code != "", char(code)), rest), F.concat(F.lit("&"), part))
 
-    return F.when(text.contains("&#"), let(F.split(text, "&#"), decoded)).otherwise(text)
+        return let(F.regexp_extract(part, r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);", 1), joined)
 
+    def decoded(parts: Column) -> Column:
+        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decode), ""))
 
-def _named_entities(text: Column) -> Column:
-    named = reduce(lambda t, e: F.replace(t, F.lit(f"&{e[0]};"), F.lit(e[1])), ENTITIES.items(), text)
-    return F.when(text.contains("&"), named).otherwise(text)
+    return F.when(text.contains("&"), let(F.split(text, "&"), decoded)).otherwise(text)
 
 
 def html_to_text(html: Column, max_len: int | None = None) -> Column:
@@ -67,8 +70,8 @@ def html_to_text(html: Column, max_len: int | None = None) -> Column:
     for callers that feed a size-limited service; by default the text is whole.
     """
     bare = let(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), _drop)
-    text = let(F.regexp_replace(bare, r"<[!?/a-zA-Z][^>]*>", " "), lambda t: let(_numeric_entities(t), _named_entities))
-    text = F.trim(F.regexp_replace(text, f"[{WHITE}]+", " "))
+    text = let(F.regexp_replace(bare, r"<[!?/a-zA-Z][^>]*>", " "), _entities)
+    text = F.trim(F.regexp_replace(F.translate(text, WHITE, " " * len(WHITE)), " {2,}", " "))
     return text if max_len is None else F.substring(text, 1, max_len)
 
 
