@@ -94,6 +94,11 @@ def source_text(sources: DataFrame) -> DataFrame:
     return sources.withColumn("text", F.concat(head, tail))
 
 
+def first_id_per_name(name_map: DataFrame, line: str = "line") -> DataFrame:
+    """The name map cut to one id per name, the one on the earliest line, for imports that must not touch all ids."""
+    return first_per_key(name_map, ["name"], [F.col(line)]).select("name", "dish_id")
+
+
 def import_details(
     items: DataFrame, name_map: DataFrame, dishes: DataFrame, details: DataFrame, line: str = "line"
 ) -> tuple[DataFrame, DataFrame]:

@@ -95,6 +95,11 @@ def category_dishes(category_id: int | None, dishes: DataFrame, prices: DataFram
     )
 
 
+def item_picker(listed: DataFrame, language: str = "zh") -> DataFrame:
+    """Category lists for picking: by category, inside it by name in the language's order."""
+    return listed.orderBy("category_id", F.collate("name", language), "dish_id")
+
+
 def category_index(categories: DataFrame) -> DataFrame:
     return categories.orderBy("sort_order", "category_id")
 

@@ -13,6 +13,7 @@ from larder.functions import parsing
 from larder.functions.text import strip
 from larder.operators import validate
 from larder.operators.grouping import first_per_key
+from larder.operators.mutate import insert_ignore
 
 # Wire names of the two landed files, and of the model-input export.
 SALES_COLUMNS = {
@@ -143,3 +144,28 @@ def load_and_clean(raw: DataFrame, config: InputConfig) -> DataFrame:
     df = materialize(clean_model_input(raw, config), "model-input")
     validate.require_none(model_input_violations(df, config).filter("n_violations > 0"), "model input")
     return df
+
+
+# Columns of a backtest file, and its key.
+BACKTEST_REQUIRED = {
+    "run_id": "string", "fold_id": "int", "forecast_origin_date": "date", "target_date": "date", "canonical_dish_id": "long",
+    "model_version": "string", "y_true": "double", "yhat": "double", "residual": "double", "abs_error": "double",
+}
+BACKTEST_OPTIONAL = {"baseline_method": "string", "created_at": "timestamp"}
+BACKTEST_KEY = ["run_id", "fold_id", "model_version", "canonical_dish_id", "target_date"]
+
+
+def parse_backtest(raw: DataFrame) -> DataFrame:
+    """A backtest file as typed rows: the required columns, and the optional ones it has."""
+    validate.require_columns(raw, list(BACKTEST_REQUIRED))
+    wanted = {**BACKTEST_REQUIRED, **{c: t for c, t in BACKTEST_OPTIONAL.items() if c in raw.columns}}
+    readers = {"date": parsing.landed_date, "timestamp": parsing.landed_timestamp}
+    return raw.select(
+        *[(readers[t](F.col(c)) if t in readers else F.col(c).try_cast(t)).alias(c) for c, t in wanted.items()]
+    )
+
+
+def load_backtest(stored: DataFrame, raw: DataFrame) -> DataFrame:
+    """Add the rows of a backtest file whose key is not stored yet; loading a file twice changes nothing."""
+    rows = validate.require_not_null(parse_backtest(raw), list(BACKTEST_REQUIRED))
+    return insert_ignore(stored, rows, BACKTEST_KEY, [F.col("yhat")])

@@ -344,3 +344,40 @@ def weekly_run(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path).select(
         "canonical_dish_id", "forecast_origin_date", "target_date", "yhat", "model_version", "run_id"
     )
+
+
+@query(
+    b.with_(
+        ["serving", "policy"],
+        f"""SELECT 'active_policies' AS check_id, CAST((SELECT count(*) FROM policy WHERE is_active) AS DOUBLE) AS value,
+  (SELECT count(*) FROM policy WHERE is_active) >= 1 AS passed
+UNION ALL SELECT 'serving_rows', CAST((SELECT count(*) FROM serving WHERE forecast_origin_date = DATE '{b.ORIGIN}') AS DOUBLE),
+  (SELECT count(*) FROM serving WHERE forecast_origin_date = DATE '{b.ORIGIN}') >= 1""",
+    )
+)
+def smoke_checks(spark: SparkSession, folder: str) -> DataFrame:
+    history = b.stored_panel(spark, folder)
+    policy = materialize(b.policy(spark, folder, history), "policy")
+    serving = policies.serving_view(b.forecasts(spark, folder, history), policy, b.price_bridge(spark, folder))
+    return gates.smoke_checks(policy, serving, b.ORIGIN).select("check_id", "value", "passed")
+
+
+@query(
+    b.with_(
+        ["backtest"],
+        """SELECT 'run' AS run_id, CAST(fold_id AS BIGINT) AS fold_id, CAST(forecast_origin_date AS VARCHAR) AS forecast_origin_date,
+  CAST(target_date AS VARCHAR) AS target_date, canonical_dish_id, model_version, CAST(y_true AS DOUBLE) AS y_true,
+  CAST(CASE WHEN fold_id < 2 THEN -1 ELSE yhat END AS DOUBLE) AS yhat, CAST(residual AS DOUBLE) AS residual,
+  CAST(abs_error AS DOUBLE) AS abs_error, CASE WHEN fold_id < 2 THEN NULL ELSE baseline_method END AS baseline_method FROM backtest""",
+    )
+)
+def backtest_load(spark: SparkSession, folder: str) -> DataFrame:
+    """A backtest file loaded onto a table that holds its first folds already (with other values)."""
+    from larder.plans import staging
+
+    rows = materialize(b.backtest(spark, folder), "backtest").withColumn("run_id", F.lit("run"))
+    landed = rows.select(*[F.col(c).cast("string").alias(c) for c in [*staging.BACKTEST_REQUIRED, "baseline_method"]])
+    stored = staging.parse_backtest(landed.filter("fold_id < 2").drop("baseline_method")).withColumns(
+        {"yhat": F.lit(-1.0), "baseline_method": F.lit(None).cast("string")}
+    )
+    return staging.load_backtest(stored, landed)

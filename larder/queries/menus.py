@@ -174,6 +174,14 @@ def category_dishes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(b.with_(["mdish", "pricetext"], "SELECT category_id, d.dish_id, name, CAST(coalesce(first_price, 0) AS DOUBLE) AS default_price, sizes "
+    "FROM mdish d LEFT JOIN pricetext USING (dish_id)"))
+def item_picker(spark: SparkSession, folder: str) -> DataFrame:
+    listed = menus.category_dishes(None, dishes(spark, folder), prices(spark, folder), details(spark, folder))
+    rows = menus.item_picker(listed)
+    return rows.select("category_id", "dish_id", "name", "default_price", price_text(F.col("sizes")).alias("sizes"))
+
+
 @query(
     b.with_(
         ["category", "mdish"],
