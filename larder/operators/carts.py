@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.money import cents, line_total
-from larder.operators.grouping import first_per_key, fold_add_floor, previous_row
+from larder.operators.grouping import first_per_key, fold_add_floor, previous_row, running_sum
 
 # Numbers are read as text, so that a bad one spoils its item and not the document.
 CART_JSON = (
@@ -155,21 +155,35 @@ def fold_operations(ops: DataFrame, session: str, op_id: str) -> DataFrame:
     """The cart lines after all operations (op, id, size, note, price, qty) of each session, in op_id order.
 
     ``add`` adds to the equal line or starts it, ``delta`` changes an existing line but not below 1, ``remove`` drops
-    the line, ``clear`` drops all lines. Only what follows a line's last removal counts, so the resets are grouped
-    maxima and the rest is a fold of bounded sums.
+    the line, ``clear`` drops all lines. Only what follows a line's last reset counts, so resets are grouped maxima. What
+    is left folds like ``fold_add_floor``: with running totals S the result is the end total plus what is missing to 1 at
+    the lowest point. Changes before a line's first add (E in sum) meet no line and are taken out of every total.
     """
     cleared = ops.filter("op = 'clear'").groupBy(session).agg(F.max(op_id).alias("_cleared"))
     lines = ops.filter("op in ('add', 'delta', 'remove')").withColumn("_line", line_key())
-    live = lines.join(cleared, session, "left").filter(F.col(op_id) > F.coalesce("_cleared", F.lit(-1)))
-    removed = live.filter("op = 'remove'").groupBy(session, "_line").agg(F.max(op_id).alias("_removed"))
-    kept = live.join(removed, [session, "_line"], "left").filter(F.col(op_id) > F.coalesce("_removed", F.lit(-1)))
-    started = kept.filter("op = 'add'").groupBy(session, "_line").agg(
-        F.min(op_id).alias("_start"), F.min_by(F.struct(*LINE), op_id).alias("_d")
+    removed = lines.filter("op = 'remove'").groupBy(session, "_line").agg(F.max(op_id).alias("_removed"))
+    reset = F.greatest(F.coalesce("_cleared", F.lit(-1)), F.coalesce("_removed", F.lit(-1)))
+    kept = (
+        lines.filter("op <> 'remove'")
+        .join(cleared, session, "left")
+        .join(removed, [session, "_line"], "left")
+        .filter(F.col(op_id) > reset)
+        .select(session, "_line", op_id, "op", "qty", *LINE)
+    )
+    is_add = F.when(F.col("op") == "add", 1).otherwise(0)
+    summed = running_sum(kept, [session, "_line"], op_id, {"_s": F.col("qty"), "_adds": is_add})
+    early = F.coalesce(F.sum(F.when(F.col("_adds") == 0, F.col("qty"))), F.lit(0))
+    lowest = F.min(F.when((F.col("op") == "delta") & (F.col("_adds") > 0), F.col("_s")))
+    return (
+        summed.groupBy(session, "_line")
+        .agg(
+            F.min_by(F.struct(*LINE), op_id).alias("_d"),
+            F.max("_adds").alias("_n"),
+            (F.sum("qty") - early + F.greatest(F.lit(0), F.coalesce(1 + early - lowest, F.lit(0)))).alias("qty"),
+        )
+        .filter("_n > 0")
+        .select(session, "_d.*", "qty")
     )
-    steps = kept.join(started, [session, "_line"]).filter(F.col(op_id) >= F.col("_start"))
-    steps = steps.withColumn("_floor", F.when(F.col("op") == "delta", F.lit(1).cast("long")))
-    folded = fold_add_floor(steps, [session, "_line"], op_id, "qty", "_floor", "qty")
-    return started.join(folded, [session, "_line"]).select(session, "_d.*", "qty")
 
 
 def fold_notes(ops: DataFrame, session: str, op_id: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.context import materialize
 from larder.functions.parsing import display_name, split_name
 from larder.operators.grouping import first_per_key
 from larder.operators.mutate import insert_new, upsert
@@ -79,9 +80,9 @@ def unmapped_foods(sales: DataFrame, bridge: DataFrame, limit: int | None = None
 def build_mapping(
     menu: DataFrame, sales: DataFrame, dishes: DataFrame, bridge: DataFrame, extend: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """The whole mapping refresh: new dishes, refreshed bridge with seen dates."""
-    parsed = parsed_menu(menu)
-    all_dishes = add_dishes(dishes, parsed)
+    """The whole mapping refresh: new dishes, refreshed bridge with seen dates. Each stage is written once."""
+    parsed = materialize(parsed_menu(menu), "parsed-menu")
+    all_dishes = materialize(add_dishes(dishes, parsed), "dishes")
     fresh = refresh_bridge(bridge, parsed, all_dishes)
     return all_dishes, backfill_seen(fresh, sales_span_by_food(sales), extend)
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.context import materialize
 from larder.functions.text import blank_to_null
 from larder.operators.grouping import collect_chunks, first_per_key, left_join_many
-from larder.operators.mutate import insert_new
+from larder.operators.mutate import number_new
 
 
 def price_lists(prices: DataFrame) -> DataFrame:
@@ -113,15 +114,16 @@ def create_dishes(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Insert new dishes with their prices and translations, all keyed by the ids the insert gives out.
 
-    Children refer to their dish by its natural key; translations without language or name are skipped.
+    Children refer to their dish by its natural key; translations without language or name are skipped. The numbered
+    rows are written once and all results read that copy.
     """
-    all_dishes = insert_new(dishes, new, natural_key, "dish_id")
-    ids = all_dishes.join(dishes.select("dish_id"), "dish_id", "left_anti").select("dish_id", *natural_key)
+    made = materialize(number_new(dishes, new, natural_key, "dish_id"), "new-dishes")
+    ids = made.select("dish_id", *natural_key)
     complete = translations.filter(
         blank_to_null(F.col("lang")).isNotNull() & blank_to_null(F.col("translated_name")).isNotNull()
     )
     return (
-        all_dishes,
+        dishes.unionByName(made, allowMissingColumns=True),
         prices.join(ids, natural_key).drop(*natural_key),
         complete.join(ids, natural_key).drop(*natural_key),
     )

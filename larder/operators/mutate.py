@@ -57,12 +57,18 @@ def upsert(
     return both.select(*columns)
 
 
-def insert_new(target: DataFrame, source: DataFrame, natural_key: list[str], id_col: str) -> DataFrame:
-    """Append source rows with an unseen natural key under new ids that continue after the largest one."""
-    fresh = source.join(target.select(*natural_key), natural_key, "left_anti").dropDuplicates(natural_key)
+def number_new(target: DataFrame, source: DataFrame, natural_key: list[str], id_col: str) -> DataFrame:
+    """Source rows with an unseen natural key, one per key, under new ids that continue after the largest one."""
+    rest = [F.col(c) for c in source.columns if c not in natural_key]
+    fresh = source.join(target.select(*natural_key), natural_key, "left_anti")
+    fresh = first_per_key(fresh, natural_key, rest or [F.lit(1)])
     top = target.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top")).scalar()
-    numbered = dense_ids(fresh, natural_key, id_col, start=top + 1)
-    return target.unionByName(numbered, allowMissingColumns=True)
+    return dense_ids(fresh, natural_key, id_col, start=top + 1)
+
+
+def insert_new(target: DataFrame, source: DataFrame, natural_key: list[str], id_col: str) -> DataFrame:
+    """Append the source rows with an unseen natural key; known rows are never changed."""
+    return target.unionByName(number_new(target, source, natural_key, id_col), allowMissingColumns=True)
 
 
 def fill_missing(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.context import materialize
 from larder.functions.money import cents, line_total
 from larder.operators.grouping import left_join_many, top_per_key
 
@@ -61,22 +60,32 @@ def lookup(requests: DataFrame, details: DataFrame, key: str, error: str) -> Dat
 
 def edit_errors(orders: DataFrame, items: DataFrame, edits: DataFrame, patches: DataFrame) -> DataFrame:
     """(order_id, error): orders whose edit must not be applied at all, with the first error in rule order."""
-    unknown_order = edits.join(orders, "order_id", "left_anti").select(
-        "order_id", F.lit(1).alias("_no"), F.lit("order_not_found").alias("error")
-    )
-    bad_status = edits.filter(F.col("status").isNotNull() & ~F.col("status").isin(STATUSES)).select(
-        "order_id", F.lit(2).alias("_no"), F.concat(F.lit("invalid_status: "), "status").alias("error")
+    stored = orders.select("order_id", F.lit(True).alias("_stored"))
+    head = edits.join(stored, "order_id", "left").select(
+        "order_id",
+        F.when(F.col("_stored").isNull(), F.struct(F.lit(1).alias("no"), F.lit("order_not_found").alias("error")))
+        .when(
+            ~F.col("status").isin(STATUSES),
+            F.struct(F.lit(2).alias("no"), F.concat(F.lit("invalid_status: "), "status").alias("error")),
+        )
+        .alias("_e"),
     )
-    unknown_item = (
-        patches.filter("order_item_id is not null")
-        .join(items.select("order_id", "order_item_id"), ["order_id", "order_item_id"], "left_anti")
-        .select("order_id", F.lit(3).alias("_no"), F.lit("order_item_not_found").alias("error"))
+    known = items.select("order_id", "order_item_id", F.lit(True).alias("_known"))
+    unnamed = F.col("name").isNull() | F.col("unit_price").isNull()
+    lines = patches.join(known, ["order_id", "order_item_id"], "left").select(
+        "order_id",
+        F.when(
+            F.col("order_item_id").isNotNull() & F.col("_known").isNull(),
+            F.struct(F.lit(3).alias("no"), F.lit("order_item_not_found").alias("error")),
+        )
+        .when(
+            F.col("order_item_id").isNull() & (F.coalesce("quantity", F.lit(0)) > 0) & unnamed,
+            F.struct(F.lit(4).alias("no"), F.lit("order_item_missing_fields").alias("error")),
+        )
+        .alias("_e"),
     )
-    incomplete = patches.filter(
-        "order_item_id is null and coalesce(quantity, 0) > 0 and (name is null or unit_price is null)"
-    ).select("order_id", F.lit(4).alias("_no"), F.lit("order_item_missing_fields").alias("error"))
-    found = reduce(DataFrame.unionByName, [unknown_order, bad_status, unknown_item, incomplete])
-    return found.groupBy("order_id").agg(F.min_by("error", "_no").alias("error"))
+    found = head.unionByName(lines).filter("_e is not null")
+    return found.groupBy("order_id").agg(F.min("_e").alias("_e")).select("order_id", "_e.error")
 
 
 def edit_items(items: DataFrame, patches: DataFrame) -> DataFrame:
@@ -106,7 +115,7 @@ def edit_orders(
 
     Returns the orders with new totals and their ``error``, and the new item rows.
     """
-    errors = edit_errors(orders, items, edits, patches)
+    errors = materialize(edit_errors(orders, items, edits, patches), "edit-errors")
     good_edits = edits.join(errors, "order_id", "left_anti")
     good_patches = patches.join(errors, "order_id", "left_anti")
     new_items = edit_items(items, good_patches)

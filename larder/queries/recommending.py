@@ -270,4 +270,5 @@ def menu_for_diner(spark: SparkSession, folder: str) -> DataFrame:
     titled = menus.dishes(spark, folder).join(menus.categories(spark, folder).select("category_id", "category_name"), "category_id")
     shown = rec.visible_sections(titled, "category_name", ["#1", "#25"])
     memory = chat.avoid_memory(messages(spark, folder), "conv_id", "turn").filter("is_current")
+    memory = materialize(memory.select("conv_id", "term"), "memory")
     return rec.menu_left(shown, memory, "conv_id")

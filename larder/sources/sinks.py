@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.context import materialize
+from larder.operators.mutate import upsert
+
 
 def write_staging(df: DataFrame, path: str, truncate: bool = True) -> str:
     """Full refresh (default) or append."""
@@ -23,13 +26,11 @@ def upsert_forecasts(stored: DataFrame | None, rows: DataFrame, path: str) -> in
 
     The new state must go to another path than the one ``stored`` is read from.
     """
-    from larder.operators.mutate import upsert
-
     keys = ["run_id", "canonical_dish_id", "forecast_origin_date", "target_date", "model_version"]
-    stamped = rows.withColumn("created_at", F.current_timestamp())
+    stamped = materialize(rows, "forecast-rows").withColumn("created_at", F.current_timestamp())
     state = stamped if stored is None else upsert(stored, stamped, keys)
     state.write.partitionBy("forecast_origin_date").parquet(path)
-    return rows.count()
+    return stamped.count()
 
 
 def write_json_with_metadata(items: DataFrame, path: str, error_col: str = "error") -> DataFrame:
