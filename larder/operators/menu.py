@@ -64,11 +64,14 @@ def set_item_list(set_items: DataFrame, dishes: DataFrame, set_id: int) -> DataF
 
 
 def menu_with_sets(menu: DataFrame, set_items: DataFrame, dishes: DataFrame) -> DataFrame:
-    """Menu rows with the member list of set dishes (an empty list for a set without members, NULL for no set)."""
+    """Menu rows with the member list of set dishes, NULL where there is none.
+
+    A set with very many members repeats, once per ``chunk`` of its list.
+    """
     members = set_members(set_items, dishes).withColumn("_pos", F.col("sort_order") * 2**32 + F.col("item_id"))
     nested = collect_chunks(
         members, ["set_id"], "_pos", ["item_id", "item_name", "quantity", "sort_order"], "set_items"
-    ).select(F.col("set_id").alias("dish_id"), F.lit(True).alias("is_set"), "set_items")
+    ).select(F.col("set_id").alias("dish_id"), F.lit(True).alias("is_set"), "chunk", "set_items")
     return menu.join(nested, ["dish_id", "is_set"], "left")
 
 

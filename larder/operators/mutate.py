@@ -12,16 +12,16 @@ from larder.operators.grouping import dense_ids, first_per_key
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """Append source rows whose key is new; repeated keys inside the source keep their first row by ``order``.
+    """Append source rows whose key is new; repeated keys inside the source keep their first row by
+    ``order`` (by their other columns if none is given).
 
     A NULL in the key never collides, as in a SQL unique constraint.
     """
     complete = F.lit(True)
     for k in keys:
         complete = complete & F.col(k).isNotNull()
-    whole = source.filter(complete)
-    if order:
-        whole = first_per_key(whole, keys, order)
+    rest = [F.col(c) for c in source.columns if c not in keys]
+    whole = first_per_key(source.filter(complete), keys, order or rest or [F.lit(1)])
     fresh = whole.join(target.select(*keys), keys, "left_anti").unionByName(source.filter(~complete))
     return target.unionByName(fresh.select(*[c for c in target.columns if c in fresh.columns]), allowMissingColumns=True)
 

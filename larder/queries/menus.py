@@ -174,8 +174,25 @@ def category_dishes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(b.with_(["mdish", "pricetext"], "SELECT category_id, d.dish_id, name, CAST(coalesce(first_price, 0) AS DOUBLE) AS default_price, sizes "
-    "FROM mdish d LEFT JOIN pricetext USING (dish_id)"))
+@query(
+    b.with_(
+        ["mdish", "sitem"],
+        "SELECT set_id, item_id, i.name AS item_name, quantity, CAST(s.sort_order AS BIGINT) AS sort_order "
+        "FROM sitem s JOIN mdish i ON i.dish_id = s.item_id",
+    )
+)
+def set_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of all sets, one row each."""
+    return menus.set_members(set_items(spark, folder), dishes(spark, folder))
+
+
+@query(
+    b.with_(
+        ["mdish", "pricetext"],
+        "SELECT category_id, d.dish_id, name, CAST(coalesce(first_price, 0) AS DOUBLE) AS default_price, sizes "
+        "FROM mdish d LEFT JOIN pricetext USING (dish_id)",
+    )
+)
 def item_picker(spark: SparkSession, folder: str) -> DataFrame:
     listed = menus.category_dishes(None, dishes(spark, folder), prices(spark, folder), details(spark, folder))
     rows = menus.item_picker(listed)
