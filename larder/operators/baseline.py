@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from larder.functions.dates import horizon_dates
 from larder.functions.money import whole_units
@@ -100,8 +101,24 @@ def baseline_forecast(
     )
 
 
-def rolling_backtest(history: DataFrame, origins: list[dt.date], versions: dict[str, dict]) -> DataFrame:
-    """Forecast errors for every origin and model version, in one job.
+def _version_medians(train: DataFrame, keys: list[str], versions: dict[str, dict], suffix: str) -> DataFrame:
+    """One median column per version, all from one shuffle: the rank and the medians use the same keys.
+
+    A key's rows are its past days, so a partition is bounded by the length of the history.
+    """
+    newest = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("close_work_date").desc()))
+    y = F.col("qty").cast("double")
+    medians = []
+    for n, spec in enumerate(versions.values()):
+        if spec["method"] not in (K_WEEK_MEDIAN, SEASONAL_MEDIAN):
+            raise ValueError(f"unknown baseline method {spec['method']}")
+        used = y if spec["method"] == SEASONAL_MEDIAN else F.when(F.col("_rank") <= spec.get("k", K_WEEKS), y)
+        medians.append(F.percentile(used, 0.5).alias(f"_{suffix}{n}"))
+    return train.withColumn("_rank", newest).groupBy(*keys).agg(*medians)
+
+
+def fold_forecasts(history: DataFrame, origins: list[dt.date], versions: dict[str, dict]) -> DataFrame:
+    """Baseline forecasts of many origins and versions in one job: (fold_id, origin, dish, target_date, version, yhat).
 
     Each history row is handed to the folds whose origin lies after it; the training tables are then grouped by fold
     like by any other key. ``versions`` maps a version name to ``{"method": ..., "k": ...}``.
@@ -109,38 +126,37 @@ def rolling_backtest(history: DataFrame, origins: list[dt.date], versions: dict[
     folds = F.array(*[F.struct(F.lit(n).alias("fold_id"), F.lit(o).alias("origin")) for n, o in enumerate(origins)])
     seen = history.select("canonical_dish_id", "close_work_date", "qty", F.weekday("close_work_date").alias("day_of_week"))
     train = seen.select("*", F.inline(F.filter(folds, lambda f: f["origin"] > F.col("close_work_date"))))
-    targets = (
-        train.select("fold_id", "origin", "canonical_dish_id").distinct()
-        .select("*", F.explode(horizon_dates(F.col("origin"))).alias("target_date"))
-        .withColumn("day_of_week", F.weekday("target_date"))
+    by_id = _version_medians(train, ["fold_id", "origin", "canonical_dish_id"], versions, "i")
+    by_day = _version_medians(train, ["fold_id", "canonical_dish_id", "day_of_week"], versions, "g")
+    targets = by_id.select("*", F.explode(horizon_dates(F.col("origin"))).alias("target_date")).withColumn(
+        "day_of_week", F.weekday("target_date")
     )
-    truth = seen.select("canonical_dish_id", F.col("close_work_date").alias("target_date"), F.col("qty").alias("y_true"))
-    scored = targets.join(truth, ["canonical_dish_id", "target_date"])
-
-    out = None
-    for version, spec in versions.items():
-        keys, ids = ["fold_id", "canonical_dish_id", "day_of_week"], ["fold_id", "canonical_dish_id"]
-        if spec["method"] == K_WEEK_MEDIAN:
-            k = spec.get("k", K_WEEKS)
-            group = recent_median(train, keys, "close_work_date", "qty", k, []).withColumnRenamed("y_pred", "_g")
-            by_id = recent_median(train, ids, "close_work_date", "qty", k, []).withColumnRenamed("y_pred", "_i")
-        else:
-            group, by_id = exact_median(train, keys, "qty", "_g"), exact_median(train, ids, "qty", "_i")
-        fitted = (
-            scored.join(group, keys, "left").join(by_id, ids, "left")
-            .withColumn("yhat", whole_units(F.coalesce("_g", "_i")))
-            .select(
-                "fold_id",
-                F.col("origin").alias("forecast_origin_date"),
-                "target_date",
-                "canonical_dish_id",
-                F.lit(version).alias("model_version"),
-                "y_true",
-                "yhat",
-                (F.col("y_true") - F.col("yhat")).alias("residual"),
-                F.abs(F.col("y_true") - F.col("yhat")).alias("abs_error"),
-                F.lit(spec["method"]).alias("baseline_method"),
-            )
+    fitted = targets.join(by_day, ["fold_id", "canonical_dish_id", "day_of_week"], "left")
+    made = [
+        F.struct(
+            F.lit(version).alias("model_version"),
+            F.lit(spec["method"]).alias("baseline_method"),
+            whole_units(F.coalesce(f"_g{n}", f"_i{n}")).alias("yhat"),
         )
-        out = fitted if out is None else out.unionByName(fitted)
-    return out
+        for n, (version, spec) in enumerate(versions.items())
+    ]
+    return fitted.select("fold_id", "origin", "canonical_dish_id", "target_date", F.inline(F.array(*made)))
+
+
+def rolling_backtest(history: DataFrame, origins: list[dt.date], versions: dict[str, dict]) -> DataFrame:
+    """Forecast errors for every origin and model version on the days whose demand is known."""
+    truth = history.select("canonical_dish_id", F.col("close_work_date").alias("target_date"), F.col("qty").alias("y_true"))
+    scored = fold_forecasts(history, origins, versions).join(truth, ["canonical_dish_id", "target_date"])
+    residual = F.col("y_true") - F.col("yhat")
+    return scored.select(
+        "fold_id",
+        F.col("origin").alias("forecast_origin_date"),
+        "target_date",
+        "canonical_dish_id",
+        "model_version",
+        "y_true",
+        "yhat",
+        residual.alias("residual"),
+        F.abs(residual).alias("abs_error"),
+        "baseline_method",
+    )

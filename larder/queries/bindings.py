@@ -208,23 +208,18 @@ LEFT JOIN menu_latest m ON r.food_key = CAST(m.food_id AS VARCHAR)""",
 
 def forecasts(spark: SparkSession, folder: str, history: DataFrame | None = None) -> DataFrame:
     """The forecast fact after two weekly runs of two model versions."""
-    from larder.operators.baseline import baseline_forecast
+    from larder.operators.baseline import fold_forecasts
 
     history = stored_panel(spark, folder) if history is None else history
-    out = None
-    for origin in ORIGINS:
-        for version, spec in VERSIONS.items():
-            made = baseline_forecast(history, origin, spec["method"], spec.get("k", 4)).select(
-                "canonical_dish_id",
-                F.lit(origin).alias("forecast_origin_date"),
-                "target_date",
-                F.col("yhat").cast("decimal(18,6)").alias("yhat"),
-                F.lit(f"{version} ").alias("model_version"),
-                F.lit(f"run-{origin}").alias("run_id"),
-                F.lit(origin).cast("timestamp").alias("created_at"),
-            )
-            out = made if out is None else out.unionByName(made)
-    return out
+    return fold_forecasts(history, ORIGINS, VERSIONS).select(
+        "canonical_dish_id",
+        F.col("origin").alias("forecast_origin_date"),
+        "target_date",
+        F.col("yhat").cast("decimal(18,6)").alias("yhat"),
+        F.concat("model_version", F.lit(" ")).alias("model_version"),
+        F.concat(F.lit("run-"), F.col("origin").cast("string")).alias("run_id"),
+        F.col("origin").cast("timestamp").alias("created_at"),
+    )
 
 
 CTE["origins"] = ([], "SELECT * FROM (VALUES " + ", ".join(f"(DATE '{o}')" for o in ORIGINS) + ") AS t(origin)")
