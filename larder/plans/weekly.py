@@ -118,5 +118,5 @@ def _stamped(rows: DataFrame, run: WeeklyRun, version: str) -> DataFrame:
 
 
 def weekly_forecast(history: DataFrame, run: WeeklyRun, path: str, stored: DataFrame | None = None) -> int:
-    """Write the new state of the forecast fact to ``path``; returns the attempted rows."""
+    """Upsert the run's rows into the forecast table at ``path``; returns the attempted rows."""
     return upsert_forecasts(stored, forecast_rows(history, run), path)

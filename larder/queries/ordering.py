@@ -65,12 +65,8 @@ b.CTE["ord"] = (
 
 
 @query(
-    b.with_(
-        [],
-        f"""SELECT l_orderkey AS order_id, CAST(sum(round(round({RAW_PRICE}, 2) * CAST(l_quantity AS BIGINT), 2)) AS DOUBLE) AS total_amount,
-  CAST(sum(l_quantity) AS BIGINT) AS item_count, count(*) AS n_lines FROM lineitem GROUP BY 1""",
-        unused="SELECT 1",
-    )
+    f"""SELECT l_orderkey AS order_id, CAST(sum(round(round({RAW_PRICE}, 2) * CAST(l_quantity AS BIGINT), 2)) AS DOUBLE) AS total_amount,
+  CAST(sum(l_quantity) AS BIGINT) AS item_count, count(*) AS n_lines FROM lineitem GROUP BY 1"""
 )
 def order_totals(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select(

@@ -13,9 +13,12 @@ from larder.functions.text import blank_to_null, strip
 BOM = "﻿"
 
 
-def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with header as all-text columns; header names lose blanks and a byte-order mark."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+def read_landing(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """A CSV with header as all-text columns; header names lose blanks and a byte-order mark.
+
+    Allow line breaks inside fields only where they occur: such files cannot be split between tasks.
+    """
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=line_breaks, escape='"')
     return raw.toDF(*[c.lstrip(BOM).strip() for c in raw.columns])
 
 

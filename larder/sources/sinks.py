@@ -21,16 +21,24 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> str:
     return path
 
 
+FORECAST_KEY = ["run_id", "canonical_dish_id", "forecast_origin_date", "target_date", "model_version"]
+
+
 def upsert_forecasts(stored: DataFrame | None, rows: DataFrame, path: str) -> int:
-    """Batch upsert of forecast rows under their unique key into a new table state; returns the attempted rows.
+    """Batch upsert of forecast rows into the table at ``path``, which is partitioned by origin; returns the attempted
+    rows. ``stored`` is that table, None if it does not exist yet.
 
-    The new state must go to another path than the one ``stored`` is read from.
+    The origin is part of the key, so only the partitions of the batch's origins can change: they alone are read,
+    merged, written to the shared folder and then swapped in. A repeated run gives the same table.
     """
-    keys = ["run_id", "canonical_dish_id", "forecast_origin_date", "target_date", "model_version"]
-    stamped = materialize(rows, "forecast-rows").withColumn("created_at", F.current_timestamp())
-    state = stamped if stored is None else upsert(stored, stamped, keys)
-    state.write.partitionBy("forecast_origin_date").parquet(path)
-    return stamped.count()
+    batch = materialize(rows, "forecast-rows")
+    merged = batch.withColumn("created_at", F.current_timestamp())
+    if stored is not None:
+        origins = batch.select("forecast_origin_date").distinct()
+        touched = stored.join(origins, "forecast_origin_date", "left_semi").select(*merged.columns)
+        merged = materialize(upsert(touched, merged, FORECAST_KEY), "forecast-merge")
+    write_partitioned(merged, path, ["forecast_origin_date"])
+    return batch.count()
 
 
 def write_json_with_metadata(items: DataFrame, path: str, error_col: str = "error") -> DataFrame:

@@ -171,10 +171,15 @@ def test_files_in_and_out(spark, tmp_path):
     assert pairs(spark.read.parquet(str(tmp_path / "p")), "id", "error") == [(1, None), (2, "x")]
 
 
-def test_forecast_sink_counts_attempts_and_stays_unique(spark, tmp_path):
-    day = dt.date(2024, 1, 1)
-    rows = spark.createDataFrame([(1, day, day, 5, "m", "r")], "canonical_dish_id long, forecast_origin_date date, target_date date, yhat int, model_version string, run_id string")
-    a, b = str(tmp_path / "a"), str(tmp_path / "b")
-    assert sinks.upsert_forecasts(None, rows, a) == 1
-    assert sinks.upsert_forecasts(spark.read.parquet(a), rows.withColumn("yhat", F.lit(6)), b) == 1
-    assert [r.yhat for r in spark.read.parquet(b).collect()] == [6]
+def test_forecast_sink_counts_attempts_and_touches_only_its_origins(spark, tmp_path):
+    day, later = dt.date(2024, 1, 1), dt.date(2024, 1, 8)
+    schema = "canonical_dish_id long, forecast_origin_date date, target_date date, yhat int, model_version string, run_id string"
+    first = spark.createDataFrame([(1, day, day, 5, "m", "r"), (1, later, later, 7, "m", "r")], schema)
+    path = str(tmp_path / "fact")
+    assert sinks.upsert_forecasts(None, first, path) == 2
+    before = sorted(p.name for p in (tmp_path / "fact" / f"forecast_origin_date={day}").iterdir())
+    again = spark.createDataFrame([(1, later, later, 8, "m", "r"), (2, later, later, 9, "m", "r")], schema)
+    for _ in range(2):
+        assert sinks.upsert_forecasts(spark.read.parquet(path), again, path) == 2
+        assert pairs(spark.read.parquet(path), "canonical_dish_id", "forecast_origin_date", "yhat") == [(1, day, 5), (1, later, 8), (2, later, 9)]
+    assert before == sorted(p.name for p in (tmp_path / "fact" / f"forecast_origin_date={day}").iterdir())
