@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.context import scratch_folder, table
-from larder.llm import bpe, language, quality, sharding, token_counts
+from larder.llm import bpe, jaccard, language, quality, sharding, token_counts
 from larder.llm.tokenizers import TokenizerFile
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,11 @@ def op5_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.learn(docs))
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents under the exact Jaccard join of 4-word shingles."""
+    return jaccard.linked_components(table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every document through a digest cache that starts empty."""
     cache = scratch_folder(spark, "token-cache")
@@ -49,6 +54,29 @@ def op9_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bradley_terry, op4_hilbert_shards, op5_string_kernel, op7_token_counts, op9_tree_bpe)
+    f.__name__: f for f in (op2_bradley_terry, op4_hilbert_shards, op5_string_kernel, op6_jaccard_join, op7_token_counts, op9_tree_bpe)
+}
+
+_SETS = r"""
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+)"""
+
+SQL: dict[str, str] = {
+    "op6_jaccard_join": f"""
+WITH RECURSIVE {_SETS},
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.y) AS component_id
+FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
+""",
 }
-SQL: dict[str, str] = {}
