@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.context import scratch_folder, table
-from larder.llm import bpe, jaccard, language, quality, sharding, token_counts
+from larder.llm import bpe, jaccard, language, quality, sharding, token_counts, weighted_sampling
 from larder.llm.tokenizers import TokenizerFile
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -53,8 +53,13 @@ def op9_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"), TokenizerFile.read(TOKENIZER), digest_only=True)
 
 
+def op10_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return weighted_sampling.fingerprints(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bradley_terry, op4_hilbert_shards, op5_string_kernel, op6_jaccard_join, op7_token_counts, op9_tree_bpe)
+    f.__name__: f for f in (op2_bradley_terry, op4_hilbert_shards, op5_string_kernel, op6_jaccard_join, op7_token_counts, op9_tree_bpe, op10_weighted_sampling)
 }
 
 _SETS = r"""
@@ -78,5 +83,48 @@ links AS (
 reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.y) AS component_id
 FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
+""",
+    "op10_weighted_sampling": r"""
+WITH placed AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC) - 1 AS n FROM documents),
+paired AS (
+  SELECT a.doc_id, a.n, b.n AS next_n, a.text, length(a.text) AS n_chars,
+    left(a.text, CAST(length(a.text) - length(a.text) // 2 AS BIGINT)) || left(b.text, CAST(length(a.text) // 2 AS BIGINT)) AS edited
+  FROM placed a JOIN placed b ON b.n = (a.n + 1) % (SELECT count(*) FROM placed)
+),
+texts AS (SELECT n, 0 AS edit, text FROM paired UNION ALL SELECT n, 1, edited FROM paired),
+words AS (SELECT n, edit, unnest(string_split_regex(lower(text), '[ \t\n\v\f\r]+')) AS term FROM texts),
+weights AS (
+  SELECT n, edit, term, ln(CAST(count(*) AS DOUBLE)) AS l, md5(term) AS d FROM words WHERE term <> '' GROUP BY n, edit, term
+),
+seeds AS (
+  SELECT n, edit, l, CAST('0x' || substr(d, 1, 8) AS BIGINT) % 2147483647 AS p0, CAST('0x' || substr(d, 9, 8) AS BIGINT) % 2147483647 AS p1,
+    CAST('0x' || substr(d, 17, 8) AS BIGINT) % 2147483647 AS p2, CAST('0x' || substr(d, 25, 8) AS BIGINT) % 2147483647 AS p3 FROM weights
+),
+polynomial AS (
+  SELECT n, edit, l, p0, p1, k, list_transform([1, 2, 3, 4, 5], lambda j:
+    (((((p3 * (5 * k + j) + p2) % 2147483647 * (5 * k + j) + p1) % 2147483647 * (5 * k + j) + p0) % 2147483647) + 0.5::DOUBLE) / 2147483647) AS u
+  FROM seeds, range(32) AS s(k)
+),
+drawn AS (
+  SELECT n, edit, l, p0, p1, k, -ln(u[1] * u[2]) AS r, ln(-ln(u[3] * u[4])) AS c, u[5] AS b FROM polynomial
+),
+stepped AS (SELECT *, CAST(floor(l / r + b) AS BIGINT) AS t FROM drawn),
+least_a AS (
+  SELECT n, edit, k, min(CAST(floor((c - r * (t - b) - r + 128) * 8388608) AS BIGINT) * 4294967296
+    + (p0 * 2 + p1 + t % 1048573 * 2654435761) % 4294967296) % 4294967296 AS sample
+  FROM stepped GROUP BY n, edit, k
+),
+marks AS (SELECT n, edit, string_agg(printf('%08x', sample), '' ORDER BY k) AS f, list(sample ORDER BY k) AS s FROM least_a GROUP BY n, edit),
+near AS (
+  SELECT p.doc_id, p.n_chars, p.edited, a.f AS f0, e.f AS f1, a.s AS s0, e.s AS s1, b.s AS s2
+  FROM paired p LEFT JOIN marks a ON a.n = p.n AND a.edit = 0 LEFT JOIN marks e ON e.n = p.n AND e.edit = 1
+  LEFT JOIN marks b ON b.n = p.next_n AND b.edit = 0
+)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, coalesce(f0, '-') AS fingerprint, coalesce(f1, '-') AS edited_fingerprint,
+  CASE WHEN s0 IS NULL AND s1 IS NULL THEN 1.0 WHEN s0 IS NULL OR s1 IS NULL THEN 0.0
+    ELSE len(list_filter(list_zip(s0, s1), lambda z: z[1] = z[2])) / 32.0 END::DOUBLE AS near_edited,
+  CASE WHEN s0 IS NULL AND s2 IS NULL THEN 1.0 WHEN s0 IS NULL OR s2 IS NULL THEN 0.0
+    ELSE len(list_filter(list_zip(s0, s2), lambda z: z[1] = z[2])) / 32.0 END::DOUBLE AS near_next
+FROM near
 """,
 }
