@@ -97,21 +97,24 @@ weights AS (
   SELECT n, edit, term, ln(CAST(count(*) AS DOUBLE)) AS l, md5(term) AS d FROM words WHERE term <> '' GROUP BY n, edit, term
 ),
 seeds AS (
-  SELECT n, edit, l, CAST('0x' || substr(d, 1, 8) AS BIGINT) % 2147483647 AS p0, CAST('0x' || substr(d, 9, 8) AS BIGINT) % 2147483647 AS p1,
-    CAST('0x' || substr(d, 17, 8) AS BIGINT) % 2147483647 AS p2, CAST('0x' || substr(d, 25, 8) AS BIGINT) % 2147483647 AS p3 FROM weights
+  SELECT n, edit, l, [CAST('0x' || substr(d, 1, 8) AS BIGINT), CAST('0x' || substr(d, 9, 8) AS BIGINT),
+    CAST('0x' || substr(d, 17, 8) AS BIGINT), CAST('0x' || substr(d, 25, 8) AS BIGINT)] AS p FROM weights
 ),
-polynomial AS (
-  SELECT n, edit, l, p0, p1, k, list_transform([1, 2, 3, 4, 5], lambda j:
-    (((((p3 * (5 * k + j) + p2) % 2147483647 * (5 * k + j) + p1) % 2147483647 * (5 * k + j) + p0) % 2147483647) + 0.5::DOUBLE) / 2147483647) AS u
-  FROM seeds, range(32) AS s(k)
+raw AS (
+  SELECT n, edit, l, p[1] AS p0, k, [(p[1] + (5 * k + 1) * p[2]) & 4294967295, (p[2] + (5 * k + 2) * p[3]) & 4294967295,
+    (p[3] + (5 * k + 3) * p[4]) & 4294967295, (p[4] + (5 * k + 4) * p[1]) & 4294967295, (p[1] + (5 * k + 5) * p[3]) & 4294967295] AS x
+  FROM seeds, range(24) AS s(k)
 ),
+once AS (SELECT * REPLACE (list_transform(x, lambda v: (xor(v, v >> 16) * 99338859) & 4294967295) AS x) FROM raw),
+twice AS (SELECT * REPLACE (list_transform(x, lambda v: (xor(v, v >> 13) * 1119006261) & 4294967295) AS x) FROM once),
+uniform AS (SELECT n, edit, l, p0, k, list_transform(x, lambda v: (xor(v, v >> 16) + 0.5::DOUBLE) / 4294967296) AS u FROM twice),
 drawn AS (
-  SELECT n, edit, l, p0, p1, k, -ln(u[1] * u[2]) AS r, ln(-ln(u[3] * u[4])) AS c, u[5] AS b FROM polynomial
+  SELECT n, edit, l, p0, k, -ln(u[1] * u[2]) AS r, ln(-ln(u[3] * u[4])) AS c, u[5] AS b FROM uniform
 ),
 stepped AS (SELECT *, CAST(floor(l / r + b) AS BIGINT) AS t FROM drawn),
 least_a AS (
-  SELECT n, edit, k, min(CAST(floor((c - r * (t - b) - r + 128) * 8388608) AS BIGINT) * 4294967296
-    + (p0 * 2 + p1 + t % 1048573 * 2654435761) % 4294967296) % 4294967296 AS sample
+  SELECT n, edit, k, min(CAST(floor((c - r * (t - b) - r + 96) * 8388608) AS BIGINT) * 4294967296
+    + ((p0 + (t & 1048575) * 506952113) & 4294967295)) & 4294967295 AS sample
   FROM stepped GROUP BY n, edit, k
 ),
 marks AS (SELECT n, edit, string_agg(printf('%08x', sample), '' ORDER BY k) AS f, list(sample ORDER BY k) AS s FROM least_a GROUP BY n, edit),
@@ -122,9 +125,9 @@ near AS (
 )
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, coalesce(f0, '-') AS fingerprint, coalesce(f1, '-') AS edited_fingerprint,
   CASE WHEN s0 IS NULL AND s1 IS NULL THEN 1.0 WHEN s0 IS NULL OR s1 IS NULL THEN 0.0
-    ELSE len(list_filter(list_zip(s0, s1), lambda z: z[1] = z[2])) / 32.0 END::DOUBLE AS near_edited,
+    ELSE len(list_filter(list_zip(s0, s1), lambda z: z[1] = z[2])) / 24.0 END::DOUBLE AS near_edited,
   CASE WHEN s0 IS NULL AND s2 IS NULL THEN 1.0 WHEN s0 IS NULL OR s2 IS NULL THEN 0.0
-    ELSE len(list_filter(list_zip(s0, s2), lambda z: z[1] = z[2])) / 32.0 END::DOUBLE AS near_next
+    ELSE len(list_filter(list_zip(s0, s2), lambda z: z[1] = z[2])) / 24.0 END::DOUBLE AS near_next
 FROM near
 """,
 }

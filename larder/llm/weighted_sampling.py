@@ -6,9 +6,10 @@ digest, r and c from Gamma(2, 1) and beta from U(0, 1); with ``t = floor(ln w /
 with the probability of their generalised Jaccard similarity, sum of min(w) over sum of max(w), so the share of equal samples
 estimates it. A sample is kept as 32 bits; a fingerprint is ``SAMPLES`` of them in hexadecimal.
 
-Draws: the MD5 of a term gives four coefficients, and the values of this cubic polynomial modulo 2**31 - 1 at 5k + 1 to 5k + 5
-are the five uniform numbers of sample k (any four of them are independent). Everything is whole-number arithmetic and three
-logarithms, which another engine can repeat exactly.
+Draws: the MD5 of a term gives four 32-bit words. The five uniform numbers of sample k are ``mix(word_a + z word_b)`` for
+z = 5k + 1 to 5k + 5 and changing pairs of words, where ``mix`` is a bijective scramble of 32 bits. Everything is whole-number
+arithmetic and three logarithms, which another engine can repeat exactly. The expressions are kept free of NULLs and small:
+a generated method beyond 8000 bytes of code would run uncompiled, so ``GROUP`` samples are computed per row and step.
 
 Plan: all terms of a document are in one task, because texts are joined to their successors by document key before, so
 neither the weights nor the minima need a shuffle. Weights of a document and of its edited text are counted side by side,
@@ -29,41 +30,50 @@ from pyspark.sql import functions as F
 from larder.context import materialize
 from larder.llm.sharding import numbered
 
-SAMPLES = 32
+SAMPLES = 24
 #: Samples that one generated method computes; a row is repeated for each group of them.
-GROUP = 8
+GROUP = 4
 EMPTY = "-"
-PRIME = 2**31 - 1
+MASK = 2**32 - 1
 #: ln a is kept in fixed point: shifted to be positive, with this many binary places.
-SHIFT, PLACES = 128, 23
-SPREAD = 2654435761
+SHIFT, PLACES = 96, 23
+#: Multipliers of the 32-bit scramble, and of t in a sample.
+FIRST, SECOND, SPREAD = 0x05EBCA6B, 0x42B2AE35, 0x1E3779B1
+#: Stands for "no term" among the packed minima.
+NOTHING = 1 << 62
 
 
 def _word(md5: Column, k: int) -> Column:
-    return F.conv(F.substring(md5, 1 + 8 * k, 8), 16, 10).cast("long") % PRIME
+    return F.coalesce(F.conv(F.substring(md5, 1 + 8 * k, 8), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
-def draws(group: Column) -> dict[str, Column]:
-    """r, ln c and beta of the samples of a group, from the coefficients p0 to p3."""
-    out = {}
+def _mix(x: Column) -> Column:
+    x = (x.bitwiseXOR(F.shiftright(x, 16)) * FIRST).bitwiseAND(MASK)
+    x = (x.bitwiseXOR(F.shiftright(x, 13)) * SECOND).bitwiseAND(MASK)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def draws(group: Column) -> list[dict[str, Column]]:
+    """r, ln c and beta of the samples of a group from the words p0 to p3, in two steps."""
+    mixed, out = {}, {}
     for k in range(GROUP):
-        uniform = []
-        for j in range(1, 6):
-            z = group * (5 * GROUP) + (5 * k + j)
-            x = ((F.col("p3") * z + F.col("p2")) % PRIME * z + F.col("p1")) % PRIME * z + F.col("p0")
-            uniform.append(((x % PRIME).cast("double") + 0.5) / PRIME)
-        out[f"r{k}"] = -F.log(uniform[0] * uniform[1])
-        out[f"c{k}"] = F.log(-F.log(uniform[2] * uniform[3]))
-        out[f"b{k}"] = uniform[4]
-    return out
-
-
-def _packed(k: int, t: Column) -> Column:
+        for j in range(5):
+            z = group * (5 * GROUP) + (5 * k + j + 1)
+            mixed[f"x{k}_{j}"] = _mix((F.col(f"p{j % 4}") + z * F.col(f"p{(j + 1 + j // 4) % 4}")).bitwiseAND(MASK))
+        u = [(F.col(f"x{k}_{j}").cast("double") + 0.5) / (MASK + 1) for j in range(5)]
+        out[f"r{k}"] = -F.log(u[0] * u[1])
+        out[f"c{k}"] = F.log(-F.log(u[2] * u[3]))
+        out[f"b{k}"] = u[4]
+    plain = {n: F.coalesce(c, F.lit(0.0)) for n, c in out.items()}
+    return [mixed, plain]
+
+
+def _packed(k: int, log_weight: str, t: Column) -> Column:
     """Fixed-point ln a above 32 bits of the sample, so that the smallest number holds the sample with the smallest a."""
     r, c, b = F.col(f"r{k}"), F.col(f"c{k}"), F.col(f"b{k}")
-    level = F.floor((c - r * (t - b) - r + SHIFT) * (1 << PLACES))
-    sample = (F.col("p0") * 2 + F.col("p1") + t.cast("long") % 1_048_573 * SPREAD) % (1 << 32)
-    return level * (1 << 32) + F.pmod(sample, F.lit(1 << 32))
+    level = F.floor((c - r * (t.cast("double") - b) - r + SHIFT) * (1 << PLACES))
+    sample = (F.col("p0") + t.bitwiseAND(0xFFFFF) * SPREAD).bitwiseAND(MASK)
+    return F.when(F.col(log_weight) < 0, F.lit(NOTHING)).otherwise(level * (MASK + 1) + sample)
 
 
 def term_weights(texts: DataFrame, columns: list[str]) -> DataFrame:
@@ -77,19 +87,20 @@ def term_weights(texts: DataFrame, columns: list[str]) -> DataFrame:
 
 def signatures(weights: DataFrame, columns: list[str], samples: int = SAMPLES) -> DataFrame:
     """``key`` and, for each column, ``s_<column>``: the array of samples (NULL without terms). Rows must be placed by ``key``."""
-    logs = {f"l_{c}": F.when(F.col(f"w_{c}") > 0, F.log(F.col(f"w_{c}").cast("double"))) for c in columns}
+    logs = {f"l_{c}": F.when(F.col(f"w_{c}") > 0, F.coalesce(F.log(F.col(f"w_{c}").cast("double")), F.lit(-1.0))).otherwise(-1.0) for c in columns}
     drawn = weights.withColumn("d", F.md5(F.col("term").cast("binary")))
     drawn = drawn.select("key", *[v.alias(n) for n, v in logs.items()], *[_word(F.col("d"), k).alias(f"p{k}") for k in range(4)])
     groups = -(-samples // GROUP)
     drawn = drawn.select("*", F.explode(F.array(*[F.lit(g).cast("long") for g in range(groups)])).alias("g"))
-    drawn = drawn.select("key", "g", "p0", "p1", *logs, *[v.alias(n) for n, v in draws(F.col("g")).items()])
+    mixed, values = draws(F.col("g"))
+    drawn = drawn.select("key", "g", "p0", *logs, *[v.alias(n) for n, v in mixed.items()])
+    drawn = drawn.select("key", "g", "p0", *logs, *[v.alias(n) for n, v in values.items()])
     step = {f"t_{c}_{k}": F.floor(F.col(f"l_{c}") / F.col(f"r{k}") + F.col(f"b{k}")) for c in columns for k in range(GROUP)}
     stepped = drawn.select("*", *[v.alias(n) for n, v in step.items()])
-    least = [F.min(_packed(k, F.col(f"t_{c}_{k}"))).alias(f"m_{c}_{k}") for c in columns for k in range(GROUP)]
+    least = [F.min(_packed(k, f"l_{c}", F.col(f"t_{c}_{k}"))).alias(f"m_{c}_{k}") for c in columns for k in range(GROUP)]
     minima = stepped.groupBy("key", "g").agg(*least)
-    parts = minima.select(
-        "key", "g", *[F.array(*[F.pmod(F.col(f"m_{c}_{k}"), F.lit(1 << 32)) for k in range(GROUP)]).alias(c) for c in columns]
-    )
+    whole = lambda m: F.when(m < NOTHING, m.bitwiseAND(MASK))
+    parts = minima.select("key", "g", *[F.array(*[whole(F.col(f"m_{c}_{k}")) for k in range(GROUP)]).alias(c) for c in columns])
     joined = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("g", *columns))).alias("all"))
     return joined.select("key", *[_whole(c, samples).alias(f"s_{c}") for c in columns])
 
