@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.context import materialize, table
-from larder.llm import bpe, language, quality
+from larder.llm import bpe, decontaminate, jaccard, language, quality
 from larder.llm.queries import TOKENIZER
 from larder.llm.tokenizers import TokenizerFile
 
@@ -30,12 +30,31 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.filter((found["lang_pred"] != language.UNDETERMINED) & ~F.coalesce(clash, F.lit(False)))
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that the Jaccard join connects, the one with the smallest id."""
+    found = jaccard.linked_components(docs)
+    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
+    return docs.join(others, docs["doc_id"] == F.col("_other"), "left_anti")
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontaminate.keep_clean(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document that is left."""
     return bpe.encode_documents(docs, TokenizerFile.read(TOKENIZER), digest_only=True)
 
 
-STAGES = [("quality classifier", keep_quality), ("language id", keep_language), ("bpe", encode)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("language id", keep_language),
+    ("n-gram jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("bpe encoding and decoding", encode),
+]
+#: The learned stages and the encoding are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

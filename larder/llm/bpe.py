@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.batches import as_text
 from larder.llm.tokenizers import TokenizerFile, WordMemory, word_memory
 
 LEAF_CHARS = 16_384
@@ -200,9 +201,9 @@ def encode_documents(docs: DataFrame, file: TokenizerFile, leaf: int = LEAF_CHAR
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(file)
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest_only else RESULT
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short = whole.filter(F.length("text") <= leaf).mapInPandas(_short(shared, digest_only), f"doc_id {kind}, {fields}")
+    kind = docs.schema["doc_id"].dataType
+    whole = docs.select(as_text("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    short = whole.filter(F.length("text") <= leaf).mapInPandas(_short(shared, digest_only), f"doc_id string, {fields}")
 
     long_rows = whole.filter(F.length("text") > leaf).withColumn("digest", F.sha2("text", 256))
     parts = long_rows.select("digest", "text").mapInPandas(_cut(leaf, tuple(file.special_tokens())), "digest string, part int, leaf string")
@@ -210,7 +211,7 @@ def encode_documents(docs: DataFrame, file: TokenizerFile, leaf: int = LEAF_CHAR
     joined = encoded.groupBy("digest").applyInPandas(_join_leaves(shared, digest_only), f"digest string, {fields}")
     columns = [c for c in short.columns if c != "doc_id"]
     from_long = long_rows.select("doc_id", "digest").join(joined, "digest").select("doc_id", *columns)
-    return short.select("doc_id", *columns).unionByName(from_long)
+    return short.select("doc_id", *columns).unionByName(from_long).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _cut(leaf: int, special: tuple[str, ...]):

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.context import materialize
+from larder.llm.batches import as_text, runs
 from larder.llm.components import components
 
 WORDS = 4
@@ -331,27 +332,8 @@ def _arrays(keep):
     return run
 
 
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one (query, block) together; the partition is sorted by both."""
-    rest: pd.DataFrame | None = None
-    for frame in frames:
-        if rest is not None:
-            frame = pd.concat([rest, frame], ignore_index=True)
-        if not len(frame):
-            continue
-        change = np.flatnonzero(
-            (frame["query"].to_numpy()[1:] != frame["query"].to_numpy()[:-1]) | (frame["block"].to_numpy()[1:] != frame["block"].to_numpy()[:-1])
-        )
-        cuts = np.concatenate([[0], change + 1])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield frame.iloc[a:b]
-        rest = frame.iloc[cuts[-1] :]
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _search_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for block in _blocks(frames):
+    for block in runs(frames, ["query", "block"]):
         block = block.drop_duplicates("id")
         query = block["query"].iloc[0]
         own = block["id"].to_numpy() == query
@@ -377,9 +359,10 @@ def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
 def linked_components(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    classes = materialize(rows.mapInPandas(_sets, f"doc_id {kind}, mark long, id long, n_shingles long"), "jaccard-sets")
+    kind = docs.schema["doc_id"].dataType
+    rows = docs.select(as_text("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    classes = rows.mapInPandas(_sets, "doc_id string, mark long, id long, n_shingles long")
+    classes = materialize(classes.withColumn("doc_id", F.col("doc_id").cast(kind)), "jaccard-sets")
 
     met = rows.select("text").mapInPandas(_emit_buckets, "bucket long, root long, id long").repartition("bucket")
     members = materialize(met.mapInPandas(_meet, "root long, leader long, id long"), "jaccard-buckets")

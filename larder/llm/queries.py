@@ -9,18 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.context import scratch_folder, table
-from larder.llm import bpe, jaccard, language, quality, sharding, token_counts, weighted_sampling
+from larder.llm import (
+    bpe, checks, decontaminate, jaccard, language, lm_score, quality, sharding, token_counts, warc, weighted_sampling,
+)
 from larder.llm.tokenizers import TokenizerFile
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_template_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that leak a benchmark item, as it is or with exchanged names, numbers and units."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op2_bradley_terry(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by pairwise ranking."""
     docs = table(spark, folder, "documents")
     return quality.assess(docs, quality.learn(docs, table(spark, folder, "labels")))
 
 
+def op3_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """A metadata and a conversion record for every page, taken as a response record."""
+    return warc.derive(warc.responses(table(spark, folder, "pages")))
+
+
 def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 40 runs of the Hilbert curve through language, source and size."""
     out = sharding.assign_shards(table(spark, folder, "documents"))
@@ -48,6 +60,12 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.over_limit(counts)
 
 
+def op8_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a network trained on all of them."""
+    docs = table(spark, folder, "documents")
+    return lm_score.pseudo_likelihood(docs, *lm_score.train(docs))
+
+
 def op9_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return bpe.encode_documents(table(spark, folder, "documents"), TokenizerFile.read(TOKENIZER), digest_only=True)
@@ -59,75 +77,15 @@ def op10_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bradley_terry, op4_hilbert_shards, op5_string_kernel, op6_jaccard_join, op7_token_counts, op9_tree_bpe, op10_weighted_sampling)
+    f.__name__: f
+    for f in (
+        op1_template_windows, op2_bradley_terry, op3_warc_derivatives, op4_hilbert_shards, op5_string_kernel, op6_jaccard_join,
+        op7_token_counts, op8_pseudo_likelihood, op9_tree_bpe, op10_weighted_sampling,
+    )
 }
-
-_SETS = r"""
-words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x20\x09-\x0D]+') AS w FROM documents
-),
-sets AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
-)"""
-
 SQL: dict[str, str] = {
-    "op6_jaccard_join": f"""
-WITH RECURSIVE {_SETS},
-items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
-links AS (
-  SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
-),
-reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.y) AS component_id
-FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
-""",
-    "op10_weighted_sampling": r"""
-WITH placed AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC) - 1 AS n FROM documents),
-paired AS (
-  SELECT a.doc_id, a.n, b.n AS next_n, a.text, length(a.text) AS n_chars,
-    left(a.text, CAST(length(a.text) - length(a.text) // 2 AS BIGINT)) || left(b.text, CAST(length(a.text) // 2 AS BIGINT)) AS edited
-  FROM placed a JOIN placed b ON b.n = (a.n + 1) % (SELECT count(*) FROM placed)
-),
-texts AS (SELECT n, 0 AS edit, text FROM paired UNION ALL SELECT n, 1, edited FROM paired),
-words AS (SELECT n, edit, unnest(string_split_regex(lower(text), '[ \t\n\v\f\r]+')) AS term FROM texts),
-weights AS (
-  SELECT n, edit, term, ln(CAST(count(*) AS DOUBLE)) AS l, md5(term) AS d FROM words WHERE term <> '' GROUP BY n, edit, term
-),
-seeds AS (
-  SELECT n, edit, l, [CAST('0x' || substr(d, 1, 8) AS BIGINT), CAST('0x' || substr(d, 9, 8) AS BIGINT),
-    CAST('0x' || substr(d, 17, 8) AS BIGINT), CAST('0x' || substr(d, 25, 8) AS BIGINT)] AS p FROM weights
-),
-raw AS (
-  SELECT n, edit, l, p[1] AS p0, k, [(p[1] + (5 * k + 1) * p[2]) & 4294967295, (p[2] + (5 * k + 2) * p[3]) & 4294967295,
-    (p[3] + (5 * k + 3) * p[4]) & 4294967295, (p[4] + (5 * k + 4) * p[1]) & 4294967295, (p[1] + (5 * k + 5) * p[3]) & 4294967295] AS x
-  FROM seeds, range(24) AS s(k)
-),
-once AS (SELECT * REPLACE (list_transform(x, lambda v: (xor(v, v >> 16) * 99338859) & 4294967295) AS x) FROM raw),
-twice AS (SELECT * REPLACE (list_transform(x, lambda v: (xor(v, v >> 13) * 1119006261) & 4294967295) AS x) FROM once),
-uniform AS (SELECT n, edit, l, p0, k, list_transform(x, lambda v: (xor(v, v >> 16) + 0.5::DOUBLE) / 4294967296) AS u FROM twice),
-drawn AS (
-  SELECT n, edit, l, p0, k, -ln(u[1] * u[2]) AS r, ln(-ln(u[3] * u[4])) AS c, u[5] AS b FROM uniform
-),
-stepped AS (SELECT *, CAST(floor(l / r + b) AS BIGINT) AS t FROM drawn),
-least_a AS (
-  SELECT n, edit, k, min(CAST(floor((c - r * (t - b) - r + 96) * 8388608) AS BIGINT) * 4294967296
-    + ((p0 + (t & 1048575) * 506952113) & 4294967295)) & 4294967295 AS sample
-  FROM stepped GROUP BY n, edit, k
-),
-marks AS (SELECT n, edit, string_agg(printf('%08x', sample), '' ORDER BY k) AS f, list(sample ORDER BY k) AS s FROM least_a GROUP BY n, edit),
-near AS (
-  SELECT p.doc_id, p.n_chars, p.edited, a.f AS f0, e.f AS f1, a.s AS s0, e.s AS s1, b.s AS s2
-  FROM paired p LEFT JOIN marks a ON a.n = p.n AND a.edit = 0 LEFT JOIN marks e ON e.n = p.n AND e.edit = 1
-  LEFT JOIN marks b ON b.n = p.next_n AND b.edit = 0
-)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, coalesce(f0, '-') AS fingerprint, coalesce(f1, '-') AS edited_fingerprint,
-  CASE WHEN s0 IS NULL AND s1 IS NULL THEN 1.0 WHEN s0 IS NULL OR s1 IS NULL THEN 0.0
-    ELSE len(list_filter(list_zip(s0, s1), lambda z: z[1] = z[2])) / 24.0 END::DOUBLE AS near_edited,
-  CASE WHEN s0 IS NULL AND s2 IS NULL THEN 1.0 WHEN s0 IS NULL OR s2 IS NULL THEN 0.0
-    ELSE len(list_filter(list_zip(s0, s2), lambda z: z[1] = z[2])) / 24.0 END::DOUBLE AS near_next
-FROM near
-""",
+    "op1_template_windows": checks.LEAKS,
+    "op3_warc_derivatives": checks.WARC,
+    "op6_jaccard_join": checks.COMPONENTS,
+    "op10_weighted_sampling": checks.FINGERPRINTS,
 }
