@@ -18,15 +18,16 @@ kinds AS (
     WHEN lower(x) IN ({_UNITS}) THEN 'u' WHEN upper(x[1]) = x[1] AND lower(x[1]) <> x[1] AND x <> upper(x) THEN 'c' ELSE 'l' END) AS k
   FROM tokens
 ),
+spelled AS (SELECT *, true AS names FROM kinds UNION ALL SELECT *, false FROM kinds WHERE kind = 'i'),
 slots AS (
-  SELECT kind, id, list_filter(list_transform(range(1, len(t) + 1), lambda i: {{'w': lower(t[i]), 's': CASE WHEN k[i] = 'n' THEN 'n'
-    WHEN k[i] = 'm' THEN 'm' WHEN k[i] = 'u' AND i > 1 AND k[i - 1] = 'n' THEN 'u' WHEN k[i] = 'c' AND i > 1 AND k[i - 1] <> 'm' THEN 'c'
-    ELSE 'l' END}}), lambda x: x.s <> 'm') AS w FROM kinds
+  SELECT kind, id, names, list_filter(list_transform(range(1, len(t) + 1), lambda i: {{'w': lower(t[i]), 's': CASE WHEN k[i] = 'n' THEN 'n'
+    WHEN k[i] = 'm' THEN 'm' WHEN k[i] = 'u' AND i > 1 AND k[i - 1] = 'n' THEN 'u' WHEN names AND k[i] = 'c' AND i > 1 AND k[i - 1] <> 'm' THEN 'c'
+    ELSE 'l' END}}), lambda x: x.s <> 'm') AS w FROM spelled
 ),
 sizes AS (SELECT DISTINCT least(8, len(w)) AS size FROM slots WHERE kind = 'i' AND len(w) > 0),
 windows AS (
-  SELECT kind, id, len(w) AS n, size, p - 1 AS place, w[p:p + size - 1] AS part FROM (
-    SELECT kind, id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM slots, sizes
+  SELECT kind, id, names, len(w) AS n, size, p - 1 AS place, w[p:p + size - 1] AS part FROM (
+    SELECT kind, id, names, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM slots, sizes
     WHERE len(w) >= size AND (kind = 'd' OR size = least(8, len(w)))
   )
 ),
@@ -35,8 +36,8 @@ told AS (
     list_transform(part, lambda x: CASE WHEN x.s = 'l' THEN x.w ELSE '<' || x.s || '>' END) AS template FROM windows
 ),
 item_windows AS (
-  SELECT id AS item_id, n AS item_words, size, place AS item_at, part AS item_part, template FROM told t WHERE kind = 'i'
-    AND (telling OR NOT EXISTS (SELECT 1 FROM told o WHERE o.kind = 'i' AND o.id = t.id AND o.telling))
+  SELECT DISTINCT id AS item_id, n AS item_words, size, place AS item_at, part AS item_part, template FROM told t WHERE kind = 'i'
+    AND (telling OR NOT EXISTS (SELECT 1 FROM told o WHERE o.kind = 'i' AND o.id = t.id AND o.names = t.names AND o.telling))
 ),
 met AS (
   SELECT d.id AS doc_id, i.item_id, i.item_words, i.size, i.item_at, d.place - i.item_at AS shift, i.item_part, d.part

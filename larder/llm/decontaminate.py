@@ -7,7 +7,8 @@ meets its original. Windows of one document and item at the same distance line u
 a leak if it covers ``RUN_WORDS`` words (or the whole item, if that is shorter) and its slots are consistent: each original value
 stands for one value in the document and the other way round, for each type. Where they are not, the run is cut at the window that
 breaks them, and the pieces are judged alike. Windows with fewer than ``LITERALS`` literal words say too little and are not made,
-but an item all of whose windows would be lost keeps them.
+but an item all of whose windows would be lost keeps them. Items with names have a second set of windows in which names are
+literal words, because a copy in lower case or capitals shows no names.
 
 Scale: documents are scanned once against the benchmark's window hashes, and only windows that hit are shuffled, joined to
 the items' windows and lined up. The hashes are broadcast in blocks of ``BLOCK_HASHES`` (8 MB); a larger benchmark means more
@@ -71,8 +72,8 @@ class _Tokens(dict):
         return code
 
 
-def template(text: str | None, known: _Tokens) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Template codes, kinds (a literal or the type of slot) and tokens of the words of a text."""
+def template(text: str | None, known: _Tokens, names: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Template codes, kinds (a literal or the type of slot) and tokens of the words of a text; ``names`` off: names are literal."""
     found = TOKEN.findall(text or "")
     packed = np.fromiter(map(known.__getitem__, found), dtype=_U, count=len(found))
     kind = (packed & _U(7)).astype(np.int8)
@@ -80,7 +81,8 @@ def template(text: str | None, known: _Tokens) -> tuple[np.ndarray, np.ndarray,
     slot = np.full(len(kind), LITERAL, dtype=np.int8)
     slot[kind == NUMBER] = NUMBER
     slot[(kind == UNIT) & (before == NUMBER)] = UNIT
-    slot[(kind == CAPITAL) & (before != MARK)] = CAPITAL
+    if names:
+        slot[(kind == CAPITAL) & (before != MARK)] = CAPITAL
     code = packed >> _U(3) << _U(3)
     for k, value in _SLOT.items():
         code[slot == k] = value
@@ -117,14 +119,15 @@ def _item_windows(size: int, least: int):
         for frame in frames:
             out = []
             for item, text in zip(frame["item_id"], frame["text"], strict=True):
-                code, slot, words = template(text, known)
-                if not len(code):
-                    continue
-                own = min(size, len(code))
-                h = windows(code, own)
-                keep = telling(slot, own, min(least, own))
-                keep = keep if keep.any() else np.ones(len(h), dtype=bool)
-                out += [(item, len(code), own, int(i), int(h[i].astype(np.int64)), _values(slot, words, i, own)) for i in np.flatnonzero(keep)]
+                for names in (True, False):
+                    code, slot, words = template(text, known, names)
+                    if not len(code) or not names and not (template(text, known)[1] == CAPITAL).any():
+                        continue
+                    own = min(size, len(code))
+                    h = windows(code, own)
+                    keep = telling(slot, own, min(least, own))
+                    keep = keep if keep.any() else np.ones(len(h), dtype=bool)
+                    out += [(item, len(code), own, int(i), int(h[i].astype(np.int64)), _values(slot, words, i, own)) for i in np.flatnonzero(keep)]
             yield pd.DataFrame(out, columns=["item_id", "item_words", "size", "item_at", "hash", "item_slots"])
 
     return run
@@ -203,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, run_words:
     spark = docs.sparkSession
     items = benchmark.select(as_text("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     schema = "item_id string, item_words int, size int, item_at int, hash long, item_slots string"
-    own = materialize(items.mapInPandas(_item_windows(size, literals), schema), "benchmark-windows")
+    own = materialize(items.mapInPandas(_item_windows(size, literals), schema).distinct(), "benchmark-windows")
     sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # at most WINDOW numbers
     total = own.select("hash").distinct().count()
     blocks = max(1, -(-total // BLOCK_HASHES))
