@@ -143,8 +143,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     for value, cut in cuts.items():
         if cut is not None:
             chosen = chosen | ((F.col("label") == value) & (place <= cut))
-    some = usable.filter(chosen).distinct()
-    x = docs.select("doc_id", "text").join(some, "doc_id").select("label", "text").mapInPandas(_vectors, "label int, x binary")
+    some = usable.filter(chosen).distinct()  # at most 2 * FIT_ROWS ids
+    x = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text").mapInPandas(_vectors, "label int, x binary")
     got = sorted((r["label"], bytes(r["x"])) for r in x.collect())  # 2 * FIT_ROWS rows of fixed width, but for repeated ids
     side = lambda v: np.frombuffer(b"".join(b for k, b in got if k == v)).reshape(-1, N_FEATURES)
     return fit(side(1), side(0))
