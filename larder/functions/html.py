@@ -1,11 +1,10 @@
-"""HTML to text with pattern replacement, which stays in generated JVM code, and keyword context."""
+"""Visible text of HTML pages and keyword context, in generated JVM code."""
 
 from __future__ import annotations
 
 import re
-from functools import reduce
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,49 +12,62 @@ from larder.functions.text import WHITE, let
 
 # Elements whose content is not text of the page.
 DROPPED = ["script", "style", "noscript", "header", "footer", "nav", "aside"]
-# Common named entities.
-ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·",
-    "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
-    "laquo": "«", "raquo": "»", "times": "×", "deg": "°", "euro": "€", "yen": "¥", "pound": "£", "amp": "&",
-}
-
-
-def _drop_nested(html: Column) -> Column:
-    """Remove the dropped elements when they nest or are not closed: innermost first, four levels deep; an element
-    that is never closed runs to the end of the page."""
-    for tag in DROPPED:
-        inner = rf"(?is)<{tag}\b[^>]*>(?:(?!<{tag}\b).)*?</{tag}\s*>"
-        html = reduce(lambda c, _: F.regexp_replace(c, inner, " "), range(1 if tag in ("script", "style") else 4), html)
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*$", " ")
-    return html
+#: Elements whose content is no markup, so that a tag inside them means nothing.
+RAW = ["script", "style"]
 
 
 def _drop(html: Column) -> Column:
-    """Remove the dropped elements; the costly way is only taken by pages on which the plain one leaves a tag behind."""
+    """Remove the dropped elements, nested to any depth; one that is never closed runs to the end of the page.
+
+    The page is cut before every tag of such an element. A running state (the outermost open element and its depth) tells
+    which pieces lie outside.
+    """
     names = "|".join(DROPPED)
-    plain = F.regexp_replace(html, rf"(?is)<({names})\b[^>]*>.*?</\1\s*>", " ")
-    return let(plain, lambda p: F.when(p.rlike(rf"(?i)</?({names})\b"), _drop_nested(html)).otherwise(p))
+
+    def read(piece: Column) -> Column:
+        tag = rf"(?i)^<(/?)({names})\b"
+        return F.struct(F.lower(F.regexp_extract(piece, tag, 2)).alias("name"), (F.regexp_extract(piece, tag, 1) == "").alias("opens"))
+
+    def step(state: Column, tag: Column) -> Column:
+        free, same = state["inside"] == "", state["inside"] == tag["name"]
+        deeper = same & tag["opens"] & ~state["inside"].isin(RAW)
+        depth = state["depth"] + F.when(deeper, 1).when(same & ~tag["opens"], -1).otherwise(0)
+        entered = free & tag["opens"] & (tag["name"] != "")
+        inside = F.when(entered, tag["name"]).when(free | (depth == 0), "").otherwise(state["inside"])
+        return F.struct(
+            inside.alias("inside"),
+            F.when(entered, 1).when(free, 0).otherwise(depth).alias("depth"),
+            F.array_append(state["outside"], inside == "").alias("outside"),
+        )
+
+    def assembled(pieces: Column) -> Column:
+        start = F.struct(F.lit("").alias("inside"), F.lit(0).alias("depth"), F.lit([]).cast("array<boolean>").alias("outside"))
+        outside = F.aggregate(F.transform(pieces, read), start, step, lambda s: s["outside"])
+        kept = F.filter(F.arrays_zip(pieces.alias("piece"), outside.alias("outside")), lambda z: z["outside"])
+        bare = F.transform(kept, lambda z: F.regexp_replace(z["piece"], rf"(?i)^</?(?:{names})\b[^>]*>?", " "))
+        return F.array_join(bare, "")
+
+    return let(F.split(html, rf"(?i)(?=</?(?:{names})\b)"), assembled)
 
 
 def _entities(text: Column) -> Column:
     """Decode named (``&copy;``) and numeric (``&#8217;``, ``&#x2019;``) entities in one pass; unknown ones stay."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    common = F.create_map(*[F.lit(x) for pair in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " ")) for x in pair])
+    every = "\u0001".join(f"{name[:-1]}\u0002{char}" for name, char in html5.items() if name.endswith(";"))
+    names = F.str_to_map(F.lit(every), F.lit("\u0001"), F.lit("\u0002"))
 
-    def decode(part: Column) -> Column:
-        def char(code: Column) -> Column:
-            digits = F.when(code.rlike(r"^#\d"), F.hex(F.substring(code, 2, 7).cast("long"))).when(
-                code.startswith("#"), F.substring(code, 3, 6)
-            )
-            return F.when(digits.isNotNull(), F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise(
-                F.try_element_at(names, code)
-            )
+    def char(code: Column) -> Column:
+        named = F.coalesce(F.try_element_at(common, code), F.try_element_at(names, code))
+        decimal = F.regexp_extract(code, r"^#(\d+)$", 1)
+        digits = F.when(decimal != "", F.hex(decimal.cast("long"))).otherwise(F.regexp_extract(code, r"^#[xX]([0-9a-fA-F]+)$", 1))
+        return F.when(code.startswith("#"), F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise(named)
 
+    def decode(part: Column) -> Column:
         def joined(code: Column) -> Column:
             rest = F.substr(part, F.length(code) + 2)
             return F.coalesce(F.concat(F.when(code != "", char(code)), rest), F.concat(F.lit("&"), part))
 
-        return let(F.regexp_extract(part, r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);", 1), joined)
+        return let(F.regexp_extract(part, r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", 1), joined)
 
     def decoded(parts: Column) -> Column:
         return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decode), ""))
@@ -76,33 +88,32 @@ def html_to_text(html: Column, max_len: int | None = None) -> Column:
 
 
 def keyword_segments(
-    text: Column,
-    keywords: list[str],
-    before: int = 180,
-    after: int = 320,
-    fallback: int | None = 600,
-    max_chars: int | None = None,
+    text: Column, keywords: list[str], before: int = 180, after: int = 320, fallback: int | None = None, max_chars: int | None = None
 ) -> Column:
-    """Context around every keyword hit (any case), joined by ``\\n...\\n``.
+    """Context of every keyword hit (any case), joined by ``\\n...\\n``; a text without a hit stays as it is.
 
-    A text without a hit gives its first ``fallback`` characters (None: all of it); ``max_chars`` caps the result for
-    size-limited services. Match offsets have no built-in function, so this is an Arrow-batched helper; it touches each
-    text once.
+    Hits are marked first. What follows a hit is captured behind its end mark, and what precedes it in the same way in the
+    reversed text, so windows may overlap and no offsets are needed. The marks are two noncharacters (U+FDD0, U+FDD1), which
+    a text should not hold; if it does, windows leave them out. ``fallback`` shortens texts without a hit and ``max_chars``
+    the result, for size-limited services; both are off by default.
     """
-    words = [k for k in keywords if k]
-    pattern = re.compile("|".join(re.escape(w) for w in words), re.IGNORECASE) if words else None
-
-    def segments(value: str | None) -> str | None:
-        if value is None:
-            return None
-        if pattern is None:
-            return value[:max_chars]
-        spans = [m.span() for m in pattern.finditer(value)]
-        parts = [value[max(0, s - before) : e + after] for s, e in spans] or [value[:fallback]]
-        return "\n...\n".join(parts)[:max_chars]
-
-    @F.pandas_udf("string")
-    def cut(values: pd.Series) -> pd.Series:
-        return values.map(segments)
-
-    return cut(text)
+    words = "|".join(re.escape(k) for k in keywords if k)
+    if not words:
+        return text if max_chars is None else F.substring(text, 1, max_chars)
+    first, last = "\ufdd0", "\ufdd1"
+
+    def context(marked: Column, mark: str, width: int) -> Column:
+        pattern = f"{mark}(?=((?:(?s:[^{first}{last}])[{first}{last}]*){{0,{width}}}))"
+        return F.transform(F.regexp_extract_all(marked, F.lit(pattern), F.lit(1)), lambda c: F.translate(c, first + last, ""))
+
+    def windows(marked: Column) -> Column:
+        ahead = F.reverse(F.transform(context(F.reverse(marked), first, before), F.reverse))
+        hits = F.regexp_extract_all(marked, F.lit(f"(?s){first}(.*?){last}"), F.lit(1))
+        zipped = F.arrays_zip(ahead.alias("a"), hits.alias("b"), context(marked, last, after).alias("c"))
+        return F.array_join(F.transform(zipped, lambda w: F.concat(w["a"], w["b"], w["c"])), "\n...\n")
+
+    plain = F.translate(text, first + last, "")
+    found = let(F.regexp_replace(plain, f"(?isu)({words})", f"{first}$1{last}"), windows)
+    nothing = text if fallback is None else F.substring(text, 1, fallback)
+    whole = F.when(text.rlike(f"(?isu){words}"), found).otherwise(nothing)
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)

