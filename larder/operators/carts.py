@@ -32,11 +32,11 @@ def read_cart(df: DataFrame, column: str = "cart") -> DataFrame:
 
 
 def clean_items(raw: Column) -> Column:
-    """Valid items with proper types: whole id, whole quantity above 0, price of at least 0 in cents; the rest is
+    """Valid items with proper types: whole id, whole quantity above 0 ("1.5" is none), price of at least 0 in cents; the rest is
     dropped. A missing price is 0, a missing uuid stays NULL."""
 
     def whole(c: Column) -> Column:
-        return c.try_cast("double").try_cast("long")
+        return F.when(c.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$"), c.try_cast("double").try_cast("long"))
 
     typed = F.transform(
         raw,
@@ -78,11 +78,15 @@ def cart_quantity(items: Column) -> Column:
 
 
 def changes(new: Column, old: Column) -> Column:
-    """What a new cart adds to an old one, by item uuid: unseen items, and the part by which quantities grew."""
+    """What a new cart adds to an old one, by item uuid: unseen items, and the part by which quantities grew.
+
+    In each cart the last item of a uuid counts; items without one share the missing uuid.
+    """
     before = F.coalesce(old, F.filter(new, lambda i: F.lit(False)))
+    new = F.filter(new, lambda i, at: ~F.exists(F.slice(new, at + 2, F.size(new)), lambda o: o["uuid"].eqNullSafe(i["uuid"])))
 
     def old_quantity(i: Column) -> Column:
-        same = F.filter(before, lambda o: o["uuid"] == i["uuid"])
+        same = F.filter(before, lambda o: o["uuid"].eqNullSafe(i["uuid"]))
         return F.when(F.size(same) > 0, F.element_at(same, -1)["qty"])
 
     marked = F.transform(new, lambda i: F.struct(i.alias("item"), old_quantity(i).alias("old_qty")))

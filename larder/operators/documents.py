@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larder.functions.text import allowed_only, blank_to_null, clean_tags, differs, join_tags, strip
-from larder.operators.grouping import first_per_key, left_join_many, top_per_key
+from larder.operators.grouping import first_per_key, left_join_many
 
 
 def tag_counts(items: DataFrame, tags: str = "tags") -> DataFrame:
@@ -22,6 +23,13 @@ def top_tags(counts: DataFrame, k: int = 20) -> DataFrame:
     return top.select("tag", "n", whole["tags"].alias("n_tags"), whole["uses"].alias("n_uses"))
 
 
+def taxonomy_tags(taxonomy: Column) -> Column:
+    """All tags of a taxonomy document of any depth: every text inside an array, wherever it stands, without repeats."""
+    arrays = F.regexp_extract_all(taxonomy, F.lit(r'\[([^\[\]{}]*)\]'), F.lit(1))
+    texts = F.transform(arrays, lambda a: F.from_json(F.concat(F.lit("["), a, F.lit("]")), "array<string>"))
+    return F.array_distinct(F.flatten(F.filter(texts, lambda t: t.isNotNull())))
+
+
 def allowed_tags(taxonomy: Column, schema: str = "map<string, map<string, array<string>>>") -> Column:
     """All tags of a taxonomy document (dimension -> group -> tags) as one list without repeats."""
     groups = F.flatten(F.transform(F.map_values(F.from_json(taxonomy, schema)), lambda g: F.map_values(g)))
@@ -34,24 +42,31 @@ def keep_allowed(items: DataFrame, allowed: Column, tags: str = "tags") -> DataF
     return items.withColumns({tags: kept, "n_invalid": F.size(F.col(tags)) - F.size(kept)})
 
 
-def unique_pages(snippets: DataFrame, names: int = 5) -> DataFrame:
-    """Snippets (pos, url, title, content, dish_name) to one row per url.
-
-    Title and content length come from the first snippet; dish names are distinct in first-seen order, of which the
-    first ``names`` are listed. Names are reduced to one row per url and name before any list is built.
+def unique_pages(snippets: DataFrame) -> DataFrame:
+    """Snippets (pos, url, title, content, dish_name) to one row per url: title and whole content of its first snippet, and
+    how many dishes name it. The names themselves are rows of ``page_dishes``, for a url can have any number.
     """
     real = snippets.filter("url is not null and url <> ''")
     first = real.groupBy("url").agg(
         F.min("pos").alias("first_pos"),
-        F.min_by(F.struct("title", F.length("content").alias("content_length")), "pos").alias("_f"),
+        F.min_by(F.struct("title", "content"), "pos").alias("_f"),
     )
-    named = real.groupBy("url", "dish_name").agg(F.min("pos").alias("seen"))
-    counts = named.groupBy("url").agg(F.count(F.lit(1)).alias("n_dishes"))
-    shown = top_per_key(named, ["url"], [F.col("seen"), F.col("dish_name")], names)
-    lists = shown.groupBy("url").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen", "dish_name"))), lambda s: s["dish_name"]), ", ").alias("dishes")
-    )
-    return first.join(counts, "url").join(lists, "url").select("url", "first_pos", "_f.*", "n_dishes", "dishes")
+    counts = _named(snippets).groupBy("url").agg(F.count(F.lit(1)).alias("n_dishes"))
+    return first.join(counts, "url").select("url", "first_pos", "_f.*", F.length("_f.content").alias("content_length"), "n_dishes")
+
+
+def _named(snippets: DataFrame) -> DataFrame:
+    real = snippets.filter("url is not null and url <> ''")
+    return real.groupBy("url", "dish_name").agg(F.min("pos").alias("seen"))
+
+
+def page_dishes(snippets: DataFrame) -> DataFrame:
+    """(url, place, dish_name): all dish names of each url, numbered in first-seen order.
+
+    ``seen`` numbers are compared between few names, so the numbering is a window over distinct names only.
+    """
+    order = W.partitionBy("url").orderBy("seen", "dish_name")
+    return _named(snippets).select("url", F.row_number().over(order).cast("long").alias("place"), "dish_name")
 
 
 def corpus_stats(pages: DataFrame) -> DataFrame:
@@ -110,13 +125,16 @@ def import_details(
     wanted = first_per_key(items.withColumn("name", strip(F.col("name"))).filter("name <> ''"), ["name"], [F.col(line).desc()])
     wanted = wanted.select(
         "name",
+        F.col(line).alias("_line"),
         blank_to_null(F.col("description")).alias("_description"),
         blank_to_null(join_tags(F.col("tags"))).alias("_tags"),
     )
     ids = name_map.select(strip(F.col("name")).alias("name"), "dish_id").filter("name <> '' and dish_id is not null").distinct()
     known = dishes.select("dish_id").withColumn("_known", F.lit(True))
     matched = left_join_many(wanted, ids, ["name"]).join(known, "dish_id", "left")
-    updates = matched.filter("_known").select("dish_id", "_description", "_tags")
+    # Two names may lead to one dish: its later line counts.
+    updates = first_per_key(matched.filter("_known"), ["dish_id"], [F.col("_line").desc(), F.col("name")])
+    updates = updates.select("dish_id", "_description", "_tags")
 
     here = details.withColumn("_stored", F.lit(True))
     both = here.join(updates.withColumn("_update", F.lit(True)), "dish_id", "full_outer")

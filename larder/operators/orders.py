@@ -40,10 +40,13 @@ def recent_orders(orders: DataFrame, items: DataFrame, limit: int = 100) -> Data
     return listed.join(counts, "order_id", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
 
 
-def session_history(orders: DataFrame, items: DataFrame, limit: int = 50) -> DataFrame:
-    """Per session the newest orders, one row per order line (orders without lines keep one row)."""
-    k = clamp(limit, MAX_SESSION_ORDERS)
-    listed = top_per_key(orders, ["session_id"], [F.col("created_at").desc(), F.col("order_id").desc()], k)
+def session_history(orders: DataFrame, items: DataFrame, limit: int | None = None) -> DataFrame:
+    """All orders of every session, one row per order line (orders without lines keep one row).
+
+    ``limit`` keeps a session's newest orders only, clamped to a page of a list.
+    """
+    newest_first = [F.col("created_at").desc(), F.col("order_id").desc()]
+    listed = orders if limit is None else top_per_key(orders, ["session_id"], newest_first, clamp(limit, MAX_SESSION_ORDERS))
     lines = items.select(
         "order_id", "order_item_id", "name", "quantity", cents(F.col("unit_price")).alias("unit_price"),
         line_total(F.col("unit_price"), F.col("quantity")).alias("line_total"),

@@ -160,12 +160,15 @@ def parse_backtest(raw: DataFrame) -> DataFrame:
     validate.require_columns(raw, list(BACKTEST_REQUIRED))
     wanted = {**BACKTEST_REQUIRED, **{c: t for c, t in BACKTEST_OPTIONAL.items() if c in raw.columns}}
     readers = {"date": parsing.landed_date, "timestamp": parsing.landed_timestamp}
+    line = ["_line"] if "_line" in raw.columns else []
     return raw.select(
-        *[(readers[t](F.col(c)) if t in readers else F.col(c).try_cast(t)).alias(c) for c, t in wanted.items()]
+        *[(readers[t](F.col(c)) if t in readers else F.col(c).try_cast(t)).alias(c) for c, t in wanted.items()], *line
     )
 
 
 def load_backtest(stored: DataFrame, raw: DataFrame) -> DataFrame:
-    """Add the rows of a backtest file whose key is not stored yet; loading a file twice changes nothing."""
-    rows = validate.require_not_null(parse_backtest(raw), list(BACKTEST_REQUIRED))
-    return insert_ignore(stored, rows, BACKTEST_KEY, [F.col("yhat")])
+    """Add the rows of a backtest file whose key is not stored yet, of repeats the first in the file; loading a file
+    twice changes nothing."""
+    lined = raw.withColumn("_line", F.monotonically_increasing_id())
+    rows = validate.require_not_null(parse_backtest(lined), list(BACKTEST_REQUIRED))
+    return insert_ignore(stored, rows, BACKTEST_KEY, [F.col("_line")])

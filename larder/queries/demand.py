@@ -44,12 +44,12 @@ def clean_daily_demand(spark: SparkSession, folder: str) -> DataFrame:
     b.with_(
         ["sales", "bridge"],
         """SELECT DISTINCT food_id FROM sales WHERE food_id NOT IN (SELECT food_id FROM bridge WHERE is_active)
-ORDER BY food_id LIMIT 200""",
+ORDER BY food_id""",
     )
 )
 def unmapped_foods(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 200 sold foods without an active mapping."""
-    return mapping.unmapped_foods(b.sales(spark, folder), b.bridge(spark, folder).filter("is_active"), 200)
+    """All sold foods without an active mapping."""
+    return mapping.unmapped_foods(b.sales(spark, folder), b.bridge(spark, folder).filter("is_active"))
 
 
 @query(

@@ -72,20 +72,28 @@ def snippets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SNIPPET_SQL = r"""SELECT page_id AS pos, regexp_extract(url, '^(https?://[^/]+)', 1) AS url,
-  regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, length(html) AS content_length,
+  regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, length(html) AS content_length, html AS content,
   regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS dish_name FROM pages"""
 
 
 @query(
     f"""WITH s AS ({SNIPPET_SQL}), named AS (SELECT url, dish_name, min(pos) AS seen FROM s GROUP BY ALL)
-SELECT f.url, first_pos, title, content_length, n_dishes, dishes
-FROM (SELECT url, min(pos) AS first_pos, arg_min(title, pos) AS title, arg_min(content_length, pos) AS content_length FROM s GROUP BY url) f
-JOIN (SELECT url, count(*) AS n_dishes FROM named GROUP BY url) USING (url)
-JOIN (SELECT url, string_agg(dish_name, ', ' ORDER BY seen, dish_name) AS dishes FROM (
-  SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY url ORDER BY seen, dish_name) <= 5) GROUP BY url) USING (url)"""
+SELECT f.url, first_pos, title, content_length, content_md5, n_dishes
+FROM (SELECT url, min(pos) AS first_pos, arg_min(title, pos) AS title, arg_min(content_length, pos) AS content_length,
+  md5(arg_min(content, pos)) AS content_md5 FROM s GROUP BY url) f
+JOIN (SELECT url, count(*) AS n_dishes FROM named GROUP BY url) USING (url)"""
 )
 def url_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return docs.unique_pages(snippets(spark, folder))
+    """Every url once, with its whole content (as digest)."""
+    return docs.unique_pages(snippets(spark, folder)).withColumn("content_md5", F.md5("content")).drop("content")
+
+
+@query(
+    f"""WITH s AS ({SNIPPET_SQL}), named AS (SELECT url, dish_name, min(pos) AS seen FROM s GROUP BY ALL)
+SELECT url, row_number() OVER (PARTITION BY url ORDER BY seen, dish_name) AS place, dish_name FROM named"""
+)
+def url_dishes(spark: SparkSession, folder: str) -> DataFrame:
+    return docs.page_dishes(snippets(spark, folder))
 
 
 @query(
@@ -145,7 +153,10 @@ def _import(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         "IF(doc_id % 7 = 0, concat('unknown ', doc_id), concat(' dish ', doc_id)) AS name",
         "IF(doc_id % 11 = 0, ' ', concat(lang, ' ', n_chars)) AS description", "array(lang, source, lang) AS tags", "doc_id AS line",
     )
-    name_map = part.selectExpr("concat('dish ', p_partkey div 2) AS name", "p_partkey AS dish_id")
+    name_map = part.selectExpr(
+        "inline(array(struct(concat('dish ', p_partkey div 2) AS name, p_partkey AS dish_id),"
+        " struct(concat('dish ', p_partkey div 3) AS name, p_partkey AS dish_id)))"
+    )
     known = part.filter("p_partkey % 13 <> 0").selectExpr("p_partkey AS dish_id")
     stored = part.filter("p_partkey % 4 = 0").selectExpr(
         "p_partkey AS dish_id", "IF(p_partkey % 8 = 0, '', 'old') AS description", "CAST(NULL AS STRING) AS tags"
@@ -155,7 +166,9 @@ def _import(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 IMPORT_SQL = """WITH i AS (SELECT doc_id, nullif(CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang || ' ' || n_chars END, '') AS description,
   lang || ', ' || source AS tags FROM documents WHERE doc_id % 7 <> 0),
-u AS (SELECT p_partkey AS dish_id, i.description, i.tags FROM i JOIN part ON p_partkey // 2 = doc_id WHERE p_partkey % 13 <> 0),
+m AS (SELECT p_partkey AS dish_id, p_partkey // 2 AS name FROM part UNION SELECT p_partkey, p_partkey // 3 FROM part),
+u AS (SELECT dish_id, description, tags FROM i JOIN m ON name = doc_id WHERE dish_id % 13 <> 0
+  QUALIFY row_number() OVER (PARTITION BY dish_id ORDER BY doc_id DESC) = 1),
 d AS (SELECT p_partkey AS dish_id, CASE WHEN p_partkey % 8 = 0 THEN '' ELSE 'old' END AS description, CAST(NULL AS VARCHAR) AS tags
       FROM part WHERE p_partkey % 4 = 0)
 """
@@ -173,8 +186,8 @@ def tag_import(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     IMPORT_SQL
     + """SELECT (SELECT count(*) FROM documents) AS n_items,
-  (SELECT count(*) FROM documents WHERE doc_id % 7 = 0 OR doc_id NOT IN (SELECT p_partkey // 2 FROM part)) AS skipped_no_id,
-  (SELECT count(*) FROM i JOIN part ON p_partkey // 2 = doc_id WHERE p_partkey % 13 = 0) AS skipped_not_in_db,
+  (SELECT count(*) FROM documents WHERE doc_id % 7 = 0 OR doc_id NOT IN (SELECT name FROM m)) AS skipped_no_id,
+  (SELECT count(*) FROM i JOIN m ON name = doc_id WHERE dish_id % 13 = 0) AS skipped_not_in_db,
   (SELECT count(*) FROM u LEFT JOIN d USING (dish_id) WHERE d.dish_id IS NULL OR coalesce(u.description, '') <> coalesce(d.description, '')
      OR coalesce(u.tags, '') <> coalesce(d.tags, '')) AS updated"""
 )

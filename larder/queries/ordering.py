@@ -358,14 +358,18 @@ def cart_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    b.with_(
-        ["req"],
-        """SELECT session_id, request_id, expected_version, request_id = w.winner AS applied, 1 + session_id % 3 + 1 AS current_version FROM (
-  SELECT session_id, request_id, CASE WHEN k % 10 = 0 THEN NULL ELSE k % 5 END AS expected_version FROM req)
-JOIN (SELECT session_id, min(request_id) AS winner FROM req WHERE k % 10 = 0 OR k % 5 = 1 + session_id % 3 GROUP BY 1) w USING (session_id)
-UNION ALL SELECT session_id, request_id, CASE WHEN k % 10 = 0 THEN NULL ELSE k % 5 END, false, 1 + session_id % 3 FROM req
-WHERE session_id NOT IN (SELECT session_id FROM req WHERE k % 10 = 0 OR k % 5 = 1 + session_id % 3)""",
-    )
+    b.with_(["req"], "SELECT 1").rsplit("SELECT 1", 1)[0].replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, asked AS (
+  SELECT session_id, request_id, CASE WHEN k % 10 = 0 THEN NULL ELSE k % 5 END AS expected,
+    row_number() OVER (PARTITION BY session_id ORDER BY request_id) AS n FROM req),
+replay AS (
+  SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BIGINT) AS expected, false AS applied,
+    CAST(1 + session_id % 3 AS BIGINT) AS version FROM asked WHERE n = 1
+  UNION ALL
+  SELECT a.session_id, a.n, a.request_id, a.expected, a.expected IS NULL OR a.expected = r.version,
+    r.version + CASE WHEN a.expected IS NULL OR a.expected = r.version THEN 1 ELSE 0 END
+  FROM replay r JOIN asked a ON a.session_id = r.session_id AND a.n = r.n + 1)
+SELECT session_id, request_id, expected AS expected_version, applied, version AS current_version FROM replay WHERE n > 0"""
 )
 def versioned_replace(spark: SparkSession, folder: str) -> DataFrame:
     """All cart requests of a session race for its current version."""

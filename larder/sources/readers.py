@@ -35,18 +35,27 @@ def read_table_over_jdbc(spark: SparkSession, url: str, table: str, **options: s
 def read_name_list(spark: SparkSession, path: str) -> DataFrame:
     """(name, category) from a CSV with or without header; blank names dropped, first row of a name wins.
 
-    A first field ``dish`` or ``name`` (any case) marks the header. Without one, position 0 is the name and 1 the
-    category.
+    A first line with a field ``dish`` or ``name`` (any case) is the header, and its names give the columns (``category`` or
+    ``cat``). Without one, position 0 is the name and 1 the category. "First" is the order of file name and place in it.
     """
     raw = spark.read.csv(path, header=False, inferSchema=False)
-    raw = raw.withColumnRenamed("_c0", "name")
-    raw = raw.withColumnRenamed("_c1", "category") if "_c1" in raw.columns else raw.withColumn("category", F.lit(None))
-    rows = raw.select(
-        strip(F.regexp_replace("name", BOM, "")).alias("name"),
-        blank_to_null(F.col("category").cast("string")).alias("category"),
-        F.monotonically_increasing_id().alias("_line"),
+    head = raw.first()
+    clean = [(v or "").lstrip(BOM).strip().lower() for v in head] if head else []
+    at = {n: i for i, n in reversed(list(enumerate(clean)))}
+    name_at = at.get("dish", at.get("name"))
+    has_header = name_at is not None
+    category_at = at.get("category", at.get("cat")) if has_header else 1
+    name_at = name_at if has_header else 0
+    column = lambda i: F.lit(None).cast("string") if i is None or i >= len(raw.columns) else F.col(f"_c{i}")
+    same = F.lit(has_header)  # a header stands in every file of a folder
+    for c in raw.columns:
+        same = same & F.col(c).eqNullSafe(F.lit(head[c] if head else None))
+    rows = raw.filter(~same).select(
+        strip(F.regexp_replace(column(name_at), BOM, "")).alias("name"),
+        blank_to_null(column(category_at)).alias("category"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_line"),
     )
-    rows = rows.filter((F.col("name") != "") & ~F.lower("name").isin("dish", "name"))
+    rows = rows.filter(F.col("name") != "")
     return rows.groupBy("name").agg(F.min_by("category", "_line").alias("category"))
 
 
