@@ -6,7 +6,6 @@
 * ``running_sum`` and ``previous_row`` need a key's whole history. They cut it into id ranges of at most ``width``
   rows, scan every range in parallel and carry one summary row per range forward. The id must be unique in its key.
 * ``dense_ids`` numbers rows 1..n without sorting them in one task.
-* ``collect_chunks`` nests child rows; a parent with very many children gets several bounded arrays.
 * ``fold_add_floor`` folds a sequence of "add" and "raise to at least" steps without visiting them one by one.
 """
 
@@ -90,22 +89,6 @@ def dense_ids(df: DataFrame, natural_key: list[str], name: str, start: Column |
     return numbered.select((first + F.col("_shift") + F.col("_place") - 1).cast("long").alias(name), *df.columns)
 
 
-def collect_chunks(
-    df: DataFrame, keys: list[str], id_col: str, fields: list[str], name: str, width: int = 1_000
-) -> DataFrame:
-    """(keys, chunk, ``name``): the rows of each key as an array of structs in id order.
-
-    Keys with up to ``width`` rows give one array (chunk 0). Larger ones are cut by id range, so that no array is longer
-    than ``width``; the chunk numbers keep the order. The id must be unique in its key.
-    """
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > width)
-    marked = df.join(big, keys, "left").withColumn(
-        "chunk", F.when(F.col("_n").isNotNull(), F.floor(F.col(id_col) / width)).otherwise(0).cast("long")
-    )
-    items = F.array_sort(F.collect_list(F.struct(id_col, *[c for c in fields if c != id_col])))
-    return marked.groupBy(*keys, "chunk").agg(items.alias(name))
-
-
 def fold_add_floor(
     ops: DataFrame, keys: list[str], id_col: str, add: str, floor: str, name: str, width: int = RANGE_WIDTH
 ) -> DataFrame:

@@ -108,21 +108,40 @@ def demand_top(candidates: DataFrame, request: str = "request_id", k: int = TOP)
 def blocked_names(names: DataFrame, terms: DataFrame, name: str = "name", term: str = "term") -> DataFrame:
     """(name, term) pairs where the name contains the term, found by an equality join.
 
-    Each distinct name is cut into its substrings (names are short), so neither side is broadcast and no pair that does
-    not match is ever built.
+    Each distinct name is cut into its pieces of the lengths that terms have, so neither side is broadcast and no pair
+    that does not match is ever built.
     """
     distinct = names.select(F.col(name).alias("name")).distinct()
-    length = F.length("name")
-    cut = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(length, F.lit(1))),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), length - i + 1), lambda n: F.substring(F.col("name"), i, n)
-            ),
-        )
-    )
-    pieces = distinct.select("name", F.explode(F.array_distinct(cut)).alias("term"))
-    return pieces.join(terms.select(F.col(term).alias("term")).distinct(), "term").select("name", "term")
+    wanted = terms.select(F.col(term).alias("term")).distinct()
+    # Only the lengths that occur among the terms; there are few, as terms are words.
+    lengths = wanted.select(F.array_distinct(F.collect_set(F.length("term"))).alias("l")).scalar()
+    sized = distinct.select("name", F.explode(lengths).alias("n")).filter("n > 0 AND n <= length(name)")
+    starts = F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)
+    cut = F.transform(starts, lambda i: F.substring(F.col("name"), i, F.col("n")))
+    pieces = sized.select("name", F.explode(F.array_distinct(cut)).alias("term"))
+    return pieces.join(wanted, "term").select("name", "term")
+
+
+def term_sets(memory: DataFrame, conversation: str) -> tuple[DataFrame, DataFrame]:
+    """(term_set, term) of every distinct set of avoided terms, and (conversation, term_set)."""
+    people = memory.groupBy(conversation).agg(F.array_sort(F.collect_set("term")).alias("_terms"))
+    people = people.withColumn("term_set", F.sha2(F.to_json(F.col("_terms")), 256))
+    sets = people.groupBy("term_set").agg(F.first("_terms").alias("_terms")).select("term_set", F.explode("_terms").alias("term"))
+    return sets, people.select(conversation, "term_set")
+
+
+def blocked_by_set(menu: DataFrame, sets: DataFrame) -> DataFrame:
+    """(term_set, name): the dish names that hold a term of the set."""
+    return blocked_names(menu, sets).join(sets, "term").select("term_set", "name").distinct()
+
+
+def menu_blocked(menu: DataFrame, memory: DataFrame, conversation: str) -> tuple[DataFrame, DataFrame]:
+    """What each conversation must not be shown: (conversation, term_set) and the blocked dishes (term_set, dish_id, name).
+
+    Conversations that avoid the same terms share the dishes of their set.
+    """
+    sets, people = term_sets(memory, conversation)
+    return people, blocked_by_set(menu, sets).join(menu.select("name", "dish_id"), "name").select("term_set", "dish_id", "name")
 
 
 def without_avoided(menu: DataFrame, terms: DataFrame) -> DataFrame:
@@ -144,15 +163,15 @@ def category_lines(menu: DataFrame, k: int = MENU_LINE_DISHES) -> DataFrame:
 def menu_left(menu: DataFrame, memory: DataFrame, conversation: str) -> DataFrame:
     """How much of the menu each conversation's avoided terms leave.
 
-    One row per conversation: dishes on the menu, dishes blocked, dishes left, and whether nothing is left. Dishes are
-    counted per name first, so only the pairs (conversation, blocked name) are ever formed.
+    One row per conversation: dishes on the menu, dishes blocked, dishes left, and whether nothing is left. Conversations
+    that avoid the same terms share one count, so dishes meet distinct term sets, not conversations.
     """
+    sets, people = term_sets(memory, conversation)
     per_name = menu.groupBy("name").agg(F.count(F.lit(1)).alias("n_named"))
-    hits = blocked_names(menu, memory).join(memory.select(conversation, "term"), "term")
-    blocked = hits.select(conversation, "name").distinct().join(per_name, "name")
-    lost = blocked.groupBy(conversation).agg(F.sum("n_named").alias("n_blocked"))
+    blocked = blocked_by_set(menu, sets).join(per_name, "name")
+    lost = blocked.groupBy("term_set").agg(F.sum("n_named").alias("n_blocked"))
     size = menu.agg(F.count(F.lit(1)).alias("n")).scalar()
-    people = memory.select(conversation).distinct().join(lost, conversation, "left")
+    people = people.join(lost, "term_set", "left")
     counted = people.select(
         conversation, size.alias("n_menu"), F.coalesce("n_blocked", F.lit(0).cast(T.LongType())).alias("n_blocked")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.context import table
@@ -70,9 +70,7 @@ UNION ALL SELECT p_partkey, p_partkey * 3 + 2, NULL, NULL FROM part WHERE p_size
 )
 b.CTE["pricetext"] = (
     ["mprice"],
-    """SELECT dish_id, string_agg(coalesce(nullif(price_label, ''), '-') || ':' || price, '|' ORDER BY price_id) AS prices,
-  string_agg(price_label || ':' || price, '|' ORDER BY price_id) FILTER (WHERE price_label <> '') AS sizes,
-  min_by(price, price_id) AS first_price
+    """SELECT dish_id, count(*) FILTER (WHERE price_label <> '') AS n_sizes, min_by(price, price_id) AS first_price
 FROM mprice WHERE price_label IS NOT NULL OR price IS NOT NULL GROUP BY dish_id""",
 )
 
@@ -116,62 +114,49 @@ b.CTE["sitem"] = (
 )
 
 
-def price_text(prices_: Column) -> Column:
-    """Nested prices as flat text: label:price|..."""
-    one = F.transform(
-        prices_,
-        lambda p: F.concat(F.coalesce(p["label"], F.lit("-")), F.lit(":"), p["price"].cast("decimal(12,2)").cast("string")),
-    )
-    return F.nullif(F.array_join(one, "|"), F.lit(""))
-
-
 @query(
     b.with_(
-        ["category", "mdish", "pricetext", "described"],
+        ["category", "mdish", "mprice", "described"],
         """SELECT category_id, category_name, c.sort_order AS category_sort, d.dish_id, d.name, is_set, d.sort_order AS dish_sort,
-  s.description, image_url, prices
-FROM category c LEFT JOIN mdish d USING (category_id) LEFT JOIN pricetext USING (dish_id) LEFT JOIN described s USING (dish_id)""",
+  s.description, image_url, price_id, nullif(price_label, '') AS label, CAST(price AS DOUBLE) AS price
+FROM category c LEFT JOIN mdish d USING (category_id) LEFT JOIN described s USING (dish_id)
+LEFT JOIN (SELECT * FROM mprice WHERE price_label IS NOT NULL OR price IS NOT NULL) p ON p.dish_id = d.dish_id""",
     )
 )
 def menu_tree(spark: SparkSession, folder: str) -> DataFrame:
-    tree = menus.menu_tree(
+    return menus.menu_tree(
         categories(spark, folder), dishes(spark, folder), prices(spark, folder), translations(spark, folder), details(spark, folder)
     )
-    return tree.withColumn("prices", price_text(F.col("prices"))).drop("chunk")
 
 
 @query(
     b.with_(
         ["mdish", "sitem"],
-        """SELECT d.dish_id, d.name, is_set, CASE WHEN is_set THEN m.members END AS members, CASE WHEN is_set THEN m.n END AS n_members
-FROM mdish d LEFT JOIN (SELECT set_id, string_agg(i.name || 'x' || quantity, '|' ORDER BY s.sort_order, s.item_id) AS members, count(*) AS n
-  FROM sitem s JOIN mdish i ON i.dish_id = s.item_id GROUP BY set_id) m ON m.set_id = d.dish_id""",
+        """SELECT d.dish_id, d.name, d.is_set, s.item_id, i.name AS item_name, quantity, CAST(s.sort_order AS BIGINT) AS sort_order
+FROM mdish d LEFT JOIN (sitem s JOIN mdish i ON i.dish_id = s.item_id) ON s.set_id = d.dish_id AND d.is_set""",
     )
 )
 def menu_with_sets(spark: SparkSession, folder: str) -> DataFrame:
     every = dishes(spark, folder)
-    rows = menus.menu_with_sets(every.select("dish_id", "name", "is_set"), set_items(spark, folder), every)
-    named = F.transform("set_items", lambda i: F.concat(i["item_name"], F.lit("x"), i["quantity"]))
-    return rows.select(
-        "dish_id", "name", "is_set", F.array_join(named, "|").alias("members"),
-        F.when(F.col("set_items").isNotNull(), F.size("set_items")).cast("long").alias("n_members"),
-    )
+    return menus.menu_with_sets(every.select("dish_id", "name", "is_set"), set_items(spark, folder), every)
 
 
 @query(
     b.with_(
         ["mdish", "pricetext", "described"],
-        """SELECT category_id, d.dish_id, d.name, prices, sizes, CAST(coalesce(first_price, 0) AS DOUBLE) AS default_price,
+        """SELECT category_id, d.dish_id, d.name, CAST(coalesce(first_price, 0) AS DOUBLE) AS default_price, coalesce(n_sizes, 0) AS n_sizes,
   detail AS description, image_url, tags
 FROM mdish d LEFT JOIN pricetext USING (dish_id) LEFT JOIN described USING (dish_id)""",
     )
 )
 def category_dishes(spark: SparkSession, folder: str) -> DataFrame:
     rows = menus.category_dishes(None, dishes(spark, folder), prices(spark, folder), details(spark, folder))
-    return rows.select(
-        "category_id", "dish_id", "name", price_text(F.col("prices")).alias("prices"), price_text(F.col("sizes")).alias("sizes"),
-        "default_price", "description", "image_url", "tags",
-    )
+    return rows.select("category_id", "dish_id", "name", "default_price", "n_sizes", "description", "image_url", "tags")
+
+
+@query(b.with_(["mdish"], "SELECT dish_id, name, CAST(sort_order AS BIGINT) AS sort_order FROM mdish WHERE is_set"))
+def set_index(spark: SparkSession, folder: str) -> DataFrame:
+    return menus.set_index(dishes(spark, folder))
 
 
 @query(
@@ -189,14 +174,14 @@ def set_members(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     b.with_(
         ["mdish", "pricetext"],
-        "SELECT category_id, d.dish_id, name, CAST(coalesce(first_price, 0) AS DOUBLE) AS default_price, sizes "
+        "SELECT category_id, row_number() OVER (PARTITION BY category_id ORDER BY name, d.dish_id) AS place, d.dish_id, name, "
+        "CAST(coalesce(first_price, 0) AS DOUBLE) AS default_price, coalesce(n_sizes, 0) AS n_sizes "
         "FROM mdish d LEFT JOIN pricetext USING (dish_id)",
     )
 )
 def item_picker(spark: SparkSession, folder: str) -> DataFrame:
     listed = menus.category_dishes(None, dishes(spark, folder), prices(spark, folder), details(spark, folder))
-    rows = menus.item_picker(listed)
-    return rows.select("category_id", "dish_id", "name", "default_price", price_text(F.col("sizes")).alias("sizes"))
+    return menus.item_picker(listed).select("category_id", "place", "dish_id", "name", "default_price", "n_sizes")
 
 
 @query(
@@ -211,7 +196,7 @@ def category_index(spark: SparkSession, folder: str) -> DataFrame:
     counts = dishes(spark, folder).groupBy("category_id").agg(
         F.count_if("is_set").alias("n_sets"), F.count(F.lit(1)).alias("n_dishes")
     )
-    return menus.category_index(categories(spark, folder)).join(counts, "category_id")
+    return menus.category_index(categories(spark, folder).join(counts, "category_id"))
 
 
 @query(
@@ -225,9 +210,10 @@ def first_price(spark: SparkSession, folder: str) -> DataFrame:
     return menus.first_prices(dishes(spark, folder).select("dish_id", "name"), prices(spark, folder))
 
 
-@query("SELECT p_name AS name, count(*) AS n_dishes, min(p_partkey) AS first_id, max(p_partkey) AS last_id FROM part GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT p_name AS name, p_partkey AS dish_id, count(*) OVER (PARTITION BY p_name) AS n_dishes FROM part QUALIFY n_dishes > 1")
 def duplicate_names(spark: SparkSession, folder: str) -> DataFrame:
-    return menus.duplicate_names(dishes(spark, folder))
+    """All ids behind every name that several dishes carry."""
+    return menus.duplicate_ids(dishes(spark, folder))
 
 
 @query(
@@ -272,7 +258,8 @@ def delete_guard(spark: SparkSession, folder: str) -> DataFrame:
         ["mdish"],
         """SELECT 'dish' AS kind, n.dish_id, n.name, CAST(NULL AS DOUBLE) AS price FROM fresh n
 UNION ALL SELECT 'price', n.dish_id, n.name, CAST(10 + n.category_id AS DOUBLE) FROM fresh n
-UNION ALL SELECT 'translation', n.dish_id, upper(n.name), NULL FROM fresh n WHERE n.category_id % 2 = 0""",
+UNION ALL SELECT 'translation', n.dish_id, upper(n.name), NULL FROM fresh n WHERE n.category_id % 2 = 0
+UNION ALL SELECT 'detail', n.dish_id, 'served by ' || n.name, NULL FROM fresh n""",
         fresh="""SELECT (SELECT max(dish_id) FROM mdish)
   + row_number() OVER (ORDER BY md5(category_id || chr(1) || name), category_id, name) AS dish_id, category_id, name
 FROM (SELECT DISTINCT 1000 + s_nationkey AS category_id, 'house ' || s_suppkey AS name FROM supplier)""",
@@ -287,7 +274,8 @@ def create_with_children(spark: SparkSession, folder: str) -> DataFrame:
     key = ["category_id", "name"]
     price_rows = new.selectExpr(*key, "CAST(10 + category_id AS DECIMAL(12,2)) AS price")
     texts = new.selectExpr(*key, "IF(category_id % 2 = 0, 'zh', ' ') AS lang", "upper(name) AS translated_name")
-    every, made_prices, made_texts = menus.create_dishes(stored, new, price_rows, texts, key)
+    about = new.selectExpr(*key, "concat('served by ', name) AS description")
+    every, made_prices, made_texts, made_details = menus.create_dishes(stored, new, price_rows, texts, key, about)
     made = every.join(stored.select("dish_id"), "dish_id", "left_anti")
     names = made.select("dish_id", "name")
     empty = F.lit(None).cast("decimal(12,2)").alias("price")
@@ -295,6 +283,7 @@ def create_with_children(spark: SparkSession, folder: str) -> DataFrame:
         made.select(F.lit("dish").alias("kind"), "dish_id", "name", empty)
         .unionByName(made_prices.join(names, "dish_id").select(F.lit("price").alias("kind"), "dish_id", "name", "price"))
         .unionByName(made_texts.select(F.lit("translation").alias("kind"), "dish_id", F.col("translated_name").alias("name"), empty))
+        .unionByName(made_details.select(F.lit("detail").alias("kind"), "dish_id", F.col("description").alias("name"), empty))
     )
 
 

@@ -220,26 +220,23 @@ def demand_top3(spark: SparkSession, folder: str) -> DataFrame:
 # --- menus for diners ------------------------------------------------------------------------------------------------
 
 
-def avoided_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """What conversations of even number currently avoid (short words only, so that something is left to eat)."""
-    memory = chat.avoid_memory(messages(spark, folder), "conv_id", "turn")
-    return memory.filter("is_current and conv_id % 2 = 0 and term in ('red', 'gear', 'bolt', 'zzz')").select("conv_id", "term")
-
-
-b.CTE["avoided"] = (
-    ["memory"],
-    "SELECT conv_id, term FROM memory WHERE is_current AND conv_id % 2 = 0 AND term IN ('red', 'gear', 'bolt', 'zzz')",
-)
-b.CTE["menu_ok"] = (
-    ["mdish", "avoided"],
-    "SELECT * FROM mdish WHERE NOT EXISTS (SELECT 1 FROM avoided WHERE contains(name, term))",
+@query(
+    b.with_(
+        ["mdish", "memory"],
+        """SELECT terms, d.dish_id, d.name FROM (SELECT DISTINCT terms FROM people) s, UNNEST(s.terms) AS u(term) JOIN mdish d ON contains(d.name, term)
+GROUP BY ALL""".replace("SELECT terms, d", "SELECT array_to_string(terms, ',') AS avoided, d", 1),
+        people="SELECT conv_id, list(DISTINCT term ORDER BY term) AS terms FROM memory WHERE is_current GROUP BY 1",
+    )
 )
-
-
-@query(b.with_(["menu_ok"], "SELECT category_id, dish_id, name FROM menu_ok"))
 def menu_avoid(spark: SparkSession, folder: str) -> DataFrame:
+    """For every set of terms that some conversation avoids, the dishes it must not be shown."""
     menu = menus.dishes(spark, folder).select("category_id", "dish_id", "name")
-    return rec.without_avoided(menu, avoided_terms(spark, folder)).select("category_id", "dish_id", "name")
+    memory = chat.avoid_memory(messages(spark, folder), "conv_id", "turn").filter("is_current").select("conv_id", "term")
+    memory = materialize(memory, "memory")
+    sets, _ = rec.term_sets(memory, "conv_id")
+    spelled = sets.groupBy("term_set").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("avoided"))
+    _, blocked = rec.menu_blocked(menu, memory, "conv_id")
+    return blocked.join(spelled, "term_set").select("avoided", "dish_id", "name")
 
 
 @query(

@@ -126,6 +126,6 @@ def test_keyword_segments(spark):
     body = "a" * 300 + "KEY" + "b" * 400 + "key."
     want = body[120:623] + "\n...\n" + body[523:]
     assert values(spark, [body, "none" * 300, None], "t string", html.keyword_segments(F.col("t"), ["key", "k."])) == [
-        want, ("none" * 300)[:600], None,
+        want, "none" * 300, None,
     ]
     assert values(spark, ["abc"], "t string", html.keyword_segments(F.col("t"), [])) == ["abc"]

@@ -47,12 +47,6 @@ def test_dense_ids_are_dense_and_repeatable(spark):
     assert first == again and sorted(first.values()) == list(range(11, 5011))
 
 
-def test_collect_chunks_cuts_only_large_keys(spark):
-    df = spark.createDataFrame([("a", i, i * 2) for i in range(10)] + [("b", i, i) for i in range(3)], "k string, id long, v long")
-    got = {(r.k, r.chunk): [x.id for x in r.xs] for r in g.collect_chunks(df, ["k"], "id", ["v"], "xs", width=4).collect()}
-    assert got == {("a", 0): [0, 1, 2, 3], ("a", 1): [4, 5, 6, 7], ("a", 2): [8, 9], ("b", 0): [0, 1, 2]}
-
-
 def test_fold_add_floor(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("ab"), i, rnd.randint(-4, 4), rnd.choice([None, 1, 2, 5])) for i in range(300)]

@@ -27,25 +27,41 @@ def menu_frames(spark):
 
 
 def test_menu_tree(spark):
-    rows = menu.menu_tree(*menu_frames(spark)).collect()
-    assert [(r.category_name, r.dish_id) for r in rows] == [("fish", 21), ("empty", None), ("soup", 12), ("soup", 11)]
+    rows = menu.menu_tree(*menu_frames(spark)).orderBy(*menu.MENU_ORDER).collect()
+    assert [(r.category_name, r.dish_id) for r in rows] == [("fish", 21), ("empty", None), ("soup", 12), ("soup", 11), ("soup", 11), ("soup", 11)]
+    assert [(r.label, r.price) for r in rows if r.dish_id == 11] == [(None, Decimal(5)), ("小", None), ("大", Decimal(320))]
     by_dish = {r.dish_id: r for r in rows}
-    assert [(p.label, p.price) for p in by_dish[11].prices] == [(None, Decimal(5)), ("小", None), ("大", Decimal(320))]
-    assert by_dish[21].prices is None and by_dish[21].description == "detail" and by_dish[11].description == "translated"
+    assert by_dish[21].price_id is None and by_dish[21].description == "detail" and by_dish[11].description == "translated"
 
 
 def test_sets_and_category_lists(spark):
     categories, dishes, prices, texts, details = menu_frames(spark)
     members = spark.createDataFrame([(12, 21, 2, 1), (12, 11, 1, 0), (12, 99, 1, 2)], "set_id long, item_id long, quantity int, sort_order int")
-    rows = {r.dish_id: r for r in menu.menu_with_sets(dishes.select("dish_id", "name", "is_set"), members, dishes).collect()}
-    assert [(m.item_id, m.quantity) for m in rows[12].set_items] == [(11, 1), (21, 2)] and rows[11].set_items is None
+    rows = menu.menu_with_sets(dishes.select("dish_id", "name", "is_set"), members, dishes).orderBy("dish_id", "sort_order").collect()
+    assert [(r.dish_id, r.item_id, r.quantity) for r in rows] == [(11, None, None), (12, 11, 1), (12, 21, 2), (21, None, None)]
     assert [r.item_id for r in menu.set_item_list(members, dishes, 12).collect()] == [11, 21]
     listed = {r.dish_id: r for r in menu.category_dishes(1, dishes, prices, details).collect()}
-    assert sorted(listed) == [11, 12] and listed[11].default_price == 5 and [p.label for p in listed[11].sizes] == ["小", "大"] and listed[12].default_price == 0
+    assert sorted(listed) == [11, 12] and (listed[11].default_price, listed[11].n_sizes) == (5, 2) and (listed[12].default_price, listed[12].n_sizes) == (0, 0)
     assert [r.category_id for r in menu.category_index(categories).collect()] == [2, 3, 1]
     assert [r.dish_id for r in menu.set_index(dishes).collect()] == [12]
 
 
+def test_a_set_with_very_many_members_stays_whole(spark):
+    dishes = spark.range(1, 2001).selectExpr("1L AS category_id", "id AS dish_id", "concat('d', id) AS name", "id = 1 AS is_set", "0 AS sort_order")
+    members = spark.range(2, 2001).selectExpr("1L AS set_id", "id AS item_id", "1 AS quantity", "CAST(id % 3 AS INT) AS sort_order")
+    rows = menu.menu_with_sets(dishes.select("dish_id", "name", "is_set"), members, dishes)
+    assert rows.filter("dish_id = 1").select("item_id").distinct().count() == 1999 and rows.count() == 1999 + 1999
+
+
+def test_terms_of_conversations(spark):
+    dishes = spark.createDataFrame([(1, "beef soup"), (2, "fish"), (3, "beef")], "dish_id long, name string")
+    memory = spark.createDataFrame([(1, "beef"), (2, "beef"), (2, "fish"), (3, "beef"), (4, "x")], "conv long, term string")
+    people, blocked = recommend.menu_blocked(dishes, memory, "conv")
+    got = people.join(blocked, "term_set").select("conv", "dish_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (3, 1), (3, 3)]
+    assert people.select("term_set").distinct().count() == 3
+
+
 def test_intents_and_memory(spark):
     turns = [
         (1, 1, "我不吃牛肉，不吃beef"), (1, 2, "我不吃什麼"), (1, 3, "請清除記憶"), (1, 4, "不吃蔥"), (1, 5, "不吃蔥"), (1, 6, "有什麼忌口？"), (2, 1, "你好"), (2, 2, "我不吃啥"), (2, 3, " 不吃魚 "),
@@ -117,8 +133,9 @@ def test_avoided_dishes(spark):
 def test_unique_pages_and_sources(spark):
     rows = [(1, "u", "T", "abc", "d1"), (2, "u", "T2", "zz", "d2"), (3, "u", "x", "", "d1"), (4, "", "x", "y", "d"), (5, "v", None, "12345", "d3")]
     df = spark.createDataFrame(rows, "pos long, url string, title string, content string, dish_name string")
-    pages = documents.unique_pages(df, names=2)
-    assert pairs(pages, "url", "title", "content_length", "n_dishes", "dishes") == [("u", "T", 3, 2, "d1, d2"), ("v", None, 5, 1, "d3")]
+    pages = documents.unique_pages(df)
+    assert pairs(pages, "url", "title", "content", "content_length", "n_dishes") == [("u", "T", "abc", 3, 2), ("v", None, "12345", 5, 1)]
+    assert pairs(documents.page_dishes(df), "url", "place", "dish_name") == [("u", 1, "d1"), ("u", 2, "d2"), ("v", 1, "d3")]
     assert documents.corpus_stats(pages).first().asDict() == {"n_pages": 2, "total_length": 8, "avg_length": 4.0}
     summaries = spark.createDataFrame([("u", "d1", "first", 1), ("u", "d1", "second", 2)], "url string, dish_name string, description string, pos long")
     intros = spark.createDataFrame([("u", "intro"), ("v", None)], "url string, restaurant_intro string")
