@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.context import scratch_folder, table
+from larder.context import table
 from larder.operators.carts import read_cart
 from larder.operators.grouping import running_sum
 from larder.queries import bindings as b
 from larder.queries import ordering
 from larder.queries.registry import query
 from larder.streaming import carts, events
-from larder.streaming.run import read_stream, run_to_table, table_stream, with_end_marker
+from larder.streaming.run import as_batches, end_marker, run_to_table
 
 MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def _logged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write a request log and open it as a stream."""
-    path = scratch_folder(spark, name)
-    df.write.parquet(path)
-    return read_stream(spark, path, df.schema)
+#: The files of a replay come in this order, a micro-batch each.
+ORDER = [2, 0, 3, 1]
+
+
+def _shuffled(df: DataFrame, name: str, unique: str) -> tuple[DataFrame, str]:
+    """The rows in four micro-batches that mix all times and sessions."""
+    return as_batches(df, name, F.col(unique) % 4, ORDER)
+
+
+def _in_turn(df: DataFrame, name: str, place: str) -> DataFrame:
+    """The rows in four micro-batches by ascending ``place``, for logs whose order means something."""
+    top = df.agg(F.coalesce(F.max(place), F.lit(0)).alias("m")).scalar()
+    return as_batches(df, name, F.floor(F.col(place) * 4 / (top + 1)).cast("long"), [0, 1, 2, 3])[0]
 
 
 @query(
@@ -34,19 +42,22 @@ def _logged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def stream_cart_changes(spark: SparkSession, folder: str) -> DataFrame:
     requests = ordering.cart_requests(spark, folder).select("session_id", "request_id", "cart")
     numbered = running_sum(requests, ["session_id"], "request_id", {"version": F.lit(1)})
-    log = _logged(spark, numbered.select("session_id", "version", "cart"), "cart-log")
+    log = _in_turn(numbered.select("session_id", "version", "cart"), "cart-log", "version")
     return run_to_table(carts.cart_changes(read_cart(log)), "cart-changes")
 
 
-@query("SELECT DISTINCT user_id AS session_id, event_id // 2 AS version FROM events")
+@query(
+    """WITH e AS (SELECT user_id AS session_id, event_id // 8 AS version, CASE event_id % 4 WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS batch,
+  event_id * 2 AS arrival FROM events)
+SELECT session_id, version, arrival FROM e
+QUALIFY version IS DISTINCT FROM lag(version) OVER (PARTITION BY session_id ORDER BY batch, arrival)"""
+)
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event arrives twice and neighbours share a version: each version of a session passes once."""
-    raw = table_stream(spark, folder, "events").select(
-        F.col("user_id").alias("session_id"), F.expr("event_id div 2 AS version"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    twice = raw.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    kept = events.new_versions(twice, ["session_id", "version"])
-    return run_to_table(kept.select("session_id", "version"), "dedup")
+    """Every event arrives twice and neighbours share a version: an event passes if its version is not the one just held."""
+    raw = table(spark, folder, "events").selectExpr("user_id AS session_id", "event_id div 8 AS version", "event_id")
+    twice = raw.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).selectExpr("*", "event_id * 2 + copy AS arrival")
+    stream, _ = _shuffled(twice, "dedup-log", "event_id")
+    return run_to_table(events.new_versions(stream), "dedup")
 
 
 @query(
@@ -54,10 +65,10 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
 FROM events GROUP BY ALL"""
 )
 def stream_session_counts(spark: SparkSession, folder: str) -> DataFrame:
-    raw = table_stream(spark, folder, "events").select(
-        F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    counts = run_to_table(events.session_counts(with_end_marker(raw, "ts"), "6 hours"), "session-counts")
+    raw = table(spark, folder, "events").select("event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
+    stream, path = _shuffled(raw, "count-log", "event_id")
+    counted = events.session_counts(stream, "6 hours", delay=events.REPLAY)
+    counts = run_to_table(counted, "session-counts", end_marker(path, raw.schema, "ts"))
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -67,15 +78,16 @@ def stream_session_counts(spark: SparkSession, folder: str) -> DataFrame:
 UNION ALL SELECT user_id, strftime(ts + INTERVAL 600 MILLISECOND, '%Y-%m-%d %H:%M:%S.%f'), event_id * 10 + 3, 1 FROM events"""
 )
 def stream_debounce(spark: SparkSession, folder: str) -> DataFrame:
-    """Each event is a burst of changes after 0, 100 and 200 ms and a late one after 600 ms."""
-    raw = table_stream(spark, folder, "events").select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("t"))
+    """Each event is a burst of changes after 0, 100 and 200 ms and a late one after 600 ms; a burst's changes come apart."""
+    raw = table(spark, folder, "events").select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("t"))
     bursts = raw.select("session_id", "event_id", "t", F.posexplode(F.array(*[F.lit(m) for m in (0, 100, 200, 600)])).alias("i", "ms"))
     changes = bursts.select(
         "session_id",
         (F.col("event_id") * 10 + F.col("i")).alias("change_id"),
         F.expr("t + make_dt_interval(0, 0, 0, ms / 1000)").alias("ts"),
     )
-    sent = run_to_table(events.debounced(with_end_marker(changes, "ts"), "change_id"), "debounce")
+    stream, path = _shuffled(changes, "change-log", "change_id")
+    sent = run_to_table(events.debounced(stream, "change_id", delay=events.REPLAY), "debounce", end_marker(path, changes.schema, "ts"))
     return sent.withColumn("sent_for", F.date_format("sent_for", MICROS))
 
 
@@ -93,7 +105,7 @@ def stream_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     good = F.when(F.col("event_type") == "error", 0).otherwise(1)
     counted = running_sum(asked, ["session_id"], "request_id", {"applied": good})
     # The current version before a request is 1 + earlier good ones; 'applied' counts a good request itself too.
-    log = _logged(spark, counted.selectExpr("session_id", "request_id", "applied AS expected_version"), "version-log")
+    log = _in_turn(counted.selectExpr("session_id", "request_id", "applied AS expected_version"), "version-log", "request_id")
     return run_to_table(carts.version_conflicts(log), "conflicts")
 
 
@@ -105,7 +117,8 @@ def stream_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
 )
 def stream_order_status(spark: SparkSession, folder: str) -> DataFrame:
-    changes = table_stream(spark, folder, "orders").selectExpr(
+    stream, _ = _shuffled(table(spark, folder, "orders"), "order-log", "o_orderkey")
+    changes = stream.selectExpr(
         "o_custkey AS session_id", "o_orderkey AS order_id",
         "CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'preparing' ELSE 'completed' END AS status",
         "IF(o_orderstatus = 'O', 'created', 'updated') AS action", "o_totalprice AS total_amount",

@@ -8,51 +8,70 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larder.functions.text import let
 from larder.operators.carts import clean_items
 
 CHANGES = "session_id long, version long, uuid string, name string, qty long, size string, action string"
 CONFLICTS = "session_id long, request_id long, expected_version long, current_version long"
 
 
+def _in_order(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+    """A key's rows of one micro-batch (whose size the source bounds) in order, of repeated ones the last."""
+    frame = pd.concat(rows, ignore_index=True)
+    return frame.sort_values(by, kind="stable")
+
+
 def _item_changes(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per (session, item) the state is the version and quantity last seen.
 
     An item of version v is new unless version v - 1 held it too, so a session's items need no common state and a busy
     session spreads over as many tasks as it has items.
     """
-    version, qty = state.get if state.exists else (None, 0)
-    out = []
-    for row in pd.concat(list(rows)).sort_values("version").itertuples(index=False):
-        if version is None or version != row.version - 1:
-            out.append((key[0], row.version, key[1], row.name, row.qty, row.size, "added"))
-        elif row.qty > qty:
-            out.append((key[0], row.version, key[1], row.name, row.qty - qty, row.size, "increased"))
-        version, qty = int(row.version), int(row.qty)
-    state.update((version, qty))
-    yield pd.DataFrame(out, columns=["session_id", "version", "uuid", "name", "qty", "size", "action"])
+    frame = _in_order(rows, "version").drop_duplicates("version", keep="last")
+    version, qty = frame["version"].to_numpy(np.int64), frame["qty"].to_numpy(np.int64)
+    held = state.get if state.exists else (int(version[0]) - 2, 0)
+    before_version = np.concatenate([[held[0]], version[:-1]])
+    before_qty = np.concatenate([[held[1]], qty[:-1]])
+    added = before_version != version - 1
+    grown = ~added & (qty > before_qty)
+    state.update((int(version[-1]), int(qty[-1])))
+    shown = added | grown
+    out = frame[["session_id", "version", "uuid", "name", "qty", "size"]][shown]
+    yield out.assign(
+        qty=np.where(added, qty, qty - before_qty)[shown], action=np.where(added, "added", "increased")[shown]
+    )
 
 
 def _version_check(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per session the state is the current cart version; a request that expects another one changes nothing."""
+    """Per session the state is the current cart version; a request that expects another one changes nothing.
+
+    Each answer depends on the one before, so the requests of a session are told in order; that is one comparison each.
+    """
     current = state.get[0] if state.exists else 1
-    out = []
-    for row in pd.concat(list(rows)).sort_values("request_id").itertuples(index=False):
-        if pd.isna(row.expected_version) or int(row.expected_version) == current:
-            current += 1
-        else:
-            out.append((key[0], row.request_id, int(row.expected_version), current))
+    frame = _in_order(rows, "request_id")
+    expected = frame["expected_version"].fillna(-1).to_numpy(np.int64)
+    met = np.empty(len(expected), dtype=np.int64)
+    for i, e in enumerate(expected.tolist()):
+        met[i] = current
+        current += e in (-1, current)
     state.update((current,))
-    yield pd.DataFrame(out, columns=["session_id", "request_id", "expected_version", "current_version"])
+    conflict = (expected != -1) & (expected != met)
+    yield pd.DataFrame(
+        {"session_id": key[0], "request_id": frame["request_id"].to_numpy()[conflict], "expected_version": expected[conflict], "current_version": met[conflict]}
+    )
 
 
 def cart_changes(versions: DataFrame) -> DataFrame:
     """Added and increased items of every new cart version (session_id, consecutive version, raw_items)."""
-    items = versions.select("session_id", "version", F.inline(clean_items(F.col("raw_items"))))
+    last = lambda i, at, all_: ~F.exists(F.slice(all_, at + 2, F.size(all_)), lambda o: o["uuid"].eqNullSafe(i["uuid"]))
+    kept = let(clean_items(F.col("raw_items")), lambda c: F.filter(c, lambda i, at: last(i, at, c)))
+    items = versions.select("session_id", "version", F.inline(kept))
     items = items.select("session_id", "uuid", "version", "name", "qty", "size")
     return items.groupBy("session_id", "uuid").applyInPandasWithState(
         _item_changes, CHANGES, "version long, qty long", "append", GroupStateTimeout.NoTimeout

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.context import scratch_folder
@@ -18,40 +21,56 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stored table as a stream; the pattern lets it be one file or a folder of files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return read_stream(spark, f"{folder}/{name}[.]parquet", schema)
+def as_batches(df: DataFrame, name: str, batch: Column, order: list[int]) -> tuple[DataFrame, str]:
+    """Rows as a stream of micro-batches: the rows whose ``batch`` number is ``order[0]`` come first, and so on.
+
+    Returns the stream and its folder. Each batch is one set of files; the source takes as many files at a time as a set has
+    at least, so a set is one micro-batch or several.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    numbered = df.withColumn("_batch", batch)
+    least = None
+    for k in order:
+        before = 0 if least is None else len(spark.read.schema(df.schema).parquet(path).inputFiles())
+        numbered.filter(F.col("_batch") == k).drop("_batch").write.mode("append").parquet(path)
+        made = len(spark.read.schema(df.schema).parquet(path).inputFiles()) - before
+        least = max(1, made if least is None else min(least, made))
+    return read_stream(spark, path, df.schema, files_per_batch=least), path
+
+
+def end_marker(folder: str, schema: T.StructType, time: str) -> Callable[[SparkSession], None]:
+    """Write one more file of the source: a row at the end of time, after which every window before it is closed."""
 
+    def write(spark: SparkSession) -> None:
+        columns = [f"CAST({repr(END_OF_TIME) if f.name == time else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in schema.fields]
+        spark.range(1).selectExpr(*columns).write.mode("append").parquet(folder)
 
-def with_end_marker(stream: DataFrame, time: str) -> DataFrame:
-    """Append one row at the end of time, so that a replay closes all windows (a live stream never needs it).
+    return write
 
-    The marker's own window stays open and is never written.
+
+def run_to_table(stream: DataFrame, name: str, close: Callable[[SparkSession], None] | None = None) -> DataFrame:
+    """Process everything available, exactly once, into a new parquet table and return it.
+
+    ``close`` is called when all is processed; then the job goes on from its checkpoint. With ``end_marker`` the windows that a
+    finite source leaves open are written too (the marker's own window is not).
     """
     spark = stream.sparkSession
-    path = scratch_folder(spark, "end-marker")
-    fields = [T.StructField(f.name, f.dataType, True) for f in stream.schema.fields]
-    empty = spark.range(1).selectExpr(
-        *[
-            f"CAST({repr(END_OF_TIME) if f.name == time else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
-            for f in fields
-        ]
-    )
-    empty.write.parquet(path)
-    return stream.unionByName(read_stream(spark, path, T.StructType(fields)))
-
-
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available, exactly once, into a new parquet table and return it."""
-    folder = scratch_folder(stream.sparkSession, name)
-    job = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    folder = scratch_folder(spark, name)
+
+    def run() -> None:
+        job = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{folder}/rows")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        job.awaitTermination()
+
+    run()
+    if close:
+        close(spark)
+        run()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.carts import read_cart
 from larder.streaming import carts, events
-from larder.streaming.run import read_stream, run_to_table, with_end_marker
+from larder.streaming.run import end_marker, read_stream, run_to_table
 
 
 def stream_of(spark, tmp_path, batches):
@@ -51,21 +51,34 @@ def at(ms):
     return dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms)
 
 
-def test_versions_pass_once(spark, tmp_path):
-    schema = "session_id long, version long, ts timestamp"
-    batches = [spark.createDataFrame([(1, 5, at(0)), (1, 5, at(9))], schema), spark.createDataFrame([(1, 5, at(20)), (1, 6, at(30)), (2, 5, at(30))], schema)]
-    out = run_to_table(events.new_versions(stream_of(spark, tmp_path, batches), ["session_id", "version"]), "t")
-    assert pairs(out, "session_id", "version") == [(1, 5), (1, 6), (2, 5)]
+def test_held_versions(spark, tmp_path):
+    schema = "session_id long, version long, arrival long"
+    batches = [
+        spark.createDataFrame([(1, 5, 1), (1, 5, 0), (2, 7, 2)], schema),
+        spark.createDataFrame([(1, 5, 3), (1, 6, 4), (1, 5, 5), (2, 8, 6)], schema),  # however late, a new version passes
+    ]
+    out = run_to_table(events.new_versions(stream_of(spark, tmp_path, batches)), "t")
+    assert pairs(out, "session_id", "version", "arrival") == [(1, 5, 0), (1, 5, 5), (1, 6, 4), (2, 7, 2), (2, 8, 6)]
+
+
+def test_a_replay_of_many_batches_loses_nothing(spark, tmp_path):
+    schema = "session_id long, change_id long, ts timestamp"
+    day = 86_400_000
+    rows = [(1, 1, at(0)), (1, 2, at(200)), (1, 3, at(400)), (1, 4, at(900)), (2, 5, at(100)), (1, 6, at(40 * day)), (1, 7, at(day))]
+    batches = [spark.createDataFrame([rows[k]], schema) for k in (5, 0, 3, 1, 6, 4, 2)]  # one event a batch, the newest first
+    stream = stream_of(spark, tmp_path, batches)
+    close = end_marker(str(tmp_path / "in"), batches[0].schema, "ts")
+    sent = run_to_table(events.debounced(stream, "change_id", delay=events.REPLAY), "t", close)
+    assert pairs(sent, "session_id", "change_id", "n_changes") == [(1, 3, 3), (1, 4, 1), (1, 6, 1), (1, 7, 1), (2, 5, 1)]
 
 
-def test_debounce_and_counts(spark, tmp_path):
+def test_counts_of_a_replay(spark, tmp_path):
     schema = "session_id long, change_id long, ts timestamp"
-    rows = [(1, 1, at(0)), (1, 2, at(200)), (1, 3, at(400)), (1, 4, at(900)), (2, 5, at(100))]
-    stream = stream_of(spark, tmp_path, [spark.createDataFrame(rows[:2], schema), spark.createDataFrame(rows[2:], schema)])
-    sent = run_to_table(events.debounced(with_end_marker(stream, "ts"), "change_id"), "t")
-    assert pairs(sent, "session_id", "change_id", "n_changes") == [(1, 3, 3), (1, 4, 1), (2, 5, 1)]
-    counts = run_to_table(events.session_counts(with_end_marker(stream, "ts"), "1 hour"), "t")
-    assert pairs(counts, "session_id", "n_events") == [(1, 4), (2, 1)]
+    batches = [spark.createDataFrame([r], schema) for r in [(1, 1, at(7_200_000)), (1, 2, at(0)), (2, 3, at(100)), (1, 4, at(10)), (1, 5, at(7_200_001))]]
+    stream = stream_of(spark, tmp_path, batches)
+    close = end_marker(str(tmp_path / "in"), batches[0].schema, "ts")
+    counts = run_to_table(events.session_counts(stream, "1 hour", delay=events.REPLAY), "t", close)
+    assert pairs(counts, "session_id", "n_events") == [(1, 2), (1, 2), (2, 1)]
 
 
 def test_order_status_joins_the_table(spark, tmp_path):
