@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: One folder per application, below the folder that all executors share.
+_RUN = f"larder-{uuid.uuid4().hex}"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One stored parquet table (a single file or a directory of files)."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that every executor can reach.
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; ``session.remove_run_folder`` deletes it.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local-mode session, where driver and
-    executors are one process, may fall back to a folder of this machine.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. A local session that leaves it unset (driver and executors
+    are one process there) gets a folder below Spark's own local folder, which Spark removes when it ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="larder-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        root = spark.sparkContext._temp_dir
+    return f"{root.rstrip('/')}/{_RUN}"
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder that every executor can reach."""
+    return f"{run_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

@@ -22,37 +22,37 @@ class GateFailed(RuntimeError):
     """At least one blocking gate failed; the message lists all of them."""
 
 
-def share(condition: Column) -> Column:
-    """Part of the rows that meet the condition; 0 when there are no rows."""
-    return F.coalesce(F.try_divide(F.count_if(condition).cast("double"), F.count(F.lit(1))), F.lit(0.0))
-
-
-def _line(df: DataFrame, layer: str, check: str, value: Column, threshold: float, passed, blocking: bool = True):
-    measured = df.agg(value.cast("double").alias("value"))
-    return measured.select(
-        F.lit(layer).alias("layer"),
-        F.lit(check).alias("check_id"),
-        "value",
-        F.lit(float(threshold)).alias("threshold"),
-        F.lit("error" if blocking else "warning").alias("severity"),
-        passed(F.col("value")).alias("passed"),
-    )
-
+def _part(some: Column, all_: Column) -> Column:
+    """Part of the rows; 0 when there are none."""
+    return F.coalesce(F.try_divide(some.cast("double"), all_), F.lit(0.0))
 
-def _at_least(limit: float):
-    return lambda v: v >= limit
 
-
-def _at_most(limit: float):
-    return lambda v: v <= limit
+def share(condition: Column) -> Column:
+    return _part(F.count_if(condition), F.count(F.lit(1)))
+
+
+def _lines(df: DataFrame, layer: str, checks: list[tuple[str, Column, str, float, str]]) -> DataFrame:
+    """All checks (id, value, ``>=`` or ``<=``, threshold, severity) of one layer from one aggregation."""
+    measured = df.agg(*[value.cast("double").alias(name) for name, value, *_ in checks])
+    rows = [
+        F.struct(
+            F.lit(layer).alias("layer"),
+            F.lit(name).alias("check_id"),
+            F.col(name).alias("value"),
+            F.lit(float(limit)).alias("threshold"),
+            F.lit(severity).alias("severity"),
+            (F.col(name) >= limit if sign == ">=" else F.col(name) <= limit).alias("passed"),
+        )
+        for name, _, sign, limit, severity in checks
+    ]
+    return measured.select(F.inline(F.array(*rows)))
 
 
 def smoke_checks(policy: DataFrame, serving: DataFrame, origin: dt.date) -> DataFrame:
     """At least one active policy and one served row of the origin."""
     n = F.count(F.lit(1))
-    return _line(policy.filter("is_active"), "smoke", "active_policies", n, 1, _at_least(1)).unionByName(
-        _line(_of(serving, origin), "smoke", "serving_rows", n, 1, _at_least(1))
-    )
+    active = _lines(policy.filter("is_active"), "smoke", [("active_policies", n, ">=", 1, "error")])
+    return active.unionByName(_lines(_of(serving, origin), "smoke", [("serving_rows", n, ">=", 1, "error")]))
 
 
 def _of(df: DataFrame, origin: dt.date) -> DataFrame:
@@ -67,38 +67,56 @@ def health_report(
     price_bridge: DataFrame,
     origin: dt.date,
 ) -> DataFrame:
-    """One row per check: layer, check, value, threshold, severity, passed."""
-    made, served, active = _of(forecasts, origin), _of(serving, origin), policy.filter("is_active")
-    days = made.groupBy("canonical_dish_id").agg(F.count_distinct("target_date").alias("days"))
-    covered = days.join(active.select("canonical_dish_id", F.lit(True).alias("ok")), "canonical_dish_id", "left")
-    mapped = price_bridge.filter("is_active").select("canonical_dish_id").distinct()
-    visible = mapped.join(
-        served.select("canonical_dish_id").distinct().withColumn("ok", F.lit(True)), "canonical_dish_id", "left"
+    """One row per check: layer, check, value, threshold, severity, passed. Each layer's table is read once.
+
+    Forecast and serving rows are counted per dish first; all shares follow from those counts.
+    """
+    dish = "canonical_dish_id"
+    active = policy.filter("is_active")
+    rows, zeros = F.count(F.lit(1)).alias("n"), F.count_if(F.col("yhat") == 0).alias("zeros")
+    made = _of(forecasts, origin).groupBy(dish).agg(F.count_distinct("target_date").alias("days"), rows, zeros)
+    covered = made.join(active.select(dish).distinct().withColumn("ok", F.lit(True)), dish, "left")
+    served = _of(serving, origin).groupBy(dish).agg(rows, zeros).withColumn("served", F.lit(True))
+    mapped = price_bridge.filter("is_active").select(dish).distinct().withColumn("mapped", F.lit(True))
+    visible = served.join(mapped, dish, "full_outer")
+    n = F.count(F.lit(1))
+    total, none = F.coalesce(F.sum("n"), F.lit(0)), F.sum("zeros")
+    forecast = _lines(
+        covered,
+        "forecast",
+        [
+            ("F1", n, ">=", MIN_FORECAST_DISHES, "error"),
+            ("F2", share(F.col("days") >= HORIZON_DAYS), ">=", MIN_HORIZON_SHARE, "error"),
+            ("F3", _part(none, total), "<=", MAX_ZERO_SHARE, "error"),
+            ("P3", share(F.col("ok").isNotNull()), ">=", 1.0, "warning"),
+        ],
+    ).withColumn("layer", F.when(F.col("check_id") == "P3", "policy").otherwise(F.col("layer")))
+    tested = _lines(
+        backtest,
+        "backtest",
+        [
+            ("B1", F.count_distinct(dish), ">=", MIN_BACKTEST_DISHES, "error"),
+            ("B2", F.count_distinct("model_version"), ">=", MIN_BACKTEST_VERSIONS, "error"),
+        ],
     )
-    n, dishes = F.count(F.lit(1)), F.count_distinct("canonical_dish_id")
-    lines = [
-        _line(days, "forecast", "F1", n, MIN_FORECAST_DISHES, _at_least(MIN_FORECAST_DISHES)),
-        _line(days, "forecast", "F2", share(F.col("days") >= HORIZON_DAYS), MIN_HORIZON_SHARE, _at_least(MIN_HORIZON_SHARE)),
-        _line(made, "forecast", "F3", share(F.col("yhat") == 0), MAX_ZERO_SHARE, _at_most(MAX_ZERO_SHARE)),
-        _line(backtest, "backtest", "B1", dishes, MIN_BACKTEST_DISHES, _at_least(MIN_BACKTEST_DISHES)),
-        _line(
-            backtest, "backtest", "B2", F.count_distinct("model_version"),
-            MIN_BACKTEST_VERSIONS, _at_least(MIN_BACKTEST_VERSIONS),
-        ),
-        _line(active, "policy", "P1", n, 1, _at_least(1)),
-        _line(
-            active, "policy", "P2", share(F.lower("chosen_model_version").like("%baseline%")),
-            MAX_BASELINE_SHARE, _at_most(MAX_BASELINE_SHARE),
-        ),
-        _line(covered, "policy", "P3", share(F.col("ok").isNotNull()), 1.0, _at_least(1.0), blocking=False),
-        _line(served, "serving", "S1", n, 1, _at_least(1)),
-        _line(visible, "serving", "S2", share(F.col("ok").isNotNull()), MIN_SERVING_COVERAGE, _at_least(MIN_SERVING_COVERAGE)),
-        _line(served, "serving", "S3", share(F.col("yhat") == 0), MAX_ZERO_SHARE, _at_most(MAX_ZERO_SHARE)),
-    ]
-    report = lines[0]
-    for line in lines[1:]:
-        report = report.unionByName(line)
-    return report
+    chosen = _lines(
+        active,
+        "policy",
+        [
+            ("P1", n, ">=", 1, "error"),
+            ("P2", share(F.lower("chosen_model_version").like("%baseline%")), "<=", MAX_BASELINE_SHARE, "error"),
+        ],
+    )
+    shown = _lines(
+        visible,
+        "serving",
+        [
+            ("S1", total, ">=", 1, "error"),
+            ("S2", _part(F.count_if(F.col("mapped") & F.col("served")), F.count("mapped")), ">=", MIN_SERVING_COVERAGE, "error"),
+            ("S3", _part(none, total), "<=", MAX_ZERO_SHARE, "error"),
+        ],
+    )
+    return forecast.unionByName(tested).unionByName(chosen).unionByName(shown)
 
 
 def backtest_versions(backtest: DataFrame) -> DataFrame:

@@ -117,8 +117,10 @@ FACT_VALUES = [
 
 def refresh_fact(fact: DataFrame, demand: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Replace or add the fact rows of [start, end]; rows outside the window and rows no longer produced stay."""
-    window = demand.filter(F.col("close_work_date").between(start, end)).select(*FACT_KEYS, *FACT_VALUES)
-    return upsert(fact, window, FACT_KEYS)
+    inside = F.col("close_work_date").between(start, end)
+    window = demand.filter(inside).select(*FACT_KEYS, *FACT_VALUES)
+    # Only the window's rows are joined; the others pass as they are.
+    return upsert(fact.filter(inside), window, FACT_KEYS).unionByName(fact.filter(~F.coalesce(inside, F.lit(False))))
 
 
 def latest_menu(menu: DataFrame) -> DataFrame:
