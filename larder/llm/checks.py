@@ -163,10 +163,10 @@ words AS (SELECT n, edit, unnest(string_split_regex(lower(text), '[ \t\n\v\f\r]+
 weights AS (
   SELECT n, edit, term, ln(CAST(count(*) AS DOUBLE)) AS l, md5(term) AS d FROM words WHERE term <> '' GROUP BY n, edit, term
 ),
-seeds AS (
-  SELECT n, edit, l, [CAST('0x' || substr(d, 1, 8) AS BIGINT), CAST('0x' || substr(d, 9, 8) AS BIGINT),
-    CAST('0x' || substr(d, 17, 8) AS BIGINT), CAST('0x' || substr(d, 25, 8) AS BIGINT)] AS p FROM weights
+halves AS (
+  SELECT n, edit, l, CAST('0x' || substr(d, 1, 15) AS BIGINT) AS h0, CAST('0x' || substr(d, 17, 15) AS BIGINT) AS h1 FROM weights
 ),
+seeds AS (SELECT n, edit, l, [h0 & 1073741823, h0 >> 30, h1 & 1073741823, h1 >> 30] AS p FROM halves),
 raw AS (
   SELECT n, edit, l, p[1] AS p0, k, [(p[1] + (5 * k + 1) * p[2]) & 4294967295, (p[2] + (5 * k + 2) * p[3]) & 4294967295,
     (p[3] + (5 * k + 3) * p[4]) & 4294967295, (p[4] + (5 * k + 4) * p[1]) & 4294967295, (p[1] + (5 * k + 5) * p[3]) & 4294967295] AS x

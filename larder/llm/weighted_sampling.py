@@ -6,7 +6,7 @@ digest, r and c from Gamma(2, 1) and beta from U(0, 1); with ``t = floor(ln w /
 with the probability of their generalised Jaccard similarity, sum of min(w) over sum of max(w), so the share of equal samples
 estimates it. A sample is kept as 32 bits; a fingerprint is ``SAMPLES`` of them in hexadecimal.
 
-Draws: the MD5 of a term gives four 32-bit words. The five uniform numbers of sample k are ``mix(word_a + z word_b)`` for
+Draws: the MD5 of a term gives four 30-bit words. The five uniform numbers of sample k are ``mix(word_a + z word_b)`` for
 z = 5k + 1 to 5k + 5 and changing pairs of words, where ``mix`` is a bijective scramble of 32 bits. Everything is whole-number
 arithmetic and three logarithms, which another engine can repeat exactly. The expressions are kept free of NULLs and small:
 a generated method beyond 8000 bytes of code would run uncompiled, so ``GROUP`` samples are computed per row and step.
@@ -17,7 +17,7 @@ and share their draws. Only ids are sorted to find the next document; the text m
 asked for. No document group exists, so there is no hot key; copies of a text are only equal in their results.
 
 Defined cases: NULL is the empty text; a text without words has the fingerprint ``EMPTY``, which is like itself (1) and
-unlike all others (0); documents are ordered by descending doc_id, NULL last, equal ids by the MD5 of their text; rows equal in
+unlike all others (0); documents are ordered by descending doc_id, NULL last, equal ids by a hash of their text; rows equal in
 id and text are one document and repeated in the result; a single document is its own successor; an empty table gives no rows;
 other columns are neither read nor returned.
 """
@@ -43,8 +43,15 @@ FIRST, SECOND, SPREAD = 0x05EBCA6B, 0x42B2AE35, 0x1E3779B1
 NOTHING = 1 << 62
 
 
-def _word(md5: Column, k: int) -> Column:
-    return F.coalesce(F.conv(F.substring(md5, 1 + 8 * k, 8), 16, 10).cast("long"), F.lit(0).cast("long"))
+#: A document's key: two 64-bit hashes of its id and text.
+KEY = ["k1", "k2"]
+#: Documents in one task of the counting stage, so that its hash tables fit into memory at any size of the input.
+TASK_DOCUMENTS = 1500
+
+
+def _half(md5: Column, k: int) -> Column:
+    """60 bits of a digest; two words of 30 bits."""
+    return F.coalesce(F.conv(F.substring(md5, 1 + 16 * k, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def _mix(x: Column) -> Column:
@@ -77,32 +84,35 @@ def _packed(k: int, log_weight: str, t: Column) -> Column:
 
 
 def term_weights(texts: DataFrame, columns: list[str]) -> DataFrame:
-    """``key, term`` and, for each text column, ``w_<column>``: how often the term occurs. Rows must be placed by ``key``."""
+    """The key, ``term`` and, for each text column, ``w_<column>``: how often the term occurs. Rows must be placed by the key."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("text")) for i, c in enumerate(columns)]))
-    long = texts.select("key", each.alias("e")).select("key", "e.which", F.lower("e.text").alias("text"))
-    words = long.select("key", "which", F.explode(F.split("text", r"[ \t\n\u000B\f\r]+")).alias("term")).filter("term != ''")
+    long = texts.select(*KEY, each.alias("e")).select(*KEY, "e.which", F.lower("e.text").alias("text"))
+    words = long.select(*KEY, "which", F.explode(F.split("text", r"[ \t\n\u000B\f\r]+")).alias("term")).filter("term != ''")
     counts = [F.sum(F.when(F.col("which") == i, 1).otherwise(0)).alias(f"w_{c}") for i, c in enumerate(columns)]
-    return words.groupBy("key", "term").agg(*counts)
+    return words.groupBy(*KEY, "term").agg(*counts)
 
 
 def signatures(weights: DataFrame, columns: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``key`` and, for each column, ``s_<column>``: the array of samples (NULL without terms). Rows must be placed by ``key``."""
+    """The key and, for each column, ``s_<column>``: the array of samples (NULL without terms). Rows must be placed by the key."""
     logs = {f"l_{c}": F.when(F.col(f"w_{c}") > 0, F.coalesce(F.log(F.col(f"w_{c}").cast("double")), F.lit(-1.0))).otherwise(-1.0) for c in columns}
     drawn = weights.withColumn("d", F.md5(F.col("term").cast("binary")))
-    drawn = drawn.select("key", *[v.alias(n) for n, v in logs.items()], *[_word(F.col("d"), k).alias(f"p{k}") for k in range(4)])
+    drawn = drawn.select(*KEY, *[v.alias(n) for n, v in logs.items()], *[_half(F.col("d"), k).alias(f"h{k}") for k in range(2)])
+    low = (1 << 30) - 1
+    words = [w for k in range(2) for w in (F.col(f"h{k}").bitwiseAND(low), F.shiftright(f"h{k}", 30))]
+    drawn = drawn.select(*KEY, *logs, *[w.alias(f"p{k}") for k, w in enumerate(words)])
     groups = -(-samples // GROUP)
     drawn = drawn.select("*", F.explode(F.array(*[F.lit(g).cast("long") for g in range(groups)])).alias("g"))
     mixed, values = draws(F.col("g"))
-    drawn = drawn.select("key", "g", "p0", *logs, *[v.alias(n) for n, v in mixed.items()])
-    drawn = drawn.select("key", "g", "p0", *logs, *[v.alias(n) for n, v in values.items()])
+    drawn = drawn.select(*KEY, "g", "p0", *logs, *[v.alias(n) for n, v in mixed.items()])
+    drawn = drawn.select(*KEY, "g", "p0", *logs, *[v.alias(n) for n, v in values.items()])
     step = {f"t_{c}_{k}": F.floor(F.col(f"l_{c}") / F.col(f"r{k}") + F.col(f"b{k}")) for c in columns for k in range(GROUP)}
     stepped = drawn.select("*", *[v.alias(n) for n, v in step.items()])
     least = [F.min(_packed(k, f"l_{c}", F.col(f"t_{c}_{k}"))).alias(f"m_{c}_{k}") for c in columns for k in range(GROUP)]
-    minima = stepped.groupBy("key", "g").agg(*least)
+    minima = stepped.groupBy(*KEY, "g").agg(*least)
     whole = lambda m: F.when(m < NOTHING, m.bitwiseAND(MASK))
-    parts = minima.select("key", "g", *[F.array(*[whole(F.col(f"m_{c}_{k}")) for k in range(GROUP)]).alias(c) for c in columns])
-    joined = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("g", *columns))).alias("all"))
-    return joined.select("key", *[_whole(c, samples).alias(f"s_{c}") for c in columns])
+    parts = minima.select(*KEY, "g", *[F.array(*[whole(F.col(f"m_{c}_{k}")) for k in range(GROUP)]).alias(c) for c in columns])
+    joined = parts.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("g", *columns))).alias("all"))
+    return joined.select(*KEY, *[_whole(c, samples).alias(f"s_{c}") for c in columns])
 
 
 def _whole(c: str, samples: int) -> Column:
@@ -125,31 +135,32 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """``doc_id, n_chars, fingerprint, edited_text's digest and fingerprint, likeness to it and to the next document``."""
     raw = F.coalesce(text, F.lit(""))
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(raw.cast("binary")))
-    rows = docs.select("doc_id", key.alias("key"), raw.alias("text"))
+    keys = (F.xxhash64("doc_id", raw).alias("k1"), F.xxhash64(raw, F.lit(1), "doc_id").alias("k2"))
+    rows = docs.select("doc_id", *keys, raw.alias("text"))
 
-    ids = rows.groupBy("key").agg(
+    ids = rows.groupBy(*KEY).agg(
         F.first("doc_id").alias("doc_id"), F.first(F.length("text").cast("long")).alias("n_chars"), F.count(F.lit(1)).alias("copies")
     )
-    order = [F.col("doc_id").desc_nulls_last(), F.col("key").asc()]
+    order = [F.col("doc_id").desc_nulls_last(), *map(F.col, KEY)]
     ids = materialize(numbered(ids, order, "number", "fingerprint-order"), "fingerprint-ids")
     total, repeated = ids.agg(F.count(F.lit(1)), F.coalesce(F.max("copies"), F.lit(0)) > 1).first()
-    follower = ids.select(F.col("key").alias("next_key"), F.col("number").alias("_n"))
+    follower = ids.select(F.col("k1").alias("next_k1"), F.col("k2").alias("next_k2"), F.col("number").alias("_n"))
     chain = ids.join(follower, F.pmod(ids["number"] + 1, F.lit(max(total, 1))) == follower["_n"]).drop("_n", "number")
 
-    texts = rows.select("key", "text")
-    texts = texts.dropDuplicates(["key"]) if repeated else texts
-    asked = chain.select(F.col("key").alias("for_key"), F.col("next_key").alias("key"), F.expr("cast(n_chars div 2 as int)").alias("take"))
-    heads = texts.join(asked, "key").select(F.col("for_key").alias("key"), "take", F.expr("left(text, take)").alias("head"))
-    both = texts.join(heads, "key").select(
-        "key", F.col("text").alias("own"), F.concat(F.expr("left(text, length(text) - take)"), F.col("head")).alias("edited")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_DOCUMENTS)
+    texts = rows.select(*KEY, "text")
+    texts = (texts.dropDuplicates(KEY) if repeated else texts).repartition(tasks, *KEY)
+    asked = chain.select(*[F.col(k).alias(f"for_{k}") for k in KEY], *[F.col(f"next_{k}").alias(k) for k in KEY], F.expr("cast(n_chars div 2 as int)").alias("take"))
+    heads = texts.join(asked, KEY).select(*[F.col(f"for_{k}").alias(k) for k in KEY], "take", F.expr("left(text, take)").alias("head"))
+    both = texts.join(heads.repartition(tasks, *KEY), KEY).select(
+        *KEY, F.col("text").alias("own"), F.concat(F.expr("left(text, length(text) - take)"), F.col("head")).alias("edited")
     )
-    digests = both.select("key", F.sha2("edited", 256).alias("edited_sha256"))
+    digests = both.select(*KEY, F.sha2("edited", 256).alias("edited_sha256"))
     found = signatures(term_weights(both, ["own", "edited"]), ["own", "edited"], samples)
-    marks = materialize(digests.join(found, "key", "left"), "fingerprint-samples")
+    marks = materialize(digests.join(found, KEY, "left"), "fingerprint-samples")
 
-    after = marks.select(F.col("key").alias("next_key"), F.col("s_own").alias("s_next"))
-    out = chain.join(marks, "key").join(after, "next_key")
+    after = marks.select(*[F.col(k).alias(f"next_{k}") for k in KEY], F.col("s_own").alias("s_next"))
+    out = chain.join(marks, KEY).join(after, [f"next_{k}" for k in KEY])
     out = out.withColumns(
         {
             "fingerprint": text_form(F.col("s_own")), "edited_fingerprint": text_form(F.col("s_edited")),

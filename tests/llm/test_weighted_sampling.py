@@ -27,7 +27,8 @@ def signature(text, samples):
         best = None
         for term, w in weights.items():
             d = hashlib.md5(term.encode()).hexdigest()
-            p = [int(d[i : i + 8], 16) for i in (0, 8, 16, 24)]
+            h = [int(d[i : i + 15], 16) for i in (0, 16)]
+            p = [h[0] & (2**30 - 1), h[0] >> 30, h[1] & (2**30 - 1), h[1] >> 30]
             pairs = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2)]
             u = [(mix((p[a] + (5 * k + j + 1) * p[b]) & M) + 0.5) / (M + 1) for j, (a, b) in enumerate(pairs)]
             r, c, beta = -math.log(u[0] * u[1]), math.log(-math.log(u[2] * u[3])), u[4]
