@@ -61,6 +61,11 @@ def lookup(requests: DataFrame, details: DataFrame, key: str, error: str) -> Dat
     return joined.withColumn("error", F.when(F.col("_found").isNull(), error)).drop("_found")
 
 
+ITEM_FIELDS = ["dish_id", "name", "size_label", "note", "extra_data", "quantity", "unit_price"]
+#: Fields of an order that an edit may set, beside its items; contact fields where the table has them.
+HEAD_FIELDS = ["status", "note", "contact_name", "contact_phone"]
+
+
 def edit_errors(orders: DataFrame, items: DataFrame, edits: DataFrame, patches: DataFrame) -> DataFrame:
     """(order_id, error): orders whose edit must not be applied at all, with the first error in rule order."""
     stored = orders.select("order_id", F.lit(True).alias("_stored"))
@@ -94,9 +99,10 @@ def edit_errors(orders: DataFrame, items: DataFrame, edits: DataFrame, patches:
 def edit_items(items: DataFrame, patches: DataFrame) -> DataFrame:
     """Item rows after the patches: set fields overwrite, a quantity of 0 or less deletes, rows without id are new.
 
-    ``items`` and ``patches`` share the columns order_id, order_item_id, dish_id, name, quantity, unit_price.
+    ``items`` and ``patches`` share the columns order_id, order_item_id and the fields that an edit may set (``ITEM_FIELDS``); both may
+    lack the same ones of the optional fields.
     """
-    fields = ["dish_id", "name", "quantity", "unit_price"]
+    fields = [c for c in ITEM_FIELDS if c in items.columns]
     changed = patches.filter("order_item_id is not null").select(
         "order_id", "order_item_id", F.nullif(F.col("name"), F.lit("")).alias("_name"),
         *[F.col(c).alias(f"_{c}") for c in fields if c != "name"],
@@ -123,7 +129,8 @@ def edit_orders(
     good_patches = patches.join(errors, "order_id", "left_anti")
     new_items = edit_items(items, good_patches)
     touched = patches.select("order_id").distinct().withColumn("_touched", F.lit(True))
-    changed = good_edits.select("order_id", F.col("status").alias("_status"), F.col("note").alias("_note"))
+    heads = [c for c in HEAD_FIELDS if c in orders.columns]
+    changed = good_edits.select("order_id", *[(F.col(c) if c in good_edits.columns else F.lit(None)).alias(f"_{c}") for c in heads])
     state = (
         orders.join(changed, "order_id", "left")
         .join(order_totals(new_items).select("order_id", F.col("total_amount").alias("_total")), "order_id", "left")
@@ -134,8 +141,7 @@ def edit_orders(
     return (
         state.select(
             "order_id",
-            F.coalesce("_status", "status").alias("status"),
-            F.coalesce("_note", "note").alias("note"),
+            *[F.coalesce(f"_{c}", c).alias(c) for c in heads],
             F.when(recalculated, F.coalesce("_total", F.lit(0).cast("decimal(18,2)")))
             .otherwise(F.col("total_amount"))
             .alias("total_amount"),

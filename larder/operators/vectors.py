@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.context import materialize
 from larder.operators.grouping import top_per_key
 
 BLOCK = 1_024
@@ -26,12 +27,16 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    width = len(column[0])
+    widths = np.unique(column.value_lengths().to_numpy(zero_copy_only=False))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different length: {widths[:5].tolist()}")
+    width = int(widths[0])
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
 def _blocks(requests: DataFrame) -> Iterator[list]:
     """Request rows (request_id, vector, tags) in blocks of at most ``BLOCK``, in id order, one driver-sized block at a time."""
+    requests = materialize(requests, "vector-requests")  # the blocks read this copy, not the query behind it
     last = None
     while True:
         rest = requests if last is None else requests.filter(F.col("request_id") > F.lit(last))
@@ -47,7 +52,11 @@ def _blocks(requests: DataFrame) -> Iterator[list]:
 def _scored(corpus: DataFrame, block: list, k: int, threshold: float | None, skip_self: bool, by_tag: bool) -> DataFrame:
     ids = np.array([r.request_id for r in block])
     wanted = _unit(np.array([r.vector for r in block], dtype=np.float64))
-    tags = [set(r.tags or []) for r in block]
+    tag_at = {t: i for i, t in enumerate(sorted({t for r in block for t in r.tags or []}))}
+    asked = np.zeros((len(tag_at), len(block)), dtype=np.float32)
+    for j, r in enumerate(block):
+        asked[[tag_at[t] for t in r.tags or []], j] = 1
+    untagged = asked.sum(axis=0) == 0
     schema = pa.schema([("request_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +65,12 @@ def _scored(corpus: DataFrame, block: list, k: int, threshold: float | None, ski
                 continue
             vec_ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             sims = _unit(_matrix(batch.column("vector"))) @ wanted.T
-            own = batch.column("tags").to_pylist() if by_tag else None
+            if by_tag:
+                own = np.zeros((len(vec_ids), len(tag_at)), dtype=np.float32)
+                for i, row in enumerate(batch.column("tags").to_pylist()):
+                    own[i, [tag_at[t] for t in row or [] if t in tag_at]] = 1
+                shared = (own @ asked > 0) | untagged
+            rounded = np.round(sims, 12)  # the order that counts
             out = []
             for j in range(len(ids)):
                 score, keep = sims[:, j], np.ones(len(vec_ids), dtype=bool)
@@ -64,12 +78,12 @@ def _scored(corpus: DataFrame, block: list, k: int, threshold: float | None, ski
                     keep &= vec_ids != ids[j]
                 if threshold is not None:
                     keep &= score >= threshold
-                if by_tag and tags[j]:
-                    keep &= np.array([bool(tags[j].intersection(t or [])) for t in own])
+                if by_tag:
+                    keep &= shared[:, j]
                 rows = np.flatnonzero(keep)
                 if len(rows) > k:  # every row as good as the k-th best stays, ties included
-                    kth = np.partition(score[rows], len(rows) - k)[len(rows) - k]
-                    rows = rows[score[rows] >= kth]
+                    kth = np.partition(rounded[rows, j], len(rows) - k)[len(rows) - k]
+                    rows = rows[rounded[rows, j] >= kth]
                 out.append((np.full(len(rows), ids[j]), vec_ids[rows], score[rows]))
             columns = [np.concatenate(c) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)

@@ -161,12 +161,48 @@ UNION ALL SELECT order_id, round(unit_price, 2), quantity FROM good WHERE order_
 )
 def order_edit(spark: SparkSession, folder: str) -> DataFrame:
     """Edits and item patches over all orders; some name unknown orders, items or states."""
+    return _edited(spark, folder)[0]
+
+
+@query(
+    b.with_(
+        ["patch", "edit", "ord", "oitem"],
+        """SELECT o.order_id, o.order_item_id, o.dish_id, coalesce(g.name, 'dish ' || o.dish_id) AS name,
+  CASE WHEN g.order_item_id IS NOT NULL AND line_no = 2 THEN 'XL' WHEN line_no % 2 = 0 THEN 'L' END AS size_label,
+  CASE WHEN g.order_item_id IS NOT NULL AND line_no = 3 THEN 'hot' WHEN line_no = 3 THEN 'cold' END AS note,
+  CASE WHEN g.order_item_id IS NOT NULL AND line_no = 2 THEN '{"spice":1}' END AS extra_data,
+  coalesce(g.quantity, o.quantity) AS quantity, CAST(round(coalesce(g.unit_price, o.unit_price), 2) AS DOUBLE) AS unit_price
+FROM oitem o LEFT JOIN good g ON g.order_item_id = o.order_item_id WHERE coalesce(g.quantity, 1) > 0
+UNION ALL SELECT order_id, NULL, NULL, name, 'S', NULL, NULL, quantity, CAST(round(unit_price, 2) AS DOUBLE) FROM good WHERE order_item_id IS NULL""",
+        errs="""SELECT DISTINCT order_id FROM (
+  SELECT order_id FROM edit WHERE order_id NOT IN (SELECT order_id FROM ord) OR status = 'eaten'
+  UNION ALL SELECT order_id FROM patch WHERE order_item_id IS NOT NULL AND order_item_id NOT IN (SELECT order_item_id FROM oitem)
+  UNION ALL SELECT order_id FROM patch WHERE order_item_id IS NULL AND name IS NULL)""",
+        good="SELECT * FROM patch ANTI JOIN errs USING (order_id)",
+    )
+)
+def order_edit_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The item rows after the same edits, with size, note and further data."""
+    return _edited(spark, folder)[1]
+
+
+def _edited(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     head, items = orders(spark, folder), materialize(order_items(spark, folder), "order-items")
+    items = items.withColumns(
+        {
+            "size_label": F.expr("IF(line_no % 2 = 0, 'L', NULL)"),
+            "note": F.expr("IF(line_no = 3, 'cold', NULL)"),
+            "extra_data": F.lit(None).cast("string"),
+        }
+    )
     changed = items.filter("line_no <= 3 and order_id % 4 <> 1").selectExpr(
         "order_id",
         "order_item_id + IF(order_id % 23 = 0, 1000000007, 0) AS order_item_id",
         "CAST(NULL AS BIGINT) AS dish_id",
         "IF(line_no = 2, 'renamed', NULL) AS name",
+        "IF(line_no = 2, 'XL', NULL) AS size_label",
+        "IF(line_no = 3, 'hot', NULL) AS note",
+        "IF(line_no = 2, '{\"spice\":1}', NULL) AS extra_data",
         "CASE WHEN line_no = 1 THEN 0 WHEN line_no = 2 THEN quantity + 1 END AS quantity",
         "IF(line_no = 3, CAST(12.345 AS DECIMAL(18,4)), NULL) AS unit_price",
     )
@@ -175,6 +211,9 @@ def order_edit(spark: SparkSession, folder: str) -> DataFrame:
         "CAST(NULL AS BIGINT) AS order_item_id",
         "CAST(NULL AS BIGINT) AS dish_id",
         "IF(order_id % 29 = 0, NULL, 'extra') AS name",
+        "'S' AS size_label",
+        "CAST(NULL AS STRING) AS note",
+        "CAST(NULL AS STRING) AS extra_data",
         "3L AS quantity",
         "CAST(50.005 AS DECIMAL(18,4)) AS unit_price",
     )
@@ -183,8 +222,7 @@ def order_edit(spark: SparkSession, folder: str) -> DataFrame:
         "CASE WHEN order_id % 37 = 0 THEN 'eaten' WHEN order_id % 2 = 0 THEN 'ready' END AS status",
         "IF(order_id % 3 = 0, 'edited', NULL) AS note",
     )
-    state, _ = ops.edit_orders(head, items.drop("line_no"), edits, changed.unionByName(added))
-    return state
+    return ops.edit_orders(head, items.drop("line_no"), edits, changed.unionByName(added))
 
 
 # --- cart bindings ---------------------------------------------------------------------------------------------------
@@ -401,6 +439,19 @@ def cart_checkout(spark: SparkSession, folder: str) -> DataFrame:
     return carts.checkout(requests, "session_id", "request_id", dishes, orders(spark, folder))
 
 
+@query(
+    b.with_(
+        ["req", "citem"],
+        """SELECT request_id, CASE WHEN id IN (SELECT p_partkey FROM part) THEN id END AS dish_id, name, size AS size_label, note, qty AS quantity,
+  CAST(round(price, 2) AS DOUBLE) AS unit_price, CAST(round(price * qty, 2) AS DOUBLE) AS line_total FROM citem""",
+    )
+)
+def checkout_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The order lines that these checkouts write."""
+    dishes = table(spark, folder, "part").select(F.col("p_partkey").alias("dish_id"))
+    return carts.order_lines(cart_requests(spark, folder), ["request_id"], dishes)
+
+
 @query(
     b.with_(
         ["req", "citem"],
