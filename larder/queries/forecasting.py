@@ -217,6 +217,25 @@ def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("canonical_dish_id", "target_date", "yhat")
 
 
+@query(
+    b.with_(
+        ["panel"],
+        """SELECT 6 * count(DISTINCT canonical_dish_id) AS n_rows, count(DISTINCT canonical_dish_id) AS n_dishes, 0 AS n_missing, 0 AS n_negative,
+  0 AS n_fractions FROM panel""",
+    )
+)
+def gbt_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold for these scores whatever the trees learned: one whole, non-negative number for each dish and day."""
+    rows = gbt_scores(spark, folder)
+    return rows.agg(
+        F.count_distinct("canonical_dish_id", "target_date").alias("n_rows"),
+        F.count_distinct("canonical_dish_id").alias("n_dishes"),
+        F.count_if(F.col("yhat").isNull()).alias("n_missing"),
+        F.count_if(F.col("yhat") < 0).alias("n_negative"),
+        F.count_if(F.col("yhat") != F.floor("yhat")).alias("n_fractions"),
+    )
+
+
 @query(b.with_(["mae"], "SELECT canonical_dish_id, model_version, n_rows, round(mae, 6) AS mae FROM mae"))
 def mae_by_dish(spark: SparkSession, folder: str) -> DataFrame:
     return policies.mae_by_dish(b.backtest(spark, folder)).withColumn("mae", F.round("mae", 6))
@@ -346,6 +365,27 @@ def weekly_run(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    b.with_(
+        ["fc"],
+        f"""SELECT canonical_dish_id, CAST(origin AS VARCHAR) AS forecast_origin_date, CAST(target_date AS VARCHAR) AS target_date,
+  CAST(yhat AS DOUBLE) AS yhat, model_version, 'weekly' AS run_id
+FROM fc WHERE origin = DATE '{b.ORIGIN}' AND model_version = 'baseline_k4'""",
+    )
+)
+def weekly_rerun(spark: SparkSession, folder: str) -> DataFrame:
+    """The same weekly job twice over the stored fact: the second run updates its rows in place."""
+    from larder.context import scratch_folder
+
+    run = weekly.WeeklyRun(origin=b.ORIGIN, run_id="weekly", baseline_version="baseline_k4")
+    path, history = scratch_folder(spark, "forecast-fact"), b.stored_panel(spark, folder)
+    weekly.weekly_forecast(history, run, path)
+    weekly.weekly_forecast(history, run, path, stored=spark.read.parquet(path))
+    return spark.read.parquet(path).select(
+        "canonical_dish_id", "forecast_origin_date", "target_date", "yhat", "model_version", "run_id"
+    )
+
+
 @query(
     b.with_(
         ["serving", "policy"],
