@@ -14,13 +14,15 @@ if B is in at least T = ceil(85 (|A| + |B|) / 185) of the inverted lists of A's
    of the block of sets that it leads: the longest lists are put aside, the short ones are heap-merged, and sets that occur
    often enough are probed by binary search in the long ones. Sets that reach T link to the leader.
 4. **Rounds.** First each set is searched by the leader that it shares most buckets with, then by its other leaders if these
-   are still in another component. Last, buckets that still hold several components are searched across them. A pair inside
-   one component adds nothing to the result, so groups of near copies never unfold into all pairs.
+   are still in another component. Last, buckets that still hold several components are compared across them by
+   sketches of parity bits, in which sets that link differ in at most H places: first only for as many pairs as could join the
+   components, then, where some of these did not link, for all pairs that are left. What the sketches let pass goes to the
+   search. A pair inside one component adds nothing to the result, so groups of near copies never unfold into all pairs.
 
 Scale: one scan emits about a quarter of a bucket row per shingle, one shuffle brings them together; texts are read a second time
 for the sets that have a candidate, found with a filter of fixed size (``FILTER_BYTES``, the only thing that is broadcast).
 A bucket that is hot inside a map task is cut into sub-buckets whose leaders stand for them in the bucket itself; a leader
-with many sets has several blocks. Set ids are 64-bit digests.
+with many sets has several blocks, and an open bucket is compared in squares of ``CHUNK_SETS`` sets. Set ids are 64-bit digests.
 
 Defined cases: NULL or blank texts have no shingles and link with nothing; texts with fewer words than four have one shingle;
 NULL ``doc_id`` rows take part, and a component's id is its smallest id that is not NULL; repeated rows stay; an empty table gives
@@ -48,6 +50,8 @@ PART, LEAST = 100, 85
 BAND_GROWTH, PART_SHINGLES, FIRST_BAND = 1.5, 4, 11
 #: Members of a bucket in one map task, and sets in one search block.
 BUCKET_ROWS, BLOCK_SETS = 1024, 512
+#: Sides of the squares in which an open bucket is compared.
+CHUNK_SETS = 1024
 FILTER_BYTES, FILTER_CHUNKS = 8 << 20, 16
 #: Weight of a probe against a merge step when choosing how many lists are long.
 PROBE_COST = 0.0085
@@ -65,37 +69,81 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    """64-bit hashes of words; emptied when it grows beyond a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def _all_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+    with np.errstate(over="ignore"):
+        forth, back = np.full(n, _M3, dtype=_U), np.full(n, _U(pow(int(_M3), -1, 1 << 64)), dtype=_U)
+        forth[0] = back[0] = 1
+        return np.cumprod(forth), np.cumprod(back)
+
+
+PIECE = 1 << 18
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_BYTE = mix(np.arange(256, dtype=_U) ^ _M2)
+_FORTH, _BACK = _all_powers(PIECE)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers, from a table up to ``PIECE``."""
+    return (_FORTH[:n], _BACK[:n]) if n <= len(_FORTH) else _all_powers(n)
+
+
+def _piece_hashes(raw: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each word of some bytes: differences of one running sum, moved back to the word's start."""
+    forth, back = powers(len(raw))
+    inside = ~_SPACE[raw]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(raw) and inside[0]:
+        edge = np.concatenate([[0], edge])
+    if len(edge) % 2:
+        edge = np.append(edge, len(raw))
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(len(raw) + 1, dtype=_U)
+    with np.errstate(over="ignore"):
+        np.cumsum(_BYTE[raw] * forth, out=total[1:])
+        return (total[end] - total[start]) * back[start] + (end - start).astype(_U) * _M1
 
 
-def shingles(text: str | None, words: _Words, n: int = WORDS) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text.
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text.
 
-    ``bytes.lower`` changes A-Z only and ``bytes.split`` cuts at blank and 0x09 to 0x0D only, which is the word definition.
+    ``bytes.lower`` changes A-Z only; words end at blank and 0x09 to 0x0D. Very long texts are hashed in pieces that end at a
+    word's end.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, dtype=_U)
-    h = np.fromiter(map(words.__getitem__, found), dtype=_U, count=len(found))
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+    out, at = [], 0
+    while len(raw) - at > PIECE:
+        gap = np.flatnonzero(_SPACE[raw[at : at + PIECE]])
+        if len(gap):
+            end = at + int(gap[-1]) + 1
+        else:  # one word is longer than a piece
+            later = np.flatnonzero(_SPACE[raw[at:]])
+            end = at + int(later[0]) + 1 if len(later) else len(raw)
+        out.append(_piece_hashes(raw[at:end]))
+        at = end
+    out.append(_piece_hashes(raw[at:]))
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
+def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    h = mix(word_hashes(text))
+    if not len(h):
+        return h
     with np.errstate(over="ignore"):
         if len(h) < n:
             code = np.array([len(h)], dtype=_U)
             for k in range(len(h)):
                 code = mix(code * _M2 + h[k])
             return code
-        code = h[: len(h) - n + 1]
+        code = h[: len(h) - n + 1].copy()
         for k in range(1, n):
-            code = mix(code * _M3 + h[k : len(h) - n + 1 + k])
-    return np.unique(code)
+            code *= _M3
+            code += h[k : len(h) - n + 1 + k]
+    code = mix(code)
+    code.sort()
+    return code[np.concatenate([[True], code[1:] != code[:-1]])]
 
 
 def set_id(s: np.ndarray) -> int:
@@ -130,6 +178,13 @@ def required(a: int, b: int) -> int:
     return -(-LEAST * (a + b) // (PART + LEAST))
 
 
+def _deal(s: np.ndarray, band: int, parts: int) -> np.ndarray:
+    """The part of each shingle (which is well mixed already)."""
+    with np.errstate(over="ignore"):
+        place = (s * (_M1 + _U(2 * band)) >> _U(32)) % _U(parts)
+    return place.astype(np.uint16 if parts <= 0xFFFF else np.int64)  # numpy sorts 16 bits by radix
+
+
 def bucket_keys(s: np.ndarray) -> np.ndarray:
     """The buckets of one shingle set."""
     size = len(s)
@@ -137,24 +192,42 @@ def bucket_keys(s: np.ndarray) -> np.ndarray:
         return np.empty(0, dtype=_U)
     need = differing(size) + 1
     band = int(np.searchsorted(EDGES, size))
+    content = mix(s ^ _M2)
     out = []
     for g in (band, band + 1) if _most(size) > EDGES[band] else (band,):
         parts = 64 if g == 0 else max(-(-EDGES[g] // PART_SHINGLES), differing(EDGES[g]) + 5)
+        place = _deal(s, g, parts)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        count = np.diff(np.append(starts, size)).astype(_U)
         with np.errstate(over="ignore"):
-            place = mix(s ^ _U(g)) % _U(parts)
-            order = np.argsort(place, kind="stable")
-            place = place[order]
-            starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            content = np.add.reduceat(mix(s ^ _M2)[order], starts)
-            count = np.diff(np.append(starts, size))
-            keys = mix(content + mix(place[starts] * _M1 + _U(g)) + count.astype(_U))
-            if len(keys) < need:
-                out += [keys, mix(np.array([g], dtype=_U) + _M3)]
-            else:
-                out.append(keys[np.lexsort((keys, -count))[:need]])
+            total = np.add.reduceat(content[order], starts)
+            keys = mix(total + (place[starts].astype(_U) + _U(g << 32)) * _M1 + count)
+        if len(keys) < need:
+            out += [keys, mix(np.array([g], dtype=_U) + _M3)]
+        elif len(keys) == need:
+            out.append(keys)
+        else:  # parts with many shingles first, then by key
+            rank = (_U(255) - np.minimum(count, _U(255))) << _U(56) | keys >> _U(8)
+            out.append(keys[np.argpartition(rank, need - 1)[:need]])
     return np.concatenate(out)
 
 
+def sketches(s: np.ndarray) -> tuple[bytes, bytes]:
+    """A parity bit for each of many parts, for the set's own band and for the next one.
+
+    A shingle that only one of two sets has flips one bit at most, so linked sets differ in at most ``differing`` bits; and
+    with four parts per shingle few flips cancel, so sets that do not link mostly differ in more.
+    """
+    band = int(np.searchsorted(EDGES, len(s)))
+    out = []
+    for g in (band, band + 1):
+        bits = -(-EDGES[g] // 16) * 64
+        out.append(np.packbits(np.bincount(_deal(s, g + 64, bits), minlength=bits) & 1).tobytes())
+    return out[0], out[1]
+
+
 def divide_skip(lists: list[np.ndarray], need: int) -> dict[int, int]:
     """Members of at least ``need`` of the sorted lists, with the number of lists that hold them."""
     if need <= 0 or len(lists) < need:
@@ -213,10 +286,6 @@ def search(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
 # --- the same on Spark ------------------------------------------------------------------------------------------------
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(_U).view(np.int64)
-
-
 def _split_hot(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, root, id) rows of one map task: equal rows once, and buckets above ``BUCKET_ROWS`` cut into sub-buckets."""
     order = np.lexsort((ids, keys))
@@ -233,26 +302,38 @@ def _split_hot(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
         # the sub-bucket is named by its first id, so sub-buckets of other tasks stay apart
         head = ids[np.flatnonzero(lead)][np.cumsum(lead)[hot] - 1]
         with np.errstate(over="ignore"):
-            bucket[hot] = _signed(mix(keys[hot].view(_U) ^ mix(head.view(_U))))
+            bucket[hot] = mix(keys[hot].view(_U) ^ mix(head.view(_U))).view(np.int64)
     return np.concatenate([bucket, keys[lead]]), np.concatenate([keys, keys[lead]]), np.concatenate([ids, ids[lead]])
 
 
-def _emit_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words, seen, keys, ids = _Words(), set(), [], []
+#: Rows of the one scan: a set row for each document, and bucket rows of its classes.
+SCAN = "is_set boolean, doc_id string, mark long, n_shingles int, id long, bucket long, root long"
+
+
+def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen, keys, ids = set(), [], []
     for frame in frames:
+        own, sizes = [], []
         for text in frame["text"]:
-            s = shingles(text, words)
+            s = shingles(text)
             i = set_id(s)
+            own.append(i)
+            sizes.append(len(s))
             if len(s) and i not in seen:
                 seen.add(i)
                 k = bucket_keys(s)
-                keys.append(_signed(k))
+                keys.append(k.view(np.int64))
                 ids.append(np.full(len(k), i, dtype=np.int64))
+        yield pd.DataFrame(
+            {"is_set": True, "doc_id": frame["doc_id"].array, "mark": frame["mark"].array, "n_shingles": sizes, "id": own, "bucket": 0, "root": 0}
+        )
     if keys:
         bucket, root, member = _split_hot(np.concatenate(keys), np.concatenate(ids))
         for i in range(0, len(bucket), 200_000):
             part = slice(i, i + 200_000)
-            yield pd.DataFrame({"bucket": bucket[part], "root": root[part], "id": member[part]})
+            yield pd.DataFrame(
+                {"is_set": False, "doc_id": None, "mark": 0, "n_shingles": 0, "id": member[part], "bucket": bucket[part], "root": root[part]}
+            )
 
 
 def _meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,15 +355,6 @@ def _meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"root": rows[part, 1], "leader": leader[part], "id": rows[part, 2]})
 
 
-def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = _Words()
-    for frame in frames:
-        sets = [shingles(t, words) for t in frame["text"]]
-        yield pd.DataFrame(
-            {"doc_id": frame["doc_id"].array, "mark": frame["mark"].array, "id": [set_id(s) for s in sets], "n_shingles": [len(s) for s in sets]}
-        )
-
-
 def _filter_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     chunk_bytes = FILTER_BYTES // FILTER_CHUNKS
     bits: dict[int, np.ndarray] = {}
@@ -311,23 +383,79 @@ def _fixed_filter(marks: DataFrame) -> np.ndarray:
 
 def _arrays(keep):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen, bits = _Words(), set(), keep.value
+        seen, bits = set(), keep.value
         for frame in frames:
             mark = frame["mark"].to_numpy(dtype=np.int64).view(_U)
             place = (mark & _U(FILTER_CHUNKS - 1)).astype(np.int64) * (FILTER_BYTES // FILTER_CHUNKS * 8) + _bit(mark)
             hit = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-            ids, sets = [], []
+            out = []
             for text in frame["text"][hit]:
-                s = shingles(text, words)
+                s = shingles(text)
                 i = set_id(s)
                 if i not in seen:
                     seen.add(i)
-                    ids.append(i)
-                    sets.append(s.tobytes())
-                if len(ids) >= 2_000:
-                    yield pd.DataFrame({"id": ids, "shingles": sets})
-                    ids, sets = [], []
-            yield pd.DataFrame({"id": ids, "shingles": sets})
+                    out.append((i, s.tobytes(), int(np.searchsorted(EDGES, len(s))), *sketches(s)))
+                if len(out) >= 1_000:
+                    yield pd.DataFrame(out, columns=_ARRAY)
+                    out = []
+            yield pd.DataFrame(out, columns=_ARRAY)
+
+    return run
+
+
+_ARRAY = ["id", "shingles", "band", "sketch", "next_sketch"]
+
+
+def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]:
+    """The edges, tried in ``order``, that join what no edge before has joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept = []
+    for k in order:
+        x, y = find(a[k]), find(b[k])
+        if x != y:
+            root[x] = y
+            kept.append(int(k))
+    return kept
+
+
+def _compare_squares(forest: bool):
+    """Pairs of different components that may link. With ``forest`` only as many as could join the square's components."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for square in runs(frames, ["root", "a", "b"]):
+            square = square.drop_duplicates("id").sort_values("id")
+            top = int(square["band"].max())
+            square = square[square["band"] >= top - 1]  # sets two bands apart never link
+            own = np.where(square["band"] == top, square["sketch"], square["next_sketch"])
+            sketch = np.frombuffer(b"".join(own), dtype=_U).reshape(len(square), -1)
+            size, part, ids, chunk = (square[c].to_numpy() for c in ("n", "component", "id", "chunk"))
+            cross = square["a"].iloc[0] != square["b"].iloc[0]
+            left, right, flips = [], [], []
+            for i in range(len(ids) - 1):
+                rest = slice(i + 1, None)
+                fit = (part[rest] != part[i]) & (size[rest] * PART >= size[i] * LEAST) & (size[i] * PART >= size[rest] * LEAST)
+                if cross:
+                    fit &= chunk[rest] != chunk[i]
+                at = np.flatnonzero(fit) + i + 1
+                if len(at):
+                    most = (PART - LEAST) * (size[i] + size[at]) // (PART + LEAST)
+                    count = np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1)
+                    near = at[count <= most]
+                    left.append(np.full(len(near), i))
+                    right.append(near)
+                    flips.append(count[count <= most])
+            if left and sum(map(len, left)):
+                i, j, d = np.concatenate(left), np.concatenate(right), np.concatenate(flips)
+                if forest:
+                    kept = _forest(part[i], part[j], np.argsort(d, kind="stable"))
+                    i, j = i[kept], j[kept]
+                yield pd.DataFrame({"query": ids[i], "id": ids[j]})
 
     return run
 
@@ -351,7 +479,7 @@ def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     dealt = pairs.join(sizes, "query").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     members = dealt.select("query", "block", "id")
     queries = members.select("query", "block").distinct().withColumn("id", F.col("query"))
-    rows = members.unionByName(queries).join(arrays, "id").select("query", "block", "id", "shingles")
+    rows = members.unionByName(queries).join(arrays.select("id", "shingles"), "id").select("query", "block", "id", "shingles")
     placed = rows.repartition("query", "block").sortWithinPartitions("query", "block")
     return placed.mapInPandas(_search_blocks, "a long, b long")
 
@@ -361,10 +489,10 @@ def linked_components(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     rows = docs.select(as_text("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    classes = rows.mapInPandas(_sets, "doc_id string, mark long, id long, n_shingles long")
-    classes = materialize(classes.withColumn("doc_id", F.col("doc_id").cast(kind)), "jaccard-sets")
+    scan = materialize(rows.mapInPandas(_scan, SCAN), "jaccard-scan")
+    classes = scan.filter("is_set").select(F.col("doc_id").cast(kind).alias("doc_id"), "mark", "id", F.col("n_shingles").cast("long").alias("n_shingles"))
 
-    met = rows.select("text").mapInPandas(_emit_buckets, "bucket long, root long, id long").repartition("bucket")
+    met = scan.filter("NOT is_set").select("bucket", "root", "id").repartition("bucket")
     members = materialize(met.mapInPandas(_meet, "root long, leader long, id long"), "jaccard-buckets")
 
     shared = members.filter("id != leader").groupBy("leader", "id").agg(F.count(F.lit(1)).alias("n"))
@@ -372,7 +500,7 @@ def linked_components(docs: DataFrame, text: str = "text") -> DataFrame:
     wanted = members.select("id").distinct()
     marks = classes.groupBy("id").agg(F.min("mark").alias("mark")).join(wanted, "id").select("mark")
     keep = spark.sparkContext.broadcast(_fixed_filter(marks))
-    found = rows.select("mark", "text").mapInPandas(_arrays(keep), "id long, shingles binary")
+    found = rows.select("mark", "text").mapInPandas(_arrays(keep), "id long, shingles binary, band int, sketch binary, next_sketch binary")
     arrays = materialize(found.join(wanted, "id", "left_semi"), "jaccard-arrays")
 
     best = shared.groupBy("id").agg(F.max(F.struct("n", "query"))["query"].alias("query")).select("query", "id")
@@ -381,13 +509,19 @@ def linked_components(docs: DataFrame, text: str = "text") -> DataFrame:
 
     rest = _apart(shared.select("query", "id").join(best, ["query", "id"], "left_anti"), "query", "id", part)
     more = materialize(verified(rest, arrays), "jaccard-links")
-    links = links.unionByName(more)
-    part = materialize(components(links), "jaccard-parts")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        part = materialize(components(links), "jaccard-parts")
 
     tried = shared.select("query", "id")
-    open_pairs = _across_open_buckets(members, part, classes).join(tried, ["query", "id"], "left_anti")
-    last = materialize(verified(open_pairs, arrays), "jaccard-links")
-    part = components(links.unionByName(last))
+    for forest in (True, False):
+        near = _across_open_buckets(members, part, classes, arrays, forest).join(tried, ["query", "id"], "left_anti")
+        near = materialize(near, "jaccard-near")
+        more = materialize(verified(near, arrays), "jaccard-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            part = materialize(components(links), "jaccard-parts")
+        tried = tried.unionByName(near)
 
     group = classes.join(part.withColumnRenamed("node", "id"), "id", "left")
     group = group.withColumn("group", F.coalesce("component", "id")).select("doc_id", "n_shingles", "group")
@@ -407,16 +541,19 @@ def _apart(pairs: DataFrame, a: str, b: str, part: DataFrame) -> DataFrame:
     return both.filter("_a != _b").select(*pairs.columns)
 
 
-def _across_open_buckets(members: DataFrame, part: DataFrame, classes: DataFrame) -> DataFrame:
-    """(query, id) across the components of buckets that still hold several, within the sizes that can link."""
+def _across_open_buckets(members: DataFrame, part: DataFrame, classes: DataFrame, arrays: DataFrame, forest: bool) -> DataFrame:
+    """(query, id) across the components of buckets that still hold several, as far as sizes and sketches allow a link.
+
+    A bucket of two sets is closed by its leader's search.
+    """
     placed = _component_of(members.select("root", "id").distinct(), "id", part, "component")
-    several = placed.groupBy("root").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-    still = placed.join(several.select("root"), "root")
+    several = placed.groupBy("root").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets"))
+    several = several.filter("lo != hi AND sets > 2").select("root", F.ceil(F.col("sets") / CHUNK_SETS).cast("int").alias("chunks"))
     size = classes.groupBy("id").agg(F.first("n_shingles").alias("n"))
-    still = materialize(still.join(size, "id"), "jaccard-open")
-    left = still.select("root", F.col("id").alias("query"), F.col("component").alias("_c"), F.col("n").alias("_n"))
-    pairs = left.join(still, "root").filter(
-        (F.col("query") < F.col("id")) & (F.col("_c") != F.col("component"))
-        & (F.col("_n") * PART >= F.col("n") * LEAST) & (F.col("n") * PART >= F.col("_n") * LEAST)
-    )
-    return pairs.select("query", "id").distinct()
+    still = placed.join(several, "root").join(size, "id").join(arrays.drop("shingles"), "id")
+    still = still.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")})
+    columns = ["root", "a", "b", "chunk", "id", "component", "n", "band", "sketch", "next_sketch"]
+    squares = dealt.select(*columns).repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+    return squares.mapInPandas(_compare_squares(forest), "query long, id long").distinct()
