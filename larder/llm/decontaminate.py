@@ -22,8 +22,8 @@ give no rows; other columns are neither read nor returned.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -32,63 +32,114 @@ from pyspark.sql import functions as F
 
 from larder.context import materialize
 from larder.llm.batches import as_text, runs
-from larder.llm.jaccard import mix
+from larder.llm.jaccard import PIECE, mix, powers
 
 WINDOW = 8
 RUN_WORDS = 13
 LITERALS = 4
 BLOCK_HASHES = 1_000_000
-#: Words, numbers, and the marks that end a sentence.
-TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[.!?:\n]")
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces pound pounds "
     "ml l litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros percent degree degrees metre metres meter meters mph kmh watt watts volt volts".split()
 )
-LITERAL, CAPITAL, NUMBER, UNIT, MARK = range(5)
+LITERAL, CAPITAL, NUMBER, UNIT = range(4)
 _U = np.uint64
 #: Template codes of the placeholders, by kind.
 _SLOT = {NUMBER: _U(1), UNIT: _U(2), CAPITAL: _U(3)}
 
 
-class _Tokens(dict):
-    """(hash, kind) of tokens packed into one number; emptied when it grows beyond a bound."""
-
-    def __missing__(self, token: str) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        low = token.lower()
-        if token[0].isdecimal():
-            kind = NUMBER
-        elif token in ".!?:\n":
-            kind = MARK
-        elif low in UNITS:
-            kind = UNIT
-        else:
-            kind = CAPITAL if token[0].isupper() and not token.isupper() else LITERAL
-        self[token] = code = (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 3 << 3) | kind
-        return code
-
-
-def template(text: str | None, known: _Tokens, names: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Template codes, kinds (a literal or the type of slot) and tokens of the words of a text; ``names`` off: names are literal."""
-    found = TOKEN.findall(text or "")
-    packed = np.fromiter(map(known.__getitem__, found), dtype=_U, count=len(found))
-    kind = (packed & _U(7)).astype(np.int8)
-    before = np.concatenate([[MARK], kind[:-1]]) if len(kind) else kind
-    slot = np.full(len(kind), LITERAL, dtype=np.int8)
-    slot[kind == NUMBER] = NUMBER
-    slot[(kind == UNIT) & (before == NUMBER)] = UNIT
+#: What a character is: part of no word, of a word, of a number, or a mark that ends a sentence.
+_NONE, _LETTER, _DIGIT, _END = range(4)
+
+
+def _describe(point: int) -> tuple[int, int, bool, bool]:
+    """Kind, folded character, upper case, lower or title case."""
+    c = chr(point)
+    low = c.lower()
+    kind = _DIGIT if "0" <= c <= "9" else _END if c in ".!?:\n" else _LETTER if c.isalnum() and not c.isdecimal() else _NONE
+    return kind, ord(low) if len(low) == 1 else point, c.isupper(), c.islower() or category(c) == "Lt"
+
+
+def _table(points) -> tuple[np.ndarray, ...]:
+    rows = [_describe(p) if not 0xD800 <= p < 0xE000 else (_NONE, p, False, False) for p in points]
+    kind, fold, upper, lower = zip(*rows, strict=True)
+    return np.array(kind, np.int8), mix(np.array(fold, _U)), np.array(upper), np.array(lower)
+
+
+_KIND, _FOLD, _UPPER, _LOWER = _table(range(0x10000))
+_MANY = _U(0xBF58476D1CE4E5B9)
+
+
+def _characters(text: str) -> tuple[np.ndarray, ...]:
+    """Kind, hash of the folded character, upper case, lower case of every character."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(points) or points.max() < 0x10000:
+        return _KIND[points], _FOLD[points], _UPPER[points], _LOWER[points]
+    seen, at = np.unique(points, return_inverse=True)
+    return tuple(column[at] for column in _table(seen.tolist()))
+
+
+def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[end] - total[start]
+
+
+def _word_hashes(fold: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of character hashes times powers of an odd number counted from each word's start, in pieces of bounded size."""
+    out = np.empty(len(start), dtype=_U)
+    at = 0
+    while at < len(start):
+        first = int(start[at])
+        stop = max(at + 1, int(np.searchsorted(end, first + PIECE, side="right")))
+        last = int(end[stop - 1])
+        forth, back = powers(last - first)
+        with np.errstate(over="ignore"):
+            total = np.zeros(last - first + 1, dtype=_U)
+            np.cumsum(fold[first:last] * forth, out=total[1:])
+            a, b = start[at:stop] - first, end[at:stop] - first
+            out[at:stop] = mix((total[b] - total[a]) * back[a] + (b - a).astype(_U) * _MANY)
+        at = stop
+    return out
+
+
+_UNIT_HASHES = np.sort(np.array([_word_hashes(_characters(u)[1], np.array([0]), np.array([len(u)]))[0] for u in UNITS], dtype=_U))
+
+
+def template(text: str | None, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template codes, kinds (a literal or the type of slot), first and end character of the words of a text.
+
+    Words are runs of letters; numbers are digits with single points or commas between digits. ``names`` off: names are literal.
+    """
+    kind, fold, upper, lower = _characters(text or "")
+    if not len(kind):
+        return fold, kind, kind.astype(np.int64), kind.astype(np.int64)
+    digit = kind == _DIGIT
+    if digit.any():
+        points = np.flatnonzero(digit[:-2] & digit[2:]) + 1
+        points = points[[text[i] in ".," for i in points]]
+        kind = kind.copy()
+        kind[points] = _DIGIT
+    change = (kind[1:] != kind[:-1]) | (kind[1:] == _END)
+    start = np.concatenate([[0], np.flatnonzero(change) + 1])
+    end = np.append(start[1:], len(kind))
+    real = kind[start] != _NONE
+    start, end = start[real], end[real]
+    what = kind[start]
+    code = _word_hashes(fold, start, end)
+    slot = np.full(len(start), LITERAL, dtype=np.int8)
+    number = what == _DIGIT
+    after_mark = np.concatenate([[True], what[:-1] == _END])
+    slot[number] = NUMBER
+    near = np.minimum(np.searchsorted(_UNIT_HASHES, code), len(_UNIT_HASHES) - 1)
+    slot[(_UNIT_HASHES[near] == code) & np.concatenate([[False], number[:-1]])] = UNIT
     if names:
-        slot[(kind == CAPITAL) & (before != MARK)] = CAPITAL
-    code = packed >> _U(3) << _U(3)
+        slot[(what == _LETTER) & (slot == LITERAL) & ~after_mark & upper[start] & (_sums(lower, start, end) > 0)] = CAPITAL
+    code |= _U(8)  # never one of the placeholders' codes
     for k, value in _SLOT.items():
         code[slot == k] = value
-    word = kind != MARK
-    at = np.flatnonzero(word)
-    return code[word], slot[word], [found[i] for i in at]
+    word = what != _END
+    return code[word], slot[word], start[word], end[word]
 
 
 def windows(code: np.ndarray, size: int) -> np.ndarray:
@@ -99,8 +150,9 @@ def windows(code: np.ndarray, size: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.full(n, _U(size), dtype=_U)
         for k in range(size):
-            h = mix(h * _U(0x94D049BB133111EB) + code[k : k + n])
-    return h
+            h *= _U(0x94D049BB133111EB)
+            h += code[k : k + n]
+        return mix(h)
 
 
 def telling(slot: np.ndarray, size: int, least: int) -> np.ndarray:
@@ -109,25 +161,28 @@ def telling(slot: np.ndarray, size: int, least: int) -> np.ndarray:
     return total[size:] - total[:-size] >= least if len(slot) >= size else np.empty(0, dtype=bool)
 
 
-def _values(slot: np.ndarray, words: list[str], at: int, size: int) -> str:
-    return "\x1f".join(f"{slot[i]}{words[i].lower()}" for i in range(at, at + size) if slot[i] != LITERAL)
+def _values(text: str, slot: np.ndarray, start: np.ndarray, end: np.ndarray, at: int, size: int) -> str:
+    """Type and value of the slots of a window."""
+    return "\x1f".join(f"{slot[i]}{text[start[i] : end[i]].lower()}" for i in range(at, at + size) if slot[i] != LITERAL)
 
 
 def _item_windows(size: int, least: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Tokens()
         for frame in frames:
             out = []
             for item, text in zip(frame["item_id"], frame["text"], strict=True):
                 for names in (True, False):
-                    code, slot, words = template(text, known, names)
-                    if not len(code) or not names and not (template(text, known)[1] == CAPITAL).any():
+                    code, slot, start, end = template(text, names)
+                    if not len(code) or not names and not (template(text)[1] == CAPITAL).any():
                         continue
                     own = min(size, len(code))
                     h = windows(code, own)
                     keep = telling(slot, own, min(least, own))
                     keep = keep if keep.any() else np.ones(len(h), dtype=bool)
-                    out += [(item, len(code), own, int(i), int(h[i].astype(np.int64)), _values(slot, words, i, own)) for i in np.flatnonzero(keep)]
+                    out += [
+                        (item, len(code), own, int(i), int(h[i].astype(np.int64)), _values(text, slot, start, end, i, own))
+                        for i in np.flatnonzero(keep)
+                    ]
             yield pd.DataFrame(out, columns=["item_id", "item_words", "size", "item_at", "hash", "item_slots"])
 
     return run
@@ -135,15 +190,15 @@ def _item_windows(size: int, least: int):
 
 def _document_windows(block, sizes: list[int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, hashes = _Tokens(), block.value
+        hashes = block.value
         for frame in frames:
             out = []
             for row, doc, text in zip(frame["row"], frame["doc_id"], frame["text"], strict=True):
-                code, slot, words = template(text, known)
+                code, slot, start, end = template(text)
                 for size in sizes:
                     h = windows(code, size).astype(np.int64)
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    out += [(row, doc, int(i), int(h[i]), _values(slot, words, i, size)) for i in np.flatnonzero(hashes[at] == h)]
+                    out += [(row, doc, int(i), int(h[i]), _values(text, slot, start, end, i, size)) for i in np.flatnonzero(hashes[at] == h)]
             yield pd.DataFrame(out, columns=["row", "doc_id", "at", "hash", "slots"])
 
     return run

@@ -19,7 +19,8 @@ def benchmark(spark):
 
 
 def template(text):
-    code, slot, words = dc.template(text, dc._Tokens())
+    code, slot, start, end = dc.template(text)
+    words = [text[a:b] for a, b in zip(start, end, strict=True)]
     return [{dc.LITERAL: w.lower(), dc.NUMBER: "<num>", dc.UNIT: "<unit>", dc.CAPITAL: "<name>"}[s] for s, w in zip(slot, words, strict=True)]
 
 
@@ -30,6 +31,27 @@ def test_template():
     assert template("") == template(None) == template(" ... \n") == []
 
 
+def test_words_equal_a_pattern_scan():
+    import random
+    import re
+
+    pattern = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+")
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choices(list("ab Zé.,1 2_\n!߀²中😀𝒜-'"), k=rng.randint(1, 60)))
+        code, slot, start, end = dc.template(text)
+        assert [text[a:b] for a, b in zip(start, end, strict=True)] == pattern.findall(text), text
+        lit = {text[a:b].lower(): c for a, b, c, s in zip(start, end, code.tolist(), slot, strict=True) if s == dc.LITERAL}
+        assert len(set(lit.values())) == len(lit)
+
+
+def test_long_texts_hash_alike_in_pieces(monkeypatch):
+    text = "alpha beta Gamma 12 km " * 30 + "x" * 300 + " omega"
+    whole = dc.template(text)[0].tolist()
+    monkeypatch.setattr(dc, "PIECE", 64)
+    assert dc.template(text)[0].tolist() == whole
+
+
 def found(docs, items, **kw):
     return {(r["doc_id"], r["item_id"]): r for r in dc.leaks(docs, items, **kw).collect()}
 
