@@ -97,8 +97,7 @@ def recent_orders(spark: SparkSession, folder: str) -> DataFrame:
         """SELECT order_id, session_id, status, note, CAST(total_amount AS DOUBLE) AS total_amount,
   strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, order_item_id, 'dish ' || dish_id AS name, quantity,
   CAST(round(unit_price, 2) AS DOUBLE) AS unit_price, CAST(round(round(unit_price, 2) * quantity, 2) AS DOUBLE) AS line_total
-FROM (SELECT * FROM ord QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, order_id DESC) <= 50)
-LEFT JOIN oitem USING (order_id)""",
+FROM ord LEFT JOIN oitem USING (order_id)""",
     )
 )
 def session_history(spark: SparkSession, folder: str) -> DataFrame:
