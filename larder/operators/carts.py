@@ -150,9 +150,9 @@ def merge_carts(server: DataFrame, pending: DataFrame, cart: str) -> DataFrame:
         "uuid",
     )
     ops = starts.unionByName(steps)
-    described = ops.groupBy(cart, "_slot").agg(F.min_by(F.struct(*LINE, "uuid"), "_step").alias("_d"))
-    folded = fold_add_floor(ops, [cart, "_slot"], "_step", "_add", "_floor", "qty")
-    return described.join(folded, [cart, "_slot"]).select(cart, "_d.*", "qty")
+    first = {"_d": F.min_by(F.struct(*LINE, "uuid"), "_step")}
+    folded = fold_add_floor(ops, [cart, "_slot"], "_step", "_add", "_floor", "qty", extra=first)
+    return folded.select(cart, "_d.*", "qty")
 
 
 def fold_operations(ops: DataFrame, session: str, op_id: str) -> DataFrame:
@@ -219,8 +219,9 @@ def checkout(requests: DataFrame, session: str, request: str, known_dishes: Data
     """Cart documents to orders: one row per request with total, counts and status, or an error code.
 
     ``requests`` carries session, request id, table id and cart; ``known_dishes`` (dish_id); ``earlier`` (session) lists
-    the sessions that ordered before. An empty cart is refused, with a different code after a first order. Lines of
-    unknown dishes keep their name and price but lose the dish id.
+    the sessions that ordered before. Requests of one session count in request order, so one with lines is an order to those
+    after it. An empty cart is refused, with a different code after a first order. Lines of unknown dishes keep their name and
+    price but lose the dish id.
     """
     lines = order_lines(requests, [request], known_dishes)
     totals = lines.groupBy(request).agg(
@@ -230,7 +231,10 @@ def checkout(requests: DataFrame, session: str, request: str, known_dishes: Data
     )
     before = earlier.select(session).distinct().withColumn("_before", F.lit(True))
     judged = requests.join(totals, request, "left").join(before, session, "left")
+    placed = requests.join(totals.select(request), request).groupBy(session).agg(F.min(request).alias("_first"))
+    judged = judged.join(placed, session, "left")
     empty = F.col("n_lines").isNull()
+    ordered = F.coalesce(F.col("_before"), F.lit(False)) | F.coalesce(F.col(request) > F.col("_first"), F.lit(False))
     return judged.select(
         request,
         session,
@@ -240,7 +244,7 @@ def checkout(requests: DataFrame, session: str, request: str, known_dishes: Data
         F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
         F.coalesce("n_unknown_dishes", F.lit(0)).alias("n_unknown_dishes"),
         F.when(~empty, F.col("cart_note")).alias("note"),
-        F.when(empty & F.col("_before"), "cannot_submit_empty_cart_after_order").when(empty, "cart_empty").alias("error"),
+        F.when(empty & ordered, "cannot_submit_empty_cart_after_order").when(empty, "cart_empty").alias("error"),
     )
 
 

@@ -90,13 +90,15 @@ def dense_ids(df: DataFrame, natural_key: list[str], name: str, start: Column |
 
 
 def fold_add_floor(
-    ops: DataFrame, keys: list[str], id_col: str, add: str, floor: str, name: str, width: int = RANGE_WIDTH
+    ops: DataFrame, keys: list[str], id_col: str, add: str, floor: str, name: str, width: int = RANGE_WIDTH,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Final value per key of the steps ``x = max(x + add, floor)`` in id order, starting from 0 (NULL floor: no bound).
 
-    Such steps compose: with running totals S the result is S_end + max(0, max(floor_i - S_i)). So one running sum and
+    ``extra`` are further aggregates of the same groups. Such steps compose: with running totals S the result is S_end + max(0, max(floor_i - S_i)). So one running sum and
     one grouped maximum replace the loop.
     """
     summed = running_sum(ops, keys, id_col, {"_s": F.col(add)}, width)
     lift = F.greatest(F.lit(0), F.coalesce(F.max(F.col(floor) - F.col("_s")), F.lit(0)))
-    return summed.groupBy(*keys).agg((F.sum(add) + lift).alias(name))
+    more = [c.alias(n) for n, c in (extra or {}).items()]
+    return summed.groupBy(*keys).agg((F.sum(add) + lift).alias(name), *more)

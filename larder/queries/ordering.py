@@ -423,7 +423,8 @@ def versioned_replace(spark: SparkSession, folder: str) -> DataFrame:
         """SELECT r.request_id, r.session_id, 'T' || c_nationkey AS table_id, CASE WHEN n > 0 THEN 'pending' END AS status,
   CAST(t.total AS DOUBLE) AS total_amount, coalesce(n, 0) AS n_lines, coalesce(n_unknown, 0) AS n_unknown_dishes,
   CASE WHEN n > 0 THEN 'n' || k END AS note,
-  CASE WHEN n > 0 THEN NULL WHEN r.session_id IN (SELECT o_custkey FROM orders) THEN 'cannot_submit_empty_cart_after_order'
+  CASE WHEN n > 0 THEN NULL WHEN r.session_id IN (SELECT o_custkey FROM orders)
+         OR r.request_id > (SELECT min(request_id) FROM citem c WHERE c.session_id = r.session_id) THEN 'cannot_submit_empty_cart_after_order'
        ELSE 'cart_empty' END AS error
 FROM req r LEFT JOIN customer ON c_custkey = r.session_id
 LEFT JOIN (SELECT request_id, sum(round(price * qty, 2)) AS total, count(*) AS n,
