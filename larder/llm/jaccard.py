@@ -89,10 +89,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (_FORTH[:n], _BACK[:n]) if n <= len(_FORTH) else _all_powers(n)
 
 
-def _piece_hashes(raw: np.ndarray) -> np.ndarray:
+def _piece_hashes(raw: np.ndarray, space: np.ndarray) -> np.ndarray:
     """A 64-bit hash for each word of some bytes: differences of one running sum, moved back to the word's start."""
     forth, back = powers(len(raw))
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(raw) and inside[0]:
         edge = np.concatenate([[0], edge])
@@ -105,24 +105,24 @@ def _piece_hashes(raw: np.ndarray) -> np.ndarray:
         return (total[end] - total[start]) * back[start] + (end - start).astype(_U) * _M1
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | None, space: np.ndarray = _SPACE) -> np.ndarray:
     """Hashes of the words of a text.
 
-    ``bytes.lower`` changes A-Z only; words end at blank and 0x09 to 0x0D. Very long texts are hashed in pieces that end at a
+    ``bytes.lower`` changes A-Z only; words end at the bytes marked in ``space``: blank and 0x09 to 0x0D. Very long texts are hashed in pieces that end at a
     word's end.
     """
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
     out, at = [], 0
     while len(raw) - at > PIECE:
-        gap = np.flatnonzero(_SPACE[raw[at : at + PIECE]])
+        gap = np.flatnonzero(space[raw[at : at + PIECE]])
         if len(gap):
             end = at + int(gap[-1]) + 1
         else:  # one word is longer than a piece
-            later = np.flatnonzero(_SPACE[raw[at:]])
+            later = np.flatnonzero(space[raw[at:]])
             end = at + int(later[0]) + 1 if len(later) else len(raw)
-        out.append(_piece_hashes(raw[at:end]))
+        out.append(_piece_hashes(raw[at:end], space))
         at = end
-    out.append(_piece_hashes(raw[at:]))
+    out.append(_piece_hashes(raw[at:], space))
     return np.concatenate(out) if len(out) > 1 else out[0]
 
 
@@ -394,7 +394,7 @@ def _arrays(keep):
                 i = set_id(s)
                 if i not in seen:
                     seen.add(i)
-                    out.append((i, s.tobytes(), int(np.searchsorted(EDGES, len(s))), *sketches(s)))
+                    out.append((i, len(s), s.tobytes(), int(np.searchsorted(EDGES, len(s))), *sketches(s)))
                 if len(out) >= 1_000:
                     yield pd.DataFrame(out, columns=_ARRAY)
                     out = []
@@ -403,7 +403,7 @@ def _arrays(keep):
     return run
 
 
-_ARRAY = ["id", "shingles", "band", "sketch", "next_sketch"]
+_ARRAY = ["id", "n", "shingles", "band", "sketch", "next_sketch"]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> list[int]:
@@ -430,10 +430,7 @@ def _compare_squares(forest: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for square in runs(frames, ["root", "a", "b"]):
             square = square.drop_duplicates("id").sort_values("id")
-            top = int(square["band"].max())
-            square = square[square["band"] >= top - 1]  # sets two bands apart never link
-            own = np.where(square["band"] == top, square["sketch"], square["next_sketch"])
-            sketch = np.frombuffer(b"".join(own), dtype=_U).reshape(len(square), -1)
+            sketch = np.frombuffer(b"".join(square["sketch"]), dtype=_U).reshape(len(square), -1)
             size, part, ids, chunk = (square[c].to_numpy() for c in ("n", "component", "id", "chunk"))
             cross = square["a"].iloc[0] != square["b"].iloc[0]
             left, right, flips = [], [], []
@@ -455,7 +452,7 @@ def _compare_squares(forest: bool):
                 if forest:
                     kept = _forest(part[i], part[j], np.argsort(d, kind="stable"))
                     i, j = i[kept], j[kept]
-                yield pd.DataFrame({"query": ids[i], "id": ids[j]})
+                yield pd.DataFrame({"root": square["root"].iloc[0], "query": ids[i], "id": ids[j]})
 
     return run
 
@@ -500,28 +497,29 @@ def linked_components(docs: DataFrame, text: str = "text") -> DataFrame:
     wanted = members.select("id").distinct()
     marks = classes.groupBy("id").agg(F.min("mark").alias("mark")).join(wanted, "id").select("mark")
     keep = spark.sparkContext.broadcast(_fixed_filter(marks))
-    found = rows.select("mark", "text").mapInPandas(_arrays(keep), "id long, shingles binary, band int, sketch binary, next_sketch binary")
-    arrays = materialize(found.join(wanted, "id", "left_semi"), "jaccard-arrays")
+    found = rows.select("mark", "text").mapInPandas(_arrays(keep), "id long, n int, shingles binary, band int, sketch binary, next_sketch binary")
+    arrays = found.join(wanted, "id", "left_semi").dropDuplicates(["id"])  # copies were met by several tasks
+    arrays = materialize(arrays, "jaccard-arrays")
 
     best = shared.groupBy("id").agg(F.max(F.struct("n", "query"))["query"].alias("query")).select("query", "id")
-    links = materialize(verified(best, arrays), "jaccard-links")
-    part = materialize(components(links), "jaccard-parts")
+    part = materialize(components(verified(best, arrays), "jaccard-parts"), "jaccard-parts")
 
     rest = _apart(shared.select("query", "id").join(best, ["query", "id"], "left_anti"), "query", "id", part)
     more = materialize(verified(rest, arrays), "jaccard-links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        part = materialize(components(links), "jaccard-parts")
+    part = _joined(part, more)
 
     tried = shared.select("query", "id")
-    for forest in (True, False):
-        near = _across_open_buckets(members, part, classes, arrays, forest).join(tried, ["query", "id"], "left_anti")
-        near = materialize(near, "jaccard-near")
-        more = materialize(verified(near, arrays), "jaccard-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            part = materialize(components(links), "jaccard-parts")
-        tried = tried.unionByName(near)
+    near = materialize(_across_open_buckets(members.select("root", "id"), part, arrays, forest=True), "jaccard-near")
+    new = near.select("query", "id").distinct().join(tried, ["query", "id"], "left_anti")
+    more = materialize(verified(new, arrays), "jaccard-links")
+    part = _joined(part, more)
+
+    # Where all pairs that could join a bucket's components did link, nothing in it is left to compare.
+    failed = near.join(more.select(F.col("a").alias("query"), F.col("b").alias("id")), ["query", "id"], "left_anti").select("root").distinct()
+    tried = tried.unionByName(near.select("query", "id"))
+    rest = _across_open_buckets(members.select("root", "id").join(failed, "root"), part, arrays, forest=False)
+    last = rest.select("query", "id").distinct().join(tried, ["query", "id"], "left_anti")
+    part = _joined(part, materialize(verified(last, arrays), "jaccard-links"))
 
     group = classes.join(part.withColumnRenamed("node", "id"), "id", "left")
     group = group.withColumn("group", F.coalesce("component", "id")).select("doc_id", "n_shingles", "group")
@@ -530,6 +528,14 @@ def linked_components(docs: DataFrame, text: str = "text") -> DataFrame:
     return filled.unionByName(group.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _joined(part: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links; those there are enter as stars, which are nearly finished."""
+    if links.isEmpty():
+        return part
+    stars = part.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialize(components(stars.unionByName(links), "jaccard-parts"), "jaccard-parts")
+
+
 def _component_of(rows: DataFrame, column: str, part: DataFrame, name: str) -> DataFrame:
     own = part.select(F.col("node").alias(column), F.col("component").alias(name))
     return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
@@ -541,19 +547,24 @@ def _apart(pairs: DataFrame, a: str, b: str, part: DataFrame) -> DataFrame:
     return both.filter("_a != _b").select(*pairs.columns)
 
 
-def _across_open_buckets(members: DataFrame, part: DataFrame, classes: DataFrame, arrays: DataFrame, forest: bool) -> DataFrame:
-    """(query, id) across the components of buckets that still hold several, as far as sizes and sketches allow a link.
+def _across_open_buckets(members: DataFrame, part: DataFrame, arrays: DataFrame, forest: bool) -> DataFrame:
+    """(root, query, id) across the components of buckets that still hold several, as far as sizes and sketches allow a link.
 
-    A bucket of two sets is closed by its leader's search.
+    A bucket of two sets is closed by its leader's search, and of buckets with the same sets one is enough.
     """
-    placed = _component_of(members.select("root", "id").distinct(), "id", part, "component")
-    several = placed.groupBy("root").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets"))
-    several = several.filter("lo != hi AND sets > 2").select("root", F.ceil(F.col("sets") / CHUNK_SETS).cast("int").alias("chunks"))
-    size = classes.groupBy("id").agg(F.first("n_shingles").alias("n"))
-    still = placed.join(several, "root").join(size, "id").join(arrays.drop("shingles"), "id")
+    placed = _component_of(members.distinct(), "id", part, "component").join(arrays.select("id", "n", "band"), "id")
+    several = placed.groupBy("root").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets"), F.max("band").alias("top"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+    )
+    open_ = several.filter("lo != hi AND sets > 2").groupBy("sets", "x", "y").agg(F.min(F.struct("root", "top")).alias("r"))
+    open_ = open_.select("r.root", "r.top", F.ceil(F.col("sets") / CHUNK_SETS).cast("int").alias("chunks"))
+    still = placed.join(open_, "root").filter("band >= top - 1")  # sets two bands apart never link
+    still = still.join(arrays.select("id", "sketch", "next_sketch"), "id")
+    still = still.withColumn("sketch", F.when(F.col("band") == F.col("top"), F.col("sketch")).otherwise(F.col("next_sketch")))
     still = still.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     dealt = still.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")})
-    columns = ["root", "a", "b", "chunk", "id", "component", "n", "band", "sketch", "next_sketch"]
+    columns = ["root", "a", "b", "chunk", "id", "component", "n", "sketch"]
     squares = dealt.select(*columns).repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
-    return squares.mapInPandas(_compare_squares(forest), "query long, id long").distinct()
+    return squares.mapInPandas(_compare_squares(forest), "root long, query long, id long")
