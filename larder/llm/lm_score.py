@@ -4,8 +4,9 @@ A window network predicts every word from ``SIDE`` words on both sides: each nei
 offset, the sum passes tanh, and a softmax over the vocabulary follows. A document's score is the sum of the
 logarithms of these conditional probabilities, with every word masked in turn; the mean per word makes lengths comparable.
 
-The vocabulary comes from counts over all documents: the ``KNOWN`` most frequent words (ties in alphabetical order), and ``CLASSES``
-hash classes for all others. Counting is a grouped sum with partial sums in the map tasks.
+Words are runs of bytes other than white space and punctuation, in ASCII lower case, and are handled as 64-bit hashes. The
+vocabulary comes from counts over all documents: the ``KNOWN`` most frequent words (ties by hash), and ``CLASSES`` hash classes
+for all others. Counting is a grouped sum with partial sums in the map tasks.
 
 Training is local gradient descent with averaging. In each round every task starts from the shared parameters, visits each of its
 documents with every ``STEP``-th position as a target (another phase each round), and returns its parameters with the number of
@@ -20,8 +21,6 @@ columns are neither read nor returned.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 
 from larder.context import materialize
 from larder.llm.batches import as_text
+from larder.llm.jaccard import mix, word_hashes
 
 KNOWN, CLASSES = 192, 64
 SIDE, WIDTH = 2, 16
@@ -40,37 +40,34 @@ STEP, ROUNDS, BATCH, RATE = 8, 2, 512, 2.0
 GATHER = 32
 #: Positions that are scored in one matrix product, and characters that are tokenised at once.
 CHUNK = 2048
-_EDGE = b".,;:!?\"'()[]{}|*#%$&"
+_GAP = np.zeros(256, dtype=bool)
+_GAP[list(b" \t\n\x0b\x0c\r.,;:!?\"'()[]{}|*#%$&")] = True
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased words (ASCII case) without punctuation at their ends."""
-    return [w for w in (x.strip(_EDGE) for x in (text or "").encode("utf-8", "replace").lower().split()) if w]
+def words(text: str | None) -> np.ndarray:
+    """The hashes of the words of a text, in order."""
+    return mix(word_hashes(text, _GAP))
 
 
-class Vocabulary(dict):
-    """Word to number; remembers hash classes of words met, up to a bound."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """Numbers of words: ``known`` (rising hashes) come first, then hash classes."""
 
-    def __init__(self, known: list[bytes], classes: int = CLASSES):
-        super().__init__({w: i for i, w in enumerate(known)})
-        self.known, self.classes = list(known), classes
+    known: np.ndarray
+    classes: int = CLASSES
 
     def __len__(self) -> int:
         return len(self.known) + self.classes
 
-    def __missing__(self, word: bytes) -> int:
-        if super().__len__() > 400_000:
-            self.clear()
-            self.update({w: i for i, w in enumerate(self.known)})
-        self[word] = i = len(self.known) + zlib.crc32(word) % self.classes
-        return i
-
-    def __reduce__(self):
-        return Vocabulary, (self.known, self.classes)
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        other = (len(self.known) + hashes % np.uint64(self.classes)).astype(np.int32)
+        if not len(self.known):
+            return other
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at.astype(np.int32), other)
 
     def ids(self, text: str | None) -> np.ndarray:
-        found = words(text)
-        return np.fromiter(map(self.__getitem__, found), dtype=np.int32, count=len(found))
+        return self.numbers(words(text))
 
 
 @dataclass
@@ -150,32 +147,39 @@ def contexts(ids: np.ndarray, pad: int) -> np.ndarray:
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    found: Counter[bytes] = Counter()
+    held, waiting = [], 0
+
+    def counted() -> pd.DataFrame:
+        found, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        return pd.DataFrame({"word": found.view(np.int64), "n": n})
+
     for frame in frames:
         for text in frame["text"]:
-            found.update(words(text))
-            if len(found) > 500_000:  # bounded memory; the grouped sum adds the pieces up
-                yield pd.DataFrame({"word": list(found), "n": list(found.values())})
-                found.clear()
-    yield pd.DataFrame({"word": list(found), "n": list(found.values())})
+            h = words(text)
+            held.append(h)
+            waiting += len(h)
+            if waiting > 4_000_000:  # bounded memory; the grouped sum adds the pieces up
+                yield counted()
+                held, waiting = [], 0
+    yield counted()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word (binary), n`` over all documents."""
-    return docs.select("text").mapInPandas(_count, "word binary, n long").groupBy("word").agg(F.sum("n").cast("long").alias("n"))
+    """``word (hash), n`` over all documents."""
+    return docs.select("text").mapInPandas(_count, "word long, n long").groupBy("word").agg(F.sum("n").cast("long").alias("n"))
 
 
 def vocabulary(docs: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the relative frequency of each number."""
-    kind = F.pmod(F.crc32("word"), F.lit(CLASSES))
-    counts = word_counts(docs)
-    counts = materialize(counts, "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()
-    listed = [bytes(r["word"]) for r in top]
+    counts = materialize(word_counts(docs), "word-counts")
+    top = sorted(counts.orderBy(F.desc("n"), "word").limit(known).collect(), key=lambda r: r["word"] % 2**64)
+    listed = [r["word"] for r in top]
     rest = counts.filter(~F.col("word").isin(listed)) if listed else counts
+    names = Vocabulary(np.array([w % 2**64 for w in listed], dtype=np.uint64))
+    kind = F.col("word").bitwiseAND(CLASSES - 1)  # CLASSES is a power of two
     by_class = {int(r["k"]): r["n"] for r in rest.groupBy(kind.alias("k")).agg(F.sum("n").alias("n")).collect()}
     n = np.array([r["n"] for r in top] + [by_class.get(k, 0) for k in range(CLASSES)], dtype=float) + 1
-    return Vocabulary(listed), n / n.sum()
+    return names, n / n.sum()
 
 
 def _train(shared, phase: int):
