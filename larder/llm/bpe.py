@@ -30,6 +30,8 @@ from larder.llm.tokenizers import TokenizerFile, WordMemory, word_memory
 
 LEAF_CHARS = 16_384
 FIRST_WINDOW = 16
+#: Remembered words of a worker, in each of two generations; their ids take more room than their counts.
+IDS_WORDS = 150_000
 #: Characters that the split patterns look at to decide what begins at a place (the longest contraction). Nearer to the
 #: end of what an encoding has seen, its split into words may still change, so a token there is no agreement.
 AHEAD = 3
@@ -152,7 +154,7 @@ def joiner(file: TokenizerFile) -> Joiner:
         t.no_truncation()
         t.no_padding()
         pack = lambda ids: np.array(ids, dtype=BYTES).tobytes()
-        _JOINERS[file.digest] = Joiner(t, word_memory(file, "ids", pack) if file.splits_words() else None, tuple(file.special_tokens()))
+        _JOINERS[file.digest] = Joiner(t, word_memory(file, "ids", pack, IDS_WORDS) if file.splits_words() else None, tuple(file.special_tokens()))
     return _JOINERS[file.digest]
 
 

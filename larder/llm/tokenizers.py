@@ -142,8 +142,8 @@ class WordMemory:
 _MEMORIES: dict[tuple[str, str], WordMemory] = {}
 
 
-def word_memory(file: TokenizerFile, purpose: str, value) -> WordMemory:
+def word_memory(file: TokenizerFile, purpose: str, value, limit: int = MEMORY_WORDS) -> WordMemory:
     key = (file.digest, purpose)
     if key not in _MEMORIES:
-        _MEMORIES[key] = WordMemory(file, value)
+        _MEMORIES[key] = WordMemory(file, value, limit)
     return _MEMORIES[key]
