@@ -3,13 +3,15 @@
 Labelled documents give preference pairs: one marked 1 is preferred to one marked 0. The model is
 ``P(a over b) = sigmoid(s(a) - s(b))`` with a linear score ``s = w . x`` of text features, so ``w`` minimises the logistic
 loss on feature differences plus a ridge term (Newton's method). The score has no natural zero: the cut is a quantile of the
-labelled documents' scores, at the share of label 0 among them, in the middle between its two neighbours. Reported scores
-are ``sigmoid(s - cut + logit(THRESHOLD))``, so that a score reaches the threshold exactly if ``s`` reaches the cut.
+scores of all labelled documents outside the held-out fold, at the share of label 0 among them, in the middle between its two
+neighbours. Reported scores are ``sigmoid(s - cut + logit(THRESHOLD))``, so that a score reaches the threshold exactly if ``s``
+reaches the cut.
 
 Features are computed from the whole text in numpy: the share of every byte value class, of pairs of neighbouring classes,
-word and line statistics. Nothing but the text enters. Learning takes at most ``FIT_ROWS`` labelled rows of each label, those
+word and line statistics. Nothing but the text enters. The weights come from at most ``FIT_ROWS`` labelled rows of each label, those
 with the smallest hash of ``doc_id``; the tasks compute their features, and only these few fixed-size rows reach the driver.
-Scoring is one pass over the documents without a shuffle.
+For the cut every document is scored once, only ids and scores are joined with the labels, and the two neighbours of the
+quantile are found exactly by counting prefixes of the scores. Scoring is one pass over the documents without a shuffle.
 
 Defined cases: NULL and empty texts have all-zero features and get the score of that point; without a label of either kind
 every score is 0.5 plus nothing to learn from (weights 0, cut 0, so sigmoid(logit(THRESHOLD))); repeated rows are scored row
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bound of the labelled rows that a fit reads, for each label.
+from larder.context import materialize
+from larder.llm.batches import as_text
+
+#: Bound of the labelled rows that the weights are fitted on, for each label.
 FIT_ROWS = 3_000
 #: Preference pairs of a fit: each side's rows are dealt out evenly.
 FIT_PAIRS = 12_000
@@ -147,7 +152,63 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     x = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text").mapInPandas(_vectors, "label int, x binary")
     got = sorted((r["label"], bytes(r["x"])) for r in x.collect())  # 2 * FIT_ROWS rows of fixed width, but for repeated ids
     side = lambda v: np.frombuffer(b"".join(b for k, b in got if k == v)).reshape(-1, N_FEATURES)
-    return fit(side(1), side(0))
+    model = fit(side(1), side(0))
+    return replace(model, cut=cut_of_all(docs, usable.distinct(), model)) if model.weights.any() else model
+
+
+def _ranks(shared):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), 512):
+                part = frame.iloc[i : i + 512]
+                s = np.array([features(t) for t in part["text"]]) @ shared.value
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "rank": as_ranks(s)})
+
+    return run
+
+
+def as_ranks(scores: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the scores."""
+    bits = (np.asarray(scores, dtype=float) + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
+
+
+def as_score(rank: int) -> float:
+    bits = np.array([rank], dtype=np.int64)
+    return float(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view(float)[0])
+
+
+def ranks_at(ranks: DataFrame, places: list[int]) -> list[int]:
+    """The values of the long column ``rank`` at these places of its order, 16 bits at a time: at most 2^16 counts reach the driver."""
+    state = [(None, p) for p in places]
+    for shift in (48, 32, 16, 0):
+        head = F.shiftright("rank", shift)
+        known = sorted({k for k, _ in state if k is not None})
+        part = ranks.filter(F.shiftright("rank", shift + 16).isin(known)) if known else ranks
+        counts = sorted((r["head"], r["n"]) for r in part.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n")).collect())
+        found = []
+        for above, place in state:
+            for value, n in counts:
+                if above is not None and value >> 16 != above:
+                    continue
+                if place < n:
+                    break
+                place -= n
+            found.append((value, place))
+        state = found
+    return [value for value, _ in state]
+
+
+def cut_of_all(docs: DataFrame, usable: DataFrame, model: Ranking) -> float:
+    """The quantile of the scores of all rows with a usable label, at the share of label 0 among them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
+    kind = docs.schema["doc_id"].dataType
+    scored = docs.select(as_text("doc_id"), "text").mapInPandas(_ranks(shared), "doc_id string, rank long")
+    scored = scored.withColumn("doc_id", F.col("doc_id").cast(kind))
+    ranks = materialize(scored.join(usable, "doc_id").select("label", "rank"), "quality-scores")
+    bad = ranks.filter("label = 0").count()
+    low, high = ranks_at(ranks, [bad - 1, bad])
+    return (as_score(low) + as_score(high)) / 2
 
 
 def score(text: Column, model: Ranking) -> Column:

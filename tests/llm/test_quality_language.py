@@ -71,6 +71,29 @@ def test_quality_on_the_tables(tables):
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
 
 
+def test_cut_is_the_quantile_of_all_labelled_rows(tables):
+    from pyspark.sql import functions as F
+
+    docs, labels = tables
+    docs = docs.withColumn("text", F.substring("text", 1, 2000))
+    labels = labels.withColumn("quality", F.when(F.col("doc_id") % 10 == 3, 0).otherwise(F.col("quality")))  # labels that overlap
+    model = quality.learn(docs, labels, rows=20)  # far fewer than there are labels of either kind
+    usable = labels.filter(F.col("quality").isin(0, 1) & ~quality.held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
+    rows = quality.assess(docs, model).join(usable, "doc_id").collect()
+    assert sum(r["quality"] == 0 for r in rows) > 20 and sum(r["quality"] == 1 for r in rows) > 20
+    assert sum(r["predicted"] == 0 for r in rows) == sum(r["quality"] == 0 for r in rows)
+
+
+def test_ranks_keep_the_order_of_scores(spark):
+    rng = np.random.default_rng(3)
+    s = np.concatenate([rng.normal(size=60), rng.normal(size=20) * 1e-200, [0.0, -0.0, 5.0, 5.0, 5.0]])
+    ranks = quality.as_ranks(s)
+    assert np.array_equal(s[np.argsort(ranks, kind="stable")], np.sort(s)) and [quality.as_score(int(k)) for k in ranks] == s.tolist()
+    table = spark.createDataFrame([(int(k),) for k in ranks], "rank long")
+    places = [0, 1, 40, 41, len(s) - 2, len(s) - 1]
+    assert [quality.as_score(k) for k in quality.ranks_at(table, places)] == np.sort(s)[places].tolist()
+
+
 def test_labels_of_the_held_out_fold_are_not_read(spark, tables):
     docs, labels = tables
     from pyspark.sql import functions as F
