@@ -9,9 +9,8 @@ vocabulary comes from counts over all documents: the ``KNOWN`` most frequent wor
 for all others. Counting is a grouped sum with partial sums in the map tasks.
 
 Training is local gradient descent with averaging. In each round every task starts from the shared parameters, visits each of its
-documents with every ``STEP``-th position as a target (another phase each round), and returns its parameters with the number of
-targets. They are averaged in ``GATHER`` groups by a shuffle, and these few vectors on the driver. So all documents take part,
-what is gathered grows with them, and what the driver and the broadcast hold has the size of the network. The model depends
+documents with every ``rounds``-th position as a target (another phase each round), and returns its parameters with the number of
+targets. So over the rounds every position of every document is a target once. The parameters are averaged in ``GATHER`` groups by a shuffle, and these few vectors on the driver. What is gathered grows with them, and what the driver and the broadcast hold has the size of the network. The model depends
 on how documents are dealt to tasks, as local training does; for the same files it is the same.
 
 Defined cases: NULL and blank texts have no words, sum 0 and NULL mean; a document of one word is predicted from padding;
@@ -36,7 +35,7 @@ from larder.llm.jaccard import mix, word_hashes
 
 KNOWN, CLASSES = 192, 64
 SIDE, WIDTH = 2, 16
-STEP, ROUNDS, BATCH, RATE = 8, 2, 512, 2.0
+ROUNDS, BATCH, RATE = 2, 512, 2.0
 GATHER = 32
 #: Positions that are scored in one matrix product, and characters that are tokenised at once.
 CHUNK = 2048
@@ -182,7 +181,7 @@ def vocabulary(docs: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, np.ndar
     return names, n / n.sum()
 
 
-def _train(shared, phase: int):
+def _train(shared, phase: int, step_width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, start = shared.value
         net, pad, seen = start.unpack(start.pack()), len(names), 0
@@ -198,9 +197,9 @@ def _train(shared, phase: int):
             held, waiting = [], 0
 
         for frame in frames:
-            for k, text in enumerate(frame["text"]):
+            for text in frame["text"]:
                 ids = names.ids(text)
-                at = np.arange((phase + k) % STEP, len(ids), STEP)
+                at = np.arange(phase, len(ids), step_width)
                 if len(at):
                     wide = np.concatenate([np.full(SIDE, pad, np.int32), ids, np.full(SIDE, pad, np.int32)])
                     held.append((np.stack([wide[at + o] for o in range(2 * SIDE + 1) if o != SIDE], axis=1), ids[at]))
@@ -232,11 +231,11 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     texts = docs.select("text")
     for r in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast((names, net))
-        local = texts.mapInPandas(_train(shared, r * (STEP // max(1, rounds))), "slot int, n double, net binary")
+        local = texts.mapInPandas(_train(shared, r, rounds), "slot int, n double, net binary")
         got = local.repartition(GATHER, "slot").mapInPandas(_add, "n double, net binary").collect()  # GATHER rows at most
         n = sum(x["n"] for x in got)
         if not n:
-            break
+            break  # no position of this phase means none of a later one
         net = net.unpack(np.sum([np.frombuffer(bytes(x["net"])) for x in got], axis=0) / n)
     return names, net
 

@@ -73,6 +73,24 @@ def test_training_learns_both_sides(documents):
     assert net.log_probability(lm.contexts(ids, len(names)), ids).mean() > before.log_probability(lm.contexts(ids, len(names)), ids).mean() + 0.3
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_position_is_a_target_once(documents, monkeypatch, rounds):
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    import pandas as pd
+
+    texts = ["a", "a b", "a b c", "a b c d e f g h i j k", None, ""]
+    names = lm.Vocabulary(np.empty(0, np.uint64))
+    seen = []
+    monkeypatch.setattr(lm.Network, "learn", lambda self, context, target, rate=0: seen.extend(target.tolist()))
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 0})())
+    for r in range(rounds):
+        list(lm._train(Shared((names, lm.Network.start(len(names)))), r, rounds)(iter([pd.DataFrame({"text": texts})])))
+    assert sorted(seen) == sorted(i for t in texts for i in names.ids(t).tolist())
+
+
 def test_odd_documents(documents, no_documents):
     docs = documents([None, "", "...", "word", "the the the " * 2000, "word"], ids=[1, 2, 3, 2**60 + 1, None, 9])
     names, net = lm.train(docs)
