@@ -1,12 +1,15 @@
 """Language-model score by masked pseudo-likelihood.
 
 A window network predicts every word from ``SIDE`` words on both sides: each neighbour's embedding is weighted by a vector of its
-offset, the sum passes tanh, and a softmax over the vocabulary follows. A document's score is the sum of the
+offset, the sum passes tanh, and a softmax over the numbers of the vocabulary follows. A number is one frequent word or a class of
+others; a word's probability is that of its number times its share of the class, ``n(word) / (n(class) + 1)`` by the counts of all
+documents, where a word that was never counted has the share ``1 / (n(class) + 1)``. A document's score is the sum of the
 logarithms of these conditional probabilities, with every word masked in turn; the mean per word makes lengths comparable.
 
 Words are runs of bytes other than white space and punctuation, in ASCII lower case, and are handled as 64-bit hashes. The
 vocabulary comes from counts over all documents: the ``KNOWN`` most frequent words (ties by hash), and ``CLASSES`` hash classes
-for all others. Counting is a grouped sum with partial sums in the map tasks.
+for all others. Counting is a grouped sum with partial sums in the map tasks. The counts of the most frequent words
+(at most ``COMMON``, 16 MB) are broadcast; if there are more words, those left over in a document are joined with their counts.
 
 Training is local gradient descent with averaging. In each round every task starts from the shared parameters, visits each of its
 documents with every ``rounds``-th position as a target (another phase each round), and returns its parameters with the number of
@@ -21,7 +24,7 @@ columns are neither read nor returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,8 @@ from larder.llm.batches import as_text
 from larder.llm.jaccard import mix, word_hashes
 
 KNOWN, CLASSES = 192, 64
+#: Words whose counts are broadcast; the counts of rarer ones are joined.
+COMMON = 1_000_000
 SIDE, WIDTH = 2, 16
 ROUNDS, BATCH, RATE = 2, 512, 2.0
 GATHER = 32
@@ -50,10 +55,18 @@ def words(text: str | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Numbers of words: ``known`` (rising hashes) come first, then hash classes."""
+    """Numbers of words: ``known`` (rising hashes) come first, then hash classes.
+
+    ``common`` (rising hashes) are words of the classes with the logarithms of their counts, ``class_logs`` the logarithm of each
+    class's total and one, ``counts`` the table of all counts if ``common`` does not hold every word.
+    """
 
     known: np.ndarray
     classes: int = CLASSES
+    common: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    common_logs: np.ndarray = field(default_factory=lambda: np.empty(0))
+    class_logs: np.ndarray | None = None
+    counts: DataFrame | None = None
 
     def __len__(self) -> int:
         return len(self.known) + self.classes
@@ -68,6 +81,19 @@ class Vocabulary:
     def ids(self, text: str | None) -> np.ndarray:
         return self.numbers(words(text))
 
+    def shares(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum of the logarithms of the words' shares of their classes, and the words whose counts are not here (taken as 1)."""
+        other = ids >= len(self.known)
+        if self.class_logs is None or not other.any():
+            return 0.0, hashes[:0]
+        h = hashes[other]
+        total = -float(self.class_logs[ids[other] - len(self.known)].sum())
+        if not len(self.common):
+            return total, h
+        at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+        held = self.common[at] == h
+        return total + float(self.common_logs[at[held]].sum()), h[~held]
+
 
 @dataclass
 class Network:
@@ -168,15 +194,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(_count, "word long, n long").groupBy("word").agg(F.sum("n").cast("long").alias("n"))
 
 
-def vocabulary(docs: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, np.ndarray]:
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        word, n = (frame[c].to_numpy(np.int64) for c in ("word", "n"))
+        yield pd.DataFrame({"words": [word.tobytes()], "n": [n.tobytes()]})
+
+
+def vocabulary(docs: DataFrame, known: int = KNOWN, common: int | None = None) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the relative frequency of each number."""
+    common = COMMON if common is None else common
     counts = materialize(word_counts(docs), "word-counts")
     top = sorted(counts.orderBy(F.desc("n"), "word").limit(known).collect(), key=lambda r: r["word"] % 2**64)
     listed = [r["word"] for r in top]
     rest = counts.filter(~F.col("word").isin(listed)) if listed else counts
-    names = Vocabulary(np.array([w % 2**64 for w in listed], dtype=np.uint64))
     kind = F.col("word").bitwiseAND(CLASSES - 1)  # CLASSES is a power of two
     by_class = {int(r["k"]): r["n"] for r in rest.groupBy(kind.alias("k")).agg(F.sum("n").alias("n")).collect()}
+    level = F.floor(F.log2("n") * 16)  # at most 1,024 levels of frequency
+    levels = sorted(((r["level"], r["count"]) for r in rest.groupBy(level.alias("level")).count().collect()), reverse=True)
+    reach = np.cumsum([size for _, size in levels])
+    kept = int((reach <= common).sum())
+    held = rest if kept == len(levels) else rest.filter(level >= levels[kept - 1][0]) if kept else rest.limit(0)
+    frame = held.select("word", "n").mapInPandas(_packed, "words binary, n binary").collect()  # 16 bytes a word
+    word = np.concatenate([np.frombuffer(bytes(r["words"]), np.uint64) for r in frame] or [np.empty(0, np.uint64)])
+    logs = np.log(np.concatenate([np.frombuffer(bytes(r["n"]), np.int64) for r in frame] or [np.empty(0, np.int64)]))
+    order = np.argsort(word)
+    names = Vocabulary(
+        np.array([w % 2**64 for w in listed], dtype=np.uint64), CLASSES, word[order], logs[order],
+        np.log([by_class.get(k, 0) + 1 for k in range(CLASSES)]), None if kept == len(levels) else counts,
+    )
     n = np.array([r["n"] for r in top] + [by_class.get(k, 0) for k in range(CLASSES)], dtype=float) + 1
     return names, n / n.sum()
 
@@ -227,10 +272,11 @@ def _add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     """A network trained on all documents."""
     names, frequency = vocabulary(docs)
+    small = Vocabulary(names.known, names.classes)
     net = Network.start(len(names), frequency)
     texts = docs.select("text")
     for r in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((names, net))
+        shared = docs.sparkSession.sparkContext.broadcast((small, net))
         local = texts.mapInPandas(_train(shared, r, rounds), "slot int, n double, net binary")
         got = local.repartition(GATHER, "slot").mapInPandas(_add, "n double, net binary").collect()  # GATHER rows at most
         n = sum(x["n"] for x in got)
@@ -242,13 +288,15 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
 
 def _score(shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, net = shared.value
-        pad = len(names)
+        names, net, whole = shared.value
+        pad, row = len(names), TaskContext.get().partitionId() << 40
         for frame in frames:
             for i in range(0, len(frame), 64):
                 part = frame.iloc[i : i + 64]
-                all_ids = [names.ids(t) for t in part["text"]]
-                total = [0.0] * len(part)
+                hashes = [words(t) for t in part["text"]]
+                all_ids = [names.numbers(h) for h in hashes]
+                shares = [names.shares(h, x) for h, x in zip(hashes, all_ids, strict=True)]
+                total = [s for s, _ in shares]
                 filled = [k for k, x in enumerate(all_ids) if len(x)]
                 if filled:
                     context = np.concatenate([contexts(all_ids[k], pad) for k in filled])
@@ -256,15 +304,33 @@ def _score(shared):
                     logs = net.log_probability(context, target)
                     cuts = np.cumsum([0] + [len(all_ids[k]) for k in filled])
                     for k, s in zip(filled, np.add.reduceat(logs, cuts[:-1]), strict=True):
-                        total[k] = float(s)
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_words": [len(x) for x in all_ids], "log_probability": total})
+                        total[k] += float(s)
+                rare = [b"" if whole else r.tobytes() for _, r in shares]
+                out = {"row": np.arange(row, row + len(part)), "doc_id": part["doc_id"].array, "n_words": [len(x) for x in all_ids]}
+                row += len(part)
+                yield pd.DataFrame(out | {"log_probability": total, "rare": rare})
 
     return run
 
 
+def _rare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for row, packed in zip(frame["row"], frame["rare"], strict=True):
+            word, n = np.unique(np.frombuffer(packed, np.int64), return_counts=True)
+            yield pd.DataFrame({"row": np.full(len(word), row), "word": word, "times": n})
+
+
 def pseudo_likelihood(docs: DataFrame, names: Vocabulary, net: Network) -> DataFrame:
     """``doc_id, n_words, log_probability, mean_log_probability`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((names, net))
-    out = docs.select(as_text("doc_id"), "text").mapInPandas(_score(shared), "doc_id string, n_words long, log_probability double")
+    whole = names.counts is None
+    shared = docs.sparkSession.sparkContext.broadcast((replace(names, counts=None), net, whole))
+    schema = "row long, doc_id string, n_words long, log_probability double, rare binary"
+    out = docs.select(as_text("doc_id"), "text").mapInPandas(_score(shared), schema)
+    if not whole:
+        out = materialize(out, "word-scores")
+        rare = out.filter(F.length("rare") > 0).select("row", "rare").mapInPandas(_rare, "row long, word long, times long")
+        more = rare.join(names.counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+        out = out.join(more, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("more", F.lit(0.0)))
+    out = out.select("doc_id", "n_words", "log_probability")
     mean = F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words"))
     return out.withColumns({"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "mean_log_probability": mean})

@@ -91,6 +91,29 @@ def test_every_position_is_a_target_once(documents, monkeypatch, rounds):
     assert sorted(seen) == sorted(i for t in texts for i in names.ids(t).tolist())
 
 
+@pytest.mark.parametrize("common", [1_000_000, 3])
+def test_every_word_has_its_own_probability(documents, monkeypatch, common):
+    monkeypatch.setattr(lm, "KNOWN", 2)
+    monkeypatch.setattr(lm, "CLASSES", 2)
+    texts = ["a b a b a b c", "c c d e f g h", "a b d d d i", "", None]
+    docs = documents(texts)
+    names, frequency = lm.vocabulary(docs, known=2, common=common)
+    names = lm.replace(names, classes=2)
+    net = lm.Network.start(len(names), frequency)
+    asked = texts + ["a zebra c"]
+    got = {r["doc_id"]: r["log_probability"] for r in lm.pseudo_likelihood(documents(asked), names, net).collect()}
+    count = lm.pd.Series(" ".join(t for t in texts if t).split()).value_counts()
+    kind = {w: int(names.ids(w)[0]) for w in [*count.index, "zebra"]}
+    total = {k: sum(n for w, n in count.items() if kind[w] == k) for k in range(4)}
+    share = {w: 1 if k < 2 else count.get(w, 1) / (total[k] + 1) for w, k in kind.items()}
+    assert len({share[w] for w in "cde"}) > 1
+    for d, text in enumerate(asked):
+        want = plain_log_probability(net, names.ids(text), len(names)) + sum(math.log(share[w]) for w in (text or "").split())
+        assert got[d] == pytest.approx(want, abs=1e-3)
+    for k in (2, 3):  # the words of a class share its probability
+        assert sum(share[w] for w in count.index if kind[w] == k) == pytest.approx(total[k] / (total[k] + 1))
+
+
 def test_odd_documents(documents, no_documents):
     docs = documents([None, "", "...", "word", "the the the " * 2000, "word"], ids=[1, 2, 3, 2**60 + 1, None, 9])
     names, net = lm.train(docs)
