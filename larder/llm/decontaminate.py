@@ -6,12 +6,13 @@ benchmark items are hash-joined with those of the documents, so a question whose
 meets its original. Windows of one document and item at the same distance line up; neighbouring windows form a run. A run is
 a leak if it covers ``RUN_WORDS`` words (or the whole item, if that is shorter) and its slots are consistent: each original value
 stands for one value in the document and the other way round, for each type. Where they are not, the run is cut at the window that
-breaks them, and the pieces are judged alike. Windows with fewer than ``LITERALS`` literal words say too little and are not made,
-but an item all of whose windows would be lost keeps them. Items with names have a second set of windows in which names are
+breaks them, and the pieces are judged alike. Windows with fewer than ``LITERALS`` literal words say too little and are not looked up;
+a window beside them carries the words around it, and they join its run where these are equal. An item all of whose windows
+would be lost looks them up. Items with names have a second set of windows in which names are
 literal words, because a copy in lower case or capitals shows no names.
 
 Scale: documents are scanned once against the benchmark's window hashes, and only windows that hit are shuffled, joined to
-the items' windows and lined up. The hashes are broadcast in blocks of ``BLOCK_HASHES`` (8 MB); a larger benchmark means more
+the items' windows and lined up. The hashes are broadcast in blocks of ``BLOCK_HASHES`` (16 MB); a larger benchmark means more
 scans, not a larger broadcast. A group to line up is one (document, item), bounded by their lengths; a passage in a third of all
 documents is that many small groups.
 
@@ -166,6 +167,33 @@ def _values(text: str, slot: np.ndarray, start: np.ndarray, end: np.ndarray, at:
     return "\x1f".join(f"{slot[i]}{text[start[i] : end[i]].lower()}" for i in range(at, at + size) if slot[i] != LITERAL)
 
 
+def _reach(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many windows before and after each kept one are not kept, up to the next kept one."""
+    at = np.flatnonzero(keep)
+    edges = np.concatenate([[-1], at, [len(keep)]])
+    return np.diff(edges)[:-1] - 1, np.diff(edges)[1:] - 1
+
+
+def _near(text: str, code, slot, start, end, first: int, last: int) -> str:
+    """The template words of a range with the values of its slots."""
+    first, last = max(0, first), min(last, len(code))
+    return "\x1e".join(f"={int(code[i]):x}" if slot[i] == LITERAL else f"{slot[i]}{text[start[i] : end[i]].lower()}" for i in range(first, last))
+
+
+def extended(item_at: int, size: int, item: tuple[str, int], doc: tuple[str, int]) -> dict[int, tuple[str, str]]:
+    """Windows next to a matched one over equal template words: place and (original, found) values. Pairs: words, how many stand before."""
+    a, b = item[0].split("\x1e"), doc[0].split("\x1e")
+    low, high = item[1], item[1] + size
+    move = doc[1] - item[1]
+    same = lambda i: 0 <= i < len(a) and 0 <= i + move < len(b) and (a[i] == b[i + move] if a[i][0] == "=" else a[i][0] == b[i + move][0])
+    while same(low - 1):
+        low -= 1
+    while same(high):
+        high += 1
+    values = lambda x: "\x1f".join(w for w in x if w[0] != "=")
+    return {item_at + i - item[1]: (values(a[i : i + size]), values(b[i + move : i + move + size])) for i in range(low, high - size + 1)}
+
+
 def _item_windows(size: int, least: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -179,18 +207,17 @@ def _item_windows(size: int, least: int):
                     h = windows(code, own)
                     keep = telling(slot, own, min(least, own))
                     keep = keep if keep.any() else np.ones(len(h), dtype=bool)
-                    out += [
-                        (item, len(code), own, int(i), int(h[i].astype(np.int64)), _values(text, slot, start, end, i, own))
-                        for i in np.flatnonzero(keep)
-                    ]
-            yield pd.DataFrame(out, columns=["item_id", "item_words", "size", "item_at", "hash", "item_slots"])
+                    for i, left, right in zip(np.flatnonzero(keep).tolist(), *(x.tolist() for x in _reach(keep)), strict=True):
+                        near = _near(text, code, slot, start, end, i - left, i + own + right) if left or right else ""
+                        out.append((item, len(code), own, i, int(h[i].astype(np.int64)), _values(text, slot, start, end, i, own), left, right, near))
+            yield pd.DataFrame(out, columns=["item_id", "item_words", "size", "item_at", "hash", "item_slots", "left", "right", "item_near"])
 
     return run
 
 
 def _document_windows(block, sizes: list[int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = block.value
+        hashes, left, right = block.value
         for frame in frames:
             out = []
             for row, doc, text in zip(frame["row"], frame["doc_id"], frame["text"], strict=True):
@@ -198,8 +225,11 @@ def _document_windows(block, sizes: list[int]):
                 for size in sizes:
                     h = windows(code, size).astype(np.int64)
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    out += [(row, doc, int(i), int(h[i]), _values(text, slot, start, end, i, size)) for i in np.flatnonzero(hashes[at] == h)]
-            yield pd.DataFrame(out, columns=["row", "doc_id", "at", "hash", "slots"])
+                    for i in np.flatnonzero(hashes[at] == h).tolist():
+                        a, b = int(left[at[i]]), int(right[at[i]])
+                        near = _near(text, code, slot, start, end, i - a, i + size + b) if a or b else ""
+                        out.append((row, doc, i, int(h[i]), _values(text, slot, start, end, i, size), min(a, i), near))
+            yield pd.DataFrame(out, columns=["row", "doc_id", "at", "hash", "slots", "before", "near"])
 
     return run
 
@@ -238,11 +268,18 @@ def _judge(run_words: int):
             need = min(run_words, words)
             best = None
             for shift, line in group.assign(shift=group["at"] - group["item_at"]).groupby("shift"):
+                weak = {}
+                for x in line[line["item_near"] != ""].itertuples():
+                    weak |= extended(x.item_at, size, (x.item_near, x.left), (x.near, x.before))
                 line = line.drop_duplicates("item_at").sort_values("item_at")
-                pairs = list(zip(line["item_slots"], line["slots"], strict=True))
-                for first, length, changed in consistent_runs(line["item_at"].tolist(), pairs, size):
-                    if length >= need and (best is None or (length, -first, -shift) > (best[0], -best[1], -best[2])):
-                        best = (length, first, int(shift), changed)
+                strong = dict(zip(line["item_at"].tolist(), zip(line["item_slots"], line["slots"], strict=True), strict=True))
+                for windows_of in [strong, weak | strong] if weak.keys() - strong.keys() else [strong]:
+                    places = sorted(windows_of)
+                    for first, length, changed in consistent_runs(places, [windows_of[k] for k in places], size):
+                        if not any(first <= k <= first + length - size for k in strong):
+                            continue
+                        if length >= need and (best is None or (length, -first, -shift) > (best[0], -best[1], -best[2])):
+                            best = (length, first, int(shift), changed)
             if best:
                 found.append((group["doc_id"].iloc[0], group["item_id"].iloc[0], words, best[0], best[1], best[1] + best[2], best[3]))
             if len(found) >= 5_000:
@@ -260,7 +297,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, run_words:
     """One row for each document and item that it leaks, with the longest run: its words, both places, exchanged slot values."""
     spark = docs.sparkSession
     items = benchmark.select(as_text("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    schema = "item_id string, item_words int, size int, item_at int, hash long, item_slots string"
+    schema = "item_id string, item_words int, size int, item_at int, hash long, item_slots string, left int, right int, item_near string"
     own = materialize(items.mapInPandas(_item_windows(size, literals), schema).distinct(), "benchmark-windows")
     sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # at most WINDOW numbers
     total = own.select("hash").distinct().count()
@@ -269,15 +306,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, run_words:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), as_text("doc_id"), "text").filter("text IS NOT NULL")
     hits = None
     for b in range(blocks):
-        part = own.filter(F.pmod("hash", F.lit(blocks)) == b).select("hash").distinct().collect()  # about BLOCK_HASHES numbers
-        hashes = np.sort(np.array([r["hash"] for r in part], dtype=np.int64))
+        part = own.filter(F.pmod("hash", F.lit(blocks)) == b).groupBy("hash").agg(F.max("left").alias("left"), F.max("right").alias("right")).collect()  # about BLOCK_HASHES rows
+        part.sort(key=lambda r: r["hash"])
+        hashes = np.array([r["hash"] for r in part], dtype=np.int64)
         if not len(hashes):
             continue
-        shared = spark.sparkContext.broadcast(hashes)
-        found = rows.mapInPandas(_document_windows(shared, sizes), "row long, doc_id string, at int, hash long, slots string")
+        shared = spark.sparkContext.broadcast((hashes, *(np.array([r[c] for r in part], dtype=np.int32) for c in ("left", "right"))))
+        found = rows.mapInPandas(_document_windows(shared, sizes), "row long, doc_id string, at int, hash long, slots string, before int, near string")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = spark.createDataFrame([], "row long, doc_id string, at int, hash long, slots string")
+        hits = spark.createDataFrame([], "row long, doc_id string, at int, hash long, slots string, before int, near string")
     met = hits.join(own, "hash").repartition("row", "item_id").sortWithinPartitions("row", "item_id")
     schema = "doc_id string, item_id string, item_words int, matched_words int, item_at int, doc_at int, changed_slots int"
     out = met.mapInPandas(_judge(run_words), schema)

@@ -94,6 +94,16 @@ def test_windows_of_mere_placeholders_say_nothing(documents, benchmark):
     assert set(got) == {(1, 0)}
 
 
+def test_items_dense_in_slots_are_found(documents, benchmark):
+    item = "Add these numbers and write the total: 3 4 5 6 7 8 9 10"
+    changed = "so " + item.replace("3 4 5", "21 22 23") + " then"
+    got = found(documents([item, changed, "Add these numbers and write the total: then rest", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"]), benchmark(item))
+    assert (0, 0) in got and got[(0, 0)]["matched_words"] == 15 and got[(0, 0)]["changed_slots"] == 0
+    lower = found(documents([changed.lower()]), benchmark(item.lower()))
+    assert lower[(0, 0)]["matched_words"] == 15 and lower[(0, 0)]["changed_slots"] == 3
+    assert {d for d, _ in got} <= {0, 1}
+
+
 def test_blocks_of_hashes_give_the_same(monkeypatch, documents, benchmark):
     rng = random.Random(0)
     items = [" ".join(rng.choices(["red", "cat", "runs", "over", "7", "Bob", "km", "tree", "is", "at"], k=30)) for _ in range(12)]
