@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from larder.context import scratch_folder, table
 from larder.llm import (
-    bpe, checks, decontaminate, jaccard, language, lm_score, quality, sharding, token_counts, warc, weighted_sampling,
+    align, bpe, checks, decontaminate, jaccard, language, lm_score, quality, sharding, token_counts, warc, weighted_sampling,
 )
 from larder.llm.tokenizers import TokenizerFile
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_template_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,11 +78,17 @@ def op10_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
     return weighted_sampling.fingerprints(table(spark, folder, "documents"))
 
 
+def op11_whitespace_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignment of every document's byte-level tokens with its sentence pieces."""
+    files = TokenizerFile.read(BYTE_TOKENIZER), TokenizerFile.read(PIECE_TOKENIZER)
+    return align.align(table(spark, folder, "documents"), *files, digest_only=True).documents
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_template_windows, op2_bradley_terry, op3_warc_derivatives, op4_hilbert_shards, op5_string_kernel, op6_jaccard_join,
-        op7_token_counts, op8_pseudo_likelihood, op9_tree_bpe, op10_weighted_sampling,
+        op7_token_counts, op8_pseudo_likelihood, op9_tree_bpe, op10_weighted_sampling, op11_whitespace_anchors,
     )
 }
 SQL: dict[str, str] = {
