@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from larder.context import scratch_folder, table
 from larder.llm import (
-    align, bpe, checks, decontaminate, jaccard, language, lm_score, quality, sharding, token_counts, warc, weighted_sampling,
+    align, bpe, checks, decontaminate, jaccard, language, lm_score, pigeonhole, quality, rtree, sharding, token_counts, warc, weighted_sampling,
 )
 from larder.llm.tokenizers import TokenizerFile
+from larder.llm.vector_rows import finite
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,11 +85,25 @@ def op11_whitespace_anchors(spark: SparkSession, folder: str) -> DataFrame:
     return align.align(table(spark, folder, "documents"), *files, digest_only=True).documents
 
 
+def op12_str_rtree(spark: SparkSession, folder: str) -> DataFrame:
+    """Three hard negatives for each of the five best positives of every fiftieth vector."""
+    rows = table(spark, folder, "embeddings").filter(F.col("label").isNotNull() & finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return rtree.hard_negatives(rows.select("vec_id", label.alias("label"), whole.alias("vector")), F.col("vec_id") % 50 == 0)
+
+
+def op13_subspace_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors of equal label with a cosine of 0.98 or more."""
+    return pigeonhole.near_duplicates(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_template_windows, op2_bradley_terry, op3_warc_derivatives, op4_hilbert_shards, op5_string_kernel, op6_jaccard_join,
-        op7_token_counts, op8_pseudo_likelihood, op9_tree_bpe, op10_weighted_sampling, op11_whitespace_anchors,
+        op7_token_counts, op8_pseudo_likelihood, op9_tree_bpe, op10_weighted_sampling, op11_whitespace_anchors, op12_str_rtree,
+        op13_subspace_pigeonhole,
     )
 }
 SQL: dict[str, str] = {
@@ -96,4 +111,6 @@ SQL: dict[str, str] = {
     "op3_warc_derivatives": checks.WARC,
     "op6_jaccard_join": checks.COMPONENTS,
     "op10_weighted_sampling": checks.FINGERPRINTS,
+    "op12_str_rtree": checks.NEGATIVES,
+    "op13_subspace_pigeonhole": checks.NEAR_VECTORS,
 }
