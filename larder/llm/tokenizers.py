@@ -8,9 +8,11 @@ whatever the corpus), so executors need no file of their own. Three kinds are kn
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import json
 import os
+import unicodedata
 from dataclasses import dataclass
 
 #: Fixed value: the split pattern of word vocabularies. None of its alternatives can match white space, and what it does
@@ -19,6 +21,17 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Remembered words per Python worker; beyond that the memory is emptied and filled anew.
 MEMORY_WORDS = 250_000
+#: Longer words (lines of a script without blanks, encoded data) are encoded whenever they occur and not remembered.
+MEMORY_WORD_CHARS = 64
+
+
+@functools.cache
+def stays_a_letter(c: str) -> bool:
+    """True for a letter that is one letter after composition and lower-casing, in every version of the Unicode tables.
+
+    Others may end in a mark (I with a dot above becomes i and a mark), which the split pattern joins with a stop behind it.
+    """
+    return c < "\u0530" and c.isalpha() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower().isalpha()
 
 
 @dataclass(frozen=True)
@@ -110,7 +123,12 @@ class WordMemory:
                 self.old, self.young = young, {}
                 young, new = self.young, list(dict.fromkeys(words))
             self._learn(new)
-        return [young[w] for w in words]
+        out = [young[w] for w in words]
+        for w in new:
+            if len(w) > MEMORY_WORD_CHARS:
+                young.pop(w, None)
+                young.pop(w[:-1], None)
+        return out
 
     def _learn(self, new: list[str]) -> None:
         young, old = self.young, self.old
@@ -118,7 +136,7 @@ class WordMemory:
         for w in new:
             if w in old:
                 young[w] = old[w]
-            elif len(w) > 1 and w[-1] in ".," and w[-2].isalpha():  # a letter and a stop are never one token
+            elif len(w) > 1 and w[-1] in ".," and stays_a_letter(w[-2]):  # a letter and a stop are never one token
                 ended.append(w)
                 for part in (w[:-1], w[-1]):
                     if part not in young:
