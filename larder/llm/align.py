@@ -19,7 +19,9 @@ Ties for the highest count of a B id all count as best. An empty table gives no
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +35,8 @@ from larder.llm.tokenizers import TokenizerFile
 
 #: Characters of text that are aligned at once, or one text if it is longer.
 CHUNK_CHARS = 500_000
-#: Bytes of remembered windows per worker; beyond that the memory is emptied and filled anew.
-MEMORY_BYTES = 48 << 20
+#: Bytes of remembered words, and as many of remembered windows, per worker; beyond that a memory is emptied and filled anew.
+MEMORY_BYTES = 128 << 20
 #: Pairs in the broadcast table.
 COMMON = 1 << 21
 #: Distinct pairs that a counting task holds before it hands them on.
@@ -93,30 +95,130 @@ def open_tokenizer(file: TokenizerFile):
     raise ValueError(f"no alignment for files of kind {file.kind}")
 
 
-def align_window(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[list[int], list[int]]]]:
-    """The linked pairs and the groups of one window, whose two sides cover the same bytes; no token is empty."""
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    left, right = len_a[0], len_b[0]
-    while True:
-        links.append((a[i], b[j]))
-        if left == right:
-            i, j = i + 1, j + 1
-            groups.append((a[first_a:i], b[first_b:j]))
-            first_a, first_b = i, j
-            if i == len(a):
-                return links, groups
-            left, right = left + len_a[i], right + len_b[j]
-        elif left < right:
-            i += 1
-            left += len_a[i]
+class Side:
+    """One tokenizer: its ids of the words remembered so far, all in one array.
+
+    ``count`` is -1 for a word whose tokens do not spell it.
+    """
+
+    def __init__(self, file: TokenizerFile):
+        self.library, self.vocabulary = open_tokenizer(file)
+        split = file.spec().get("pre_tokenizer") or {}
+        if file.kind == "json":
+            self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not file.spec().get("normalizer")
         else:
-            j += 1
-            right += len_b[j]
+            self.by_word = not any(b" " in x.lstrip(b" ") for x in self.vocabulary.entries)
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids, self.start, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        found = [self.one_by_one(words[k : k + 2048]) if _odd(words[k]) else self.together(words[k : k + 2048]) for k in range(0, len(words), 2048)]
+        self.ids = np.concatenate([self.ids, *(x for x, _ in found)])
+        self.count = np.concatenate([self.count, *(x for _, x in found)])
+        kept = self.count.clip(min=0)
+        self.start = np.cumsum(kept) - kept
+
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words without white space at their ends, as one text, which the library encodes at a fraction of the cost."""
+        text = " ".join(words)
+        ids = self.library([text])[0]
+        flat = np.array(ids, np.uint32)
+        stops = np.cumsum(self.vocabulary.lengths[flat])
+        wanted = np.cumsum([len(w.encode("utf-8")) + 1 for w in words])
+        last = np.searchsorted(stops, wanted).clip(max=len(stops) - 1)
+        if not (self.spells(ids, text) and np.array_equal(stops[last], wanted)):
+            return self.one_by_one(words)
+        return flat, np.diff(last, prepend=-1)
+
+    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [ids if self.spells(ids, w) else None for ids, w in zip(self.library(words), words, strict=True)]
+        flat = np.fromiter(itertools.chain.from_iterable(x for x in found if x is not None), np.uint32)
+        return flat, np.array([-1 if x is None else len(x) for x in found], np.int64)
+
+    def spells(self, ids: list[int], text: str) -> bool:
+        entries = [self.vocabulary.entries[i] for i in ids]
+        return b"".join(entries) == (" " + text).encode("utf-8") and all(entries)
+
+    def whole(self, text: str) -> np.ndarray | None:
+        """The library's ids of blank + text, None if they do not spell it."""
+        ids = self.library([text])[0]
+        return np.array(ids, np.uint32) if self.spells(ids, text) else None
+
+
+class Encoder:
+    """Encodes blank + text on both sides, remembering the words met so far.
+
+    A word begins at a blank behind something that is no white space. Byte-level splitting never joins what is on the two sides of
+    such a place, and neither does a vocabulary without pieces that hold a blank behind another letter. A text with a word that is
+    not spelled (a tokenizer that normalises) goes to the library as a whole.
+    """
 
+    def __init__(self, file_a: TokenizerFile, file_b: TokenizerFile, memory_bytes: int):
+        self.sides = Side(file_a), Side(file_b)
+        self.by_word = all(s.by_word for s in self.sides)
+        self.memory_bytes, self.held, self.numbers = memory_bytes, 0, {}
 
-def _text(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        if self.held > self.memory_bytes:
+            self.numbers, self.held = {}, 0
+            for side in self.sides:
+                side.forget()
+        found = list(map(self.numbers.get, words))
+        if None in found:
+            new = {w for w, n in zip(words, found, strict=True) if n is None}
+            odd = [w for w in new if _odd(w)]
+            for part in (list(new.difference(odd)), odd):
+                self.numbers.update(zip(part, range(len(self.numbers), len(self.numbers) + len(part)), strict=True))
+                for side in self.sides:
+                    side.learn(part)
+            self.held += 200 * len(new) + 12 * sum(map(len, new))
+            found = map(self.numbers.__getitem__, words)
+        return np.fromiter(found, np.int64, len(words))
+
+    def __call__(self, texts: list[str]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """(the texts that both sides spell, all ids of each side, number of tokens of each of these texts on each side)."""
+        there = [k for k, t in enumerate(texts) if t]
+        fast: list[int] = []
+        ids, sizes = [[], []], [[], []]
+        if self.by_word and there:
+            cut = [_words(texts[k]) for k in there]
+            n_words = np.array([len(x) for x in cut])
+            word = self._numbered(list(itertools.chain.from_iterable(cut)))
+            first = np.cumsum(n_words) - n_words
+            good = np.logical_and(*(np.minimum.reduceat(s.count[word], first) >= 0 for s in self.sides))
+            fast = [k for k, g in zip(there, good.tolist(), strict=True) if g]
+            if fast:
+                word, n_words = word[np.repeat(good, n_words)], n_words[good]
+                for n, s in enumerate(self.sides):
+                    ids[n].append(s.ids[_ranges(s.start[word], s.count[word])])
+                    sizes[n].append(np.add.reduceat(s.count[word], np.cumsum(n_words) - n_words))
+        done = set(fast)
+        for k in there:
+            if k not in done:
+                both = [s.whole(texts[k]) for s in self.sides]
+                if both[0] is not None and both[1] is not None:
+                    fast.append(k)
+                    for n in range(2):
+                        ids[n].append(both[n])
+                        sizes[n].append(np.array([len(both[n])]))
+        return fast, *([np.concatenate(x) if x else np.empty(0, np.int64) for x in y] for y in (ids, sizes))
+
+
+#: White space other than single blanks and line feeds inside a line's text; U+180E once was white space.
+_UNUSUAL = re.compile(r"[^\S \n]|  |\n | \n|^[ \n]|\u180e")
+_WORD_START = re.compile(r"(?<=[^\s\u180e]) ")
+
+
+def _odd(word: str) -> bool:
+    """True for a word that is no word: empty, or with white space at an end."""
+    return not word or word != word.strip() or "\u180e" in (word[0], word[-1])
+
+
+def _words(text: str) -> list[str]:
+    """The text cut at every blank behind something else; these blanks are left out."""
+    return _WORD_START.split(text) if _UNUSUAL.search(text) else text.split(" ")
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,9 +231,10 @@ class Aligner:
     """Aligns texts of one worker; the windows met so far are remembered."""
 
     def __init__(self, file_a: TokenizerFile, file_b: TokenizerFile, memory_bytes: int = MEMORY_BYTES):
-        self.encode_a, self.a = open_tokenizer(file_a)
-        self.encode_b, self.b = open_tokenizer(file_b)
+        self.encode = Encoder(file_a, file_b, memory_bytes)
+        self.a, self.b = (s.vocabulary for s in self.encode.sides)
         self.width = len(self.b.entries)
+        self.names = [str(i) for i in range(max(len(self.a.entries), self.width))]
         self.memory_bytes = memory_bytes
         self._forget()
 
@@ -144,22 +247,32 @@ class Aligner:
         self.held = 0
 
     def _learn(self, new: list[bytes]) -> None:
-        len_a, len_b = self.a.lengths, self.b.lengths
-        groups, links, codes = [], [], []
-        for key in new:
-            ids = np.frombuffer(key, np.uint32)
-            n = int((ids < B_MARK).sum())
-            a, b = ids[:n], ids[n:] - B_MARK
-            pairs, found = align_window(a.tolist(), b.tolist(), len_a[a].tolist(), len_b[b].tolist())
-            self.numbers[key] = len(self.texts)
-            self.texts.append(_text(found))
-            groups.append(len(found))
-            links.append(len(pairs))
-            codes.extend(x * self.width + y for x, y in pairs)
-            self.held += 200 + len(key) + len(self.texts[-1]) + 8 * len(pairs)
-        self.n_groups = np.concatenate([self.n_groups, np.array(groups, np.int64)])
-        self.n_links = np.concatenate([self.n_links, np.array(links, np.int64)])
-        self.codes = np.concatenate([self.codes, np.array(codes, np.uint64)])
+        """Align new windows, all in one go: the bytes between two neighbouring token ends belong to one token of each side."""
+        raw = np.frombuffer(b"".join(new), np.uint32)
+        window = np.repeat(np.arange(len(new)), [len(k) // 4 for k in new])
+        of_a = raw < B_MARK
+        a, b, window_a, window_b = raw[of_a], raw[~of_a] - np.uint32(B_MARK), window[of_a], window[~of_a]
+        end_a, end_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
+        ends = np.unique(np.concatenate([end_a, end_b]))
+        in_a, in_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        shared = end_a[np.searchsorted(end_a, end_b).clip(max=len(end_a) - 1)] == end_b  # B tokens that close a group
+        group_end = end_b[shared]
+        self.n_links = np.concatenate([self.n_links, np.bincount(window_a[in_a], minlength=len(new))])
+        self.n_groups = np.concatenate([self.n_groups, np.bincount(window_b[shared], minlength=len(new))])
+        self.codes = np.concatenate([self.codes, a[in_a].astype(np.uint64) * np.uint64(self.width) + b[in_b].astype(np.uint64)])
+
+        group_a, group_b = np.searchsorted(group_end, end_a), np.searchsorted(group_end, end_b)
+        ids, groups = np.concatenate([a, b]), np.concatenate([2 * group_a, 2 * group_b + 1])
+        order = np.argsort(groups, kind="stable")
+        groups, own = groups[order], np.concatenate([window_a, window_b])[order]
+        first = np.diff(groups, prepend=-1) > 0
+        mark = np.where(~first, 0, np.where(groups % 2 == 1, 1, np.where(np.diff(own, prepend=-1) > 0, 3, 2)))
+        said = [""] * (2 * len(ids))
+        said[0::2] = map(",|;\n".__getitem__, mark.tolist())
+        said[1::2] = map(self.names.__getitem__, ids[order].tolist())
+        self.numbers.update(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
+        self.texts += "".join(said)[1:].split("\n")
+        self.held += 300 * len(new) + 20 * len(raw)
 
     def windows(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each window begins among the tokens of A and of B; both sides cover the same bytes."""
@@ -173,18 +286,13 @@ class Aligner:
     def __call__(self, texts: list[str]) -> dict[str, list]:
         """Per text: numbers, groups as text, codes of its distinct linked pairs and how often each occurs."""
         out = {k: [0] * len(texts) for k in ("n_a", "n_b", "n_groups", "n_links")} | {"groups": [""] * len(texts), "pairs": [b""] * len(texts), "times": [b""] * len(texts)}
-        all_a, all_b = self.encode_a(texts), self.encode_b(texts)
-        spelled = []
-        for k, (t, a, b) in enumerate(zip(texts, all_a, all_b, strict=True)):
-            whole = (" " + t).encode("utf-8")
-            if t and b"".join([self.a.entries[i] for i in a]) == whole == b"".join([self.b.entries[i] for i in b]):
-                spelled.append(k)
-                out["n_a"][k], out["n_b"][k] = len(a), len(b)
+        spelled, (ids_a, ids_b), (tokens_a, tokens_b) = self.encode(texts)
         if not spelled:
             return out
+        for k, a, b in zip(spelled, tokens_a.tolist(), tokens_b.tolist(), strict=True):
+            out["n_a"][k], out["n_b"][k] = a, b
         if self.held > self.memory_bytes:
             self._forget()
-        ids_a, ids_b = (np.concatenate([np.array(x[k], np.uint32) for k in spelled]) for x in (all_a, all_b))
         first_a, first_b = self.windows(ids_a, ids_b)
         n_a, n_b = np.diff(first_a, append=len(ids_a)), np.diff(first_b, append=len(ids_b))
 
@@ -194,12 +302,12 @@ class Aligner:
         ends = 4 * (first_a + first_b + n_a + n_b)
         raw, cuts = both.tobytes(), ends.tolist()
         keys = [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
-        new = [k for k in dict.fromkeys(keys) if k not in self.numbers]
+        new = list(set(keys) - self.numbers.keys())
         if new:
             self._learn(new)
         window = np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
 
-        begins = np.cumsum([0, *(len(all_a[k]) for k in spelled)])
+        begins = np.cumsum([0, *tokens_a])
         of_doc = np.searchsorted(first_a, begins)  # a text begins with a blank on both sides, so with a window
         links = self.n_links[window]
         doc_of = np.repeat(np.arange(len(spelled)), np.diff(of_doc))

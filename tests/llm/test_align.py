@@ -117,3 +117,17 @@ def test_registered_query_equals_plain_loops(spark, libraries):
         r = got[d]
         assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"]) == want[:4]
         assert r["groups_sha256"] == (hashlib.sha256(want[6].encode()).hexdigest() if want[0] else "")
+
+
+def test_words_and_windows_equal_the_libraries_on_random_texts(files, libraries):
+    """Cuts at blanks, contractions, white space of all kinds, marks and special strings."""
+    import random
+
+    draw = random.Random(11)
+    pool = [*"abcXYZ019 .,'!-   \n\t\r\x0b\x1c\x85\xa0\u1680\u180e\u2003\u2028\u3000\u200b\ufeffİßﬁ日本\u0301क़한é😀", "'s", " 'll", "<|endoftext|>", "</s>", "▁", "don't "]
+    texts = ["".join(draw.choices(pool, k=draw.randint(1, 25))) for _ in range(1500)]
+    own = align.Aligner(*files)
+    got = own(texts)
+    wanted, _, _ = plainly(texts, libraries)
+    for k, t in enumerate(texts):
+        assert (got["n_a"][k], got["n_b"][k], got["n_groups"][k], got["n_links"][k], got["groups"][k]) == (*wanted[k][:4], wanted[k][6]), repr(t)
