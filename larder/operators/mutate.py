@@ -5,9 +5,6 @@ Keys of a change table must be unique (check with ``validate.duplicate_keys``),
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,41 +115,3 @@ def cascade_delete(parents: DataFrame, deleted: DataFrame, key: str, **children:
 def blocked_by(candidates: DataFrame, users: DataFrame, key: str, user_key: str) -> DataFrame:
     """Delete guard: the candidate keys that some other row still uses."""
     return candidates.join(users.select(F.col(user_key).alias(key)), key, "left_semi")
-
-
-REPLAYED = "request_id long, expected_version long, applied boolean, current_version long"
-
-
-def _replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (key, request_id); only the version reached is carried from batch to batch."""
-    key, version = None, 0
-    for frame in frames:
-        applied, current = [], []
-        for k, first, expected in zip(frame["key"].tolist(), frame["version"].tolist(), frame["expected"].tolist(), strict=True):
-            if k != key:
-                key, version = k, first
-            fits = expected == "" or int(expected) == version
-            version += fits
-            applied.append(fits)
-            current.append(version)
-        yield pd.DataFrame(
-            {"key": frame["key"], "request_id": frame["request_id"], "expected": frame["expected"], "applied": applied, "current_version": current}
-        )
-
-
-def versioned_replace(state: DataFrame, requests: DataFrame, key: str) -> DataFrame:
-    """Optimistic updates in request order: requests (key, request_id, expected_version) on the current versions.
-
-    A request is applied if it expects the version it meets, or none (NULL), and then raises the version by one; else it is a
-    conflict and reports the version it met. Each answer depends on the one before, so a key's requests pass one task in
-    order; the task holds one batch and one number, however many there are.
-    """
-    found = requests.join(state.select(key, "version"), key).select(
-        F.col(key).alias("key"), "request_id", F.coalesce(F.col("expected_version").cast("string"), F.lit("")).alias("expected"), "version"
-    )
-    kind = requests.schema[key].dataType.simpleString()
-    ordered = found.repartition("key").sortWithinPartitions("key", "request_id")
-    done = ordered.mapInPandas(_replay, f"key {kind}, request_id long, expected string, applied boolean, current_version long")
-    return done.select(
-        F.col("key").alias(key), "request_id", F.nullif("expected", F.lit("")).cast("long").alias("expected_version"), "applied", "current_version"
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.context import materialize, table
-from larder.operators import carts, mutate
+from larder.operators import carts, mutate, replay
 from larder.operators import orders as ops
 from larder.operators.grouping import dense_ids
 from larder.queries import bindings as b
@@ -414,7 +414,7 @@ def versioned_replace(spark: SparkSession, folder: str) -> DataFrame:
         "session_id", "request_id", "IF(k % 10 = 0, NULL, k % 5) AS expected_version"
     )
     state = asked.groupBy("session_id").agg(F.lit(1).alias("one")).selectExpr("session_id", "1 + session_id % 3 AS version")
-    return mutate.versioned_replace(state, asked, "session_id")
+    return replay.versioned_replace(state, asked, "session_id")
 
 
 @query(

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.context import table
-from larder.operators.carts import read_cart
+from larder.context import materialize, table
 from larder.operators.grouping import running_sum
 from larder.queries import bindings as b
 from larder.queries import ordering
@@ -28,6 +27,7 @@ def _shuffled(df: DataFrame, name: str, unique: str) -> tuple[DataFrame, str]:
 
 def _in_turn(df: DataFrame, name: str, place: str) -> DataFrame:
     """The rows in four micro-batches by ascending ``place``, for logs whose order means something."""
+    df = materialize(df, name)
     top = df.agg(F.coalesce(F.max(place), F.lit(0)).alias("m")).scalar()
     return as_batches(df, name, F.floor(F.col(place) * 4 / (top + 1)).cast("long"), [0, 1, 2, 3])[0]
 
@@ -43,7 +43,7 @@ def stream_cart_changes(spark: SparkSession, folder: str) -> DataFrame:
     requests = ordering.cart_requests(spark, folder).select("session_id", "request_id", "cart")
     numbered = running_sum(requests, ["session_id"], "request_id", {"version": F.lit(1)})
     log = _in_turn(numbered.select("session_id", "version", "cart"), "cart-log", "version")
-    return run_to_table(carts.cart_changes(read_cart(log)), "cart-changes")
+    return carts.cart_changes(log)
 
 
 @query(
@@ -106,7 +106,7 @@ def stream_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     counted = running_sum(asked, ["session_id"], "request_id", {"applied": good})
     # The current version before a request is 1 + earlier good ones; 'applied' counts a good request itself too.
     log = _in_turn(counted.selectExpr("session_id", "request_id", "applied AS expected_version"), "version-log", "request_id")
-    return run_to_table(carts.version_conflicts(log), "conflicts")
+    return carts.version_conflicts(log)
 
 
 @query(

@@ -1,87 +1,53 @@
-"""Stateful cart streams.
+"""Cart streams: what a micro-batch of cart versions or versioned requests does to the sessions it touches.
 
-State travels to Python together with the rows of a batch (``applyInPandasWithState``), not by one call per key, which
-matters when a batch touches very many keys.
+Both are steps for ``run.run_steps``: functions from (micro-batch, newest state of its sessions) to (result rows, new state), made of
+the batch operators, so that a busy session spreads over tasks inside a micro-batch too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from larder.functions.text import let
-from larder.operators.carts import clean_items
-
-CHANGES = "session_id long, version long, uuid string, name string, qty long, size string, action string"
-CONFLICTS = "session_id long, request_id long, expected_version long, current_version long"
 
+from larder.operators.carts import changes, clean_items, read_cart
+from larder.operators.grouping import first_per_key, previous_row
+from larder.operators.replay import versioned_replace
+from larder.streaming.run import run_steps
 
-def _in_order(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
-    """A key's rows of one micro-batch (whose size the source bounds) in order, of repeated ones the last."""
-    frame = pd.concat(rows, ignore_index=True)
-    return frame.sort_values(by, kind="stable")
+#: State per session: the cart version last seen, and the version its requests have reached.
+CARTS = "session_id long, version long, cart string"
+VERSIONS = "session_id long, version long"
 
 
-def _item_changes(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per (session, item) the state is the version and quantity last seen.
+def cart_step(batch: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Added and increased items of every new cart version (session_id, version, cart) against the one before.
 
-    An item of version v is new unless version v - 1 held it too, so a session's items need no common state and a busy
-    session spreads over as many tasks as it has items.
+    Versions that a session has already passed, and repeated ones, say nothing new.
     """
-    frame = _in_order(rows, "version").drop_duplicates("version", keep="last")
-    version, qty = frame["version"].to_numpy(np.int64), frame["qty"].to_numpy(np.int64)
-    held = state.get if state.exists else (int(version[0]) - 2, 0)
-    before_version = np.concatenate([[held[0]], version[:-1]])
-    before_qty = np.concatenate([[held[1]], qty[:-1]])
-    added = before_version != version - 1
-    grown = ~added & (qty > before_qty)
-    state.update((int(version[-1]), int(qty[-1])))
-    shown = added | grown
-    out = frame[["session_id", "version", "uuid", "name", "qty", "size"]][shown]
-    yield out.assign(
-        qty=np.where(added, qty, qty - before_qty)[shown], action=np.where(added, "added", "increased")[shown]
-    )
+    passed = held.select("session_id", F.col("version").alias("_passed"))
+    fresh = batch.dropDuplicates(["session_id", "version"]).join(passed, "session_id", "left")
+    fresh = fresh.filter("_passed IS NULL OR version > _passed").select("session_id", "version", "cart", F.lit(True).alias("_new"))
+    both = read_cart(held.select("session_id", "version", "cart", F.lit(False).alias("_new")).unionByName(fresh))
+    items = both.select("session_id", "version", "_new", clean_items(F.col("raw_items")).alias("_items"))
+    paired = previous_row(items, ["session_id"], "version", {"_old": "_items"}).filter("_new")
+    rows = paired.select("session_id", "version", F.inline(changes(F.col("_items"), F.col("_old"))))
+    newest = first_per_key(fresh.select("session_id", "version", "cart"), ["session_id"], [F.col("version").desc()])
+    return rows, newest
 
 
-def _version_check(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per session the state is the current cart version; a request that expects another one changes nothing.
-
-    Each answer depends on the one before, so the requests of a session are told in order; that is one comparison each.
-    """
-    current = state.get[0] if state.exists else 1
-    frame = _in_order(rows, "request_id")
-    expected = frame["expected_version"].fillna(-1).to_numpy(np.int64)
-    met = np.empty(len(expected), dtype=np.int64)
-    for i, e in enumerate(expected.tolist()):
-        met[i] = current
-        current += e in (-1, current)
-    state.update((current,))
-    conflict = (expected != -1) & (expected != met)
-    yield pd.DataFrame(
-        {"session_id": key[0], "request_id": frame["request_id"].to_numpy()[conflict], "expected_version": expected[conflict], "current_version": met[conflict]}
-    )
+def version_step(batch: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests (session_id, request_id, expected_version) that met another version than they expect; sessions start at 1."""
+    sessions = batch.select("session_id").distinct().join(held, "session_id", "left").select("session_id", F.coalesce("version", F.lit(1)).alias("version"))
+    told = versioned_replace(sessions, batch.select("session_id", "request_id", "expected_version"), "session_id")
+    rows = told.filter("NOT applied AND expected_version IS NOT NULL").select("session_id", "request_id", "expected_version", "current_version")
+    return rows, told.groupBy("session_id").agg(F.max("current_version").alias("version"))
 
 
-def cart_changes(versions: DataFrame) -> DataFrame:
-    """Added and increased items of every new cart version (session_id, consecutive version, raw_items)."""
-    last = lambda i, at, all_: ~F.exists(F.slice(all_, at + 2, F.size(all_)), lambda o: o["uuid"].eqNullSafe(i["uuid"]))
-    kept = let(clean_items(F.col("raw_items")), lambda c: F.filter(c, lambda i, at: last(i, at, c)))
-    items = versions.select("session_id", "version", F.inline(kept))
-    items = items.select("session_id", "uuid", "version", "name", "qty", "size")
-    return items.groupBy("session_id", "uuid").applyInPandasWithState(
-        _item_changes, CHANGES, "version long, qty long", "append", GroupStateTimeout.NoTimeout
-    )
+def cart_changes(versions: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run the stream of cart versions to its end: the table of added and increased items."""
+    return run_steps(versions.select("session_id", "version", "cart"), "cart-changes", cart_step, ["session_id"], "version", CARTS, folder)
 
 
-def version_conflicts(requests: DataFrame) -> DataFrame:
-    """Requests (session_id, request_id, expected_version) that met another version; the state is one number per
-    session."""
-    asked = requests.select("session_id", "request_id", "expected_version")
-    return asked.groupBy("session_id").applyInPandasWithState(
-        _version_check, CONFLICTS, "version long", "append", GroupStateTimeout.NoTimeout
-    )
+def version_conflicts(requests: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run the stream of requests to its end: the table of conflicts."""
+    return run_steps(requests, "conflicts", version_step, ["session_id"], "version", VERSIONS, folder)

@@ -4,10 +4,10 @@ import datetime as dt
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from larder.operators.carts import read_cart
-from larder.streaming import carts, events
+from larder.streaming import carts, events, run
 from larder.streaming.run import end_marker, read_stream, run_to_table
 
 
@@ -34,7 +34,7 @@ def test_cart_changes_across_batches(spark, tmp_path):
         spark.createDataFrame([(1, 2, cart(x=3)), (1, 1, cart(x=1, y=2)), (2, 1, cart(x=9))], schema),
         spark.createDataFrame([(1, 3, cart(x=5, y=1)), (2, 2, cart(x=9))], schema),
     ]
-    out = run_to_table(carts.cart_changes(read_cart(stream_of(spark, tmp_path, batches))), "t")
+    out = carts.cart_changes(stream_of(spark, tmp_path, batches))
     assert pairs(out, "session_id", "version", "uuid", "qty", "action") == [
         (1, 1, "x", 1, "added"), (1, 1, "y", 2, "added"), (1, 2, "x", 2, "increased"), (1, 3, "x", 2, "increased"), (1, 3, "y", 1, "added"), (2, 1, "x", 9, "added"),
     ]
@@ -43,7 +43,7 @@ def test_cart_changes_across_batches(spark, tmp_path):
 def test_conflicts_across_batches(spark, tmp_path):
     schema = "session_id long, request_id long, expected_version long"
     batches = [spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 3, None)], schema), spark.createDataFrame([(1, 4, 2), (2, 5, 2), (2, 6, 2)], schema)]
-    out = run_to_table(carts.version_conflicts(stream_of(spark, tmp_path, batches)), "t")
+    out = carts.version_conflicts(stream_of(spark, tmp_path, batches))
     assert pairs(out, "session_id", "request_id", "current_version") == [(1, 2, 2), (2, 6, 3)]
 
 
@@ -87,3 +87,47 @@ def test_order_status_joins_the_table(spark, tmp_path):
     tables = spark.createDataFrame([(1, "T1")], "session_id long, table_id string")
     out = run_to_table(events.order_status(stream, tables), "t")
     assert pairs(out, "order_id", "table_id", "total_amount") == [(10, "T1", 5.0), (11, None, None)]
+
+
+def test_a_killed_job_goes_on_from_its_checkpoint(spark, tmp_path, monkeypatch):
+    """The second micro-batch dies after it wrote its rows; the next run repeats it and nothing counts twice."""
+    monkeypatch.setattr(run, "WHOLE_EVERY", 2)
+    schema = "session_id long, request_id long, expected_version long"
+    rows = [(k % 2, k, [None, 1 + k // 3, k // 2, 7][k % 4]) for k in range(30)]
+    stream = stream_of(spark, tmp_path, [spark.createDataFrame(rows[k : k + 6], schema) for k in range(0, 30, 6)])
+    whole = pairs(carts.version_conflicts(stream), "session_id", "request_id", "current_version")
+    assert len(whole) > 5
+    real, calls = carts.version_step, []
+
+    def dies(batch, held):
+        calls.append(1)
+        found, newest = real(batch, held)
+        if len(calls) == 2:
+            return found, newest.select(F.raise_error(F.lit("lost")).alias("session_id"), "version")
+        return found, newest
+
+    folder = str(tmp_path / "job")
+    monkeypatch.setattr(carts, "version_step", dies)
+    with pytest.raises(Exception, match="lost"):
+        carts.version_conflicts(stream, folder)
+    assert len(calls) == 2
+    assert pairs(carts.version_conflicts(stream, folder), "session_id", "request_id", "current_version") == whole
+
+
+def test_repeated_and_passed_cart_versions_say_nothing_new(spark, tmp_path):
+    schema = "session_id long, version long, cart string"
+    batches = [spark.createDataFrame([(1, 1, cart(x=1)), (1, 1, cart(x=1)), (1, 2, cart(x=2))], schema), spark.createDataFrame([(1, 2, cart(x=2)), (1, 1, cart(x=1)), (1, 3, cart(x=2, y=1))], schema)]
+    out = carts.cart_changes(stream_of(spark, tmp_path, batches))
+    assert pairs(out, "version", "uuid", "qty", "action") == [(1, "x", 1, "added"), (2, "x", 1, "increased"), (3, "y", 1, "added")]
+
+
+def test_window_state_lies_in_rocksdb(spark, tmp_path):
+    import os
+
+    schema = "session_id long, change_id long, ts timestamp"
+    stream = stream_of(spark, tmp_path, [spark.createDataFrame([(1, 1, at(0)), (1, 2, at(5))], schema)])
+    before = spark.conf.get(run.PROVIDER)
+    run_to_table(events.session_counts(stream, "1 hour"), "rocks").count()
+    root = spark.conf.get("spark.checkpoint.dir")
+    kept = [f for d, _, names in os.walk(root) if "/state/" in d and "/rocks-" in d for f in names]
+    assert any(f.endswith((".zip", ".sst", ".changelog")) for f in kept) and spark.conf.get(run.PROVIDER) == before

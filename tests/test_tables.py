@@ -2,11 +2,12 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators import mapping, mutate, validate
+from larder.operators import grouping, mapping, mutate, replay, validate
 from larder.plans import staging
 from larder.sources import readers, sinks
 
@@ -92,10 +93,55 @@ def test_insert_ignore(spark):
 def test_versioned_replace(spark):
     state = spark.createDataFrame([("a", 1), ("b", 4)], "s string, version int")
     asked = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("b", 3, 3), ("b", 4, None)], "s string, request_id int, expected_version int")
-    got = pairs(mutate.versioned_replace(state, asked, "s"), "s", "request_id", "applied", "current_version")
+    got = pairs(replay.versioned_replace(state, asked, "s"), "s", "request_id", "applied", "current_version")
     assert got == [("a", 1, True, 2), ("a", 2, False, 2), ("b", 3, False, 4), ("b", 4, True, 5)]
 
 
+def replayed(state, rows):
+    """One request after the other."""
+    version, out = dict(state), []
+    for key, i, e in sorted(rows, key=lambda r: r[1]):
+        if key in version:
+            fits = e is None or e == version[key]
+            version[key] += fits
+            out.append((key, i, e, fits, version[key]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 16])
+def test_replay_of_a_busy_key_in_ranges(spark, parts):
+    """One key has most requests; expectations are right, stale, early or missing."""
+    draw = random.Random(parts)
+    state, guess, rows = {"a": 5, "b": 0, "c": -3, "quiet": 1}, {"a": 5, "b": 0, "c": -3, "none": 0}, []
+    for i in range(600):
+        key = draw.choice(["a"] * 9 + ["b", "c", "none"])
+        kind = draw.random()
+        e = None if kind < 0.2 else guess[key] + (0 if kind < 0.6 else draw.randint(-3, 4))
+        guess[key] += e is None or e == guess[key]
+        rows.append((key, i * 10**9, e))
+    asked = spark.createDataFrame(rows, "s string, request_id long, expected_version long")
+    got = replay.versioned_replace(spark.createDataFrame(list(state.items()), "s string, version long"), asked, "s", parts)
+    assert sorted((tuple(r[c] for c in ("s", "request_id", "expected_version", "applied", "current_version")) for r in got.collect()), key=repr) == replayed(state, rows)
+
+
+def test_range_maps_equal_replays_from_every_start():
+    draw = random.Random(8)
+    for _ in range(300):
+        expected = [draw.choice([None, *range(-2, 9)]) for _ in range(draw.randint(0, 12))]
+        found, free = replay.range_map(expected)
+        for start in range(-8, 15):
+            version = start
+            for e in expected:
+                version += e is None or e == version
+            assert found.get(start, start + free) == version
+
+
+def test_a_busy_session_spreads_over_tasks(spark):
+    asked = spark.range(4000).selectExpr("IF(id % 3 > 0, 1L, id) AS s", "id AS request_id", "CAST(NULL AS LONG) AS expected_version")
+    cut = grouping.segments(asked, ["s", "request_id"], 12)
+    assert cut.filter("s = 1").select("_seg").distinct().count() >= 4
+
+
 def test_small_table_changes(spark):
     t = spark.createDataFrame([(1, "a", None), (2, "b", "y")], "id int, p string, q string")
     patch = spark.createDataFrame([(1, None, "new"), (2, "B", "ignored")], "id int, p string, q string")
