@@ -6,7 +6,9 @@ from larder.llm.decontaminate import UNITS
 
 _UNITS = ", ".join(f"'{u}'" for u in sorted(UNITS))
 
-#: Runs whose slots contradict each other are left out here; the operator cuts them, which matters for texts that mix versions.
+#: Runs whose slots contradict each other are left out here; the operator cuts them, which matters for texts that mix versions. ``names``
+#: is 0 (capitalised words are words), 1 (names inside a sentence) or 2 (names everywhere). A window that says too little counts if
+#: equal windows, place by place, lead from it to one that does not.
 LEAKS = rf"""
 WITH source AS (
   SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE text IS NOT NULL
@@ -18,10 +20,10 @@ kinds AS (
     WHEN lower(x) IN ({_UNITS}) THEN 'u' WHEN upper(x[1]) = x[1] AND lower(x[1]) <> x[1] AND x <> upper(x) THEN 'c' ELSE 'l' END) AS k
   FROM tokens
 ),
-spelled AS (SELECT *, true AS names FROM kinds UNION ALL SELECT *, false FROM kinds WHERE kind = 'i'),
+spelled AS (SELECT k.*, names FROM kinds k, (VALUES (0), (1), (2)) v(names) WHERE kind = 'i' OR names > 0),
 slots AS (
   SELECT kind, id, names, list_filter(list_transform(range(1, len(t) + 1), lambda i: {{'w': lower(t[i]), 's': CASE WHEN k[i] = 'n' THEN 'n'
-    WHEN k[i] = 'm' THEN 'm' WHEN k[i] = 'u' AND i > 1 AND k[i - 1] = 'n' THEN 'u' WHEN names AND k[i] = 'c' AND i > 1 AND k[i - 1] <> 'm' THEN 'c'
+    WHEN k[i] = 'm' THEN 'm' WHEN k[i] = 'u' AND i > 1 AND k[i - 1] = 'n' THEN 'u' WHEN names = 2 AND k[i] = 'c' OR names = 1 AND k[i] = 'c' AND i > 1 AND k[i - 1] <> 'm' THEN 'c'
     ELSE 'l' END}}), lambda x: x.s <> 'm') AS w FROM spelled
 ),
 sizes AS (SELECT DISTINCT least(8, len(w)) AS size FROM slots WHERE kind = 'i' AND len(w) > 0),
@@ -36,12 +38,24 @@ told AS (
     list_transform(part, lambda x: CASE WHEN x.s = 'l' THEN x.w ELSE '<' || x.s || '>' END) AS template FROM windows
 ),
 item_windows AS (
-  SELECT DISTINCT id AS item_id, n AS item_words, size, place AS item_at, part AS item_part, template FROM told t WHERE kind = 'i'
-    AND (telling OR NOT EXISTS (SELECT 1 FROM told o WHERE o.kind = 'i' AND o.id = t.id AND o.names = t.names AND o.telling))
+  SELECT id AS item_id, names, n AS item_words, size, place AS item_at, part AS item_part, template,
+    telling OR NOT bool_or(telling) OVER (PARTITION BY id, names) AS kept FROM told t WHERE kind = 'i'
+),
+touched AS (
+  SELECT DISTINCT d.id AS doc_id, d.names AS doc_names, i.item_id, i.names, d.place - i.item_at AS shift
+  FROM told d JOIN item_windows i ON d.template = i.template AND d.size = i.size WHERE d.kind = 'd' AND i.kept
+),
+equal AS (
+  SELECT t.*, i.item_words, i.size, i.item_at, i.item_part, d.part, i.kept,
+    i.item_at - row_number() OVER (PARTITION BY t.doc_id, t.doc_names, t.item_id, t.names, t.shift ORDER BY i.item_at) AS stretch
+  FROM touched t JOIN item_windows i ON i.item_id = t.item_id AND i.names = t.names
+  JOIN told d ON d.kind = 'd' AND d.id = t.doc_id AND d.names = t.doc_names AND d.size = i.size AND d.place = i.item_at + t.shift AND d.template = i.template
 ),
 met AS (
-  SELECT d.id AS doc_id, i.item_id, i.item_words, i.size, i.item_at, d.place - i.item_at AS shift, i.item_part, d.part
-  FROM told d JOIN item_windows i ON d.template = i.template AND d.size = i.size WHERE d.kind = 'd'
+  SELECT doc_id, item_id, item_words, size, item_at, shift, item_part, part FROM (
+    SELECT *, bool_or(kept) OVER (PARTITION BY doc_id, doc_names, item_id, names, shift, stretch) AS held FROM equal)
+  WHERE held QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, shift, item_at
+    ORDER BY kept DESC, len(list_filter(item_part, lambda x: x.s <> 'l')), len(array_to_string(list_transform(item_part, lambda x: x.w), ' '))) = 1
 ),
 breaks AS (
   SELECT *, CASE WHEN item_at <= (lag(item_at) OVER w) + size THEN 0 ELSE 1 END AS b FROM met

@@ -9,7 +9,8 @@ stands for one value in the document and the other way round, for each type. Whe
 breaks them, and the pieces are judged alike. Windows with fewer than ``LITERALS`` literal words say too little and are not looked up;
 a window beside them carries the words around it, and they join its run where these are equal. An item all of whose windows
 would be lost looks them up. Items with names have a second set of windows in which names are
-literal words, because a copy in lower case or capitals shows no names.
+literal words, because a copy in lower case or capitals shows no names. A capitalised word that opens a sentence may be a name or
+not; items and documents have a further set of windows in which it is one, so that exchanged names are met there as well.
 
 Scale: documents are scanned once against the benchmark's window hashes, and only windows that hit are shuffled, joined to
 the items' windows and lined up. The hashes are broadcast in blocks of ``BLOCK_HASHES`` (16 MB); a larger benchmark means more
@@ -107,14 +108,19 @@ def _word_hashes(fold: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 _UNIT_HASHES = np.sort(np.array([_word_hashes(_characters(u)[1], np.array([0]), np.array([len(u)]))[0] for u in UNITS], dtype=_U))
 
 
-def template(text: str | None, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template codes, kinds (a literal or the type of slot), first and end character of the words of a text.
+#: How capitalised words count: all as literal words, as names inside a sentence, or as names everywhere.
+AS_WORDS, INSIDE, ANYWHERE = range(3)
 
-    Words are runs of letters; numbers are digits with single points or commas between digits. ``names`` off: names are literal.
+
+def template(text: str | None, names: int = INSIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template codes, kinds (a literal or the type of slot), first and end character of the words of a text, and its openers.
+
+    Words are runs of letters; numbers are digits with single points or commas between digits. Openers are capitalised words that open
+    a sentence: literal words unless ``names`` is ``ANYWHERE``.
     """
     kind, fold, upper, lower = _characters(text or "")
     if not len(kind):
-        return fold, kind, kind.astype(np.int64), kind.astype(np.int64)
+        return fold, kind, kind.astype(np.int64), kind.astype(np.int64), kind.astype(bool)
     digit = kind == _DIGIT
     if digit.any():
         points = np.flatnonzero(digit[:-2] & digit[2:]) + 1
@@ -134,13 +140,14 @@ def template(text: str | None, names: bool = True) -> tuple[np.ndarray, np.ndarr
     slot[number] = NUMBER
     near = np.minimum(np.searchsorted(_UNIT_HASHES, code), len(_UNIT_HASHES) - 1)
     slot[(_UNIT_HASHES[near] == code) & np.concatenate([[False], number[:-1]])] = UNIT
-    if names:
-        slot[(what == _LETTER) & (slot == LITERAL) & ~after_mark & upper[start] & (_sums(lower, start, end) > 0)] = CAPITAL
+    capital = (what == _LETTER) & (slot == LITERAL) & upper[start] & (_sums(lower, start, end) > 0)
+    if names != AS_WORDS:
+        slot[capital & (~after_mark | (names == ANYWHERE))] = CAPITAL
     code |= _U(8)  # never one of the placeholders' codes
     for k, value in _SLOT.items():
         code[slot == k] = value
     word = what != _END
-    return code[word], slot[word], start[word], end[word]
+    return code[word], slot[word], start[word], end[word], (capital & after_mark)[word]
 
 
 def windows(code: np.ndarray, size: int) -> np.ndarray:
@@ -156,6 +163,14 @@ def windows(code: np.ndarray, size: int) -> np.ndarray:
         return mix(h)
 
 
+def windows_with(words: np.ndarray, size: int) -> np.ndarray:
+    """Places of the windows that hold one of these words."""
+    if len(words) < size or not words.any():
+        return np.empty(0, dtype=np.int64)
+    total = np.concatenate([[0], np.cumsum(words)])
+    return np.flatnonzero(total[size:] > total[:-size])
+
+
 def telling(slot: np.ndarray, size: int, least: int) -> np.ndarray:
     """Which windows hold enough literal words."""
     total = np.concatenate([[0], np.cumsum(slot == LITERAL)])
@@ -199,9 +214,10 @@ def _item_windows(size: int, least: int):
         for frame in frames:
             out = []
             for item, text in zip(frame["item_id"], frame["text"], strict=True):
-                for names in (True, False):
-                    code, slot, start, end = template(text, names)
-                    if not len(code) or not names and not (template(text)[1] == CAPITAL).any():
+                usual = template(text)
+                for names in (INSIDE, AS_WORDS, ANYWHERE):
+                    code, slot, start, end, _ = usual if names == INSIDE else template(text, names)
+                    if not len(code) or names != INSIDE and (slot == usual[1]).all():
                         continue
                     own = min(size, len(code))
                     h = windows(code, own)
@@ -221,14 +237,24 @@ def _document_windows(block, sizes: list[int]):
         for frame in frames:
             out = []
             for row, doc, text in zip(frame["row"], frame["doc_id"], frame["text"], strict=True):
-                code, slot, start, end = template(text)
+                code, slot, start, end, opener = template(text)
+                named = np.where(opener, _SLOT[CAPITAL], code), np.where(opener, np.int8(CAPITAL), slot)
                 for size in sizes:
-                    h = windows(code, size).astype(np.int64)
-                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    for i in np.flatnonzero(hashes[at] == h).tolist():
-                        a, b = int(left[at[i]]), int(right[at[i]])
-                        near = _near(text, code, slot, start, end, i - a, i + size + b) if a or b else ""
-                        out.append((row, doc, i, int(h[i]), _values(text, slot, start, end, i, size), min(a, i), near))
+                    openers = windows_with(opener, size)
+                    for own_code, own_slot, asked in ((code, slot, None), (*named, openers)):
+                        h = windows(own_code, size).astype(np.int64)
+                        places = np.arange(len(h)) if asked is None else asked
+                        if not len(places):
+                            continue
+                        at = np.minimum(np.searchsorted(hashes, h[places]), len(hashes) - 1)
+                        hit = hashes[at] == h[places]
+                        for i, k in zip(places[hit].tolist(), at[hit].tolist(), strict=True):
+                            a, b = int(left[k]), int(right[k])
+                            values = _values(text, own_slot, start, end, i, size)
+                            near = _near(text, own_code, own_slot, start, end, i - a, i + size + b) if a or b else ""
+                            out.append((row, doc, i, int(h[i]), values, min(a, i), near))
+                            if near and asked is None and opener[max(0, i - a) : i + size + b].any():
+                                out.append((row, doc, i, int(h[i]), values, min(a, i), _near(text, *named, start, end, i - a, i + size + b)))
             yield pd.DataFrame(out, columns=["row", "doc_id", "at", "hash", "slots", "before", "near"])
 
     return run
@@ -271,7 +297,7 @@ def _judge(run_words: int):
                 weak = {}
                 for x in line[line["item_near"] != ""].itertuples():
                     weak |= extended(x.item_at, size, (x.item_near, x.left), (x.near, x.before))
-                line = line.drop_duplicates("item_at").sort_values("item_at")
+                line = line.assign(slots_told=line["item_slots"].str.len()).sort_values(["item_at", "slots_told"]).drop_duplicates("item_at")
                 strong = dict(zip(line["item_at"].tolist(), zip(line["item_slots"], line["slots"], strict=True), strict=True))
                 for windows_of in [strong, weak | strong] if weak.keys() - strong.keys() else [strong]:
                     places = sorted(windows_of)

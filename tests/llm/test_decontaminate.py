@@ -19,7 +19,7 @@ def benchmark(spark):
 
 
 def template(text):
-    code, slot, start, end = dc.template(text)
+    code, slot, start, end, _ = dc.template(text)
     words = [text[a:b] for a, b in zip(start, end, strict=True)]
     return [{dc.LITERAL: w.lower(), dc.NUMBER: "<num>", dc.UNIT: "<unit>", dc.CAPITAL: "<name>"}[s] for s, w in zip(slot, words, strict=True)]
 
@@ -39,7 +39,7 @@ def test_words_equal_a_pattern_scan():
     rng = random.Random(5)
     for _ in range(300):
         text = "".join(rng.choices(list("ab Zé.,1 2_\n!߀²中😀𝒜-'"), k=rng.randint(1, 60)))
-        code, slot, start, end = dc.template(text)
+        code, slot, start, end, _ = dc.template(text)
         assert [text[a:b] for a, b in zip(start, end, strict=True)] == pattern.findall(text), text
         lit = {text[a:b].lower(): c for a, b, c, s in zip(start, end, code.tolist(), slot, strict=True) if s == dc.LITERAL}
         assert len(set(lit.values())) == len(lit)
@@ -120,3 +120,44 @@ def test_empty_tables_and_filter(documents, no_documents, benchmark):
     assert nothing.count() == 0 and dc.keep_clean(docs, nothing).count() == 4
     kept = dc.keep_clean(documents([ITEM, "clean", None], ids=[1, 2, None]), dc.leaks(documents([ITEM, "clean", None], ids=[1, 2, None]), benchmark(ITEM)))
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == [2, None]
+
+
+TOM = "Tom has 5 apples at home. Anna gives Tom 3 more apples today. Tom eats 2 of them. How many are left?"
+SARAH = "Sarah buys 12 pencils and 4 pens for school."
+
+
+def test_names_that_open_a_sentence_can_be_exchanged(documents, benchmark):
+    tom = TOM.replace("Tom", "Ben").replace("Anna", "Lisa").replace("5", "7").replace("3", "4").replace("2", "3")
+    sarah = "Look here. " + SARAH.replace("Sarah", "Emma").replace("12", "15").replace("4", "6") + " Done."
+    other = "Tom has 5 pears in town. Anna sells him 3 of hers now. He eats 2 at once. Who has some of them still?"
+    got = found(documents([TOM, tom, sarah, other, SARAH.lower(), "The old cat sleeps. Some dogs run around here for hours and hours. They are tired."]), benchmark(TOM, SARAH))
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (4, 1)}
+    assert got[(1, 0)]["matched_words"] == 22 and got[(1, 0)]["changed_slots"] == 5
+    assert got[(2, 1)]["matched_words"] == 9 and got[(2, 1)]["changed_slots"] == 3
+
+
+def test_sql_says_the_same_on_names_and_digits(spark, documents, benchmark):
+    import duckdb
+
+    from larder.llm import checks
+
+    rng = random.Random(7)
+    items = [TOM, SARAH, ITEM, "Add these numbers and write the total: 3 4 5 6 7 8 9 10", "What is two plus two?"]
+    people = ["Ben", "Lisa", "Omar", "Kim"]
+    for _ in range(8):
+        items.append(" ".join(rng.choices(["Red", "cat", "runs", "over", "7", "12", "km", "tree", "is", "at", "a.", "The", "on", "big"], k=rng.randint(6, 24))))
+    texts = []
+    for item in items * 3:
+        text = item
+        for old, new in zip(["Tom", "Anna", "Sarah", "John", "Mary"], rng.sample(people, 4)):
+            text = text.replace(old, new) if rng.random() < 0.6 else text
+        if rng.random() < 0.6:
+            text = text.replace("7", "70").replace("12", "99").replace("5", "88")
+        texts.append("Some words before it. " + text + " and more words behind it.")
+    docs, bench = documents(texts, extra=False), benchmark(*items)
+    got = sorted(tuple(r) for r in dc.leaks(docs, bench).collect())
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas())
+    want = sorted(con.execute(checks.LEAKS).fetchall())
+    assert got == want and len(got) >= 30
