@@ -31,10 +31,18 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that the Jaccard join connects, the one with the smallest id."""
-    found = jaccard.linked_components(docs)
-    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, docs["doc_id"] == F.col("_other"), "left_anti")
+    """Of the rows that the Jaccard join connects, the one with the smallest id (NULL last, of equal ids the first row).
+
+    Rows are told apart by their place in ``docs``, which must be read alike each time, as a stored table is.
+    """
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = jaccard.linked_components(placed.select(F.col("_row").alias("doc_id"), "text"))
+    found = materialize(found.filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    grouped = found.join(found.groupBy("_group").count().filter("count > 1").select("_group"), "_group")
+    ranked = grouped.join(placed.select("_row", F.struct(F.isnull("doc_id"), "doc_id", "_row").alias("_rank")), "_row")
+    first = ranked.groupBy("_group").agg(F.min("_rank")["_row"].alias("_row"))
+    others = grouped.select("_row").join(first.select("_row"), "_row", "left_anti")
+    return placed.join(others, "_row", "left_anti").select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
