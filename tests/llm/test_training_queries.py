@@ -121,6 +121,17 @@ def test_near_duplicate_stage_keeps_the_smallest_id_of_each_group(spark, documen
     assert sorted(kept) == sorted(set(groups.values()))
 
 
+def test_near_duplicate_stage_keeps_one_row_whatever_the_ids(spark, documents):
+    one, two = (" ".join(f"{w}{k}" for k in range(40)) for w in ("alpha", "beta"))
+    near = one.replace("alpha39", "gamma")
+    docs = documents([one, one, near, one, two, two, None, None, "", near], ids=[1, 1, 2, None, 1, None, 7, 7, None, 0])
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted(
+        [(False, 0, near), (False, 1, two), (False, 7, ""), (False, 7, ""), (True, 0, "")]
+    )
+
+
 def test_decontamination_stage_drops_the_leaks_only(spark, documents_table):
     found = decontaminate.leaks(documents_table, spark.read.parquet(f"{FOLDER}/benchmark.parquet"))
     leaking = {r["doc_id"] for r in found.collect()}
