@@ -1,12 +1,14 @@
-"""Exact cosine search of a few request vectors over a large corpus of vectors.
+"""Exact cosine search of request vectors over a large corpus of vectors, as a blocked matrix join.
 
-Requests are few by nature (one per search). They are read to the driver under a checked bound and sent to the tasks in
-blocks; more requests mean more passes, never a dropped request. Each task multiplies its corpus batches with the block
-and keeps, per batch, only rows that can still reach the result, so a request moves at most a few rows per batch.
+Requests and corpus rows meet in the cells of a grid of (request groups) x (corpus groups). A cell's task holds its requests, at most
+about ``REQUEST_ROWS``, streams its corpus rows past them in matrix products, and returns at most k rows per request. A rank limit, which
+Spark applies before the shuffle, merges the cells. Nothing passes the driver; the corpus is scanned once, and sent once per
+``REQUEST_ROWS`` requests.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 from larder.context import materialize
 from larder.operators.grouping import top_per_key
 
-BLOCK = 1_024
+REQUEST_ROWS = 4_096
+#: Corpus rows in one matrix product, and candidates that a task holds before it cuts them to the best.
+TILE_ROWS, HELD = 1_024, 1 << 20
 THRESHOLD, SEARCH_ROWS, SIMILAR_ROWS = 0.7, 10, 5
 
 
@@ -34,62 +38,87 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _blocks(requests: DataFrame) -> Iterator[list]:
-    """Request rows (request_id, vector, tags) in blocks of at most ``BLOCK``, in id order, one driver-sized block at a time."""
-    requests = materialize(requests, "vector-requests")  # the blocks read this copy, not the query behind it
-    last = None
-    while True:
-        rest = requests if last is None else requests.filter(F.col("request_id") > F.lit(last))
-        block = rest.orderBy("request_id").limit(BLOCK).collect()
-        if not block:
-            return
-        yield block
-        if len(block) < BLOCK:
-            return
-        last = block[-1].request_id
-
-
-def _scored(corpus: DataFrame, block: list, k: int, threshold: float | None, skip_self: bool, by_tag: bool) -> DataFrame:
-    ids = np.array([r.request_id for r in block])
-    wanted = _unit(np.array([r.vector for r in block], dtype=np.float64))
-    tag_at = {t: i for i, t in enumerate(sorted({t for r in block for t in r.tags or []}))}
-    asked = np.zeros((len(tag_at), len(block)), dtype=np.float32)
-    for j, r in enumerate(block):
-        asked[[tag_at[t] for t in r.tags or []], j] = 1
-    untagged = asked.sum(axis=0) == 0
+class Block:
+    """The requests of one cell and the best rows that each has met."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, tags: list, k: int, threshold: float | None, skip_self: bool, by_tag: bool):
+        self.ids, self.vectors, self.k, self.skip_self, self.by_tag = ids, _unit(vectors), k, skip_self, by_tag
+        self.least = np.full(len(ids), -np.inf)  # what a row must reach, in the rounded scores that make the order
+        self.threshold = -np.inf if threshold is None else threshold
+        self.tag_at = {t: i for i, t in enumerate(sorted({t for own in tags for t in own or []}))} if by_tag else {}
+        self.asked = np.zeros((len(self.tag_at), len(ids)), dtype=np.float32)
+        for j, own in enumerate(tags if by_tag else []):
+            self.asked[[self.tag_at[t] for t in own or []], j] = 1
+        self.untagged = self.asked.sum(axis=0) == 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def meet(self, vec_ids: np.ndarray, vectors: np.ndarray, tags: list) -> None:
+        sims = _unit(vectors) @ self.vectors.T
+        rounded = np.round(sims, 12)
+        keep = (sims >= self.threshold) & (rounded >= self.least)
+        if self.skip_self:
+            keep &= vec_ids[:, None] != self.ids
+        if self.by_tag:
+            own = np.zeros((len(vec_ids), len(self.tag_at)), dtype=np.float32)
+            for i, row in enumerate(tags):
+                own[i, [self.tag_at[t] for t in row or [] if t in self.tag_at]] = 1
+            keep &= (own @ self.asked > 0) | self.untagged
+        row, request = np.nonzero(keep)
+        self.held.append((request, rounded[row, request], vec_ids[row], sims[row, request]))
+        self.waiting += len(row)
+        if self.waiting > HELD:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        """Only the k best of each request stay; equal scores in id order."""
+        request, rounded, vec_id, sim = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((vec_id, -rounded, request))
+        own = request[order]
+        order = order[np.arange(len(own)) - np.searchsorted(own, own) < self.k]
+        kept = request, rounded, vec_id, sim = request[order], rounded[order], vec_id[order], sim[order]
+        size = np.bincount(request, minlength=len(self.ids))
+        last = np.cumsum(size) - 1
+        full = size >= self.k
+        self.least[full] = rounded[last[full]]
+        self.held, self.waiting = [kept], len(request)
+        return kept
+
+
+def _search(k: int, threshold: float | None, skip_self: bool, by_tag: bool):
     schema = pa.schema([("request_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asked, block = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vec_ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            sims = _unit(_matrix(batch.column("vector"))) @ wanted.T
-            if by_tag:
-                own = np.zeros((len(vec_ids), len(tag_at)), dtype=np.float32)
-                for i, row in enumerate(batch.column("tags").to_pylist()):
-                    own[i, [tag_at[t] for t in row or [] if t in tag_at]] = 1
-                shared = (own @ asked > 0) | untagged
-            rounded = np.round(sims, 12)  # the order that counts
-            out = []
-            for j in range(len(ids)):
-                score, keep = sims[:, j], np.ones(len(vec_ids), dtype=bool)
-                if skip_self:
-                    keep &= vec_ids != ids[j]
-                if threshold is not None:
-                    keep &= score >= threshold
-                if by_tag:
-                    keep &= shared[:, j]
-                rows = np.flatnonzero(keep)
-                if len(rows) > k:  # every row as good as the k-th best stays, ties included
-                    kth = np.partition(rounded[rows, j], len(rows) - k)[len(rows) - k]
-                    rows = rows[rounded[rows, j] >= kth]
-                out.append((np.full(len(rows), ids[j]), vec_ids[rows], score[rows]))
-            columns = [np.concatenate(c) for c in zip(*out)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
-
-    read = ["vec_id", "vector", *(["tags"] if by_tag else [])]
-    return corpus.select(*read).mapInArrow(run, "request_id long, vec_id long, similarity double")
+            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_q", "_c", "asked")])
+            cuts = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                here, part = tuple(marks[:2, start]), batch.slice(start, stop - start)
+                if here != cell:
+                    yield from found(block)
+                    cell, asked, block = here, [], None
+                if marks[2, start]:
+                    asked.append(part)
+                    continue
+                if asked and block is None:
+                    whole = pa.Table.from_batches(asked).combine_chunks()
+                    vectors = _matrix(whole.column("vector").chunk(0))
+                    block = Block(whole.column("id").to_numpy(), vectors, whole.column("tags").to_pylist(), k, threshold, skip_self, by_tag)
+                for i in range(0, part.num_rows if block else 0, TILE_ROWS):
+                    tile = part.slice(i, TILE_ROWS)
+                    ids = tile.column("id").to_numpy(zero_copy_only=False)
+                    block.meet(ids, _matrix(tile.column("vector")), tile.column("tags").to_pylist() if by_tag else [])
+        yield from found(block)
+
+    def found(block: Block | None) -> Iterator[pa.RecordBatch]:
+        if block and block.waiting:
+            request, _, vec_id, sim = block.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[request]), pa.array(vec_id), pa.array(sim)], schema=schema)
+
+    return run
 
 
 def nearest(
@@ -102,15 +131,24 @@ def nearest(
 ) -> DataFrame:
     """(request_id, vec_id, similarity): per request the k most similar corpus rows, equal scores in id order.
 
-    ``corpus`` has vec_id, vector (and tags), ``requests`` request_id, vector and tags.
+    ``corpus`` has vec_id, vector (and tags), ``requests`` request_id, vector and tags. Rows without a vector are left out.
     """
-    usable = corpus.filter(F.col("vector").isNotNull())
-    found = None
-    for block in _blocks(requests):
-        part = _scored(usable, block, k, threshold, skip_self, by_tag)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return usable.sparkSession.createDataFrame([], "request_id long, vec_id long, similarity double")
+    spark = corpus.sparkSession
+    asked = materialize(requests.filter("vector IS NOT NULL").select("request_id", "vector", *(["tags"] if by_tag else [])), "vector-requests")
+    request_groups = max(1, math.ceil(asked.count() / REQUEST_ROWS))
+    corpus_groups = max(1, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / request_groups))
+    none, vector = F.array().cast("array<string>"), F.col("vector").cast("array<double>").alias("vector")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(
+        F.pmod(F.xxhash64("request_id"), F.lit(request_groups)).cast("int").alias("_q"), every(corpus_groups).alias("_c"), F.lit(1).alias("asked"),
+        F.col("request_id").cast("long").alias("id"), vector, (F.col("tags") if by_tag else none).alias("tags"),
+    )
+    right = corpus.filter("vector IS NOT NULL").select(
+        every(request_groups).alias("_q"), F.pmod(F.xxhash64("vec_id"), F.lit(corpus_groups)).cast("int").alias("_c"), F.lit(0).alias("asked"),
+        F.col("vec_id").cast("long").alias("id"), vector, (F.col("tags") if by_tag else none).alias("tags"),
+    )
+    cells = left.unionByName(right).repartition(request_groups * corpus_groups, "_q", "_c").sortWithinPartitions("_q", "_c", F.desc("asked"))
+    found = cells.mapInArrow(_search(k, threshold, skip_self, by_tag), "request_id long, vec_id long, similarity double")
     return top_per_key(found, ["request_id"], [F.round("similarity", 12).desc(), F.col("vec_id")], k)
 
 
@@ -123,7 +161,5 @@ def semantic_search(
 
 def similar_items(corpus: DataFrame, item_ids: DataFrame, k: int = SIMILAR_ROWS) -> DataFrame:
     """The items most like each asked item, itself left out."""
-    asked = corpus.join(item_ids.select("vec_id"), "vec_id", "left_semi").select(
-        F.col("vec_id").alias("request_id"), "vector", F.array().cast("array<string>").alias("tags")
-    )
+    asked = corpus.join(item_ids.select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("request_id"), "vector")
     return nearest(corpus, asked, k, skip_self=True)

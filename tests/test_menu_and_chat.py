@@ -179,7 +179,7 @@ def test_vector_search_against_brute_force(spark, monkeypatch):
         order = sorted((j for j in range(300) if ok(j)), key=lambda j: (-round(sims[i, j], 12), j))
         return order[:k]
 
-    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "REQUEST_ROWS", 7)
     got = {}
     for r in vectors.similar_items(corpus, corpus.filter("vec_id < 20").select("vec_id")).collect():
         got.setdefault(r.request_id, []).append((-round(r.similarity, 12), r.vec_id))
@@ -190,3 +190,27 @@ def test_vector_search_against_brute_force(spark, monkeypatch):
     want = [(i, j) for i in range(10) for j in best(i, lambda j, i=i: sims[i, j] >= 0.5 and j % 3 == i % 3, 4)]
     assert pairs(found, "request_id", "vec_id") == sorted(want, key=repr)
     assert vectors.semantic_search(corpus, asked.limit(0)).count() == 0
+
+
+def test_many_requests_take_one_scan_of_the_corpus(spark, tmp_path, monkeypatch):
+    """5,000 requests with ties, more candidates than a task holds, and no driver in between."""
+    monkeypatch.setattr(vectors, "REQUEST_ROWS", 2_000)
+    monkeypatch.setattr(vectors, "HELD", 500)
+    draw = np.random.default_rng(0)
+    stored = np.round(draw.normal(size=(240, 4)), 1)
+    stored[100:120] = stored[0]
+    asked = np.round(draw.normal(size=(5_000, 4)), 1)
+    asked[:5] = 0
+    path = str(tmp_path / "corpus")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(stored)], "vec_id long, vector array<double>").write.parquet(path)
+    requests = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "request_id long, vector array<double>")
+    found = vectors.nearest(spark.read.parquet(path), requests, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(path[-60:]) <= 1 and plan.count("FileScan parquet [vec_id") == 1
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.request_id, []).append(r.vec_id)
+    unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+    sims = np.round(unit(asked) @ unit(stored).T, 12)
+    best = np.argsort(-sims, axis=1, kind="stable")[:, :3]
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v.tolist()) for k, v in enumerate(best)}
