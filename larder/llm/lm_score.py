@@ -36,14 +36,16 @@ from larder.context import materialize
 from larder.llm.batches import as_text
 from larder.llm.jaccard import mix, word_hashes
 
-KNOWN, CLASSES = 192, 64
+KNOWN, CLASSES = 768, 256
+#: Numbers in a group of the output.
+MEMBERS = 32
 #: Words whose counts are broadcast; the counts of rarer ones are joined.
 COMMON = 1_000_000
 SIDE, WIDTH = 2, 16
-ROUNDS, BATCH, RATE = 2, 512, 2.0
+ROUNDS, BATCH, RATE = 2, 2048, 4.0
 GATHER = 32
-#: Positions that are scored in one matrix product, and characters that are tokenised at once.
-CHUNK = 2048
+#: Positions that are scored at once.
+CHUNK = 8192
 _GAP = np.zeros(256, dtype=bool)
 _GAP[list(b" \t\n\x0b\x0c\r.,;:!?\"'()[]{}|*#%$&")] = True
 
@@ -81,40 +83,55 @@ class Vocabulary:
     def ids(self, text: str | None) -> np.ndarray:
         return self.numbers(words(text))
 
-    def shares(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[float, np.ndarray]:
-        """The sum of the logarithms of the words' shares of their classes, and the words whose counts are not here (taken as 1)."""
-        other = ids >= len(self.known)
-        if self.class_logs is None or not other.any():
-            return 0.0, hashes[:0]
-        h = hashes[other]
-        total = -float(self.class_logs[ids[other] - len(self.known)].sum())
+    def shares(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of each word's share of its class (0 for known words), and the places of words whose counts are not here (taken as 1)."""
+        out = np.zeros(len(hashes))
+        other = np.flatnonzero(ids >= len(self.known))
+        if self.class_logs is None or not len(other):
+            return out, other[:0]
+        out[other] = -self.class_logs[ids[other] - len(self.known)]
         if not len(self.common):
-            return total, h
+            return out, other
+        h, where = np.unique(hashes[other], return_inverse=True)  # few searches in a large table
         at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
         held = self.common[at] == h
-        return total + float(self.common_logs[at[held]].sum()), h[~held]
+        out[other] += np.where(held, self.common_logs[at], 0.0)[where]
+        return out, other[~held[where]]
 
 
 @dataclass
 class Network:
-    """``embed`` has one row more than the vocabulary, for padding."""
+    """A number's probability is that of its group (of ``MEMBERS`` numbers) times its own within the group.
+
+    ``embed`` has one row more than the vocabulary, for padding. ``out`` holds a matrix per group; members beyond the vocabulary have
+    a bias that leaves them no probability.
+    """
 
     embed: np.ndarray
     offset: np.ndarray
     bias: np.ndarray
+    groups: np.ndarray
+    groups_bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
 
     @classmethod
     def start(cls, size: int, frequency: np.ndarray | None = None, seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
-        f = np.float32
-        logs = np.zeros(size) if frequency is None else np.log(frequency)
-        return cls((r.normal(size=(size + 1, WIDTH)) * 0.3).astype(f), np.full((2 * SIDE, WIDTH), 0.5, f), np.zeros(WIDTH, f),
-                   (r.normal(size=(WIDTH, size)) * 0.1).astype(f), logs.astype(f))
+        n = -(-size // MEMBERS)
+        share = np.zeros(n * MEMBERS)
+        share[:size] = 1 / size if frequency is None else frequency
+        share = share.reshape(n, MEMBERS)
+        with np.errstate(divide="ignore"):
+            within = np.maximum(np.log(share / share.sum(axis=1, keepdims=True)), -1e4)
+        parts = (
+            r.normal(size=(size + 1, WIDTH)) * 0.3, np.full((2 * SIDE, WIDTH), 0.5), np.zeros(WIDTH), r.normal(size=(WIDTH, n)) * 0.1,
+            np.log(share.sum(axis=1)), r.normal(size=(n, WIDTH, MEMBERS)) * 0.1, within,
+        )
+        return cls(*(x.astype(np.float32) for x in parts))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.embed, self.offset, self.bias, self.out, self.out_bias]
+        return [self.embed, self.offset, self.bias, self.groups, self.groups_bias, self.out, self.out_bias]
 
     def pack(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.parts()])
@@ -133,42 +150,70 @@ class Network:
             total += self.embed[context[:, o]] * self.offset[o]
         return np.tanh(total)
 
+    def members(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Logits inside each position's group, for positions in order of their groups, and the runs of equal groups."""
+        cuts = np.searchsorted(group, np.arange(len(self.out) + 1)).tolist()
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+        logit = np.empty((len(h), MEMBERS), np.float32)
+        for k, a, b in spans:
+            np.matmul(h[a:b], self.out[k], out=logit[a:b])
+            logit[a:b] += self.out_bias[k]
+        return logit, spans
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out = np.empty(len(target))
+        result = np.empty(len(target))
         for i in range(0, len(target), CHUNK):
-            part = slice(i, i + CHUNK)
-            logit = self.hidden(context[part]) @ self.out + self.out_bias
-            top = logit.max(axis=1)
-            own = logit[np.arange(len(logit)), target[part]] - top
-            logit -= top[:, None]
-            out[part] = own - np.log(np.exp(logit, out=logit).sum(axis=1))
-        return out
+            own = target[i : i + CHUNK]
+            order = np.argsort(own, kind="stable")
+            group, member = np.divmod(own[order], MEMBERS)
+            h = self.hidden(context[i : i + CHUNK][order])
+            inner, _ = self.members(h, group)
+            total = np.zeros(len(own))
+            for logit, at in ((h @ self.groups + self.groups_bias, group), (inner, member)):
+                logit -= logit.max(axis=1)[:, None]
+                total += logit[np.arange(len(at)), at]
+                total -= np.log(np.exp(logit, out=logit).sum(axis=1))
+            result[i + order] = total
+        return result
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
         """One step of gradient descent on a batch, in place."""
+        order = np.argsort(target, kind="stable")
+        context, (group, member) = context[order], np.divmod(target[order], MEMBERS)
+        rows = np.arange(len(target))
         h = self.hidden(context)
-        logit = h @ self.out + self.out_bias
-        logit -= logit.max(axis=1)[:, None]
-        p = np.exp(logit)
-        p /= p.sum(axis=1)[:, None]
-        p[np.arange(len(target)), target] -= 1
-        p *= rate / len(target)
-        back = (p @ self.out.T) * (1 - h * h)
-        self.out -= h.T @ p
-        self.out_bias -= p.sum(axis=0)
+        inner, spans = self.members(h, group)
+        outer = h @ self.groups + self.groups_bias
+        for logit, at in ((outer, group), (inner, member)):
+            logit -= logit.max(axis=1)[:, None]
+            np.exp(logit, out=logit)
+            logit *= (rate / len(target) / logit.sum(axis=1))[:, None]
+            logit[rows, at] -= rate / len(target)
+        back = outer @ self.groups.T
+        for k, a, b in spans:
+            part = inner[a:b]
+            back[a:b] += part @ self.out[k].T
+            self.out[k] -= h[a:b].T @ part
+            self.out_bias[k] -= part.sum(axis=0)
+        self.groups -= h.T @ outer
+        self.groups_bias -= outer.sum(axis=0)
+        back *= 1 - h * h
         self.bias -= back.sum(axis=0)
         scale = 8.0  # a word stands in few of a batch's contexts, so its embedding moves faster
+        size = self.embed.size
+        column = np.arange(WIDTH)
+        moved = np.zeros(size)
         for o in range(context.shape[1]):
-            near = self.embed[context[:, o]]
-            np.add.at(self.embed, context[:, o], -scale * back * self.offset[o])
-            self.offset[o] -= (back * near).sum(axis=0)
+            at = context[:, o]
+            moved += np.bincount((at[:, None] * WIDTH + column).ravel(), (back * self.offset[o]).ravel(), size)
+            self.offset[o] -= (back * self.embed[at]).sum(axis=0)
+        self.embed -= (scale * moved).reshape(self.embed.shape).astype(np.float32)
 
 
 def contexts(ids: np.ndarray, pad: int) -> np.ndarray:
     """The neighbours of every position (positions x 2 SIDE), padded at both ends."""
     wide = np.concatenate([np.full(SIDE, pad, np.int32), ids, np.full(SIDE, pad, np.int32)])
-    shifts = [o for o in range(2 * SIDE + 1) if o != SIDE]
-    return np.stack([wide[o : o + len(ids)] for o in shifts], axis=1)
+    return _around(wide, np.arange(SIDE, SIDE + len(ids)))
 
 
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,33 +271,87 @@ def vocabulary(docs: DataFrame, known: int = KNOWN, common: int | None = None) -
     return names, n / n.sum()
 
 
+def _encode(shared):
+    """Numbers of the words (two bytes each), the shares of their classes, and the words whose counts are not here."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, whole = shared.value
+        row = TaskContext.get().partitionId() << 40
+        for frame in frames:
+            for i in range(0, len(frame), 256):
+                part = frame.iloc[i : i + 256]
+                hashes = [words(t) for t in part["text"]]
+                size = np.array([len(h) for h in hashes])
+                doc = np.repeat(np.arange(len(part)), size)
+                flat = np.concatenate(hashes)
+                ids = names.numbers(flat)
+                share, unknown = names.shares(flat, ids)
+                totals = np.bincount(doc, share, len(part))
+                cut = np.searchsorted(doc[unknown], np.arange(1, len(part)))
+                rare = [b""] * len(part) if whole else [x.tobytes() for x in np.split(flat[unknown], cut)]
+                numbers = [x.tobytes() for x in np.split(ids.astype(NUMBER), np.cumsum(size)[:-1])]
+                yield pd.DataFrame({"row": np.arange(row, row + len(part)), "doc_id": part["doc_id"].array, "n_words": size, "ids": numbers, "share": totals, "rare": rare})
+                row += len(part)
+
+    return run
+
+
+#: Numbers on disk.
+NUMBER = "<u2"
+ENCODED = "row long, doc_id string, n_words long, ids binary, share double, rare binary"
+
+
+def encoded(docs: DataFrame, names: Vocabulary) -> DataFrame:
+    """Every document as numbers, stored: texts are tokenised here and, for the counts, once before."""
+    if len(names) > 1 << 16:
+        raise ValueError("numbers are kept in two bytes")
+    shared = docs.sparkSession.sparkContext.broadcast((replace(names, counts=None), names.counts is None))
+    return materialize(docs.select(as_text("doc_id"), "text").mapInPandas(_encode(shared), ENCODED), "word-numbers")
+
+
+def _joined(frame: pd.DataFrame, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all documents of a batch with padding around each, places of the words in them)."""
+    raw = np.frombuffer(b"".join(frame["ids"]), NUMBER).astype(np.int32)
+    size = frame["n_words"].to_numpy(np.int64)
+    place = np.arange(len(raw)) + SIDE * (2 * np.repeat(np.arange(len(size)), size) + 1)
+    wide = np.full(len(raw) + 2 * SIDE * len(size), pad, np.int32)
+    wide[place] = raw
+    return wide, place
+
+
+def _around(wide: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.stack([wide[place + o] for o in range(-SIDE, SIDE + 1) if o], axis=1)
+
+
+def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of about 300,000 words, or one document."""
+    for frame in frames:
+        total = frame["n_words"].cumsum().to_numpy()
+        cuts = np.flatnonzero(np.diff(total // 300_000, prepend=0)).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True):
+            if a < b:
+                yield frame.iloc[a:b]
+
+
 def _train(shared, phase: int, step_width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, start = shared.value
-        net, pad, seen = start.unpack(start.pack()), len(names), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
-
-        def step():
-            nonlocal held, waiting, seen
-            context, target = (np.concatenate(x) for x in zip(*held, strict=True))
-            for i in range(0, len(target), BATCH):
+        start = shared.value
+        net, pad, seen = start.unpack(start.pack()), len(start.embed) - 1, 0
+        rest: tuple[np.ndarray, np.ndarray] = (np.empty((0, 2 * SIDE), np.int32), np.empty(0, np.int32))
+        for frame in _pieces(frames):
+            wide, place = _joined(frame, pad)
+            size = frame["n_words"].to_numpy(np.int64)
+            inside = np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size)
+            place = place[inside % step_width == phase]
+            context, target = (np.concatenate(x) for x in zip(rest, (_around(wide, place), wide[place]), strict=True))
+            full = len(target) // BATCH * BATCH
+            for i in range(0, full, BATCH):
                 net.learn(context[i : i + BATCH], target[i : i + BATCH])
-            seen += len(target)
-            held, waiting = [], 0
-
-        for frame in frames:
-            for text in frame["text"]:
-                ids = names.ids(text)
-                at = np.arange(phase, len(ids), step_width)
-                if len(at):
-                    wide = np.concatenate([np.full(SIDE, pad, np.int32), ids, np.full(SIDE, pad, np.int32)])
-                    held.append((np.stack([wide[at + o] for o in range(2 * SIDE + 1) if o != SIDE], axis=1), ids[at]))
-                    waiting += len(at)
-                if waiting >= 64 * BATCH:
-                    step()
-        if held:
-            step()
+            seen += full
+            rest = context[full:], target[full:]
+        if len(rest[1]):
+            net.learn(*rest)
+            seen += len(rest[1])
         if seen:
             yield pd.DataFrame({"slot": [TaskContext.get().partitionId() % GATHER], "n": [float(seen)], "net": [(net.pack().astype(np.float64) * seen).tobytes()]})
 
@@ -269,68 +368,68 @@ def _add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"n": [n], "net": [total.tobytes()]})
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    """A network trained on all documents."""
-    names, frequency = vocabulary(docs)
-    small = Vocabulary(names.known, names.classes)
-    net = Network.start(len(names), frequency)
-    texts = docs.select("text")
+def _trained(rows: DataFrame, net: Network, rounds: int) -> Network:
+    texts = rows.select("n_words", "ids")
     for r in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((small, net))
+        shared = rows.sparkSession.sparkContext.broadcast(net)
         local = texts.mapInPandas(_train(shared, r, rounds), "slot int, n double, net binary")
         got = local.repartition(GATHER, "slot").mapInPandas(_add, "n double, net binary").collect()  # GATHER rows at most
         n = sum(x["n"] for x in got)
         if not n:
             break  # no position of this phase means none of a later one
         net = net.unpack(np.sum([np.frombuffer(bytes(x["net"])) for x in got], axis=0) / n)
-    return names, net
+    return net
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
+    """A network trained on all documents."""
+    names, frequency = vocabulary(docs)
+    return names, _trained(encoded(docs, names), Network.start(len(names), frequency), rounds)
 
 
 def _score(shared):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, net, whole = shared.value
-        pad, row = len(names), TaskContext.get().partitionId() << 40
-        for frame in frames:
-            for i in range(0, len(frame), 64):
-                part = frame.iloc[i : i + 64]
-                hashes = [words(t) for t in part["text"]]
-                all_ids = [names.numbers(h) for h in hashes]
-                shares = [names.shares(h, x) for h, x in zip(hashes, all_ids, strict=True)]
-                total = [s for s, _ in shares]
-                filled = [k for k, x in enumerate(all_ids) if len(x)]
-                if filled:
-                    context = np.concatenate([contexts(all_ids[k], pad) for k in filled])
-                    target = np.concatenate([all_ids[k] for k in filled])
-                    logs = net.log_probability(context, target)
-                    cuts = np.cumsum([0] + [len(all_ids[k]) for k in filled])
-                    for k, s in zip(filled, np.add.reduceat(logs, cuts[:-1]), strict=True):
-                        total[k] += float(s)
-                rare = [b"" if whole else r.tobytes() for _, r in shares]
-                out = {"row": np.arange(row, row + len(part)), "doc_id": part["doc_id"].array, "n_words": [len(x) for x in all_ids]}
-                row += len(part)
-                yield pd.DataFrame(out | {"log_probability": total, "rare": rare})
+        net = shared.value
+        for frame in _pieces(frames):
+            wide, place = _joined(frame, len(net.embed) - 1)
+            logs = net.log_probability(_around(wide, place), wide[place])
+            doc = np.repeat(np.arange(len(frame)), frame["n_words"].to_numpy(np.int64))
+            total = frame["share"].to_numpy() + np.bincount(doc, logs, len(frame))
+            yield pd.DataFrame({"row": frame["row"], "doc_id": frame["doc_id"].array, "n_words": frame["n_words"], "log_probability": total})
 
     return run
 
 
 def _rare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(row, word, times) of the words with unknown counts."""
     for frame in frames:
-        for row, packed in zip(frame["row"], frame["rare"], strict=True):
-            word, n = np.unique(np.frombuffer(packed, np.int64), return_counts=True)
-            yield pd.DataFrame({"row": np.full(len(word), row), "word": word, "times": n})
+        word = np.frombuffer(b"".join(frame["rare"]), np.int64)
+        row = np.repeat(frame["row"].to_numpy(), [len(x) // 8 for x in frame["rare"]])
+        order = np.lexsort((word, row))
+        word, row = word[order], row[order]
+        first = np.flatnonzero((np.diff(word, prepend=0) != 0) | (np.diff(row, prepend=-1) != 0))
+        yield pd.DataFrame({"row": row[first], "word": word[first], "times": np.diff(first, append=len(word))})
+
+
+def _scored(rows: DataFrame, names: Vocabulary, net: Network, kind) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+    out = rows.select("row", "doc_id", "n_words", "ids", "share").mapInPandas(_score(shared), "row long, doc_id string, n_words long, log_probability double")
+    if names.counts is not None:
+        rare = rows.filter(F.length("rare") > 0).select("row", "rare")
+        rare = rare.repartition(F.xxhash64("row")).mapInPandas(_rare, "row long, word long, times long")
+        more = rare.join(names.counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+        out = out.join(more, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "log_probability", mean.alias("mean_log_probability"))
 
 
 def pseudo_likelihood(docs: DataFrame, names: Vocabulary, net: Network) -> DataFrame:
     """``doc_id, n_words, log_probability, mean_log_probability`` of every row."""
-    whole = names.counts is None
-    shared = docs.sparkSession.sparkContext.broadcast((replace(names, counts=None), net, whole))
-    schema = "row long, doc_id string, n_words long, log_probability double, rare binary"
-    out = docs.select(as_text("doc_id"), "text").mapInPandas(_score(shared), schema)
-    if not whole:
-        out = materialize(out, "word-scores")
-        rare = out.filter(F.length("rare") > 0).select("row", "rare").mapInPandas(_rare, "row long, word long, times long")
-        more = rare.join(names.counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
-        out = out.join(more, "row", "left").withColumn("log_probability", F.col("log_probability") + F.coalesce("more", F.lit(0.0)))
-    out = out.select("doc_id", "n_words", "log_probability")
-    mean = F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words"))
-    return out.withColumns({"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "mean_log_probability": mean})
+    return _scored(encoded(docs, names), names, net, docs.schema["doc_id"].dataType)
+
+
+def train_and_score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``pseudo_likelihood`` of the documents that the network is trained on, which are tokenised once for both."""
+    names, frequency = vocabulary(docs)
+    rows = encoded(docs, names)
+    return _scored(rows, names, _trained(rows, Network.start(len(names), frequency), rounds), docs.schema["doc_id"].dataType)

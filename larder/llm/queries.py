@@ -65,8 +65,7 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     """Masked pseudo-likelihood of every document under a network trained on all of them."""
-    docs = table(spark, folder, "documents")
-    return lm_score.pseudo_likelihood(docs, *lm_score.train(docs))
+    return lm_score.train_and_score(table(spark, folder, "documents"))
 
 
 def op9_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:

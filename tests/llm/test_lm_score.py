@@ -15,8 +15,9 @@ def plain_log_probability(net, ids, pad):
         for k, o in enumerate([o for o in range(-lm.SIDE, lm.SIDE + 1) if o]):
             near = ids[i + o] if 0 <= i + o < len(ids) else pad
             h += net.embed[near].astype(float) * net.offset[k]
-        logit = np.tanh(h) @ net.out + net.out_bias
-        total += logit[target] - math.log(np.exp(logit - logit.max()).sum()) - logit.max()
+        h, group = np.tanh(h), target // lm.MEMBERS
+        for logit, at in ((h @ net.groups + net.groups_bias, group), (h @ net.out[group] + net.out_bias[group], target % lm.MEMBERS)):
+            total += logit[at] - math.log(np.exp(logit - logit.max()).sum()) - logit.max()
     return total
 
 
@@ -30,14 +31,14 @@ def test_score_equals_plain_loops():
 
 def test_step_follows_the_gradient():
     rng = np.random.default_rng(1)
-    net = lm.Network.start(12)
-    ids = rng.integers(0, 12, 30).astype(np.int32)
-    context = lm.contexts(ids, 12)
+    net = lm.Network.start(70)
+    ids = rng.integers(0, 70, 90).astype(np.int32)
+    context = lm.contexts(ids, 70)
     loss = lambda n: -n.log_probability(context, ids).mean()
     rate = 1e-3
     moved = net.unpack(net.pack())
     moved.learn(context, ids, rate)
-    for name, scale in (("out", 1), ("out_bias", 1), ("bias", 1), ("offset", 1), ("embed", 8)):
+    for name, scale in (("out", 1), ("out_bias", 1), ("groups", 1), ("groups_bias", 1), ("bias", 1), ("offset", 1), ("embed", 8)):
         step = (getattr(moved, name) - getattr(net, name)).ravel() / scale
         at = int(np.abs(step).argmax())
         up, down = net.unpack(net.pack()), net.unpack(net.pack())
@@ -87,13 +88,14 @@ def test_every_position_is_a_target_once(documents, monkeypatch, rounds):
     monkeypatch.setattr(lm.Network, "learn", lambda self, context, target, rate=0: seen.extend(target.tolist()))
     monkeypatch.setattr(lm.TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 0})())
     for r in range(rounds):
-        list(lm._train(Shared((names, lm.Network.start(len(names)))), r, rounds)(iter([pd.DataFrame({"text": texts})])))
+        rows = [names.ids(t) for t in texts]
+        frame = pd.DataFrame({"n_words": [len(x) for x in rows], "ids": [x.astype(lm.NUMBER).tobytes() for x in rows]})
+        list(lm._train(Shared(lm.Network.start(len(names))), r, rounds)(iter([frame])))
     assert sorted(seen) == sorted(i for t in texts for i in names.ids(t).tolist())
 
 
 @pytest.mark.parametrize("common", [1_000_000, 3])
 def test_every_word_has_its_own_probability(documents, monkeypatch, common):
-    monkeypatch.setattr(lm, "KNOWN", 2)
     monkeypatch.setattr(lm, "CLASSES", 2)
     texts = ["a b a b a b c", "c c d e f g h", "a b d d d i", "", None]
     docs = documents(texts)
@@ -124,3 +126,17 @@ def test_odd_documents(documents, no_documents):
     for d in (2**60 + 1, 9):
         assert rows[d]["log_probability"] == pytest.approx(plain_log_probability(net, names.ids("word"), len(names)), abs=1e-3)
     assert lm.pseudo_likelihood(no_documents, *lm.train(no_documents)).count() == 0
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    net = lm.Network.start(75)
+    context = np.repeat(np.array([[3, 75, 9, 74]], np.int32), 75, axis=0)
+    assert np.exp(net.log_probability(context, np.arange(75, dtype=np.int32))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_training_and_scoring_in_one_go(documents):
+    docs = documents(["a b c d " * 30, None, "b a " * 9, "zebra"], ids=[4, 5, 5, None])
+    apart = lm.pseudo_likelihood(docs, *lm.train(docs)).collect()
+    once = lm.train_and_score(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"]) for r in once) == [(0, 1), (4, 120), (5, 0), (5, 18)]
+    assert sorted(r["log_probability"] for r in once) == pytest.approx(sorted(r["log_probability"] for r in apart), rel=1e-3)
