@@ -92,28 +92,35 @@ def keyword_segments(
 ) -> Column:
     """Context of every keyword hit (any case), joined by ``\\n...\\n``; a text without a hit stays as it is.
 
-    Hits are marked first. What follows a hit is captured behind its end mark, and what precedes it in the same way in the
-    reversed text, so windows may overlap and no offsets are needed. The marks are two noncharacters (U+FDD0, U+FDD1), which
-    a text should not hold; if it does, windows leave them out. ``fallback`` shortens texts without a hit and ``max_chars``
-    the result, for size-limited services; both are off by default.
+    Hits are marked by two noncharacters (U+FDD0, U+FDD1) on one pass; a text should not hold them, and if it does, windows leave them
+    out. Split at the marks, the text alternates between gaps and hits. A hit's context then is the end of the few pieces before it and
+    the start of the few behind it: as many as can be needed if every gap were empty. So the cost of a hit follows the width of its
+    window, not the length of the text, and windows may overlap. ``fallback`` shortens texts without a hit and ``max_chars`` the
+    result, for size-limited services; both are off by default.
     """
-    words = "|".join(re.escape(k) for k in keywords if k)
-    if not words:
+    keywords = [k for k in keywords if k]
+    if not keywords:
         return text if max_chars is None else F.substring(text, 1, max_chars)
+    words = "|".join(re.escape(k) for k in keywords)
     first, last = "\ufdd0", "\ufdd1"
+    shortest = min(map(len, keywords))
 
-    def context(marked: Column, mark: str, width: int) -> Column:
-        pattern = f"{mark}(?=((?:(?s:[^{first}{last}])[{first}{last}]*){{0,{width}}}))"
-        return F.transform(F.regexp_extract_all(marked, F.lit(pattern), F.lit(1)), lambda c: F.translate(c, first + last, ""))
+    def joined(pieces: Column, start: Column, size: Column) -> Column:
+        return F.array_join(F.slice(pieces, start, size), "")
 
-    def windows(marked: Column) -> Column:
-        ahead = F.reverse(F.transform(context(F.reverse(marked), first, before), F.reverse))
-        hits = F.regexp_extract_all(marked, F.lit(f"(?s){first}(.*?){last}"), F.lit(1))
-        zipped = F.arrays_zip(ahead.alias("a"), hits.alias("b"), context(marked, last, after).alias("c"))
-        return F.array_join(F.transform(zipped, lambda w: F.concat(w["a"], w["b"], w["c"])), "\n...\n")
+    def windows(pieces: Column) -> Column:
+        """``pieces`` are gap, hit, gap, ..., hit, gap; hits stand at even places."""
+        back, ahead = (2 * -(-width // shortest) + 1 for width in (before, after))
 
-    plain = F.translate(text, first + last, "")
-    found = let(F.regexp_replace(plain, f"(?isu)({words})", f"{first}$1{last}"), windows)
+        def window(at: Column) -> Column:
+            start = F.greatest(at - back, F.lit(1))
+            left = F.right(joined(pieces, start, at - start), F.lit(before)) if before else F.lit("")
+            right = F.left(joined(pieces, at + 1, F.lit(ahead)), F.lit(after)) if after else F.lit("")
+            return F.concat(left, F.element_at(pieces, at), right)
+
+        return F.array_join(F.transform(F.sequence(F.lit(2), F.size(pieces), F.lit(2)), window), "\n...\n")
+
+    marked = F.regexp_replace(F.translate(text, first + last, ""), f"(?isu)({words})", f"{first}$1{last}")
     nothing = text if fallback is None else F.substring(text, 1, fallback)
-    whole = F.when(text.rlike(f"(?isu){words}"), found).otherwise(nothing)
+    whole = let(F.split(marked, f"[{first}{last}]", -1), lambda pieces: F.when(F.size(pieces) > 1, windows(pieces)).otherwise(nothing))
     return whole if max_chars is None else F.substring(whole, 1, max_chars)

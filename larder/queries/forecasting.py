@@ -152,10 +152,9 @@ def exact_median(spark: SparkSession, folder: str) -> DataFrame:
     )
     # Lines are first counted per food and quantity, so the join and the medians see counts instead of lines.
     counted = lines.groupBy("l_partkey", "quantity").agg(F.count(F.lit(1)).alias("n"))
-    overall = counted.agg(F.percentile("quantity", 0.5, F.col("n")).alias("m")).scalar()
-    return counted.join(part, "l_partkey").groupBy("brand").agg(
-        F.percentile("quantity", 0.5, F.col("n")).alias("median_quantity"), F.sum("n").alias("n_rows")
-    ).withColumn("overall_median", overall)
+    overall = baseline.exact_median(counted, [], "quantity", "m", F.col("n")).select("m").scalar()
+    found = baseline.exact_median(counted.join(part, "l_partkey"), ["brand"], "quantity", "median_quantity", F.col("n"))
+    return found.withColumn("overall_median", overall)
 
 
 def _lookup_sql(picked: str) -> str:

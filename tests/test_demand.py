@@ -214,3 +214,38 @@ def test_any_predictor_scores_in_feature_order(spark):
     rows = features.forecast_features(history(spark), day(28), config)
     got = {(r.canonical_dish_id, r.target_date): r.yhat for r in weekly.score_with(Doubled, rows, config).collect()}
     assert got[1, day(29)] == 22 and len(got) == 12
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_exact_median_of_a_busy_key_with_many_values(spark, parts):
+    import random
+    import statistics
+
+    draw = random.Random(parts)
+    rows = [(draw.choice(["a", "a", "a", "b", None]), draw.choice([draw.random(), 2.5, -1.0, None])) for _ in range(3000)] + [("none", None), ("one", 4.0), ("two", 1.0), ("two", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.y_pred, r.n_rows) for r in baseline.exact_median(df, ["k"], "v", parts=parts).collect()}
+    for key in ("a", "b", None, "one", "two"):
+        own = [v for k, v in rows if k == key and v is not None]
+        assert got[key] == (pytest.approx(statistics.median(own)), len(own))
+    assert got["none"] == (None, 0)
+    weighted = spark.createDataFrame([("x", 1.0, 3), ("x", 9.0, 4), ("x", 5.0, 0)], "k string, v double, n int")
+    assert [tuple(r) for r in baseline.exact_median(weighted, ["k"], "v", weight=F.col("n"), parts=parts).collect()] == [("x", 9.0, 7)]
+    whole = baseline.exact_median(df, [], "v", parts=parts).first()
+    assert whole.y_pred == pytest.approx(statistics.median([v for _, v in rows if v is not None]))
+
+
+def test_folds_move_each_history_row_once(spark):
+    rows = [(d, dt.date(2024, 1, 1) + dt.timedelta(days=k), (k * d) % 17) for d in (1, 2, 3) for k in range(70)]
+    history = spark.createDataFrame(rows, "canonical_dish_id long, close_work_date date, qty long")
+    versions = {"k": {"method": "k_week_median", "k": 3}, "s": {"method": "seasonal_median"}}
+    origins = [dt.date(2024, 1, 29) + dt.timedelta(weeks=i) for i in range(5)]
+    made = baseline.fold_forecasts(history, origins, versions)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange") > plan.index("Generate")
+    for n, origin in enumerate(origins):
+        for name, spec in versions.items():
+            alone = baseline.baseline_forecast(history, origin, spec["method"], spec.get("k", 4))
+            want = sorted((r.canonical_dish_id, r.target_date, r.yhat) for r in alone.collect())
+            own = made.filter((F.col("fold_id") == n) & (F.col("model_version") == name)).collect()
+            assert sorted((r.canonical_dish_id, r.target_date, r.yhat) for r in own) == want
