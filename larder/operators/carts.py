@@ -18,6 +18,7 @@ CART_JSON = (
     "image_url string>>, note string"
 )
 LINE = ["id", "size", "note", "price"]
+EMPTY_CART = '{"items":[],"note":""}'
 
 
 def read_cart(df: DataFrame, column: str = "cart") -> DataFrame:
@@ -205,7 +206,7 @@ def latest_carts(carts: DataFrame, session: str, version: str) -> DataFrame:
 def clear_carts(sessions: DataFrame, cleared: DataFrame, session: str) -> DataFrame:
     """Empty the cart document of the listed sessions and raise their version."""
     listed = cleared.select(session, F.lit(True).alias("_clear"))
-    empty = F.lit('{"items":[],"note":""}')
+    empty = F.lit(EMPTY_CART)
     joined = sessions.join(listed, session, "left").withColumns(
         {
             "cart": F.when(F.col("_clear"), empty).otherwise(F.col("cart")),
@@ -248,6 +249,31 @@ def checkout(requests: DataFrame, session: str, request: str, known_dishes: Data
     )
 
 
+def place_orders(requests: DataFrame, session: str, request: str, version: str, known_dishes: DataFrame, earlier: DataFrame) -> DataFrame:
+    """A checkout as one result: a row per request with the order, its lines in cart order, and the cart and version left behind.
+
+    ``requests`` is as for ``checkout`` and carries the cart document and the session's ``version``. An accepted checkout empties the
+    cart and raises the version; a refused one has an error code and leaves both. Lines are an array, as long as one cart.
+    """
+    numbered = requests.select(request, F.posexplode(clean_items(F.col("raw_items"))).alias("_at", "_item")).select(request, "_at", "_item.*")
+    known = known_dishes.select(F.col("dish_id").alias("_known"))
+    line = F.struct(
+        "_at", F.col("_known").alias("dish_id"), "name", F.col("size").alias("size_label"), "note", F.col("qty").alias("quantity"),
+        cents(F.col("price")).alias("unit_price"), line_total(F.col("price"), F.col("qty")).alias("line_total"),
+        F.when(F.col("uuid").isNotNull() | F.col("image_url").isNotNull(), F.to_json(F.struct("image_url", "uuid"))).alias("extra_data"),
+    )
+    lines = numbered.join(known, F.col("id") == F.col("_known"), "left").groupBy(request).agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+    placed = checkout(requests, session, request, known_dishes, earlier).join(lines, request, "left")
+    done = placed.join(requests.select(request, "cart", version), request)
+    accepted = F.col("status").isNotNull()
+    return done.select(
+        *placed.drop("_lines").columns,
+        F.transform("_lines", lambda x: x.dropFields("_at")).alias("lines"),
+        F.when(accepted, F.lit(EMPTY_CART)).otherwise(F.col("cart")).alias("cart"),
+        (F.col(version) + accepted.cast("int")).alias(version),
+    )
+
+
 def order_lines(requests: DataFrame, keep: list[str], known_dishes: DataFrame) -> DataFrame:
     """The order lines a checkout writes."""
     known = known_dishes.select(F.col("dish_id").alias("_known"))

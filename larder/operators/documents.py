@@ -24,10 +24,16 @@ def top_tags(counts: DataFrame, k: int = 20) -> DataFrame:
 
 
 def taxonomy_tags(taxonomy: Column) -> Column:
-    """All tags of a taxonomy document of any depth: every text inside an array, wherever it stands, without repeats."""
-    arrays = F.regexp_extract_all(taxonomy, F.lit(r'\[([^\[\]{}]*)\]'), F.lit(1))
-    texts = F.transform(arrays, lambda a: F.from_json(F.concat(F.lit("["), a, F.lit("]")), "array<string>"))
-    return F.array_distinct(F.flatten(F.filter(texts, lambda t: t.isNotNull())))
+    """All tags of a taxonomy document of any depth: every text that is a value, trimmed, in document order, without repeats.
+
+    A JSON text is read as its string tokens, each with the colon behind it, if there is one; those without are values, however deep
+    they stand. Brackets and quotes inside them are theirs. What is no JSON has no tags.
+    """
+    tokens = F.regexp_extract_all(taxonomy, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    values = F.filter(tokens, lambda t: t.endswith('"'))
+    texts = F.transform(values, lambda t: strip(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]))
+    whole = F.array_distinct(F.filter(texts, lambda t: t != ""))
+    return F.when(F.try_parse_json(taxonomy).isNotNull(), whole).otherwise(F.array().cast("array<string>"))
 
 
 def allowed_tags(taxonomy: Column, schema: str = "map<string, map<string, array<string>>>") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Thresholds of the gates.
@@ -120,14 +120,21 @@ def health_report(
 
 
 def backtest_versions(backtest: DataFrame) -> DataFrame:
-    return backtest.select("model_version").distinct().orderBy("model_version")
+    """``place, model_version``: the versions (a handful) in the backtest, in order."""
+    versions = backtest.select("model_version").distinct()
+    return versions.select(F.row_number().over(Window.orderBy("model_version")).alias("place"), "model_version")
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """``layer, check_id, line, blocking``: the report as text, and which lines stop a run."""
+    line = F.format_string("[%s] %s: %.4f (threshold %.4f, %s)", "layer", "check_id", "value", "threshold", "severity")
+    return report.select("layer", "check_id", line.alias("line"), (~F.col("passed") & (F.col("severity") == "error")).alias("blocking"))
 
 
 def require_healthy(report: DataFrame) -> list[str]:
     """Text lines of the report (at most one per check); raises once, with every blocking failure."""
-    rows = report.collect()  # one row per check
-    lines = [f"[{r.layer}] {r.check_id}: {r.value:g} (threshold {r.threshold:g}, {r.severity})" for r in rows]
-    failed = [text for text, r in zip(lines, rows) if not r.passed and r.severity == "error"]
+    rows = report_lines(report).collect()  # one row per check
+    failed = [r.line for r in rows if r.blocking]
     if failed:
         raise GateFailed("; ".join(failed))
-    return lines
+    return [r.line for r in rows]

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.context import materialize
 from larder.functions.text import contains_any
 from larder.operators.grouping import first_per_key, top_per_key
 
 HORIZON_DAYS = 6
 TOP = 3
 MENU_LINE_DISHES = 10
+#: Fixed value: the text for a request without candidates.
+NO_FORECASTS = "（無可用預測資料）"
 DEFAULT_REASON = "精選推薦"
 # Menu sections that are never shown.
 BLOCKED_SECTIONS = ["2025年菜", "2025年菜桌菜附餐"]
@@ -99,27 +104,67 @@ def summary_line(df: DataFrame) -> DataFrame:
     return df.withColumn("summary", F.when(status == "ok", ok).when(status == "stale", stale).otherwise(missing))
 
 
+def summary_text(requests: DataFrame, lines: DataFrame, request: str = "request_id") -> DataFrame:
+    """``request, summary``: the sentences (request, position, summary) of each request as one text, or the sentence that there is none.
+
+    A request has as many sentences as candidates, a short list.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("position", "summary")))
+    texts = lines.groupBy(request).agg(F.array_join(F.transform(ordered, lambda x: x["summary"]), "\n").alias("summary"))
+    return requests.select(request).distinct().join(texts, request, "left").withColumn("summary", F.coalesce("summary", F.lit(NO_FORECASTS)))
+
+
 def demand_top(candidates: DataFrame, request: str = "request_id", k: int = TOP) -> DataFrame:
     """Per request the k candidates with the highest mean forecast; without one the original order decides."""
     order = [F.col("avg_yhat").desc_nulls_last(), F.col("position").asc()]
     return top_per_key(candidates, [request], order, k)
 
 
+#: Terms in one automaton.
+TERM_ROWS = 100_000
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by cell, the terms of a cell before its names: (name, term) of each term inside a name."""
+    import ahocorasick
+
+    cell, automaton = None, None
+    for batch in batches:
+        found_name, found_term = [], []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("cell", "is_term", "text")), strict=True)
+        for here, is_term, text in rows:
+            if here != cell:
+                cell, automaton = here, ahocorasick.Automaton()
+            if is_term:
+                automaton.add_word(text, text)
+                continue
+            if automaton.kind == ahocorasick.TRIE:
+                automaton.make_automaton()
+            if automaton.kind == ahocorasick.AHOCORASICK:  # else the cell has no terms
+                terms = {term for _, term in automaton.iter(text)}
+                found_name += [text] * len(terms)
+                found_term += terms
+        yield pa.RecordBatch.from_arrays([pa.array(found_name, pa.string()), pa.array(found_term, pa.string())], names=["name", "term"])
+
+
 def blocked_names(names: DataFrame, terms: DataFrame, name: str = "name", term: str = "term") -> DataFrame:
-    """(name, term) pairs where the name contains the term, found by an equality join.
+    """(name, term) pairs where the name contains the term.
 
-    Each distinct name is cut into its pieces of the lengths that terms have, so neither side is broadcast and no pair
-    that does not match is ever built.
+    Each task builds one automaton (Aho-Corasick) over a block of at most about ``TERM_ROWS`` terms and reads its names once, however
+    many terms there are and however long. Names are sent once per block of terms, terms once per group of names; nothing passes the
+    driver and only matches are rows. Empty terms match nothing.
     """
-    distinct = names.select(F.col(name).alias("name")).distinct()
-    wanted = terms.select(F.col(term).alias("term")).distinct()
-    # Only the lengths that occur among the terms; there are few, as terms are words.
-    lengths = wanted.select(F.array_distinct(F.collect_set(F.length("term"))).alias("l")).scalar()
-    sized = distinct.select("name", F.explode(lengths).alias("n")).filter("n > 0 AND n <= length(name)")
-    starts = F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)
-    cut = F.transform(starts, lambda i: F.substring(F.col("name"), i, F.col("n")))
-    pieces = sized.select("name", F.explode(F.array_distinct(cut)).alias("term"))
-    return pieces.join(wanted, "term").select("name", "term")
+    spark = names.sparkSession
+    wanted = materialize(terms.select(F.col(term).alias("text")).filter("text <> ''").distinct(), "terms")
+    blocks = max(1, -(-wanted.count() // TERM_ROWS))
+    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")
+    sent = wanted.select(place(blocks).alias("b"), every(groups).alias("g"), F.lit(True).alias("is_term"), "text")
+    read = names.select(F.col(name).alias("text")).filter("text IS NOT NULL").distinct()
+    cells = sent.unionByName(read.select(every(blocks).alias("b"), place(groups).alias("g"), F.lit(False).alias("is_term"), "text"))
+    cells = cells.withColumn("cell", F.col("b") * groups + F.col("g")).repartition(blocks * groups, "cell")
+    return cells.sortWithinPartitions("cell", F.desc("is_term")).select("cell", "is_term", "text").mapInArrow(_matches, "name string, term string")
 
 
 def term_sets(memory: DataFrame, conversation: str) -> tuple[DataFrame, DataFrame]:

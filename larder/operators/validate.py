@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from larder.context import materialize
+
 SAMPLE_ROWS = 20
 
 
@@ -59,6 +61,24 @@ def require_whole(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double").try_cast("long") for c in columns})
 
 
+class Counted:
+    """Rows whose rule breakers are counted while they are written, so that a gate needs no scan of its own."""
+
+    def __init__(self, df: DataFrame, broken: dict[str, Column]):
+        self._seen = Observation()
+        totals = [F.count_if(F.coalesce(rule, F.lit(False))).alias(name) for name, rule in broken.items()]
+        self._df = df.observe(self._seen, F.count(F.lit(1)).alias("n_rows"), *totals)
+        self.n_rows: int | None = None
+        self.counts: dict[str, int] = {}
+
+    def store(self, purpose: str) -> DataFrame:
+        """Write the rows to the scratch folder and read them back; ``n_rows`` and ``counts`` are known then."""
+        stored = materialize(self._df, purpose)
+        seen = dict(self._seen.get)
+        self.n_rows, self.counts = seen.pop("n_rows"), seen
+        return stored
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise LoadRejected(f"{what} is empty")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +65,16 @@ def parse_sales(raw: DataFrame) -> DataFrame:
 
 
 def land_sales(raw: DataFrame) -> DataFrame:
-    """Sales rows for staging; one fractional quantity or one NULL in a required column rejects the load."""
-    parsed = parse_sales(raw)
-    bad = validate.null_rows(parsed, SALES_REQUIRED).unionByName(parsed.filter("is_fractional"))
-    validate.require_none(bad, "sales rows with missing, unreadable or fractional values")
-    return parsed.drop("is_fractional")
+    """Sales rows for staging, stored; one fractional quantity or one NULL in a required column rejects the load.
+
+    The raw rows are read and parsed once: the broken ones are counted on their way to the scratch folder.
+    """
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in SALES_REQUIRED])
+    counted = validate.Counted(parse_sales(raw), {"n_missing": missing, "n_fractional": F.col("is_fractional")})
+    stored = counted.store("landed-sales")
+    if any(counted.counts.values()):
+        validate.require_none(stored.filter(missing | F.col("is_fractional")), f"sales rows with missing, unreadable or fractional values ({counted.counts})")
+    return stored.drop("is_fractional")
 
 
 def parse_menu(raw: DataFrame) -> DataFrame:

@@ -106,6 +106,16 @@ def forecast_rows(history: DataFrame, run: WeeklyRun) -> DataFrame:
     return rows
 
 
+#: What a forecast row must be unique in.
+GRAIN = ["run_id", "canonical_dish_id", "forecast_origin_date", "target_date", "model_version"]
+
+
+def key_report(rows: DataFrame, keys: list[str] = GRAIN) -> DataFrame:
+    """Per version: ``n_rows`` and ``n_unique`` keys; they differ where rows repeat a key."""
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy("model_version").agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"))
+
+
 def _stamped(rows: DataFrame, run: WeeklyRun, version: str) -> DataFrame:
     return rows.select(
         "canonical_dish_id",

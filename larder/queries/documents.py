@@ -57,6 +57,23 @@ def allowed_tags(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "lang_ok", F.array_join("tags", ",").alias("tags"), "n_invalid")
 
 
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE lang || '|' || CASE WHEN source <> lang THEN source || '|' ELSE '' END || 'a]b{"c|' || lang || ':' || source
+  || CASE WHEN doc_id % 6 > 0 THEN '|side' ELSE '' END END AS tags FROM documents"""
+)
+def taxonomy_strings(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags of taxonomy documents one to six levels deep, with brackets, quotes and colons inside tags; some are no JSON."""
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "source")
+    text = F.concat(
+        F.to_json(F.struct(F.array(F.col("lang"), F.concat(F.lit(" "), "source", F.lit(" ")), F.lit('a]b{"c'), F.lit("  ")).alias("tags"), F.concat("lang", F.lit(":"), "source").alias("one")))
+    )
+    for level in range(1, 6):
+        deeper = F.concat(F.lit('{"group" : ') if level % 2 else F.lit("[17, null, "), text, F.lit(', "more":["side"]}') if level % 2 else F.lit(', true, "side"]'))
+        text = F.when(F.col("doc_id") % 6 >= level, deeper).otherwise(text)
+    text = F.when(F.col("doc_id") % 11 == 0, F.lit('{"tags":["lost"')).otherwise(text)
+    return rows.select("doc_id", F.array_join(docs.taxonomy_tags(text), "|").alias("tags"))
+
+
 # --- pages -----------------------------------------------------------------------------------------------------------
 
 

@@ -204,6 +204,83 @@ def rolling_backtest(spark: SparkSession, folder: str) -> DataFrame:
     return b.backtest(spark, folder)
 
 
+LINEAR = features.FeatureConfig(use_id=False, use_target_day=True, lags=[7, 14], windows=[28], stats=["max"])
+#: Weights of ``target_day``, ``lag_7``, ``lag_14`` and, beyond the best iteration, of the window's maximum.
+WEIGHTS = [1.25, 0.5, 0.25, 100.0]
+
+
+class Linear:
+    """A foreign model: one weight per column in the configured order, of which it uses the first ``num_iteration``."""
+
+    def predict(self, frame, num_iteration=None):
+        n = num_iteration or len(WEIGHTS)
+        return frame.iloc[:, :n].astype(float).fillna(0).to_numpy() @ WEIGHTS[:n]
+
+
+def linear_scores_of(history: DataFrame, origin: dt.date) -> DataFrame:
+    rows = features.forecast_features(history, origin, LINEAR)
+    return weekly.score_with(Linear, rows, LINEAR, best_iteration=3)
+
+
+b.CTE["linear"] = (
+    ["panel"],
+    f"""SELECT canonical_dish_id, target_date, CAST(round_even(greatest(1.25 * (d - 1) + 0.5 * coalesce(l7.qty, 0) + 0.25 * coalesce(l14.qty, 0), 0), 0) AS BIGINT) AS yhat
+FROM (SELECT DISTINCT canonical_dish_id, d, CAST(DATE '{b.ORIGIN}' + d AS DATE) AS target_date FROM panel, (VALUES (1), (2), (3), (4), (5), (6)) AS h(d)
+      WHERE close_work_date <= DATE '{b.ORIGIN}') t
+LEFT JOIN (SELECT canonical_dish_id, qty, close_work_date + 7 AS target_date FROM panel WHERE close_work_date <= DATE '{b.ORIGIN}') l7
+  USING (canonical_dish_id, target_date)
+LEFT JOIN (SELECT canonical_dish_id, qty, close_work_date + 14 AS target_date FROM panel WHERE close_work_date <= DATE '{b.ORIGIN}') l14
+  USING (canonical_dish_id, target_date)""",
+)
+
+
+@query(b.with_(["linear"], "SELECT canonical_dish_id, CAST(CAST(target_date AS DATE) AS VARCHAR) AS target_date, yhat FROM linear"))
+def linear_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of an object that only has ``predict``, in the configured feature order and up to its best iteration."""
+    return linear_scores_of(b.stored_panel(spark, folder), b.ORIGIN)
+
+
+@query(
+    b.with_(
+        ["fc", "linear"],
+        f"""SELECT canonical_dish_id, '{b.ORIGIN}' AS forecast_origin_date, CAST(CAST(target_date AS DATE) AS VARCHAR) AS target_date,
+  CAST(yhat AS DOUBLE) AS yhat, model_version, 'weekly' AS run_id FROM (
+  SELECT canonical_dish_id, target_date, yhat, model_version FROM fc WHERE origin = DATE '{b.ORIGIN}' AND model_version = 'baseline_k4'
+  UNION ALL SELECT canonical_dish_id, target_date, yhat, 'linear_v1' FROM linear)""",
+    )
+)
+def weekly_run_with_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The weekly job with a model beside the baseline; its version comes from the configuration."""
+    from larder.context import scratch_folder
+
+    run = weekly.WeeklyRun(
+        origin=b.ORIGIN, run_id="weekly", baseline_version="baseline_k4", score_model=linear_scores_of, config={"model": {"model_version": "linear_v1"}}
+    )
+    path = scratch_folder(spark, "forecast-fact")
+    weekly.weekly_forecast(b.stored_panel(spark, folder), run, path)
+    return spark.read.parquet(path).select(
+        "canonical_dish_id", "forecast_origin_date", "target_date", "yhat", "model_version", "run_id"
+    )
+
+
+@query(
+    b.with_(
+        ["fc", "linear"],
+        f"""SELECT model_version, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_unique FROM (
+  SELECT model_version, count(*) AS n FROM (
+    SELECT canonical_dish_id, target_date, model_version FROM fc WHERE origin = DATE '{b.ORIGIN}' AND model_version = 'baseline_k4'
+    UNION ALL SELECT canonical_dish_id, target_date, 'linear_v1' FROM linear
+    UNION ALL SELECT canonical_dish_id, target_date, 'linear_v1' FROM linear WHERE canonical_dish_id % 2 = 0)
+  GROUP BY model_version, canonical_dish_id, target_date) GROUP BY 1""",
+    )
+)
+def run_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and unique keys of a run's two versions, where half of the model's rows came twice."""
+    run = weekly.WeeklyRun(b.ORIGIN, "weekly", "baseline_k4", model_version="linear_v1", score_model=linear_scores_of)
+    rows = materialize(weekly.forecast_rows(b.stored_panel(spark, folder), run), "forecast-rows")
+    return weekly.key_report(rows.unionByName(rows.filter("model_version = 'linear_v1' AND canonical_dish_id % 2 = 0")))
+
+
 @query()
 def gbt_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Boosted-tree scores of the forecast days (library training, so checked by shape only)."""
@@ -317,22 +394,24 @@ HEALTH = {
 }
 
 
-@query(
-    b.with_(
-        ["serving", "backtest", "policy", "price_bridge", "forecast"],
-        "SELECT layer, check_id, round(value, 9) AS value, threshold, severity, CASE op WHEN '>=' THEN value >= threshold "
-        "ELSE value <= threshold END AS passed FROM ("
-        + " UNION ALL ".join(
-            f"SELECT '{layer}' AS layer, '{c}' AS check_id, CAST({value} AS DOUBLE) AS value, CAST({t} AS DOUBLE) AS threshold, "
-            f"'{sev}' AS severity, '{op}' AS op"
-            for c, (layer, t, op, sev, value) in HEALTH.items()
-        )
-        + ")",
-        made=f"SELECT * FROM forecast WHERE forecast_origin_date = DATE '{b.ORIGIN}'",
-        served=f"SELECT * FROM serving WHERE forecast_origin_date = DATE '{b.ORIGIN}'",
+HEALTH_MADE = {
+    "made": f"SELECT * FROM forecast WHERE forecast_origin_date = DATE '{b.ORIGIN}'",
+    "served": f"SELECT * FROM serving WHERE forecast_origin_date = DATE '{b.ORIGIN}'",
+}
+HEALTH_SQL = (
+    "SELECT layer, check_id, round(value, 9) AS value, threshold, severity, CASE op WHEN '>=' THEN value >= threshold "
+    "ELSE value <= threshold END AS passed FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{layer}' AS layer, '{c}' AS check_id, CAST({value} AS DOUBLE) AS value, CAST({t} AS DOUBLE) AS threshold, "
+        f"'{sev}' AS severity, '{op}' AS op"
+        for c, (layer, t, op, sev, value) in HEALTH.items()
     )
+    + ")"
 )
-def health_report(spark: SparkSession, folder: str) -> DataFrame:
+HEALTH_NEEDS = ["serving", "backtest", "policy", "price_bridge", "forecast"]
+
+
+def _report(spark: SparkSession, folder: str) -> DataFrame:
     """All gates of one origin. Each stage is written once, as the weekly run does."""
     history = b.stored_panel(spark, folder)
     forecasts = materialize(b.forecasts(spark, folder, history), "forecasts")
@@ -340,8 +419,35 @@ def health_report(spark: SparkSession, folder: str) -> DataFrame:
     policy = materialize(policies.write_policy(b.old_policy(spark, folder), backtest, b.ORIGIN), "policy")
     price_bridge = b.price_bridge(spark, folder)
     serving = materialize(policies.serving_view(forecasts, policy, price_bridge), "serving")
-    report = gates.health_report(forecasts, backtest, policy, serving, price_bridge, b.ORIGIN)
-    return report.withColumn("value", F.round("value", 9))
+    return gates.health_report(forecasts, backtest, policy, serving, price_bridge, b.ORIGIN)
+
+
+@query(b.with_(HEALTH_NEEDS, HEALTH_SQL, **HEALTH_MADE))
+def health_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _report(spark, folder).withColumn("value", F.round("value", 9))
+
+
+@query(
+    b.with_(
+        HEALTH_NEEDS,
+        f"""SELECT layer, check_id, '[' || layer || '] ' || check_id || ': ' || printf('%.4f', value) || ' (threshold ' || printf('%.4f', threshold) || ', '
+  || severity || ')' AS line, NOT passed AND severity = 'error' AS blocking FROM ({HEALTH_SQL})""",
+        **HEALTH_MADE,
+    )
+)
+def health_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The report as text lines, and those that stop the run."""
+    return gates.report_lines(_report(spark, folder))
+
+
+@query(
+    b.with_(
+        ["backtest"],
+        "SELECT row_number() OVER (ORDER BY model_version) AS place, model_version FROM (SELECT DISTINCT model_version FROM backtest)",
+    )
+)
+def backtest_versions(spark: SparkSession, folder: str) -> DataFrame:
+    return gates.backtest_versions(b.backtest(spark, folder))
 
 
 @query(

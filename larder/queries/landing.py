@@ -53,7 +53,7 @@ def dish_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
     path = scratch_folder(spark, "crawl")
     items.write.json(path)
-    found = readers.dish_items(spark.read.schema(readers.DISH_DOCUMENTS).json(path))
+    found = readers.dish_items(readers.read_dish_documents(spark, path, multi_line=False))
     return found.select("name", "description", F.size("tags").cast("long").alias("n_tags"))
 
 

@@ -392,3 +392,35 @@ def resume_pending(spark: SparkSession, folder: str) -> DataFrame:
     work = table(spark, folder, "orders").selectExpr("o_orderkey AS order_id", "o_totalprice AS total")
     done = table(spark, folder, "orders").filter("o_orderstatus <> 'O'").selectExpr("o_orderkey AS order_id")
     return pending(work, done, "order_id")
+
+
+@query(
+    b.with_(
+        ["forecast", "backtest", "policy", "price_bridge", "span"],
+        """SELECT 'forecast' AS table_name, 'yhat is not negative' AS rule, count(*) FILTER (WHERE canonical_dish_id % 3 = 0 AND yhat < 20) AS n_violations FROM forecast
+UNION ALL SELECT 'forecast', 'target not before origin', count(*) FILTER (WHERE canonical_dish_id % 5 = 0 AND target_date - 3 < forecast_origin_date) FROM forecast
+UNION ALL SELECT 'backtest', 'error is not negative', count(*) FILTER (WHERE residual < 0) FROM backtest
+UNION ALL SELECT 'price_bridge', 'validity ends after its start', count(*) FILTER (WHERE dish_price_id % 4 <> 0 AND dish_price_id % 7 < 3) FROM price_bridge
+UNION ALL SELECT 'policy', 'effect ends after its start', count(*) FILTER (WHERE canonical_dish_id % 6 = 0) FROM policy
+UNION ALL SELECT 'food_bridge', 'last seen not before first', count(*) FILTER (WHERE food_id % 2 = 0 AND lo < hi) FROM span""",
+    )
+)
+def table_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The row rules of the stored tables, on copies in which some rows were spoiled or left open."""
+    from larder.plans import contracts
+
+    history = b.stored_panel(spark, folder)
+    back = F.when(F.expr("canonical_dish_id % 5 = 0"), F.date_sub("target_date", 3)).otherwise(F.col("target_date"))
+    less = F.when(F.expr("canonical_dish_id % 3 = 0"), F.col("yhat") - 20).otherwise(F.col("yhat"))
+    first = F.lit("2001-01-01").cast("date")
+    until = F.when(F.expr("dish_price_id % 4 <> 0"), F.date_add(first, F.expr("CAST(dish_price_id % 7 - 3 AS INT)")))
+    spans = maps.sales_span_by_food(b.sales(spark, folder))
+    return contracts.broken_rules(
+        {
+            "forecast": b.forecasts(spark, folder, history).withColumns({"target_date": back, "yhat": less}),
+            "backtest": b.backtest(spark, folder, history).withColumn("abs_error", F.col("residual")),
+            "price_bridge": b.price_bridge(spark, folder).withColumns({"valid_from": first, "valid_to": until}),
+            "policy": b.policy(spark, folder, history).withColumn("effective_to", F.when(F.expr("canonical_dish_id % 6 = 0"), F.date_sub("effective_from", 1))),
+            "food_bridge": spans.selectExpr("IF(food_id % 2 = 0, last_seen_date, first_seen_date) AS first_seen_date", "IF(food_id % 2 = 0, first_seen_date, last_seen_date) AS last_seen_date"),
+        }
+    )

@@ -452,6 +452,59 @@ def checkout_lines(spark: SparkSession, folder: str) -> DataFrame:
     return carts.order_lines(cart_requests(spark, folder), ["request_id"], dishes)
 
 
+@query(
+    b.with_(
+        ["req", "citem"],
+        """SELECT r.request_id, r.session_id, 'T' || c_nationkey AS table_id, CASE WHEN n > 0 THEN 'pending' END AS status,
+  CAST(t.total AS DOUBLE) AS total_amount, coalesce(n, 0) AS n_lines, CASE WHEN n > 0 THEN 'n' || k END AS note, lines,
+  CASE WHEN n > 0 THEN NULL WHEN r.session_id IN (SELECT o_custkey FROM orders)
+         OR r.request_id > (SELECT min(request_id) FROM citem c WHERE c.session_id = r.session_id) THEN 'cannot_submit_empty_cart_after_order'
+       ELSE 'cart_empty' END AS error,
+  CASE WHEN n > 0 THEN '' ELSE 'n' || k END AS cart_note, CASE WHEN n > 0 THEN 0 ELSE 1 END AS n_cart_items, 7 + CASE WHEN n > 0 THEN 1 ELSE 0 END AS version
+FROM req r LEFT JOIN customer ON c_custkey = r.session_id
+LEFT JOIN (SELECT request_id, sum(round(price * qty, 2)) AS total, count(*) AS n, string_agg(
+    coalesce(CAST(CASE WHEN id IN (SELECT p_partkey FROM part) THEN id END AS VARCHAR), '-') || '|' || name || '|' || coalesce(size, '-') || '|' || coalesce(note, '-')
+    || '|' || qty || '|' || printf('%.2f', CAST(price AS DOUBLE)) || '|' || printf('%.2f', CAST(round(price * qty, 2) AS DOUBLE)) || '|{"uuid":"' || uuid || '"}',
+    ';' ORDER BY uuid) AS lines FROM citem GROUP BY 1) t USING (request_id)""",
+    )
+)
+def checkout_result(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cart document sent to checkout: order, lines, and the cart and version it leaves."""
+    tables = table(spark, folder, "customer").selectExpr("c_custkey AS session_id", "concat('T', c_nationkey) AS table_id")
+    requests = cart_requests(spark, folder).join(tables, "session_id", "left").withColumn("version", F.lit(7))
+    dishes = table(spark, folder, "part").select(F.col("p_partkey").alias("dish_id"))
+    placed = carts.place_orders(requests, "session_id", "request_id", "version", dishes, orders(spark, folder))
+    money = lambda c: F.format_string("%.2f", c.cast("double"))
+    dash = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    told = F.transform(
+        "lines",
+        lambda x: F.concat_ws(
+            "|", dash(x["dish_id"]), x["name"], dash(x["size_label"]), dash(x["note"]), x["quantity"].cast("string"), money(x["unit_price"]),
+            money(x["line_total"]), x["extra_data"],
+        ),
+    )
+    left = carts.read_cart(placed.withColumn("lines", F.array_join(told, ";")))
+    columns = ["request_id", "session_id", "table_id", "status", "total_amount", "n_lines", "note", "lines", "error", "version", "cart_note"]
+    return left.select(*columns, F.size("raw_items").alias("n_cart_items"))
+
+
+@query(
+    b.with_(
+        ["req", "citem"],
+        """SELECT session_id, request_id, '{"items":[' || coalesce(items, '') || '],"note":"n' || k || '"}' AS snapshot FROM req LEFT JOIN (
+  SELECT request_id, string_agg('{"id":' || id || ',"name":"' || name || '","qty":' || qty || ',"price":' || CAST(CAST(price AS DOUBLE) AS VARCHAR) || ',"note":'
+    || coalesce('"' || note || '"', 'null') || ',"size":' || coalesce('"' || size || '"', 'null') || '}', ',' ORDER BY uuid) AS items
+  FROM citem GROUP BY 1) USING (request_id)
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY request_id DESC) = 1""",
+    )
+)
+def cart_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The document that an order of each session's latest cart would store."""
+    latest = carts.latest_carts(cart_requests(spark, folder), "session_id", "request_id")
+    text = carts.snapshot(carts.clean_items(F.col("raw_items")), F.col("cart_note"))
+    return latest.select("session_id", "request_id", text.alias("snapshot"))
+
+
 @query(
     b.with_(
         ["req", "citem"],

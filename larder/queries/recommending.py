@@ -205,6 +205,22 @@ def demand_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rec.summary_line(attached(spark, folder)).select("request_id", "position", "summary")
 
 
+@query(
+    b.with_(
+        ["cand", "series"],
+        """SELECT o_orderkey AS request_id, coalesce(summary, '（無可用預測資料）') AS summary FROM orders LEFT JOIN (
+  SELECT request_id, string_agg('- ' || name || CASE WHEN s.price_id IS NULL THEN '：無預測資料' ELSE
+    '：預測近' || n_days || '日平均需求 ' || printf('%.1f', avg_yhat) || '，高峰日 ' || peak_date || ' 需求 ' || printf('%.1f', peak_yhat) END, chr(10)
+    ORDER BY position, name) AS summary
+  FROM cand LEFT JOIN series s USING (price_id) GROUP BY 1) ON request_id = o_orderkey""",
+    )
+)
+def demand_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The demand sentences of every request as one text; requests without a known dish get the sentence that there is none."""
+    requests = table(spark, folder, "orders").select(F.col("o_orderkey").alias("request_id"))
+    return rec.summary_text(requests, rec.summary_line(attached(spark, folder)))
+
+
 @query(
     b.with_(
         ["cand", "series"],

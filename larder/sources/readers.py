@@ -86,8 +86,9 @@ DISH_DOCUMENTS = T.StructType(
 )
 
 
-def read_dish_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DISH_DOCUMENTS).json(path, multiLine=True)
+def read_dish_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Crawl documents: one per file, over several lines, or (``multi_line`` off) one per line, which large files can be split by."""
+    return spark.read.schema(DISH_DOCUMENTS).json(path, multiLine=multi_line)
 
 
 def dish_items(documents: DataFrame) -> DataFrame:

@@ -214,3 +214,19 @@ def test_many_requests_take_one_scan_of_the_corpus(spark, tmp_path, monkeypatch)
     sims = np.round(unit(asked) @ unit(stored).T, 12)
     best = np.argsort(-sims, axis=1, kind="stable")[:, :3]
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v.tolist()) for k, v in enumerate(best)}
+
+
+def test_very_many_avoided_terms(spark, monkeypatch):
+    """10^5 terms of 1 to 40 characters, some inside others, in several automata."""
+    import random
+
+    monkeypatch.setattr(recommend, "TERM_ROWS", 30_000)
+    draw = random.Random(0)
+    names = ["".join(draw.choices("abcdeé湯 ", k=draw.randint(1, 60))) for _ in range(300)] + ["", None, "aaa"]
+    terms = {"".join(draw.choices("abcdeé湯 ", k=draw.randint(3, 40))) for _ in range(100_000)} | {"a", "aa", "é湯", "", names[0], names[1][:20]}
+    got = recommend.blocked_names(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in terms], "term string"))
+    lengths = sorted({len(t) for t in terms if t})
+    want = {(n, n[i : i + k]) for n in set(names) - {None} for k in lengths for i in range(len(n) - k + 1) if n[i : i + k] in terms}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 500
+    assert recommend.blocked_names(spark.createDataFrame([("x",)], "name string"), spark.createDataFrame([], "term string")).count() == 0

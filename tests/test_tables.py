@@ -229,3 +229,23 @@ def test_forecast_sink_counts_attempts_and_touches_only_its_origins(spark, tmp_p
         assert sinks.upsert_forecasts(spark.read.parquet(path), again, path) == 2
         assert pairs(spark.read.parquet(path), "canonical_dish_id", "forecast_origin_date", "yhat") == [(1, day, 5), (1, later, 8), (2, later, 9)]
     assert before == sorted(p.name for p in (tmp_path / "fact" / f"forecast_origin_date={day}").iterdir())
+
+
+def test_counts_of_broken_rows_come_with_the_write(spark):
+    df = spark.range(100).selectExpr("id", "IF(id % 10 = 0, NULL, id) AS v")
+    counted = validate.Counted(df, {"n_missing": F.col("v").isNull(), "n_big": F.col("v") > 95})
+    stored = counted.store("counted")
+    assert (counted.n_rows, counted.counts, stored.count()) == (100, {"n_missing": 10, "n_big": 4}, 100)
+
+
+def test_taxonomies_of_any_depth(spark):
+    from larder.operators import documents
+
+    cases = {
+        '{"a":["x"," y ",""],"b":{"c":{"d":["x","z"]}}}': ["x", "y", "z"],
+        '[[["deep [1]","{k: v}"]],{"q":"say \\"hi\\" : now"}]': ["deep [1]", "{k: v}", 'say "hi" : now'],
+        '{"n":1,"t":true,"u":null}': [], '"alone"': ["alone"], '{"broken":["x"': [], "": [],
+        '{"k" : "v\\u00e9", "w":["\\\\"]}': ["vé", "\\"],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.tags for r in df.select("t", documents.taxonomy_tags(F.col("t")).alias("tags")).collect()} == cases
