@@ -35,8 +35,8 @@ from larder.llm.tokenizers import TokenizerFile
 
 #: Characters of text that are aligned at once, or one text if it is longer.
 CHUNK_CHARS = 500_000
-#: Bytes of remembered words, and as many of remembered windows, per worker; beyond that a memory is emptied and filled anew.
-MEMORY_BYTES = 128 << 20
+#: Bytes of remembered words and windows per worker; beyond that what was used once is forgotten.
+MEMORY_BYTES = 256 << 20
 #: Pairs in the broadcast table.
 COMMON = 1 << 21
 #: Distinct pairs that a counting task holds before it hands them on.
@@ -96,10 +96,8 @@ def open_tokenizer(file: TokenizerFile):
 
 
 class Side:
-    """One tokenizer: its ids of the words remembered so far, all in one array.
-
-    ``count`` is -1 for a word whose tokens do not spell it.
-    """
+    """One tokenizer and whether it encodes words apart: whether byte-level splitting, or a vocabulary without pieces that hold a blank
+    behind another letter, keeps what stands on the two sides of a word's start from being joined."""
 
     def __init__(self, file: TokenizerFile):
         self.library, self.vocabulary = open_tokenizer(file)
@@ -108,106 +106,33 @@ class Side:
             self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not file.spec().get("normalizer")
         else:
             self.by_word = not any(b" " in x.lstrip(b" ") for x in self.vocabulary.entries)
-        self.forget()
 
-    def forget(self) -> None:
-        self.ids, self.start, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        found = [self.one_by_one(words[k : k + 2048]) if _odd(words[k]) else self.together(words[k : k + 2048]) for k in range(0, len(words), 2048)]
-        self.ids = np.concatenate([self.ids, *(x for x, _ in found)])
-        self.count = np.concatenate([self.count, *(x for _, x in found)])
-        kept = self.count.clip(min=0)
-        self.start = np.cumsum(kept) - kept
+    def spells(self, ids: list[int], text: str) -> bool:
+        entries = [self.vocabulary.entries[i] for i in ids]
+        return b"".join(entries) == (" " + text).encode("utf-8") and all(entries)
 
     def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words without white space at their ends, as one text, which the library encodes at a fraction of the cost."""
+        """Like ``one_by_one`` for words without white space at their ends: encoded as one text, at a fraction of the cost."""
         text = " ".join(words)
         ids = self.library([text])[0]
         flat = np.array(ids, np.uint32)
         stops = np.cumsum(self.vocabulary.lengths[flat])
-        wanted = np.cumsum([len(w.encode("utf-8")) + 1 for w in words])
+        size = [len(w) for w in words] if text.isascii() else [len(w.encode("utf-8")) for w in words]
+        wanted = np.cumsum(np.array(size) + 1)
         last = np.searchsorted(stops, wanted).clip(max=len(stops) - 1)
         if not (self.spells(ids, text) and np.array_equal(stops[last], wanted)):
             return self.one_by_one(words)
         return flat, np.diff(last, prepend=-1)
 
     def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of blank + word, one word after the other, and how many each has); -1 and no ids for a word they do not spell."""
         found = [ids if self.spells(ids, w) else None for ids, w in zip(self.library(words), words, strict=True)]
         flat = np.fromiter(itertools.chain.from_iterable(x for x in found if x is not None), np.uint32)
         return flat, np.array([-1 if x is None else len(x) for x in found], np.int64)
 
-    def spells(self, ids: list[int], text: str) -> bool:
-        entries = [self.vocabulary.entries[i] for i in ids]
-        return b"".join(entries) == (" " + text).encode("utf-8") and all(entries)
-
-    def whole(self, text: str) -> np.ndarray | None:
-        """The library's ids of blank + text, None if they do not spell it."""
-        ids = self.library([text])[0]
-        return np.array(ids, np.uint32) if self.spells(ids, text) else None
-
-
-class Encoder:
-    """Encodes blank + text on both sides, remembering the words met so far.
 
-    A word begins at a blank behind something that is no white space. Byte-level splitting never joins what is on the two sides of
-    such a place, and neither does a vocabulary without pieces that hold a blank behind another letter. A text with a word that is
-    not spelled (a tokenizer that normalises) goes to the library as a whole.
-    """
-
-    def __init__(self, file_a: TokenizerFile, file_b: TokenizerFile, memory_bytes: int):
-        self.sides = Side(file_a), Side(file_b)
-        self.by_word = all(s.by_word for s in self.sides)
-        self.memory_bytes, self.held, self.numbers = memory_bytes, 0, {}
-
-    def _numbered(self, words: list[str]) -> np.ndarray:
-        if self.held > self.memory_bytes:
-            self.numbers, self.held = {}, 0
-            for side in self.sides:
-                side.forget()
-        found = list(map(self.numbers.get, words))
-        if None in found:
-            new = {w for w, n in zip(words, found, strict=True) if n is None}
-            odd = [w for w in new if _odd(w)]
-            for part in (list(new.difference(odd)), odd):
-                self.numbers.update(zip(part, range(len(self.numbers), len(self.numbers) + len(part)), strict=True))
-                for side in self.sides:
-                    side.learn(part)
-            self.held += 200 * len(new) + 12 * sum(map(len, new))
-            found = map(self.numbers.__getitem__, words)
-        return np.fromiter(found, np.int64, len(words))
-
-    def __call__(self, texts: list[str]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
-        """(the texts that both sides spell, all ids of each side, number of tokens of each of these texts on each side)."""
-        there = [k for k, t in enumerate(texts) if t]
-        fast: list[int] = []
-        ids, sizes = [[], []], [[], []]
-        if self.by_word and there:
-            cut = [_words(texts[k]) for k in there]
-            n_words = np.array([len(x) for x in cut])
-            word = self._numbered(list(itertools.chain.from_iterable(cut)))
-            first = np.cumsum(n_words) - n_words
-            good = np.logical_and(*(np.minimum.reduceat(s.count[word], first) >= 0 for s in self.sides))
-            fast = [k for k, g in zip(there, good.tolist(), strict=True) if g]
-            if fast:
-                word, n_words = word[np.repeat(good, n_words)], n_words[good]
-                for n, s in enumerate(self.sides):
-                    ids[n].append(s.ids[_ranges(s.start[word], s.count[word])])
-                    sizes[n].append(np.add.reduceat(s.count[word], np.cumsum(n_words) - n_words))
-        done = set(fast)
-        for k in there:
-            if k not in done:
-                both = [s.whole(texts[k]) for s in self.sides]
-                if both[0] is not None and both[1] is not None:
-                    fast.append(k)
-                    for n in range(2):
-                        ids[n].append(both[n])
-                        sizes[n].append(np.array([len(both[n])]))
-        return fast, *([np.concatenate(x) if x else np.empty(0, np.int64) for x in y] for y in (ids, sizes))
-
-
-#: White space other than single blanks and line feeds inside a line's text; U+180E once was white space.
-_UNUSUAL = re.compile(r"[^\S \n]|  |\n | \n|^[ \n]|\u180e")
+#: White space other than single blanks and line feeds between words; U+180E once was white space.
+_UNUSUAL = ["  ", "\n ", " \n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 _WORD_START = re.compile(r"(?<=[^\s\u180e]) ")
 
 
@@ -218,7 +143,15 @@ def _odd(word: str) -> bool:
 
 def _words(text: str) -> list[str]:
     """The text cut at every blank behind something else; these blanks are left out."""
-    return _WORD_START.split(text) if _UNUSUAL.search(text) else text.split(" ")
+    unusual = text[:1] in (" ", "\n") or any(x in text for x in _UNUSUAL)
+    return _WORD_START.split(text) if unusual else text.split(" ")
+
+
+def _filled(good: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values at the good places, -1 at the others."""
+    out = np.full(len(good), -1, np.int64)
+    out[good] = values
+    return out
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -228,32 +161,61 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """Aligns texts of one worker; the windows met so far are remembered."""
+    """Aligns texts of one worker, remembering the words and windows met so far.
+
+    A text's tokens are those of its words, if both sides encode words apart, and every word begins with an anchor. So a word is
+    encoded and cut into windows once, and a text is a list of windows. A text with a word that a side does not spell, and any text of
+    a tokenizer that does not encode words apart, is encoded and cut as a whole.
+    """
 
     def __init__(self, file_a: TokenizerFile, file_b: TokenizerFile, memory_bytes: int = MEMORY_BYTES):
-        self.encode = Encoder(file_a, file_b, memory_bytes)
-        self.a, self.b = (s.vocabulary for s in self.encode.sides)
+        self.sides = Side(file_a), Side(file_b)
+        self.a, self.b = (s.vocabulary for s in self.sides)
+        self.by_word = all(s.by_word for s in self.sides)
         self.width = len(self.b.entries)
         self.names = [str(i) for i in range(max(len(self.a.entries), self.width))]
         self.memory_bytes = memory_bytes
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        none = np.empty(0, np.int64)
+        self.words: dict[str, int] = {}
+        self.word_a, self.word_b, self.word_windows, self.uses = none, none, none, none  # tokens (-1: not spelled), windows, uses of each word
+        self.of_words = none  # the windows of all words, one word after the other
+        self.windows: dict[bytes, int] = {}
         self.texts: list[str] = []
-        self.n_groups = np.empty(0, np.int64)
-        self.n_links = np.empty(0, np.int64)
-        self.codes = np.empty(0, np.uint64)
+        self.n_groups, self.n_links, self.codes = none, none, np.empty(0, np.uint64)
         self.held = 0
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _shrink(self) -> None:
+        """Keep the words that are used again and again, at most the more used half, and their windows."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > len(self.uses) // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: len(self.uses) // 2]])
+        start = np.cumsum(self.word_windows) - self.word_windows
+        of_words = self.of_words[_ranges(start[kept], self.word_windows[kept])]
+        stay, self.of_words = np.unique(of_words, return_inverse=True)
+        names = list(self.words)  # in the order of their numbers
+        self.words = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.word_a, self.word_b, self.word_windows = self.word_a[kept], self.word_b[kept], self.word_windows[kept]
+        self.uses = self.uses[kept] // 2
+        keys, at = list(self.windows), stay.tolist()
+        self.windows = {keys[i]: n for n, i in enumerate(at)}
+        self.texts = [self.texts[i] for i in at]
+        place = np.cumsum(self.n_links) - self.n_links
+        self.codes = self.codes[_ranges(place[stay], self.n_links[stay])]
+        self.n_groups, self.n_links = self.n_groups[stay], self.n_links[stay]
+        self.held = sum(map(len, self.words)) + 250 * len(self.words) + 400 * len(at) + 30 * len(self.codes)
+
+    def _align(self, new: list[bytes]) -> None:
         """Align new windows, all in one go: the bytes between two neighbouring token ends belong to one token of each side."""
         raw = np.frombuffer(b"".join(new), np.uint32)
         window = np.repeat(np.arange(len(new)), [len(k) // 4 for k in new])
         of_a = raw < B_MARK
         a, b, window_a, window_b = raw[of_a], raw[~of_a] - np.uint32(B_MARK), window[of_a], window[~of_a]
         end_a, end_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
-        ends = np.unique(np.concatenate([end_a, end_b]))
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         in_a, in_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         shared = end_a[np.searchsorted(end_a, end_b).clip(max=len(end_a) - 1)] == end_b  # B tokens that close a group
         group_end = end_b[shared]
@@ -270,59 +232,122 @@ class Aligner:
         said = [""] * (2 * len(ids))
         said[0::2] = map(",|;\n".__getitem__, mark.tolist())
         said[1::2] = map(self.names.__getitem__, ids[order].tolist())
-        self.numbers.update(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
+        self.windows.update(zip(new, range(len(self.texts), len(self.texts) + len(new)), strict=True))
         self.texts += "".join(said)[1:].split("\n")
-        self.held += 300 * len(new) + 20 * len(raw)
+        self.held += 400 * len(new) + 30 * len(raw)
 
-    def windows(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each window begins among the tokens of A and of B; both sides cover the same bytes."""
-        start_a, start_b = (np.cumsum(v.lengths[x]) - v.lengths[x] for v, x in ((self.a, ids_a), (self.b, ids_b)))
-        at_a, at_b = np.flatnonzero(self.a.spaced[ids_a]), np.flatnonzero(self.b.spaced[ids_b])
+    def _cut(self, all_a: np.ndarray, all_b: np.ndarray, tokens_a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(windows of texts given as tokens of both sides, one text after the other, and how many each has).
+
+        Both sides cover the same bytes of each text, of whose A tokens ``tokens_a`` tells the number.
+        """
+        start_a, start_b = (np.cumsum(v.lengths[x]) - v.lengths[x] for v, x in ((self.a, all_a), (self.b, all_b)))
+        at_a, at_b = np.flatnonzero(self.a.spaced[all_a]), np.flatnonzero(self.b.spaced[all_b])
         place = np.searchsorted(start_b[at_b], start_a[at_a])
         place[place == len(at_b)] = 0
         shared = start_b[at_b[place]] == start_a[at_a]
-        return at_a[shared], at_b[place[shared]]
+        first_a, first_b = at_a[shared], at_b[place[shared]]  # anchors: where each window begins on each side
+        n_a, n_b = np.diff(first_a, append=len(all_a)), np.diff(first_b, append=len(all_b))
+        both = np.empty(len(all_a) + len(all_b), np.uint32)
+        both[np.arange(len(all_a)) + np.repeat(first_b, n_a)] = all_a
+        both[np.arange(len(all_b)) + np.repeat(first_a + n_a, n_b)] = all_b + np.uint32(B_MARK)
+        raw, cuts = both.tobytes(), (4 * (first_a + first_b + n_a + n_b)).tolist()
+        keys = [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+        new = [k for k in set(keys) if k not in self.windows]
+        if new:
+            self._align(new)
+        window = np.fromiter(map(self.windows.__getitem__, keys), np.int64, len(keys))
+        begins = np.concatenate([[0], np.cumsum(tokens_a)])
+        return window, np.diff(np.searchsorted(first_a, begins))  # a text begins with a blank on both sides, so with a window
+
+    def _spelled(self, words: list[str], encode: str) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """(which words both sides spell, the ids and the numbers of ids of these on each side)."""
+        found = [getattr(s, encode)(words) for s in self.sides]
+        good = np.logical_and(*(count >= 0 for _, count in found))
+        if good.all():
+            return good, *map(list, zip(*found, strict=True))
+        ids = [flat[np.repeat(good, count.clip(min=0))] for flat, count in found]
+        return good, ids, [count[good] for _, count in found]
+
+    def _learn(self, words: list[str], encode: str) -> None:
+        learned = []
+        for k in range(0, len(words), 2048):
+            good, ids, count = self._spelled(words[k : k + 2048], encode)
+            of_words, n = self._cut(*ids, count[0]) if good.any() else (np.empty(0, np.int64), count[0])
+            learned.append((of_words, *(_filled(good, x) for x in (*count, n))))
+        if learned:
+            columns = (np.concatenate(x) for x in zip(*learned, strict=True))
+            self.of_words, self.word_a, self.word_b, n = (np.concatenate(x) for x in zip((self.of_words, self.word_a, self.word_b, self.word_windows), columns, strict=True))
+            self.word_windows = n.clip(min=0)
+            self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+            self.held += 250 * len(words) + sum(map(len, words))
+
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        if self.held > self.memory_bytes:
+            self._shrink()
+        found = list(map(self.words.get, words))
+        missing = [i for i, n in enumerate(found) if n is None]
+        if missing:
+            new = {words[i] for i in missing}
+            odd = [w for w in new if _odd(w)]
+            self._learn(list(new.difference(odd)), "together")
+            self._learn(odd, "one_by_one")
+            for i in missing:
+                found[i] = self.words[words[i]]
+        number = np.fromiter(found, np.int64, len(words))
+        used = np.bincount(number, minlength=len(self.words))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
+        return number
+
+    def _as_windows(self, texts: list[str]) -> tuple[list[int], list[np.ndarray]]:
+        """(the texts that both sides spell; their tokens of A, of B, their windows in number and one after the other)."""
+        there = [k for k, t in enumerate(texts) if t]
+        done: list[int] = []
+        parts: list[tuple[np.ndarray, ...]] = []
+        if self.by_word and there:
+            cut = [_words(texts[k]) for k in there]
+            size = np.array([len(x) for x in cut])
+            word = self._numbered(list(itertools.chain.from_iterable(cut)))
+            good = np.minimum.reduceat(self.word_a[word], np.cumsum(size) - size) >= 0
+            done = [k for k, g in zip(there, good.tolist(), strict=True) if g]
+            if done:
+                word, size = word[np.repeat(good, size)], size[good]
+                first = np.cumsum(size) - size
+                start = (np.cumsum(self.word_windows) - self.word_windows)[word]
+                totals = (np.add.reduceat(x[word], first) for x in (self.word_a, self.word_b, self.word_windows))
+                parts.append((*totals, self.of_words[_ranges(start, self.word_windows[word])]))
+        for k in sorted(set(there).difference(done)):
+            good, ids, count = self._spelled([texts[k]], "one_by_one")
+            if good.all():
+                window, size = self._cut(*ids, count[0])
+                done.append(k)
+                parts.append((*count, size, window))
+        return done, [np.concatenate(x) for x in zip(*parts, strict=True)]
 
     def __call__(self, texts: list[str]) -> dict[str, list]:
         """Per text: numbers, groups as text, codes of its distinct linked pairs and how often each occurs."""
         out = {k: [0] * len(texts) for k in ("n_a", "n_b", "n_groups", "n_links")} | {"groups": [""] * len(texts), "pairs": [b""] * len(texts), "times": [b""] * len(texts)}
-        spelled, (ids_a, ids_b), (tokens_a, tokens_b) = self.encode(texts)
+        spelled, found = self._as_windows(texts)
         if not spelled:
             return out
-        for k, a, b in zip(spelled, tokens_a.tolist(), tokens_b.tolist(), strict=True):
-            out["n_a"][k], out["n_b"][k] = a, b
-        if self.held > self.memory_bytes:
-            self._forget()
-        first_a, first_b = self.windows(ids_a, ids_b)
-        n_a, n_b = np.diff(first_a, append=len(ids_a)), np.diff(first_b, append=len(ids_b))
-
-        both = np.empty(len(ids_a) + len(ids_b), np.uint32)
-        both[np.arange(len(ids_a)) + np.repeat(first_b, n_a)] = ids_a
-        both[np.arange(len(ids_b)) + np.repeat(first_a + n_a, n_b)] = ids_b + np.uint32(B_MARK)
-        ends = 4 * (first_a + first_b + n_a + n_b)
-        raw, cuts = both.tobytes(), ends.tolist()
-        keys = [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
-        new = list(set(keys) - self.numbers.keys())
-        if new:
-            self._learn(new)
-        window = np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
-
-        begins = np.cumsum([0, *tokens_a])
-        of_doc = np.searchsorted(first_a, begins)  # a text begins with a blank on both sides, so with a window
+        n_a, n_b, n_windows, window = found
+        first = np.cumsum(n_windows) - n_windows
         links = self.n_links[window]
-        doc_of = np.repeat(np.arange(len(spelled)), np.diff(of_doc))
         place = np.cumsum(self.n_links) - self.n_links
         pairs = self.codes[_ranges(place[window], links)]
+        doc = np.repeat(np.arange(len(spelled)), n_windows)
         size = np.uint64(len(self.a.entries) * self.width)
-        found, times = np.unique(np.repeat(doc_of, links).astype(np.uint64) * size + pairs, return_counts=True)
-        cut = np.searchsorted(found, np.arange(len(spelled) + 1, dtype=np.uint64) * size)
-        found %= size
-        groups = np.add.reduceat(self.n_groups[window], of_doc[:-1])
-        totals = np.add.reduceat(links, of_doc[:-1])
-        for n, k in enumerate(spelled):
-            out["n_groups"][k], out["n_links"][k] = int(groups[n]), int(totals[n])
-            out["groups"][k] = ";".join(map(self.texts.__getitem__, window[of_doc[n] : of_doc[n + 1]].tolist()))
-            out["pairs"][k] = found[cut[n] : cut[n + 1]].astype("<u8" if size > 1 << 32 else "<u4").tobytes()
+        held, times = np.unique(np.repeat(doc, links).astype(np.uint64) * size + pairs, return_counts=True)
+        cut = np.searchsorted(held, np.arange(len(spelled) + 1, dtype=np.uint64) * size)
+        held %= size
+        totals = zip(spelled, n_a.tolist(), n_b.tolist(), np.add.reduceat(self.n_groups[window], first).tolist(), np.add.reduceat(links, first).tolist(), strict=True)
+        said = list(map(self.texts.__getitem__, window.tolist()))
+        ends = np.cumsum(n_windows).tolist()
+        for n, (k, *numbers) in enumerate(totals):
+            out["n_a"][k], out["n_b"][k], out["n_groups"][k], out["n_links"][k] = numbers
+            out["groups"][k] = ";".join(said[first[n] : ends[n]])
+            out["pairs"][k] = held[cut[n] : cut[n + 1]].astype("<u8" if size > 1 << 32 else "<u4").tobytes()
             out["times"][k] = times[cut[n] : cut[n + 1]].astype("<u4").tobytes()
         return out
 
