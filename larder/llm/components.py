@@ -3,6 +3,9 @@
 Every step is a grouped minimum and a join, and each round is written to the shared folder, so no list of neighbours is ever
 built, nothing but two numbers per round reaches the driver, and a lost executor costs its own tasks. A node with very many
 neighbours is a hot key of an inner join, which adaptive execution splits.
+
+Defined cases: repeated edges count once, loops (a, a) and edges with a NULL end are left out, so a node that has no other edge is
+not in the result; without edges the result is empty.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """``node, component`` (the smallest node) of every node of ``edges(a, b)``; nodes are whole numbers."""
-    now = materialize(edges.select("a", "b").filter("a != b").distinct(), purpose)
+    now = materialize(edges.select("a", "b").filter("a != b").distinct(), purpose)  # a NULL end compares as unknown
     mark = None
     while True:
         now = materialize(_small_star(_large_star(now)).filter("a != b").distinct(), purpose)

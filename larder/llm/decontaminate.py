@@ -18,7 +18,7 @@ scans, not a larger broadcast. A group to line up is one (document, item), bound
 documents is that many small groups.
 
 Defined cases: NULL and empty texts have no windows; items without words match nothing; items shorter than a window match as a
-whole; repeated rows with one id and text are one document; NULL ids are kept; repeated item rows add nothing; empty tables
+whole; repeated rows with one id and text are one document; NULL ids are kept; very long texts are hashed in pieces and looked up whole; repeated item rows add nothing; empty tables
 give no rows; other columns are neither read nor returned.
 """
 

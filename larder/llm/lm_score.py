@@ -1,7 +1,7 @@
 """Language-model score by masked pseudo-likelihood.
 
 A window network predicts every word from ``SIDE`` words on both sides: each neighbour's embedding is weighted by a vector of its
-offset, the sum passes tanh, and a softmax over the numbers of the vocabulary follows. A number is one frequent word or a class of
+offset, the sum passes tanh, and a softmax over groups of numbers and one over the numbers of the group follow. A number is one frequent word or a class of
 others; a word's probability is that of its number times its share of the class, ``n(word) / (n(class) + 1)`` by the counts of all
 documents, where a word that was never counted has the share ``1 / (n(class) + 1)``. A document's score is the sum of the
 logarithms of these conditional probabilities, with every word masked in turn; the mean per word makes lengths comparable.
@@ -17,7 +17,7 @@ targets. So over the rounds every position of every document is a target once. T
 on how documents are dealt to tasks, as local training does; for the same files it is the same.
 
 Defined cases: NULL and blank texts have no words, sum 0 and NULL mean; a document of one word is predicted from padding;
-repeated rows are trained and scored as often as they occur; on an empty table nothing is trained and no row is returned; other
+repeated rows are trained and scored as often as they occur; very long texts are scored whole, in bounded pieces; on an empty table nothing is trained and no row is returned; other
 columns are neither read nor returned.
 """
 

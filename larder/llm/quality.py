@@ -15,7 +15,7 @@ quantile are found exactly by counting prefixes of the scores. Scoring is one pa
 
 Defined cases: NULL and empty texts have all-zero features and get the score of that point; without a label of either kind
 every score is 0.5 plus nothing to learn from (weights 0, cut 0, so sigmoid(logit(THRESHOLD))); repeated rows are scored row
-by row; an empty table gives no rows.
+by row; very long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

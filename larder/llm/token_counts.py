@@ -12,7 +12,7 @@ documents to that table, encodes each distinct content that is missing once, and
   takes one row per digest.
 
 Defined cases: NULL text counts as the empty text; NULL or repeated ``doc_id`` are separate rows with the counts of their
-texts; an empty table gives no rows and appends nothing; other columns of the input are neither read nor returned.
+texts; a very long text is encoded whole; an empty table gives no rows and appends nothing; other columns of the input are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ asked for. No document group exists, so there is no hot key; copies of a text ar
 
 Defined cases: NULL is the empty text; a text without words has the fingerprint ``EMPTY``, which is like itself (1) and
 unlike all others (0); documents are ordered by descending doc_id, NULL last, equal ids by a hash of their text; rows equal in
-id and text are one document and repeated in the result; a single document is its own successor; an empty table gives no rows;
+id and text are one document and repeated in the result; a single document is its own successor; of a very long text all terms count, as of any other; an empty table gives no rows;
 other columns are neither read nor returned.
 """
 

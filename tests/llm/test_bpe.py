@@ -117,3 +117,16 @@ def test_cache_on_no_documents(spark, no_documents, tmp_path):
     cache = str(tmp_path / "cache")
     token_counts.create_cache(spark, cache)
     assert token_counts.count_tokens(no_documents, FILE, cache).count() == 0
+
+
+def test_letters_that_change_in_number_before_a_stop(spark, documents, tmp_path):
+    """Letters that end in a mark after normalising; very long texts; words too long to be remembered."""
+    texts = ["İ.", "İ,", "aİ. İİ,", "K. Å, ﬁ.", "क़.", "Σ. ΑΣ, Ος.", "x" * 90 + ". " + "y" * 70, "İ. " * 20_000, "no blank" * 9_000]
+    plain = FILE.load()
+    cache = str(tmp_path / "cache")
+    token_counts.create_cache(spark, cache)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(documents(texts), FILE, cache).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(plain([t])[0]) for t in texts]
+    memory = WordMemory(FILE, list, 50)
+    assert [sum(memory(t), []) for t in texts] == [plain([t])[0] for t in texts]
+    assert max(map(len, memory.young)) <= 64

@@ -99,3 +99,9 @@ def test_repeated_rows_single_rows_and_none(documents, no_documents):
 def test_no_python_in_the_plan(documents):
     df = ws.fingerprints(documents(["a b", "c d"]))
     assert "Python" not in df._jdf.queryExecution().toString() and "Pandas" not in df._jdf.queryExecution().toString()
+
+
+def test_a_very_long_text(documents):
+    long = " ".join(f"w{i % 700}" for i in range(60_000))
+    got = {r["doc_id"]: r for r in ws.fingerprints(documents([long, "w1 w2"])).collect()}
+    assert got[0]["n_chars"] == len(long) and got[0]["fingerprint"] == as_text(signature(long, ws.SAMPLES))
