@@ -30,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.context import materialize
 from larder.llm.quality import held_out
 
 MAX_N = 4
@@ -98,10 +99,17 @@ def fit(model: KernelModel, kernel: np.ndarray, lang: np.ndarray, ridge: float =
     return KernelModel(model.languages, model.columns, model.landmarks, (root @ weights).astype(np.float32))
 
 
-def _smallest_hashes(docs: DataFrame, k: int) -> dict[str, int]:
-    """For each language the k-th smallest hash of the usable rows: one number per language reaches the driver."""
+def _smallest_hashes(hashes: DataFrame, k: int) -> dict[str, int]:
+    """For each language the k-th smallest of its hashes (lang, h): one number per language reaches the driver.
+
+    Hashes are first counted by their upper 16 bits, so that only those up to the k-th are ranked, however many rows a language has.
+    """
+    head = F.shiftright("h", 48)
+    counts = hashes.groupBy("lang", head.alias("head")).agg(F.count(F.lit(1)).alias("n"))  # at most 65,536 a language
+    before = F.sum("n").over(W.partitionBy("lang").orderBy("head").rowsBetween(W.unboundedPreceding, -1))
+    last = counts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < k).groupBy("lang").agg(F.max("head").alias("last"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    head = docs.select("lang", "h").withColumn("r", rank).filter(F.col("r") <= k)
+    head = hashes.join(last, "lang").filter(head <= F.col("last")).select("lang", "h").withColumn("r", rank).filter(F.col("r") <= k)
     return {r["lang"]: r["cut"] for r in head.groupBy("lang").agg(F.max("h").alias("cut")).collect()}
 
 
@@ -121,9 +129,11 @@ def learn(docs: DataFrame, landmarks: int = LANDMARKS, rows: int = FIT_ROWS) ->
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))
     ).withColumn("h", F.xxhash64("doc_id"))
 
+    hashes = materialize(usable.select("lang", "h"), "language-hashes")
+
     def below(k: int) -> DataFrame:
         chosen = F.lit(False)
-        for lang, cut in _smallest_hashes(usable, k).items():
+        for lang, cut in _smallest_hashes(hashes, k).items():
             chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= cut))
         return usable.filter(chosen)
 

@@ -170,3 +170,58 @@ def test_language_on_odd_rows(documents, no_documents):
     assert {r["lang_pred"] for r in language.identify(bare, language.learn(bare)).collect()} == {"und"}
     assert language.identify(no_documents, language.learn(docs)).count() == 0
     assert language.learn(no_documents) is None
+
+
+def plain_features(text):
+    """The features one character and one word at a time."""
+    import math
+    import statistics
+
+    out = np.zeros(quality.N_FEATURES)
+    raw = (text or "").encode("utf-8", "replace")
+    if not raw:
+        return out
+    n_kinds = len(quality._CLASSES) + 2
+
+    def kind(byte):
+        for k, own in enumerate(quality._CLASSES):
+            if byte in own:
+                return k
+        return n_kinds - 2 if byte < 128 else n_kinds - 1
+
+    kinds = [kind(b) for b in raw]
+    for k in range(n_kinds):
+        out[k] = math.sqrt(kinds.count(k) / len(kinds))
+        for m in range(n_kinds):
+            both = sum(a == k and b == m for a, b in zip(kinds, kinds[1:]))
+            out[n_kinds + k * n_kinds + m] = math.sqrt(both / (len(kinds) - 1)) if len(kinds) > 1 else 0
+    at, words, lines = n_kinds + n_kinds**2, raw.split(), [x for x in raw.split(b"\n") if x]
+    if words:
+        sizes = [len(w) for w in words]
+        distinct = len(set(words)) / len(words)
+        out[at : at + 7] = [
+            math.log(1 + len(words)), distinct, distinct * math.log(1 + len(words)), statistics.mean(sizes) / 10, statistics.pstdev(sizes) / 10,
+            sum(s == 1 for s in sizes) / len(sizes), sum(s > 20 for s in sizes) / len(sizes),
+        ]
+    if lines:
+        out[at + 7 : at + 10] = 1 - len(set(lines)) / len(lines), math.log(1 + len(lines)), math.log(1 + len(raw) / len(lines))
+    out[at + 10 :] = math.log(1 + len(raw)), 1
+    return out
+
+
+def test_features_equal_plain_loops():
+    texts = [None, "", "a", "\n", " \n\n x", "Hello, World! 12%\nHello, World! 12%\n<b>é日</b>\x00\x7f", "z" * 50 + " one one ONE", "don't {a|b} #1 @you a/b+c~d"]
+    for text in texts:
+        assert quality.features(text) == pytest.approx(plain_features(text)), text
+
+
+def test_smallest_hashes_of_a_busy_language(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 8, "en").otherwise(F.concat(F.lit("l"), (F.col("id") % 3).cast("string"))).alias("lang"), F.xxhash64("id").alias("h"))
+    got = language._smallest_hashes(rows, 600)
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r["lang"], []).append(r["h"])
+    assert got == {k: sorted(v)[:600][-1] for k, v in by.items()}
+    assert language._smallest_hashes(rows.limit(3), 600) and language._smallest_hashes(rows.limit(0), 600) == {}
