@@ -129,4 +129,12 @@ def run_steps(stream: DataFrame, name: str, step: Step, keys: list[str], order:
         newest.select(*kinds.names).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not _exists(spark, f"{folder}/rows"):  # the source held nothing
+        rows, _ = step(spark.createDataFrame([], stream.schema), spark.createDataFrame([], kinds))
+        return rows
     return spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)

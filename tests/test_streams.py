@@ -131,3 +131,11 @@ def test_window_state_lies_in_rocksdb(spark, tmp_path):
     root = spark.conf.get("spark.checkpoint.dir")
     kept = [f for d, _, names in os.walk(root) if "/state/" in d and "/rocks-" in d for f in names]
     assert any(f.endswith((".zip", ".sst", ".changelog")) for f in kept) and spark.conf.get(run.PROVIDER) == before
+
+
+def test_a_source_without_files_gives_an_empty_table(spark, tmp_path):
+    path = tmp_path / "none"
+    path.mkdir()
+    schema = spark.createDataFrame([], "session_id long, request_id long, expected_version long").schema
+    out = carts.version_conflicts(read_stream(spark, str(path), schema))
+    assert out.columns == ["session_id", "request_id", "expected_version", "current_version"] and out.count() == 0
