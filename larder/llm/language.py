@@ -102,14 +102,17 @@ def fit(model: KernelModel, kernel: np.ndarray, lang: np.ndarray, ridge: float =
 def _smallest_hashes(hashes: DataFrame, k: int) -> dict[str, int]:
     """For each language the k-th smallest of its hashes (lang, h): one number per language reaches the driver.
 
-    Hashes are first counted by their upper 16 bits, so that only those up to the k-th are ranked, however many rows a language has.
+    Hashes are first counted by their upper 12 bits, so that only those up to the k-th are ranked, however many rows a language has.
     """
-    head = F.shiftright("h", 48)
-    counts = hashes.groupBy("lang", head.alias("head")).agg(F.count(F.lit(1)).alias("n"))  # at most 65,536 a language
+    head = F.shiftright("h", 52)
+    counts = hashes.groupBy("lang", head.alias("head")).agg(F.count(F.lit(1)).alias("n"))  # at most 4,096 a language
     before = F.sum("n").over(W.partitionBy("lang").orderBy("head").rowsBetween(W.unboundedPreceding, -1))
-    last = counts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < k).groupBy("lang").agg(F.max("head").alias("last"))
+    reached = counts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < k)
+    near = F.lit(False)
+    for r in reached.groupBy("lang").agg(F.max("head").alias("last")).collect():
+        near = near | ((F.col("lang") == r["lang"]) & (head <= r["last"]))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    head = hashes.join(last, "lang").filter(head <= F.col("last")).select("lang", "h").withColumn("r", rank).filter(F.col("r") <= k)
+    head = hashes.filter(near).select("lang", "h").withColumn("r", rank).filter(F.col("r") <= k)
     return {r["lang"]: r["cut"] for r in head.groupBy("lang").agg(F.max("h").alias("cut")).collect()}
 
 
