@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.context import materialize
 from larder.functions.money import cents, line_total
 from larder.operators.grouping import first_per_key, fold_add_floor, previous_row, running_sum
 
@@ -106,7 +107,8 @@ def changes(new: Column, old: Column) -> Column:
 
 def consecutive_changes(carts: DataFrame, session: str, version: str) -> DataFrame:
     """Changes between each cart and the one before in its session."""
-    held = carts.select(session, version, clean_items(F.col("raw_items")).alias("_items"))
+    # Stored, because putting rows in order looks at them twice and each cart is to be read once.
+    held = materialize(carts.select(session, version, clean_items(F.col("raw_items")).alias("_items")), "cart-items")
     paired = previous_row(held, [session], version, {"_old": "_items"})
     return paired.select(session, version, F.inline(changes(F.col("_items"), F.col("_old"))))
 

@@ -227,9 +227,9 @@ def _edited(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 # --- cart bindings ---------------------------------------------------------------------------------------------------
 
 
-def cart_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """One cart document per event: two valid items and a broken one; every tenth cart only holds the broken one."""
-    events = table(spark, folder, "events").select(
+def cart_events(spark: SparkSession, folder: str) -> DataFrame:
+    """What the cart documents are made of."""
+    return table(spark, folder, "events").select(
         F.col("user_id").alias("session_id"),
         F.col("event_id").alias("request_id"),
         "ts",
@@ -237,6 +237,10 @@ def cart_requests(spark: SparkSession, folder: str) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
+
+
+def cart_documents(events: DataFrame) -> DataFrame:
+    """One cart document per event: two valid items and a broken one; every tenth cart only holds the broken one."""
     first = F.expr(
         """format_string('{"id":%d,"name":"dish %d","qty":%d,"price":%s,"size":%s,"note":null,"uuid":"a%d"},'
            '{"id":%d,"name":"side","qty":%d,"price":"10.005","size":null,"note":"hot","uuid":"b%d"},',
@@ -249,7 +253,11 @@ def cart_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
     items = F.when(F.col("request_id") % 10 == 0, broken).otherwise(F.concat(first, broken))
     cart = F.concat(F.lit('{"items":['), items, F.lit('],"note":"n'), F.col("k"), F.lit('"}'))
-    return carts.read_cart(events.withColumn("cart", cart))
+    return events.withColumn("cart", cart)
+
+
+def cart_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return carts.read_cart(cart_documents(cart_events(spark, folder)))
 
 
 b.CTE["req"] = (

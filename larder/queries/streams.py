@@ -40,8 +40,8 @@ def _in_turn(df: DataFrame, name: str, place: str) -> DataFrame:
     )
 )
 def stream_cart_changes(spark: SparkSession, folder: str) -> DataFrame:
-    requests = ordering.cart_requests(spark, folder).select("session_id", "request_id", "cart")
-    numbered = running_sum(requests, ["session_id"], "request_id", {"version": F.lit(1)})
+    requests = ordering.cart_events(spark, folder).select("session_id", "request_id", "k", "value")
+    numbered = ordering.cart_documents(running_sum(requests, ["session_id"], "request_id", {"version": F.lit(1)}))
     log = _in_turn(numbered.select("session_id", "version", "cart"), "cart-log", "version")
     return carts.cart_changes(log)
 

@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from larder.operators.carts import consecutive_changes
 from larder.streaming import carts, events, run
 from larder.streaming.run import end_marker, read_stream, run_to_table
 
@@ -121,6 +122,50 @@ def test_repeated_and_passed_cart_versions_say_nothing_new(spark, tmp_path):
     assert pairs(out, "version", "uuid", "qty", "action") == [(1, "x", 1, "added"), (2, "x", 1, "increased"), (3, "y", 1, "added")]
 
 
+def test_cart_step_over_many_ranges(spark):
+    """A busy session over many ranges, with repeated and passed versions, against a plain replay."""
+    schema = "session_id long, version long, cart string"
+    rows = [(1, 7 + k * 37 % 60, cart(x=1 + k * 5 % 7, **{f"y{k % 3}": 1 + k % 4})) for k in range(60)] + [(s, v, cart(x=v * s)) for s in (2, 3, 4) for v in (2, 1, 3)]
+    rows += [(1, 30, cart(z=9)), (1, 30, cart(a=1)), *rows[5:15], (None, 1, cart(n=1)), (None, 2, cart(n=4))]
+    held = {1: (20, cart(x=2, y0=2)), 3: (2, cart(x=1)), 4: (9, cart(x=1))}
+    told, last = [], {}
+    newest = {(s, v): max(t for s2, v2, t in rows if (s2, v2) == (s, v)) for s, v, _ in rows}
+    for s in (1, 2, 3, 4, None):
+        passed, old = held.get(s, (None, cart()))
+        for v in sorted(v for s2, v in newest if s2 == s and (passed is None or v > passed)):
+            before = {i["uuid"]: i["qty"] for i in json.loads(old)["items"]}
+            old = newest[s, v]
+            told += [(s, v, i["uuid"], i["qty"] - before.get(i["uuid"], 0)) for i in json.loads(old)["items"] if i["qty"] > before.get(i["uuid"], 0)]
+            last[s] = (s, v, old)
+    batch = spark.createDataFrame(rows, schema)
+    state = spark.createDataFrame([(s, *x) for s, x in held.items()], schema)
+    for parts in (1, 23):
+        found, new = carts.cart_step(batch, state, parts)
+        assert pairs(found, "session_id", "version", "uuid", "qty") == sorted(told, key=repr)
+        assert pairs(new, "session_id", "version", "cart") == sorted(last.values(), key=repr)
+
+
+@pytest.mark.parametrize("of", ["stream", "batch"])
+def test_each_cart_text_is_read_once(spark, monkeypatch, of):
+    times = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        times.add(1)
+        return text
+
+    real = carts.read_cart
+    read = lambda df: real(df.withColumn("cart", counted("cart")))
+    monkeypatch.setattr(carts, "read_cart", read)
+    batch = spark.createDataFrame([(k % 9, k, cart(x=1 + k % 5)) for k in range(400)], carts.CARTS)
+    if of == "stream":
+        rows, newest = carts.cart_step(batch, spark.createDataFrame([], carts.CARTS))
+        assert newest.count() == 9
+    else:
+        rows = consecutive_changes(read(batch), "session_id", "version")
+    assert rows.count() > 50 and times.value < 450
+
+
 def test_window_state_lies_in_rocksdb(spark, tmp_path):
     import os
 
