@@ -472,10 +472,13 @@ def _search_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """Those of ``pairs(query, id)`` that link, found by T-occurrence search of the queries over their blocks."""
+    pairs = materialize(pairs.select("query", "id"), "jaccard-candidates")  # read twice, and ends the plan that made them
+    if pairs.isEmpty():
+        return pairs.select(F.col("query").alias("a"), F.col("id").alias("b"))
     sizes = pairs.groupBy("query").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("blocks"))
-    dealt = pairs.join(sizes, "query").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    members = dealt.select("query", "block", "id")
-    queries = members.select("query", "block").distinct().withColumn("id", F.col("query"))
+    members = pairs.join(sizes, "query").select("query", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    queries = sizes.select("query", blocks.alias("block"), F.col("query").alias("id"))
     rows = members.unionByName(queries).join(arrays.select("id", "shingles"), "id").select("query", "block", "id", "shingles")
     placed = rows.repartition("query", "block").sortWithinPartitions("query", "block")
     return placed.mapInPandas(_search_blocks, "a long, b long")
@@ -516,6 +519,7 @@ def linked_components(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # Where all pairs that could join a bucket's components did link, nothing in it is left to compare.
     failed = near.join(more.select(F.col("a").alias("query"), F.col("b").alias("id")), ["query", "id"], "left_anti").select("root").distinct()
+    failed = materialize(failed, "jaccard-failed")
     tried = tried.unionByName(near.select("query", "id"))
     rest = _across_open_buckets(members.select("root", "id").join(failed, "root"), part, arrays, forest=False)
     last = rest.select("query", "id").distinct().join(tried, ["query", "id"], "left_anti")
@@ -552,14 +556,18 @@ def _across_open_buckets(members: DataFrame, part: DataFrame, arrays: DataFrame,
 
     A bucket of two sets is closed by its leader's search, and of buckets with the same sets one is enough.
     """
-    placed = _component_of(members.distinct(), "id", part, "component").join(arrays.select("id", "n", "band"), "id")
-    several = placed.groupBy("root").agg(
+
+    def place(rows: DataFrame) -> DataFrame:
+        return _component_of(rows, "id", part, "component").join(arrays.select("id", "n", "band"), "id")
+
+    several = place(members.distinct()).groupBy("root").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("sets"), F.max("band").alias("top"),
         F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
     )
     open_ = several.filter("lo != hi AND sets > 2").groupBy("sets", "x", "y").agg(F.min(F.struct("root", "top")).alias("r"))
     open_ = open_.select("r.root", "r.top", F.ceil(F.col("sets") / CHUNK_SETS).cast("int").alias("chunks"))
-    still = placed.join(open_, "root").filter("band >= top - 1")  # sets two bands apart never link
+    open_ = materialize(open_, "jaccard-open")
+    still = place(members.join(open_, "root").distinct()).filter("band >= top - 1")  # sets two bands apart never link
     still = still.join(arrays.select("id", "sketch", "next_sketch"), "id")
     still = still.withColumn("sketch", F.when(F.col("band") == F.col("top"), F.col("sketch")).otherwise(F.col("next_sketch")))
     still = still.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))

@@ -180,3 +180,47 @@ def test_components(spark):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     assert got == {n: find(n) for n in list(root)}
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The exchanges in the plan of each table that the join and the components write."""
+    from larder.llm import components as module
+
+    seen = []
+
+    def counted(df, purpose, write=module.materialize):
+        seen.append((purpose, df._jdf.queryExecution().executedPlan().toString().count("Exchange ")))
+        return write(df, purpose)
+
+    monkeypatch.setattr(module, "materialize", counted)
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    return seen
+
+
+def test_plans_end_at_each_step(documents, written):
+    texts, ids = corpus(7)
+    got = jaccard.linked_components(documents(texts, ids).repartition(3)).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(texts, ids)
+    assert max(n for _, n in written) <= 16, written  # the driver holds each plan many times over while it runs
+
+
+def test_stars_take_no_round(spark, written):
+    stars = [(5, 1), (1, 6), (6, 1), (9, 2), (3, 3), (None, 4)]
+    got = components(spark.createDataFrame(stars, "a long, b long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)]
+    assert len(written) == 1
+
+
+def test_chains_and_hubs_become_stars(spark):
+    chain = [(i, i + 1) for i in range(20, 45)]
+    hub = [(100, k) for k in range(60, 90)] + [(k, 101) for k in range(60, 90)]
+    cross = [(200, 210), (210, 201), (211, 201), (211, 202)]
+    got = components(spark.createDataFrame(chain + hub + cross, "a long, b long").repartition(4)).collect()
+    want = {i: 20 for i in range(20, 46)} | {k: 60 for k in [*range(60, 90), 100, 101]} | {k: 200 for k in (200, 201, 202, 210, 211)}
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+
+
+def test_no_pairs_need_no_search(spark):
+    none = spark.createDataFrame([], "query long, id long")
+    assert jaccard.verified(none, None).collect() == []
