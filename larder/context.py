@@ -40,3 +40,19 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def materialize_by(df: DataFrame, purpose: str, key: str) -> DataFrame:
+    """``materialize`` in buckets of ``key``: joins on it read the table where it lies and shuffle their other side only.
+
+    Spark reads buckets through its catalog only, which holds the table until it is resolved; its files stay in the run's folder.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark, purpose)
+    name = f"larder_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")

@@ -20,7 +20,8 @@ if B is in at least T = ceil(85 (|A| + |B|) / 185) of the inverted lists of A's
    search. A pair inside one component adds nothing to the result, so groups of near copies never unfold into all pairs.
 
 Scale: one scan emits about a quarter of a bucket row per shingle, one shuffle brings them together; texts are read a second time
-for the sets that have a candidate, found with a filter of fixed size (``FILTER_BYTES``, the only thing that is broadcast).
+for the sets that have a candidate, found with a filter of fixed size (``FILTER_BYTES``, the only thing that is broadcast). These
+sets are dealt by id once, as they are written; after that only the members of search blocks and of open buckets are shuffled.
 A bucket that is hot inside a map task is cut into sub-buckets whose leaders stand for them in the bucket itself; a leader
 with many sets has several blocks, and an open bucket is compared in squares of ``CHUNK_SETS`` sets. Set ids are 64-bit digests.
 
@@ -39,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.context import materialize
+from larder.context import materialize, materialize_by
 from larder.llm.batches import as_text, runs
 from larder.llm.components import components
 
@@ -306,8 +307,9 @@ def _split_hot(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([bucket, keys[lead]]), np.concatenate([keys, keys[lead]]), np.concatenate([ids, ids[lead]])
 
 
-#: Rows of the one scan: a set row for each document, and bucket rows of its classes.
-SCAN = "is_set boolean, doc_id string, mark long, n_shingles int, id long, bucket long, root long"
+#: Rows of the one scan: a set row for each document, and bucket rows of its classes. ``up`` is the bitwise difference of a
+#: bucket and its root, which is 0 and takes no room on disk unless the bucket is cut.
+SCAN = "is_set boolean, doc_id string, mark long, n_shingles int, id long, bucket long, up long"
 
 
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,14 +327,15 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keys.append(k.view(np.int64))
                 ids.append(np.full(len(k), i, dtype=np.int64))
         yield pd.DataFrame(
-            {"is_set": True, "doc_id": frame["doc_id"].array, "mark": frame["mark"].array, "n_shingles": sizes, "id": own, "bucket": 0, "root": 0}
+            {"is_set": True, "doc_id": frame["doc_id"].array, "mark": frame["mark"].array, "n_shingles": sizes, "id": own, "bucket": 0, "up": 0}
         )
     if keys:
         bucket, root, member = _split_hot(np.concatenate(keys), np.concatenate(ids))
+        up = bucket ^ root
         for i in range(0, len(bucket), 200_000):
             part = slice(i, i + 200_000)
             yield pd.DataFrame(
-                {"is_set": False, "doc_id": None, "mark": 0, "n_shingles": 0, "id": member[part], "bucket": bucket[part], "root": root[part]}
+                {"is_set": False, "doc_id": None, "mark": 0, "n_shingles": 0, "id": member[part], "bucket": bucket[part], "up": up[part]}
             )
 
 
@@ -352,7 +355,7 @@ def _meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for i in range(0, len(rows), 200_000):
         part = np.arange(i, min(i + 200_000, len(rows)))
         part = part[many[part]]
-        yield pd.DataFrame({"root": rows[part, 1], "leader": leader[part], "id": rows[part, 2]})
+        yield pd.DataFrame({"root": rows[part, 0] ^ rows[part, 1], "leader": leader[part], "id": rows[part, 2]})
 
 
 def _filter_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -492,7 +495,7 @@ def linked_components(docs: DataFrame, text: str = "text") -> DataFrame:
     scan = materialize(rows.mapInPandas(_scan, SCAN), "jaccard-scan")
     classes = scan.filter("is_set").select(F.col("doc_id").cast(kind).alias("doc_id"), "mark", "id", F.col("n_shingles").cast("long").alias("n_shingles"))
 
-    met = scan.filter("NOT is_set").select("bucket", "root", "id").repartition("bucket")
+    met = scan.filter("NOT is_set").select("bucket", "up", "id").repartition("bucket")
     members = materialize(met.mapInPandas(_meet, "root long, leader long, id long"), "jaccard-buckets")
 
     shared = members.filter("id != leader").groupBy("leader", "id").agg(F.count(F.lit(1)).alias("n"))
@@ -502,7 +505,7 @@ def linked_components(docs: DataFrame, text: str = "text") -> DataFrame:
     keep = spark.sparkContext.broadcast(_fixed_filter(marks))
     found = rows.select("mark", "text").mapInPandas(_arrays(keep), "id long, n int, shingles binary, band int, sketch binary, next_sketch binary")
     arrays = found.join(wanted, "id", "left_semi").dropDuplicates(["id"])  # copies were met by several tasks
-    arrays = materialize(arrays, "jaccard-arrays")
+    arrays = materialize_by(arrays, "jaccard-arrays", "id")  # the largest rows, joined by id in every round
 
     best = shared.groupBy("id").agg(F.max(F.struct("n", "query"))["query"].alias("query")).select("query", "id")
     part = materialize(components(verified(best, arrays), "jaccard-parts"), "jaccard-parts")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from larder.llm import jaccard
@@ -160,6 +161,57 @@ def test_forest_joins_what_all_edges_join():
     assert jaccard._forest(a, b, np.arange(6)[::-1]) == [5, 4, 3]
 
 
+def test_uncut_buckets_need_no_root(monkeypatch):
+    """A bucket row tells its root by one bit pattern that is 0 unless the bucket is cut."""
+    texts = [" ".join(WORDS[:30] + WORDS[100 + i : 101 + i]) for i in range(12)]
+    frame = pd.DataFrame({"doc_id": [str(i) for i in range(12)], "text": texts, "mark": range(12)})
+
+    def bucket_rows():
+        rows = pd.concat(jaccard._scan(iter([frame])))
+        return rows[~rows["is_set"].astype(bool)][["bucket", "up", "id"]].astype("int64")
+
+    def met(rows):
+        found = pd.concat(jaccard._meet(iter([rows])))
+        return {root: frozenset(g) for root, g in found.groupby("root")["id"]}
+
+    whole = bucket_rows()
+    assert len(whole) and (whole["up"] == 0).all()
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", 4)
+    cut = bucket_rows()
+    assert (cut["up"] != 0).any() and met(cut) == met(whole)
+
+
+def test_sets_are_dealt_by_id_once(spark, monkeypatch, documents):
+    """No join that follows shuffles the sets again, also where nothing is small enough to be broadcast."""
+    plans = []
+
+    def noted(df, purpose, write=jaccard.materialize):
+        plans.append((purpose, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, purpose)
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    texts, ids = corpus(11)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    tables = spark.catalog.listTables()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard.linked_components(documents(texts, ids).repartition(3)).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute(texts, ids)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert spark.catalog.listTables() == tables
+    reads = 0
+    for purpose, plan in plans:
+        lines = plan.splitlines()
+        for k, line in enumerate(lines):
+            if "FileScan parquet spark_catalog.default.larder_" in line:
+                reads += 1
+                above = [x.lstrip(" :+-*(0123456789)") for x in lines[:k]][::-1]
+                first = next(x for x in above if not x.startswith(("Project", "Filter", "ColumnarToRow")))
+                assert first.startswith("Sort "), (purpose, plan)  # of a merge join; an exchange would stand here
+    assert reads >= 4
+
+
 def test_no_documents(no_documents):
     assert jaccard.linked_components(no_documents).count() == 0
 
